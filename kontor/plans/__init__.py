@@ -5,3 +5,4 @@ Importing this package registers every query module.
 
 from kontor.plans import registry  # noqa: F401
 from kontor.plans import q_reports  # noqa: F401
+from kontor.plans import q_features  # noqa: F401
