@@ -67,24 +67,21 @@ def month_outflow(raw: DataFrame) -> DataFrame:
 def spend_trend(raw: DataFrame, end_month: Column | None = None, count: int = 6) -> DataFrame:
     """The `count` months ending at `end_month` for every account, oldest first.
 
-    Missing months are 0. `end_month` defaults to the ledger's latest month
-    (a one-row aggregate joined in, no driver round trip). Only the needed
-    months are read: the range filter reaches the scan.
+    Missing months are 0. `end_month` defaults to the ledger's latest month,
+    planned as a scalar subquery (no join, no driver round trip). The month
+    spine is a per-account `sequence`, so the grid is built without a cross
+    join, and only the needed months reach the aggregation.
     """
-    accounts = raw.select("account_id").distinct()
     if end_month is None:
-        end = raw.agg(F.max(month_of("posted_date")).alias("end_month"))
-    else:
-        end = raw.sparkSession.range(1).select(end_month.alias("end_month"))
-    spine = end.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("offset"),
-                       "end_month").select(
-        F.add_months("end_month", F.col("offset") - (count - 1)).alias("month"),
-        (F.lit(count - 1) - F.col("offset")).alias("months_back"))
-    # spine has exactly `count` rows: broadcasting it is size-bounded by construction
-    grid = accounts.crossJoin(F.broadcast(spine))
-    window = raw.join(F.broadcast(end), (raw.posted_date >= F.add_months(end.end_month, 1 - count))
-                      & (raw.posted_date < F.add_months(end.end_month, 1))).select(*raw.columns)
-    totals = month_outflow(window)
+        end_month = raw.agg(F.max(month_of("posted_date"))).scalar()
+    start = F.add_months(end_month, 1 - count)
+    grid = (raw.select("account_id").distinct()
+            .select("account_id", F.posexplode(
+                F.sequence(start, end_month, F.expr("INTERVAL 1 MONTH"))).alias("pos", "month"))
+            .select("account_id", "month", (F.lit(count - 1) - F.col("pos")).alias("months_back")))
+    recent = raw.filter((F.col("posted_date") >= start)
+                        & (F.col("posted_date") < F.add_months(end_month, 1)))
+    totals = month_outflow(recent)
     return (grid.join(totals, ["account_id", "month"], "left")
             .select("account_id", "month", "months_back",
                     F.coalesce(F.col("total_spend"), F.lit(0).cast("decimal(38,2)")).alias("total")))

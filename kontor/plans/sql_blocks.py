@@ -66,3 +66,52 @@ feat AS (SELECT account_id, month,
 def feat_select(prefix: str = "") -> str:
     from kontor.plans.registry import r6
     return ", ".join(f"{r6(prefix + n)} AS {n}" for n in BEHAVIOUR_FEATURES)
+
+
+TXF = """
+spend AS (SELECT *, CAST(amount AS DOUBLE) AS amt FROM led WHERE NOT is_inflow AND amount > 0),
+w AS (SELECT *,
+         avg(amt) OVER pc AS c_mean, stddev_samp(amt) OVER pc AS c_std,
+         quantile_cont(amt, 0.5) OVER pc AS c_med, count(amt) OVER pc AS c_cnt,
+         avg(amt) OVER pa AS a_mean, stddev_samp(amt) OVER pa AS a_std,
+         quantile_cont(amt, 0.5) OVER pa AS a_med,
+         row_number() OVER (PARTITION BY account_id, merchant ORDER BY posted_date, transaction_id) AS m_rn,
+         row_number() OVER (PARTITION BY account_id, category ORDER BY posted_date, transaction_id) AS c_rn,
+         row_number() OVER (PARTITION BY account_id ORDER BY posted_date, transaction_id) AS a_rn,
+         lag(posted_date) OVER (PARTITION BY account_id ORDER BY posted_date, transaction_id) AS prev_date,
+         count(*) OVER (PARTITION BY account_id, merchant, posted_date) AS m_day,
+         count(*) OVER (PARTITION BY account_id, posted_date) AS a_day
+      FROM spend
+      WINDOW pc AS (PARTITION BY account_id, category ORDER BY posted_date, transaction_id
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+             pa AS (PARTITION BY account_id ORDER BY posted_date, transaction_id
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+txf AS (SELECT transaction_id, account_id, posted_date, month, merchant, category,
+         amt AS amount, ln(1 + greatest(amt, 0)) AS amount_log,
+         coalesce(CASE WHEN c_std IS NOT NULL THEN (amt - c_mean) / greatest(c_std, 1.0) END,
+                  CASE WHEN a_std IS NOT NULL THEN (amt - a_mean) / greatest(a_std, 1.0) END,
+                  0.0) AS amount_zscore_in_category,
+         coalesce(CASE WHEN c_med IS NOT NULL THEN amt / greatest(c_med, 1.0) END,
+                  CASE WHEN a_med IS NOT NULL THEN amt / greatest(a_med, 1.0) END,
+                  1.0) AS amount_ratio_to_category_median,
+         CAST(m_rn = 1 AS DOUBLE) AS merchant_novelty,
+         CAST(m_rn - 1 AS DOUBLE) AS merchant_frequency,
+         CAST(isodow(posted_date) >= 6 AS DOUBLE) AS is_weekend,
+         CAST(day(posted_date) AS DOUBLE) AS day_of_month,
+         coalesce(CAST(posted_date - prev_date AS DOUBLE), 30.0) AS days_since_previous,
+         1.0 - (c_rn - 1) / greatest(a_rn - 1, 1) AS category_rarity,
+         CAST(m_day AS DOUBLE) AS merchant_txns_same_day,
+         CAST(a_day AS DOUBLE) AS account_txns_same_day,
+         CAST(c_cnt >= 5 AS INTEGER) AS has_history
+      FROM w)"""
+
+# detector scores for J without a model: z-score and ratio detectors,
+# truth = event_id % 31 = 0, kind = event_id % 3
+SCORED = """
+scored AS (SELECT transaction_id, account_id,
+              amount_zscore_in_category AS score, amount_ratio_to_category_median AS ratio_score,
+              amount_zscore_in_category > 3.0 AS zscore_flag,
+              amount_ratio_to_category_median > 3.0 AS ratio_flag,
+              CAST(transaction_id AS BIGINT) % 31 = 0 AS truth,
+              'kind_' || CAST(CAST(transaction_id AS BIGINT) % 3 AS VARCHAR) AS kind
+           FROM txf)"""
