@@ -7,3 +7,4 @@ from kontor.plans import registry  # noqa: F401
 from kontor.plans import q_reports  # noqa: F401
 from kontor.plans import q_features  # noqa: F401
 from kontor.plans import q_anomaly  # noqa: F401
+from kontor.plans import q_models  # noqa: F401
