@@ -48,8 +48,12 @@ def _ratio(amt: Column, median: Column) -> Column:
     return F.when(median.isNotNull(), amt / F.greatest(median, F.lit(1.0)))
 
 
-def transaction_features(ledger: DataFrame, min_history: int = MIN_HISTORY) -> DataFrame:
-    """G1-G15 for every scorable transaction of a normalised ledger."""
+def transaction_features(ledger: DataFrame, min_history: int = MIN_HISTORY,
+                         carry: list[str] | tuple = ()) -> DataFrame:
+    """G1-G15 for every scorable transaction of a normalised ledger.
+
+    `carry` names extra input columns passed through unchanged (labels).
+    """
     s = spend_only(ledger).withColumn("amount", F.col("amount").cast("double"))
     amt = F.col("amount")
     by_cat = Window.partitionBy("account_id", "category").orderBy(*ORDER)
@@ -95,6 +99,7 @@ def transaction_features(ledger: DataFrame, min_history: int = MIN_HISTORY) -> D
         F.col("_m_day").cast("double").alias("merchant_txns_same_day"),
         F.col("_a_day").cast("double").alias("account_txns_same_day"),
         (F.col("_c_cnt") >= min_history).cast("int").alias("has_history"),
+        *carry,
     )
 
 

@@ -1,0 +1,147 @@
+"""End-to-end plans (the reference's three entry points, for all accounts at once).
+
+1. archetypes: ledger -> A2 -> E1 -> F -> scaler -> k-means -> names ->
+   assignment + evidence for every account-month.
+2. anomaly scan: ledger -> B5/G -> forest score -> threshold -> reasons.
+3. offline evaluation: split accounts -> fit forest on clean train accounts ->
+   tune contamination on injected validation accounts -> compare the forest
+   with the z-score baseline on injected test accounts.
+
+Intermediate results that several jobs reuse are cut with a reliable
+checkpoint into the cluster's shared checkpoint folder.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from kontor.operators import clusters as H
+from kontor.operators import evaluate as J
+from kontor.operators import iforest as IF
+from kontor.operators.causal import ANOMALY_FEATURES, spend_only, transaction_features
+from kontor.operators.inject import prepare_eval_set
+from kontor.operators.ledger import normalise_ledger
+from kontor.operators.monthly import BEHAVIOUR_FEATURES, monthly_features
+from kontor.operators.recurring import flag_recurring
+from kontor.session import cut_lineage
+
+
+@dataclass
+class ArchetypeModel:
+    stats: DataFrame
+    centroids: DataFrame
+    names: DataFrame
+    k: int
+    silhouette: float
+
+
+def fit_archetypes(features: DataFrame, k: int | None = None, restarts: int = H.RESTARTS) -> ArchetypeModel:
+    """Fit scaler + k-means (choose k by silhouette when k is None) + names."""
+    stats = cut_lineage(H.fit_scaler(features))
+    z = cut_lineage(H.standardise(features, stats))
+    if k is None:
+        grid = H.choose_k(z, restarts=restarts)
+        k = int(grid.filter("chosen").first()["k"])
+    cents, _, _ = H.kmeans_fit(z, k, restarts)
+    cents = cut_lineage(cents)
+    sil = H.silhouette(H.assign_cluster(z, cents))
+    return ArchetypeModel(stats, cents, H.name_clusters(cents), k, sil)
+
+
+def archetypes(raw: DataFrame, model: ArchetypeModel | None = None, k: int | None = 6,
+               version_contamination: float = 0.02) -> DataFrame:
+    """Entry 1 for every account-month: cluster, archetype, distance, evidence."""
+    features = cut_lineage(monthly_features(flag_recurring(normalise_ledger(raw))))
+    model = model or fit_archetypes(features, k)
+    z = H.standardise(features, model.stats)
+    version = IF.model_version(model.k, version_contamination)
+    assigned = H.assign_cluster(z, model.centroids, version)
+    evidence = H.month_evidence(z, model.stats)
+    names = model.names.select("cluster", F.col("name").alias("archetype"), "description")
+    # names has k rows: a bounded model table joined by the planner's broadcast threshold
+    return (assigned.join(F.broadcast(names), "cluster")
+            .join(evidence, ["account_id", "month"])
+            .select("account_id", "month", "cluster", "archetype", "description",
+                    "distance_to_centroid", "evidence", "model_version", *BEHAVIOUR_FEATURES))
+
+
+@dataclass
+class ForestModel:
+    nodes: DataFrame
+    psi: int
+    threshold: float
+    contamination: float
+    grid: DataFrame
+
+
+def anomaly_evaluation(ledger: DataFrame, k: int = 6) -> DataFrame:
+    """Entry 3: metrics of forest vs z-score on injected held-out accounts.
+
+    Returns one row per detector with threshold, budget and threshold-free
+    metrics, plus per-kind recall rows (metric = 'recall_<kind>').
+    """
+    spend = spend_only(ledger)
+    splits = cut_lineage(J.split_accounts(spend, seed=42))
+    train = cut_lineage(prepare_eval_set(ledger, splits, "train", inject=False))
+    nodes, psi = IF.iforest_fit(train, ANOMALY_FEATURES)
+    nodes = cut_lineage(nodes)
+    train_scores = cut_lineage(IF.iforest_score(train, nodes, psi, ANOMALY_FEATURES))
+    val = prepare_eval_set(ledger, splits, "val", inject=True, seed=7)
+    val_scored = cut_lineage(IF.iforest_score(val, nodes, psi, ANOMALY_FEATURES)
+                             .withColumn("truth", F.col("is_injected_anomaly")))
+    grid = cut_lineage(IF.tune_contamination(train_scores, val_scored))
+    chosen = grid.filter("chosen").first()
+    c, threshold = float(chosen["contamination"]), float(chosen["threshold"])
+
+    test = prepare_eval_set(ledger, splits, "test", inject=True, seed=99)
+    scored = cut_lineage(
+        IF.iforest_score(test, nodes, psi, ANOMALY_FEATURES)
+        .select("transaction_id", "account_id", F.col("anomaly_score").alias("forest_score"),
+                F.col("amount_zscore_in_category").alias("zscore_score"),
+                (F.col("anomaly_score") > threshold).alias("forest_flag"),
+                (F.col("amount_zscore_in_category") > 3.0).alias("zscore_flag"),
+                F.col("is_injected_anomaly").alias("truth"), F.col("anomaly_kind").alias("kind")))
+    budget = scored.filter("forest_flag").count()
+    rows = None
+    for det in ("forest", "zscore"):
+        s = scored.select("transaction_id", F.col(f"{det}_score").alias("score"),
+                          F.col(f"{det}_flag").alias("flag"), "truth")
+        m = J.metrics_at_threshold(s).select(
+            F.lit(det).alias("detector"), "flagged", "precision", "recall", "f1",
+            "false_positives", "missed")
+        b = J.metrics_at_budget(s, max(budget, 1)).select(
+            F.col("precision").alias("budget_precision"), F.col("recall").alias("budget_recall"),
+            F.col("f1").alias("budget_f1"))
+        ap = J.average_precision(s).scalar()
+        row = m.select("*", b.select(F.struct(*b.columns)).scalar().alias("b"),
+                       ap.alias("average_precision")).select("*", "b.*").drop("b")
+        rows = row if rows is None else rows.unionByName(row)
+    compared = J.compare_detectors(rows).withColumn("contamination", F.lit(c)) \
+        .withColumn("budget", F.lit(budget)) \
+        .withColumn("model_version", F.lit(IF.model_version(k, c)))
+    return compared
+
+
+def recall_by_kind_eval(scored: DataFrame) -> DataFrame:
+    return J.recall_by_kind(scored, ["forest_flag", "zscore_flag"])
+
+
+def anomaly_scan(ledger: DataFrame, model: ForestModel, version: str) -> DataFrame:
+    """Entry 2 for every scorable transaction: score, flag, reasons."""
+    feats = transaction_features(ledger)
+    return IF.score_transactions(feats, model.nodes, model.psi, model.threshold, version,
+                                 ANOMALY_FEATURES)
+
+
+def fit_forest(ledger: DataFrame, contamination: float = 0.02) -> ForestModel:
+    """Fit on every account's spend rows; threshold at the (1-c) train quantile."""
+    train = cut_lineage(transaction_features(ledger))
+    nodes, psi = IF.iforest_fit(train, ANOMALY_FEATURES)
+    nodes = cut_lineage(nodes)
+    scores = IF.iforest_score(train, nodes, psi, ANOMALY_FEATURES)
+    thr = IF.contamination_threshold(scores, contamination)
+    grid = train.sparkSession.createDataFrame([(contamination, thr)], "contamination double, threshold double")
+    return ForestModel(nodes, psi, thr, contamination, grid)
