@@ -25,23 +25,35 @@ def _blank_to_null(c: Column) -> Column:
     return F.when(F.trim(c) == "", F.lit(None)).otherwise(c)
 
 
-def map_feed_record(feed: DataFrame) -> DataFrame:
+FEED_DEFAULT_MERCHANT = "Unknown"
+FEED_DEFAULT_CATEGORY = "OTHER"
+
+
+def feed_value(name: str) -> Column:
+    """One ledger column from raw change-feed columns (the A6 rules)."""
+    if name == "posted_date":
+        return F.col("date").alias(name)
+    if name == "amount":  # through the decimal text form, then scale 2
+        return F.col("amount").cast("string").cast("decimal(12,2)").alias(name)
+    if name == "merchant":
+        return F.coalesce(_blank_to_null(F.col("merchant_name")), _blank_to_null(F.col("name")),
+                          F.lit(FEED_DEFAULT_MERCHANT)).alias(name)
+    if name == "category":
+        return F.coalesce(F.col("primary_category"), F.lit(FEED_DEFAULT_CATEGORY)).alias(name)
+    if name == "pending":
+        return F.coalesce(F.col("pending"), F.lit(False)).alias(name)
+    raise ValueError(name)
+
+
+def map_feed_record(feed: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Raw change-feed row -> ledger row (account still external).
 
     merchant = first non-blank of (merchant_name, name, 'Unknown');
     category = primary label else 'OTHER'; pending null -> false;
     amount goes through its decimal text form, then scale 2.
     """
-    return feed.select(
-        F.col("transaction_id"),
-        F.col("external_account_id"),
-        F.col("date").alias("posted_date"),
-        F.col("amount").cast("string").cast("decimal(12,2)").alias("amount"),
-        F.coalesce(_blank_to_null(F.col("merchant_name")), _blank_to_null(F.col("name")),
-                   F.lit("Unknown")).alias("merchant"),
-        F.coalesce(F.col("primary_category"), F.lit("OTHER")).alias("category"),
-        F.coalesce(F.col("pending"), F.lit(False)).alias("pending"),
-    )
+    return feed.select(F.col("transaction_id"), F.col("external_account_id"), *(keep or []),
+                       *[feed_value(c) for c in ("posted_date", "amount", "merchant", "category", "pending")])
 
 
 DATE_PATTERN = r"^\d{4}-\d{2}-\d{2}$"

@@ -9,3 +9,4 @@ from kontor.plans import q_features  # noqa: F401
 from kontor.plans import q_anomaly  # noqa: F401
 from kontor.plans import q_models  # noqa: F401
 from kontor.plans import q_forest  # noqa: F401
+from kontor.plans import q_ingest  # noqa: F401
