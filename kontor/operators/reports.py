@@ -206,3 +206,11 @@ def anomaly_scan_summary(scored: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("scored"),
                  F.count_if(F.col("is_anomaly")).alias("flagged"))
             .withColumn("flagged_fraction", F.col("flagged") / F.col("scored")))
+
+
+def flagged_in_month(flagged: DataFrame, month: Column) -> DataFrame:
+    """Flagged rows of one month, highest score first (rank per account)."""
+    w = Window.partitionBy("account_id").orderBy(F.desc("score"), F.asc("transaction_id"),
+                                                 F.asc("model_name"))
+    return (flagged.filter(month_of("posted_date") == month)
+            .withColumn("rank", F.row_number().over(w)))

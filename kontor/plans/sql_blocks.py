@@ -12,32 +12,36 @@ from kontor.plans.common import normalised_sql
 
 LED = f"led AS ({normalised_sql('raw')})"
 
-E1 = """
-keys AS (SELECT account_id, merchant, round_even(amount, 0) AS amount_key,
+def e1_block(led: str = "led", keys: str = "keys", flagged: str = "flagged") -> str:
+    return f"""
+{keys} AS (SELECT account_id, merchant, round_even(amount, 0) AS amount_key,
                 count(DISTINCT month) AS months,
                 avg(CAST(amount AS DOUBLE)) AS mean_amount,
                 coalesce(stddev_samp(CAST(amount AS DOUBLE)), 0) AS std_amount
-         FROM led WHERE NOT is_inflow GROUP BY ALL
+         FROM {led} WHERE NOT is_inflow GROUP BY ALL
          HAVING count(DISTINCT month) >= 3
             AND coalesce(stddev_samp(CAST(amount AS DOUBLE)), 0)
                 <= 0.05 * greatest(abs(avg(CAST(amount AS DOUBLE))), 0.01)),
-flagged AS (SELECT led.*, (k.account_id IS NOT NULL) AND NOT led.is_inflow AS is_recurring
-            FROM led LEFT JOIN keys k
-              ON led.account_id = k.account_id AND led.merchant = k.merchant
-             AND round_even(led.amount, 0) = k.amount_key)"""
+{flagged} AS (SELECT l.*, (k.account_id IS NOT NULL) AND NOT l.is_inflow AS is_recurring
+            FROM {led} l LEFT JOIN {keys} k
+              ON l.account_id = k.account_id AND l.merchant = k.merchant
+             AND round_even(l.amount, 0) = k.amount_key)"""
+
+
+E1 = e1_block()
 
 
 def _dsum(cond: str) -> str:
     return f"coalesce(CAST(sum(amount) FILTER (WHERE {cond}) AS DOUBLE), 0)"
 
 
-def feat_block(min_transactions: int = 5) -> str:
+def feat_block(min_transactions: int = 5, src: str = "flagged", g: str = "g", feat: str = "feat") -> str:
     spend = "NOT is_inflow"
     disc = f"NOT is_inflow AND category <> '{FIXED_CATEGORY}'"
     cats = ",\n".join(f"{_dsum(disc + f' AND category = ' + repr(c))} AS c_{c}" for c in DISCRETIONARY)
     shares = ",\n".join(f"c_{c} / disc AS share_{c}" for c in DISCRETIONARY)
     return f"""
-g AS (SELECT account_id, month,
+{g} AS (SELECT account_id, month,
              {_dsum(spend)} AS spend, {_dsum(disc)} AS disc,
              {_dsum(f"NOT is_inflow AND category = '{FIXED_CATEGORY}'")} AS fixed,
              -{_dsum('is_inflow')} AS income,
@@ -49,8 +53,8 @@ g AS (SELECT account_id, month,
              {_dsum(disc + ' AND isodow(posted_date) >= 5')} AS weekend,
              {_dsum(disc + ' AND is_recurring')} AS recurring,
              {cats}
-      FROM flagged GROUP BY account_id, month),
-feat AS (SELECT account_id, month,
+      FROM {src} GROUP BY account_id, month),
+{feat} AS (SELECT account_id, month,
                 CAST(n AS DOUBLE) AS txn_count,
                 q50 AS avg_ticket,
                 (q75 - q25) / greatest(q50, 1.0) AS ticket_variability,
@@ -60,7 +64,7 @@ feat AS (SELECT account_id, month,
                 fixed / spend AS fixed_share,
                 CASE WHEN income > 0 THEN least(spend / income, 3.0) ELSE 1.0 END AS spend_to_income,
                 {shares}
-         FROM g WHERE n >= {min_transactions} AND spend > 0 AND disc > 0)"""
+         FROM {g} WHERE n >= {min_transactions} AND spend > 0 AND disc > 0)"""
 
 
 def feat_select(prefix: str = "") -> str:
