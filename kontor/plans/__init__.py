@@ -11,3 +11,4 @@ from kontor.plans import q_models  # noqa: F401
 from kontor.plans import q_forest  # noqa: F401
 from kontor.plans import q_ingest  # noqa: F401
 from kontor.plans import q_store  # noqa: F401
+from kontor.plans import q_advice  # noqa: F401
