@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from kontor.operators.ledger import feed_value
 from kontor.sources.tables import LEDGER_COLUMNS
 
-KIND_ORDER = F.when(F.col("kind") == "added", 0).when(F.col("kind") == "modified", 1).otherwise(2)
+def kind_order():
+    """added (0) before modified (1) before removed (2) inside a page."""
+    return F.when(F.col("kind") == "added", 0).when(F.col("kind") == "modified", 1).otherwise(2)
 VALUE_COLUMNS = ["posted_date", "amount", "merchant", "category", "pending"]
 
 
@@ -35,7 +37,7 @@ def apply_changes(base: DataFrame, changes: DataFrame, accounts: DataFrame) -> D
     # the value mapping is A6 (map_feed_record) applied to each event
     ev = ok.select(
         "transaction_id", "account_id",
-        F.struct("page", KIND_ORDER.alias("k"), "seq").alias("_order"),
+        F.struct("page", kind_order().alias("k"), "seq").alias("_order"),
         F.struct(*[c for c in _value_exprs()]).alias("_v"))
     per_id = ev.groupBy("transaction_id").agg(
         F.max_by("_v", "_order").alias("_v"),
@@ -68,7 +70,7 @@ def sync_counts(base: DataFrame, changes: DataFrame, accounts: DataFrame) -> Dat
     too); removed = rows actually deleted; pages."""
     ok, _ = quarantine_orphans(changes, accounts)
     first = (ok.groupBy("transaction_id")
-             .agg(F.min_by("kind", F.struct("page", KIND_ORDER.alias("k"), "seq")).alias("first_kind")))
+             .agg(F.min_by("kind", F.struct("page", kind_order().alias("k"), "seq")).alias("first_kind")))
     inserts = (first.filter(F.col("first_kind") == "added")
                .join(base.select("transaction_id"), "transaction_id", "left_anti"))
     after = apply_changes(base, changes, accounts).select("transaction_id")

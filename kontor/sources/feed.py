@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 
 from kontor.sources.fixtures import EVENTS_LEDGER_SQL, events_ledger
 
-_EID = F.col("transaction_id").cast("bigint")
+
+
+def _eid():
+    return F.col("transaction_id").cast("bigint")
 
 
 def base_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_ledger(spark, sf_dir).filter(_EID % 5 != 0)
+    return events_ledger(spark, sf_dir).filter(_eid() % 5 != 0)
 
 
 def feed_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +38,7 @@ def feed_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = events_ledger(spark, sf_dir).withColumn("_eid", _EID)
+    led = events_ledger(spark, sf_dir).withColumn("_eid", _eid())
 
     def rows(kind: str, cond, bump: float = 0.0) -> DataFrame:
         eid = F.col("_eid")
