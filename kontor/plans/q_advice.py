@@ -20,6 +20,7 @@ from kontor.plans.q_features import features_catalogue
 from kontor.plans.q_models import ASSIGN_SQL, BASE, K_FIXED, _fixed, _fixed_values
 from kontor.plans.q_reports import HALF_UP_CHANGE, HALF_UP_SHARE
 from kontor.plans.registry import flat, query, r6
+from kontor.session import cut_lineage
 
 FLAG_CUTOFF = 0.998
 
@@ -51,7 +52,7 @@ def fixed_names_py() -> list[tuple[int, str]]:
 
 def inputs_catalogue(spark, sf):
     raw = catalogue(spark, sf)
-    feats = features_catalogue(spark, sf)
+    feats = cut_lineage(features_catalogue(spark, sf))
     stats = H.fit_scaler(feats)
     cents = _fixed(spark)
     assigned = H.assign_cluster(H.standardise(feats, stats), cents)

@@ -11,6 +11,7 @@ from kontor.operators import explain as X
 from kontor.plans.common import EV_SQL, events, normalised, with_ledgers
 from kontor.plans.registry import d10, flat, query, r6
 from kontor.plans.sql_blocks import LED, SCORED, TXF
+from kontor.session import cut_lineage
 
 BUDGET = 62  # matched flag budget of the published comparison
 
@@ -26,14 +27,15 @@ def scored_events(spark, sf):
     """Detector scores for J without a model (rule-made truth and kinds)."""
     t = txf_events(spark, sf)
     eid = F.col("transaction_id").cast("bigint")
-    return t.select(
+    # every detector metric reads these scores again: materialise them once
+    return cut_lineage(t.select(
         "transaction_id", "account_id",
         F.col("amount_zscore_in_category").alias("score"),
         F.col("amount_ratio_to_category_median").alias("ratio_score"),
         (F.col("amount_zscore_in_category") > 3.0).alias("zscore_flag"),
         (F.col("amount_ratio_to_category_median") > 3.0).alias("ratio_flag"),
         (eid % 31 == 0).alias("truth"),
-        F.concat(F.lit("kind_"), (eid % 3).cast("string")).alias("kind"))
+        F.concat(F.lit("kind_"), (eid % 3).cast("string")).alias("kind")))
 
 
 TXF_COLS = ["transaction_id", "account_id", "posted_date", "merchant", "category"] + \

@@ -9,6 +9,7 @@ from kontor.operators import evaluate as J
 from kontor.operators.monthly import BEHAVIOUR_FEATURES as NAMES
 from kontor.plans.q_features import FEAT_CAT, features_catalogue
 from kontor.plans.registry import d10, flat, query, r6
+from kontor.session import cut_lineage
 from kontor.sources.tables import table
 
 K_FIXED = 6
@@ -30,7 +31,8 @@ def _fixed_values():
 
 
 def z_catalogue(spark, sf):
-    f = features_catalogue(spark, sf)
+    # features feed both the scaler fit and the standardisation: materialise once
+    f = cut_lineage(features_catalogue(spark, sf))
     stats = H.fit_scaler(f)
     return H.standardise(f, stats), stats
 

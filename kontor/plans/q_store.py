@@ -16,6 +16,7 @@ from kontor.plans.q_features import FEAT_CAT, features_catalogue
 from kontor.plans.q_models import ASSIGN_SQL, STATS_SQL, Z_SQL, _fixed
 from kontor.plans.registry import d10, flat, query, r6
 from kontor.plans.sql_blocks import e1_block, feat_block
+from kontor.session import cut_lineage
 from kontor.sources import feed as FD
 
 VERSION = "kmeans-k6+iforest-c0.02"
@@ -179,7 +180,7 @@ def q_upsert_features(spark, sf):
 
 def _fallback(spark, sf):
     led = normalised(catalogue(spark, sf))
-    feats = features_catalogue(spark, sf)
+    feats = cut_lineage(features_catalogue(spark, sf))
     stats = H.fit_scaler(feats)
     assigned = H.assign_cluster(H.standardise(feats, stats), _fixed(spark))
     label = F.concat(F.lit("cluster-"), F.col("cluster").cast("string"))
