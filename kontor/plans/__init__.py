@@ -13,3 +13,4 @@ from kontor.plans import q_ingest  # noqa: F401
 from kontor.plans import q_store  # noqa: F401
 from kontor.plans import q_advice  # noqa: F401
 from kontor.plans import q_ledger  # noqa: F401
+from kontor.plans import q_stream  # noqa: F401
