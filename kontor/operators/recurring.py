@@ -90,3 +90,34 @@ def recurring_rule_divergence(flagged: DataFrame, subscriptions: DataFrame) -> D
           .agg(F.count(F.lit(1)).alias("recurring_rows"),
                F.sum(F.col("amount").cast("double")).alias("recurring_amount")))
     return e1.join(subscriptions.select("account_id", "merchant"), ["account_id", "merchant"], "left_anti")
+
+
+def flag_recurring_as_of(ledger: DataFrame, months: int = 12) -> DataFrame:
+    """E1 as seen by a month-M request: the rule evaluated on months M-11..M only.
+
+    Per (key, month) partial sums (n, Σx, Σx²) slide over a 12-month RANGE
+    window on a month ordinal — no range self-join, no row pairs — and the
+    month's rows take that month's verdict. With at most 12 months of history
+    this equals `flag_recurring` on the last month.
+    """
+    out = (ledger.filter(~F.col("is_inflow"))
+           .select(*KEY[:2], "month", F.bround("amount", 0).alias("amount_key"),
+                   F.col("amount").cast("double").alias("amt")))
+    monthly = out.groupBy(*KEY, "month").agg(F.count(F.lit(1)).alias("n"), F.sum("amt").alias("s"),
+                                             F.sum(F.col("amt") * F.col("amt")).alias("q"))
+    ordinal = F.year("month") * 12 + F.month("month")
+    w = Window.partitionBy(*KEY).orderBy(ordinal).rangeBetween(-(months - 1), Window.currentRow)
+    win = monthly.select(*KEY, "month", F.count(F.lit(1)).over(w).alias("months"),
+                         F.sum("n").over(w).alias("N"), F.sum("s").over(w).alias("S"),
+                         F.sum("q").over(w).alias("Q"))
+    mean = F.col("S") / F.col("N")
+    var = F.when(F.col("N") > 1, (F.col("Q") - F.col("S") * F.col("S") / F.col("N")) / (F.col("N") - 1)) \
+        .otherwise(F.lit(0.0))
+    std = F.sqrt(F.greatest(var, F.lit(0.0)))
+    verdict = win.select(*KEY, "month", ((F.col("months") >= MIN_MONTHS)
+                                         & (std <= REL_TOLERANCE * F.greatest(F.abs(mean), F.lit(MEAN_FLOOR))))
+                         .alias("_rec"))
+    return (ledger.withColumn("amount_key", F.bround("amount", 0))
+            .join(verdict, [*KEY, "month"], "left")
+            .withColumn("is_recurring", F.coalesce(F.col("_rec"), F.lit(False)) & ~F.col("is_inflow"))
+            .drop("_rec", "amount_key"))

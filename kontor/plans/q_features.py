@@ -182,3 +182,57 @@ def q_recurring_spend(spark, sf):
     for i, n in enumerate(M.BEHAVIOUR_FEATURES)))
 def q_feature_summary(spark, sf):
     return flat(R.feature_summary(features_catalogue(spark, sf), M.BEHAVIOUR_FEATURES))
+
+
+AS_OF_SQL = with_ledgers(("raw", CAT_SQL)) + ",\n" + LED + """,
+mk AS (SELECT account_id, merchant, round_even(amount, 0) AS amount_key, month,
+              count(*) AS n, sum(CAST(amount AS DOUBLE)) AS s,
+              sum(CAST(amount AS DOUBLE) * CAST(amount AS DOUBLE)) AS q
+       FROM led WHERE NOT is_inflow GROUP BY ALL),
+win AS (SELECT *, count(*) OVER w AS months, sum(n) OVER w AS nn, sum(s) OVER w AS ss, sum(q) OVER w AS qq
+        FROM mk WINDOW w AS (PARTITION BY account_id, merchant, amount_key
+                             ORDER BY year(month) * 12 + month(month) RANGE BETWEEN 11 PRECEDING AND CURRENT ROW)),
+verdict AS (SELECT account_id, merchant, amount_key, month,
+                   months >= 3 AND sqrt(greatest(CASE WHEN nn > 1 THEN (qq - ss * ss / nn) / (nn - 1) ELSE 0.0 END, 0.0))
+                       <= 0.05 * greatest(abs(ss / nn), 0.01) AS rec FROM win)
+SELECT l.transaction_id, l.account_id, l.merchant,
+       coalesce(v.rec, false) AND NOT l.is_inflow AS is_recurring
+FROM led l LEFT JOIN verdict v ON l.account_id = v.account_id AND l.merchant = v.merchant
+ AND round_even(l.amount, 0) = v.amount_key AND l.month = v.month"""
+
+
+@query("flag_recurring_as_of", AS_OF_SQL)
+def q_flag_recurring_as_of(spark, sf):
+    return flat(E.flag_recurring_as_of(normalised(catalogue(spark, sf)))
+                .select("transaction_id", "account_id", "merchant", "is_recurring"))
+
+
+@query("feature_contract", FEAT_CAT + f"""
+SELECT account_id, {d10('month')} AS month, {feat_select()} FROM feat""")
+def q_feature_contract(spark, sf):
+    from kontor.operators.contracts import feature_contract
+    f = features_catalogue(spark, sf)
+    # reversed column order in, model order out
+    shuffled = f.select("account_id", "month", *reversed(M.BEHAVIOUR_FEATURES))
+    return flat(feature_contract(shuffled, M.BEHAVIOUR_FEATURES, ["account_id", "month"]))
+
+
+@query("artifact_consistency")
+def q_artifact_consistency(spark, sf):
+    """N3 over freshly fitted model tables: scaler, centroids and forest."""
+    from kontor.operators import clusters as H
+    from kontor.operators import iforest as IF
+    from kontor.operators.causal import ANOMALY_FEATURES, transaction_features
+    from kontor.operators.contracts import artifact_consistency
+    f = features_catalogue(spark, sf)
+    stats = H.fit_scaler(f)
+    n_scaler = len([c for c in stats.columns if c.startswith("mean_")])
+    cents = H.fixed_centroids(spark)
+    n_cent = cents.select(F.max(F.size("center"))).first()[0]
+    t = transaction_features(normalised(events(spark, sf)))
+    nodes, _ = IF.iforest_fit(t, ANOMALY_FEATURES, trees=20)
+    n_forest = nodes.agg(F.max("feature")).first()[0] + 1
+    artifact_consistency(n_scaler, n_cent, len(M.BEHAVIOUR_FEATURES), len(ANOMALY_FEATURES), len(ANOMALY_FEATURES))
+    return spark.createDataFrame([(n_scaler, n_cent, len(M.BEHAVIOUR_FEATURES), n_forest, len(ANOMALY_FEATURES))],
+                                 "scaler_features int, centroid_features int, behaviour_features int, "
+                                 "forest_max_feature_index_plus_one int, anomaly_features int")
