@@ -108,16 +108,21 @@ def centroid_rows(centroids: DataFrame) -> list[tuple[int, list[float]]]:
 
 def assign_cluster(z: DataFrame, centroids: DataFrame, model_version: str | None = None,
                    names: list[str] = BEHAVIOUR_FEATURES) -> DataFrame:
-    """H4: nearest centroid (ties -> lowest id) and Euclidean distance (3 dp)."""
-    dists = []
-    for cid, center in centroid_rows(centroids):
-        sq = None
-        for n, c in zip(names, center):
-            t = (F.col(f"z_{n}") - F.lit(c)) * (F.col(f"z_{n}") - F.lit(c))
-            sq = t if sq is None else sq + t
-        dists.append(F.struct(F.sqrt(sq).alias("d"), F.lit(cid).alias("cluster")))
-    best = F.array_min(F.array(*dists))
-    out = z.withColumn("_best", best).select(
+    """H4: nearest centroid (ties -> lowest id) and Euclidean distance (3 dp).
+
+    The k centroids are one literal array; the z vector is built once per row
+    and every distance is a fold over it, so the generated code stays small
+    whatever k is.
+    """
+    cents = F.array(*[F.struct(F.lit(cid).alias("cluster"),
+                               F.array(*[F.lit(float(c)) for c in center]).alias("center"))
+                      for cid, center in centroid_rows(centroids)])
+    v = _zvec(names)
+    dists = F.transform(cents, lambda c: F.struct(
+        F.sqrt(F.aggregate(F.zip_with(c["center"], v, lambda a, b: (b - a) * (b - a)),
+                           F.lit(0.0), lambda acc, x: acc + x)).alias("d"),
+        c["cluster"].alias("cluster")))
+    out = z.withColumn("_best", F.array_min(dists)).select(
         "*", F.col("_best.cluster").alias("cluster"),
         F.round(F.col("_best.d"), 3).alias("distance_to_centroid")).drop("_best")
     if model_version is not None:
