@@ -6,6 +6,7 @@ distributed (one file per task), never assembled on the driver.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,22 +16,19 @@ CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "multiLine": "true
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hadoop_path)
-
-
 def read_ledger_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
     """A1: read 1..n ledger CSVs by header name; missing paths are skipped;
     error when none exists. Columns are matched by name, so files may order
     them differently."""
-    present = [p for p in paths if _exists(spark, p)]
-    if not present:
+    frames = []
+    for p in paths:
+        try:
+            frames.append(spark.read.options(**CSV_OPTIONS).option("enforceSchema", "false")
+                          .schema(LEDGER_SCHEMA).csv(p))
+        except AnalysisException:  # path does not exist: skipped like the reference
+            continue
+    if not frames:
         raise FileNotFoundError("no ledger CSV found in " + ", ".join(paths))
-    frames = [spark.read.options(**CSV_OPTIONS).option("enforceSchema", "false")
-              .schema(LEDGER_SCHEMA).csv(p) for p in present]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)

@@ -68,6 +68,7 @@ def run_burst_counts(spark: SparkSession, sf_dir: str, out_dir: str, checkpoint:
             old = spark.read.parquet(f"{out_dir}/batch={prev[-1]}")
             rows = upsert(old, rows, key)
         rows.write.mode("overwrite").parquet(target)
+        _commit(spark, out_dir, batch_id)
 
     q = (counts.writeStream.outputMode("update").foreachBatch(land)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
@@ -79,3 +80,8 @@ def run_burst_counts(spark: SparkSession, sf_dir: str, out_dir: str, checkpoint:
 def _committed(spark: SparkSession, out_dir: str) -> list[int]:
     from kontor.streaming.sync import _versions
     return _versions(spark, out_dir)
+
+
+def _commit(spark: SparkSession, out_dir: str, batch_id: int) -> None:
+    from kontor.streaming.sync import _commit as commit
+    commit(spark, out_dir, batch_id)

@@ -11,6 +11,7 @@ and skips it, so at-least-once delivery still yields one application.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,22 +34,21 @@ FEED_SCHEMA = T.StructType([
 ])
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+COMMITS = "_commits"
 
 
 def _versions(spark: SparkSession, ledger_dir: str) -> list[int]:
-    p, fs = _fs(spark, ledger_dir)
-    if not fs.exists(p):
+    """Committed batch ids, from the commit log written after each version."""
+    try:
+        log = spark.read.parquet(f"{ledger_dir}/{COMMITS}")
+    except AnalysisException:  # no sync committed yet
         return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("batch=") and fs.exists(st.getPath().suffix("/_SUCCESS")):
-            out.append(int(name.split("=", 1)[1]))
-    return sorted(out)
+    return sorted(int(r[0]) for r in log.select("batch_id").distinct().collect())
+
+
+def _commit(spark: SparkSession, ledger_dir: str, batch_id: int) -> None:
+    spark.createDataFrame([(batch_id,)], "batch_id long").withColumn(
+        "committed_at", F.current_timestamp()).write.mode("append").parquet(f"{ledger_dir}/{COMMITS}")
 
 
 def current_ledger(spark: SparkSession, ledger_dir: str, base: DataFrame | None = None) -> DataFrame:
@@ -71,6 +71,7 @@ def incremental_sync(spark: SparkSession, feed_dir: str, ledger_dir: str, checkp
         current = current_ledger(spark, ledger_dir, base)
         result = sync(current, batch, accounts)
         result.write.mode("overwrite").parquet(f"{ledger_dir}/batch={batch_id}")
+        _commit(spark, ledger_dir, batch_id)  # the version is visible only once committed
 
     stream = spark.readStream.schema(FEED_SCHEMA).parquet(feed_dir)
     q = (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
