@@ -17,7 +17,7 @@ from kontor.operators.ledger import month_of
 from kontor.operators.monthly import BEHAVIOUR_FEATURES as NAMES
 from kontor.plans.common import catalogue
 from kontor.plans.q_features import features_catalogue
-from kontor.plans.q_models import ASSIGN_SQL, BASE, K_FIXED, _fixed, _fixed_values
+from kontor.plans.q_models import ASSIGN_SQL, BASE, _fixed, _fixed_values
 from kontor.plans.q_reports import HALF_UP_CHANGE, HALF_UP_SHARE
 from kontor.plans.registry import flat, query, r6
 from kontor.session import cut_lineage
@@ -237,12 +237,15 @@ def q_advice_valid(spark, sf):
     return flat(advice_catalogue(spark, sf).select("account_id", "month", "valid"))
 
 
-@query("advice_inputs")
+@query("advice_inputs", INPUTS_SQL + f"""
+SELECT {KEY_OUT}, archetype, len(top_categories) AS n_top, len(notable_changes) AS n_changes,
+       len(flagged_charges) AS n_flagged, {r6('total_spend')} AS total_spend,
+       {r6('recurring_spend')} AS recurring_spend FROM inputs""")
 def q_advice_inputs(spark, sf):
     i = inputs_catalogue(spark, sf)
-    return i.select("account_id", "month", "archetype", F.size("top_categories").alias("n_top"),
-                    F.size("notable_changes").alias("n_changes"), F.size("flagged_charges").alias("n_flagged"),
-                    "total_spend", "recurring_spend")
+    return flat(i.select("account_id", "month", "archetype", F.size("top_categories").alias("n_top"),
+                         F.size("notable_changes").alias("n_changes"),
+                         F.size("flagged_charges").alias("n_flagged"), "total_spend", "recurring_spend"))
 
 
 @query("inputs_hash")
@@ -274,8 +277,9 @@ def q_advice_provenance(spark, sf):
 @query("archetype_catalogue")
 def q_archetype_catalogue(spark, sf):
     from kontor.operators.filters import archetype_catalogue
-    _ = K_FIXED
-    names = H.name_clusters(_fixed(spark))
+    from kontor.plans.q_models import lloyd_centroids
+    cents, _ = lloyd_centroids(spark, sf)
+    names = H.name_clusters(cents)
     return archetype_catalogue(names).select(
         "cluster", "name", "description",
         F.array_join(F.transform("evidence", lambda e: e["feature"]), "|").alias("evidence"))

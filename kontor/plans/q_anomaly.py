@@ -63,12 +63,14 @@ def q_zscore_flags(spark, sf):
                 .select("transaction_id", "account_id", "amount_zscore_in_category", "zscore_flag"))
 
 
-@query("transaction_vectors")
+@query("transaction_vectors", TXF_EV + f"""
+SELECT transaction_id, account_id, {len(G.ANOMALY_FEATURES)} AS n_features,
+       {r6(' + '.join(G.ANOMALY_FEATURES))} AS sum_of_values FROM txf""")
 def q_transaction_vectors(spark, sf):
     v = G.transaction_vectors(txf_events(spark, sf))
-    return v.select("transaction_id", "account_id", F.size("features").alias("n_features"),
-                    F.round(F.aggregate(F.map_values("features"), F.lit(0.0), lambda a, x: a + x), 6)
-                    .alias("sum_of_values"))
+    return flat(v.select("transaction_id", "account_id", F.size("features").cast("long").alias("n_features"),
+                         F.aggregate(F.map_values("features"), F.lit(0.0), lambda a, x: a + x)
+                         .alias("sum_of_values")))
 
 
 @query("finite_check", TXF_EV + "\nSELECT " + ", ".join(

@@ -156,7 +156,9 @@ def q_month_vector_or_reason(spark, sf):
     return flat(M.month_vector_or_reason(M.monthly_features(E.flag_recurring(led)), requested))
 
 
-@query("feature_vector")
+@query("feature_vector", FEAT_CAT + f"""
+SELECT account_id, {d10('month')} AS month, CAST({len(M.BEHAVIOUR_FEATURES)} AS INTEGER) AS dims,
+       {r6(' + '.join(M.BEHAVIOUR_FEATURES))} AS sum_of_values FROM feat""")
 def q_feature_vector(spark, sf):
     v = M.feature_vector(features_catalogue(spark, sf))
     from pyspark.ml.functions import vector_to_array

@@ -16,6 +16,8 @@ from kontor.plans.registry import d10, flat, query, r6
 from kontor.session import ensure_checkpoint_dir
 from kontor.sources import files as FS
 from kontor.plans.sql_blocks import LED
+from kontor.plans.q_advice import NAMES_SQL
+from kontor.plans.q_models import BASE_ASG
 
 
 def _scratch(spark, what: str) -> str:
@@ -63,14 +65,17 @@ def q_write_monthly_features(spark, sf):
     return flat(back.select("account_id", "month", *NAMES))
 
 
-@query("write_labelled_months")
+@query("write_labelled_months", BASE_ASG + ",\n" + NAMES_SQL + f"""
+SELECT account_id, {d10('month')} AS month, CAST(asg.cluster AS BIGINT) AS cluster, archetype
+FROM asg JOIN names ON asg.cluster = names.cluster""")
 def q_write_labelled_months(spark, sf):
     from kontor.operators import clusters as H
     from kontor.plans.q_models import _fixed, assigned_catalogue
     a, _ = assigned_catalogue(spark, sf)
     path = _scratch(spark, "labelled")
     FS.write_labelled_months(a, H.name_clusters(_fixed(spark)), path)
-    return spark.read.parquet(path)
+    back = spark.read.parquet(path)
+    return flat(back.withColumn("cluster", F.col("cluster").cast("long")))
 
 
 def _text_ledger(spark, sf):

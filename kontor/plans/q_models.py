@@ -42,6 +42,14 @@ def assigned_catalogue(spark, sf):
     return H.assign_cluster(z, _fixed(spark), "kmeans-k6+fixed"), stats
 
 
+def lloyd_centroids(spark, sf):
+    """Centroids derived from the data: the mean z-vector of the months each
+    rule-made seed attracts (one Lloyd step). k rows, read from the features."""
+    a, stats = assigned_catalogue(spark, sf)
+    cents = a.groupBy("cluster").agg(F.array(*[F.avg(f"z_{n}") for n in NAMES]).alias("center"))
+    return cents, stats
+
+
 def labelled_catalogue(spark, sf):
     a, _ = assigned_catalogue(spark, sf)
     nation = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("account_id"),
@@ -71,8 +79,9 @@ LAB_SQL = "lab AS (SELECT asg.*, n_regionkey AS truth FROM asg JOIN nation ON as
 BASE = FEAT_CAT + ",\n" + STATS_SQL + ",\n" + Z_SQL
 BASE_ASG = BASE + ",\n" + ASSIGN_SQL
 BASE_LAB = BASE_ASG + ",\n" + LAB_SQL
-CENTS_SQL = "cents AS (SELECT * FROM (VALUES " + ", ".join(
-    f"({c}, {[float(x) for x in v]})" for c, v in enumerate(_fixed_values())) + ") t(cluster, center))"
+CENTS_SQL = ("cents AS (SELECT asg.cluster, [" + ", ".join(f"avg(z.z_{n})" for n in NAMES)
+             + "] AS center FROM asg JOIN z ON asg.account_id = z.account_id AND asg.month = z.month"
+             + " GROUP BY asg.cluster)")
 
 
 @query("standardise", BASE + "\nSELECT account_id, " + d10("month") + " AS month, "
@@ -122,7 +131,7 @@ _PHRASE_CASE = "CASE feature " + " ".join(
 _FEATURE_NAME = "CASE i " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(NAMES)) + " END"
 
 
-@query("describe_centroid", "WITH " + CENTS_SQL + f""",
+@query("describe_centroid", BASE_ASG + ",\n" + CENTS_SQL + f""",
 u AS (SELECT cluster, i, {_FEATURE_NAME} AS feature, center[i + 1] AS v FROM cents, range(0, {len(NAMES)}) t(i)),
 r AS (SELECT *, {_PHRASE_CASE} AS phrase,
              row_number() OVER (PARTITION BY cluster ORDER BY abs(v) DESC, i ASC) AS rank
@@ -134,20 +143,19 @@ SELECT c.cluster,
        coalesce(string_agg(top.feature || ':' || CAST(round(top.v, 2) AS VARCHAR), '|' ORDER BY top.rank), '') AS evidence
 FROM cents c LEFT JOIN top ON c.cluster = top.cluster GROUP BY c.cluster""")
 def q_describe_centroid(spark, sf):
-    # the centroid table is a model parameter; the query reads the data through
-    # the scaler fitted on the catalogue features so it scales with the input
-    d = H.describe_centroid(_fixed(spark))
+    cents, _ = lloyd_centroids(spark, sf)
+    d = H.describe_centroid(cents)
     ev = F.array_join(F.transform("evidence", lambda e: F.concat(
-        e["feature"], F.lit(":"), F.format_number(e["std_devs_from_average"], 1))), "|")
+        e["feature"], F.lit(":"), e["std_devs_from_average"].cast("string"))), "|")
     return d.select(F.col("cluster").cast("long").alias("cluster"), "description", ev.alias("evidence"))
 
 
-@query("centroid_real_units", BASE + ",\n" + CENTS_SQL + "\nSELECT cluster, " + ", ".join(
+@query("centroid_real_units", BASE_ASG + ",\n" + CENTS_SQL + "\nSELECT cluster, " + ", ".join(
     f"{r6(f'round(center[{i + 1}] * CASE WHEN std_{n} > 0 THEN std_{n} ELSE 1.0 END + mean_{n}, 3)')} AS {n}"
     for i, n in enumerate(NAMES)) + " FROM cents, st")
 def q_centroid_real_units(spark, sf):
-    _, stats = z_catalogue(spark, sf)
-    return flat(H.centroid_real_units(_fixed(spark), stats).withColumn("cluster", F.col("cluster").cast("long")))
+    cents, stats = lloyd_centroids(spark, sf)
+    return flat(H.centroid_real_units(cents, stats).withColumn("cluster", F.col("cluster").cast("long")))
 
 
 @query("name_clusters")
