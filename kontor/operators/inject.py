@@ -50,11 +50,16 @@ def inject_anomalies(spend: DataFrame, n_per_kind: int = 8, seed: int = 7) -> Da
     picks = picks.join(ranked, "_acct_rank").drop("_acct_rank")
 
     rows = spend.join(picks.select("account_id").distinct(), "account_id", "left_semi")
-    by_date = Window.partitionBy("account_id").orderBy("posted_date", "transaction_id")
-    anchor = (rows.withColumn("_rn", F.row_number().over(by_date))
+    # the date at position floor(0.6 n) of the account's sorted dates, from
+    # per-day counts (pre-aggregated, so a huge account never sorts its rows
+    # in one task): the first day whose running count passes that position
+    per_day = rows.groupBy("account_id", "posted_date").agg(F.count(F.lit(1)).alias("c"))
+    upto = Window.partitionBy("account_id").orderBy("posted_date").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    anchor = (per_day.withColumn("_cum", F.sum("c").over(upto))
               .join(counts, "account_id")
-              .filter(F.col("_rn") == F.floor(F.col("n") * ANCHOR_AT) + 1)
-              .select("account_id", F.col("posted_date").alias("anchor")))
+              .filter(F.col("_cum") > F.floor(F.col("n") * ANCHOR_AT))
+              .groupBy("account_id").agg(F.min("posted_date").alias("anchor")))
     stats = rows.groupBy("account_id").agg(
         F.percentile(F.col("amount").cast("double"), 0.5).alias("typical"),
         F.collect_set("category").alias("used"))
