@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from kontor.operators import evaluate as J
 from kontor.operators import iforest as IF
 from kontor.operators.causal import ANOMALY_FEATURES, spend_only
+from kontor.operators import inject as INJ
 from kontor.operators.inject import inject_anomalies, prepare_eval_set
 from kontor.plans import pipelines as P
 from kontor.plans.common import EV_SQL, catalogue, events, normalised, with_ledgers
 from kontor.plans.q_anomaly import TXF_EV, txf_events
-from kontor.plans.registry import flat, query, r6
+from kontor.plans.registry import d10, flat, query, r6
 from kontor.plans.sql_blocks import LED
 
 GRID = IF.CONTAMINATION_GRID
@@ -113,12 +114,71 @@ def q_split_accounts(spark, sf):
     return J.split_accounts(spend_only(normalised(events(spark, sf))), seed=42)
 
 
-@query("inject_anomalies")
+def _draw_sql(kind: str, pick: str, tag: str, seed: int = 7) -> str:
+    return (f"(('0x' || substr(md5(concat_ws('|', '{seed}', {kind}, CAST({pick} AS VARCHAR), '{tag}')), 1, 8))"
+            f"::BIGINT / 4294967296.0)")
+
+
+_KINDS = ", ".join(f"'{k}'" for k in INJ.ANOMALY_KINDS)
+_FRAUD = "[" + ", ".join("'" + m.replace("'", "''") + "'" for m in INJ.FRAUD_MERCHANTS) + "]"
+_NOVEL = "[" + ", ".join(f"'{c}'" for c in INJ.NOVEL_CANDIDATES) + "]"
+
+INJECT_SQL = with_ledgers(("raw", EV_SQL)) + ",\n" + LED + f""",
+spend AS (SELECT * FROM led WHERE NOT is_inflow AND amount > 0),
+counts AS (SELECT account_id, count(*) AS n FROM spend GROUP BY account_id),
+elig AS (SELECT account_id, row_number() OVER (ORDER BY account_id) AS rk FROM counts WHERE n >= {INJ.MIN_ROWS}),
+picks0 AS (SELECT [{_KINDS}][CAST(floor(id / 8) AS INTEGER) + 1] AS kind, CAST(id % 8 AS INTEGER) AS i
+           FROM range(0, 24) t(id)),
+picks AS (SELECT p.*, e.account_id FROM picks0 p JOIN elig e
+            ON e.rk = CAST(floor({_draw_sql('p.kind', 'p.i', 'account')} * (SELECT count(*) FROM elig)) AS BIGINT) + 1),
+rows_ AS (SELECT * FROM spend WHERE account_id IN (SELECT account_id FROM picks)),
+per_day AS (SELECT account_id, posted_date, count(*) AS c FROM rows_ GROUP BY ALL),
+anchor AS (SELECT pd.account_id, min(posted_date) AS anchor
+           FROM (SELECT *, sum(c) OVER (PARTITION BY account_id ORDER BY posted_date ROWS UNBOUNDED PRECEDING) AS cum
+                 FROM per_day) pd JOIN counts c ON pd.account_id = c.account_id
+           WHERE cum > floor(c.n * {INJ.ANCHOR_AT}) GROUP BY pd.account_id),
+stats AS (SELECT account_id, quantile_cont(CAST(amount AS DOUBLE), 0.5) AS typical, list(DISTINCT category) AS used
+          FROM rows_ GROUP BY account_id),
+topcat AS (SELECT account_id, arg_min(category, (-c, category)) AS modal_category
+           FROM (SELECT account_id, category, count(*) AS c FROM rows_ GROUP BY ALL) x GROUP BY account_id),
+merch AS (SELECT account_id, arg_min(merchant, (-c, merchant)) AS modal_merchant
+          FROM (SELECT r.account_id, r.merchant, count(*) AS c FROM rows_ r JOIN topcat t
+                  ON r.account_id = t.account_id AND r.category = t.modal_category GROUP BY ALL) x
+          GROUP BY account_id),
+p AS (SELECT picks.*, anchor, typical, used, modal_category, modal_merchant,
+             coalesce(nullif(list_filter({_NOVEL}, lambda c: NOT list_contains(used, c)), []), ['shopping']) AS unused,
+             {_FRAUD}[CAST(floor({_draw_sql('picks.kind', 'picks.i', 'merchant')} * {len(INJ.FRAUD_MERCHANTS)}) AS INTEGER) + 1] AS fraud
+      FROM picks JOIN anchor USING (account_id) JOIN stats USING (account_id)
+                 JOIN topcat USING (account_id) JOIN merch USING (account_id)),
+inj AS (
+  SELECT 'inj-amount_spike-' || CAST(i AS VARCHAR) AS transaction_id, account_id,
+         CAST(anchor + INTERVAL 2 DAY AS DATE) AS posted_date,
+         round(typical * (8.0 + 7.0 * {_draw_sql('kind', 'i', 'amount')}), 2) AS amount,
+         modal_merchant AS merchant, modal_category AS category, kind
+  FROM p WHERE kind = 'amount_spike'
+  UNION ALL
+  SELECT 'inj-novel_category_splurge-' || CAST(i AS VARCHAR), account_id, CAST(anchor + INTERVAL 3 DAY AS DATE),
+         round(typical * (12.0 + 13.0 * {_draw_sql('kind', 'i', 'amount')}), 2), fraud,
+         unused[CAST(floor({_draw_sql('kind', 'i', 'category')} * len(unused)) AS INTEGER) + 1], kind
+  FROM p WHERE kind = 'novel_category_splurge'
+  UNION ALL
+  SELECT 'inj-card_testing_burst-' || CAST(i AS VARCHAR) || '-' || CAST(j AS VARCHAR), account_id,
+         CAST(anchor + INTERVAL 4 DAY AS DATE),
+         round(1.0 + 5.0 * {_draw_sql('kind', "CAST(i AS VARCHAR) || '-' || CAST(j AS VARCHAR)", 'amount')}, 2),
+         fraud, 'shopping', kind
+  FROM p, range(0, {INJ.BURST_SIZE}) t(j) WHERE kind = 'card_testing_burst')
+SELECT transaction_id, account_id, {d10('posted_date')} AS posted_date, {r6('CAST(amount AS DECIMAL(12,2))')} AS amount,
+       merchant, category, false AS is_injected_anomaly, CAST(NULL AS VARCHAR) AS anomaly_kind FROM spend
+UNION ALL
+SELECT transaction_id, account_id, {d10('posted_date')}, {r6('CAST(amount AS DECIMAL(12,2))')},
+       merchant, category, true, kind FROM inj"""
+
+
+@query("inject_anomalies", INJECT_SQL)
 def q_inject_anomalies(spark, sf):
     inj = inject_anomalies(spend_only(normalised(events(spark, sf))), 8, 7)
-    return (inj.groupBy("anomaly_kind").agg(F.count(F.lit(1)).alias("rows"),
-                                            F.countDistinct("account_id").alias("accounts"),
-                                            F.round(F.sum(F.col("amount").cast("double")), 2).alias("amount")))
+    return flat(inj.select("transaction_id", "account_id", "posted_date", "amount", "merchant", "category",
+                           "is_injected_anomaly", "anomaly_kind"))
 
 
 @query("prepare_eval_set")
