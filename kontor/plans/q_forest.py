@@ -13,7 +13,7 @@ from kontor.plans import pipelines as P
 from kontor.plans.common import EV_SQL, catalogue, events, normalised, with_ledgers
 from kontor.plans.q_anomaly import TXF_EV, txf_events
 from kontor.plans.registry import d10, flat, query, r6
-from kontor.plans.sql_blocks import LED
+from kontor.plans.sql_blocks import LED, TXF
 
 GRID = IF.CONTAMINATION_GRID
 
@@ -123,8 +123,9 @@ _KINDS = ", ".join(f"'{k}'" for k in INJ.ANOMALY_KINDS)
 _FRAUD = "[" + ", ".join("'" + m.replace("'", "''") + "'" for m in INJ.FRAUD_MERCHANTS) + "]"
 _NOVEL = "[" + ", ".join(f"'{c}'" for c in INJ.NOVEL_CANDIDATES) + "]"
 
-INJECT_SQL = with_ledgers(("raw", EV_SQL)) + ",\n" + LED + f""",
-spend AS (SELECT * FROM led WHERE NOT is_inflow AND amount > 0),
+def _inject_ctes(spend_where: str = "true") -> str:
+    return f"""
+spend AS (SELECT * FROM led WHERE NOT is_inflow AND amount > 0 AND {spend_where}),
 counts AS (SELECT account_id, count(*) AS n FROM spend GROUP BY account_id),
 elig AS (SELECT account_id, row_number() OVER (ORDER BY account_id) AS rk FROM counts WHERE n >= {INJ.MIN_ROWS}),
 picks0 AS (SELECT [{_KINDS}][CAST(floor(id / 8) AS INTEGER) + 1] AS kind, CAST(id % 8 AS INTEGER) AS i
@@ -166,7 +167,10 @@ inj AS (
          CAST(anchor + INTERVAL 4 DAY AS DATE),
          round(1.0 + 5.0 * {_draw_sql('kind', "CAST(i AS VARCHAR) || '-' || CAST(j AS VARCHAR)", 'amount')}, 2),
          fraud, 'shopping', kind
-  FROM p, range(0, {INJ.BURST_SIZE}) t(j) WHERE kind = 'card_testing_burst')
+  FROM p, range(0, {INJ.BURST_SIZE}) t(j) WHERE kind = 'card_testing_burst')"""
+
+
+INJECT_SQL = with_ledgers(("raw", EV_SQL)) + ",\n" + LED + ",\n" + _inject_ctes() + f"""
 SELECT transaction_id, account_id, {d10('posted_date')} AS posted_date, {r6('CAST(amount AS DECIMAL(12,2))')} AS amount,
        merchant, category, false AS is_injected_anomaly, CAST(NULL AS VARCHAR) AS anomaly_kind FROM spend
 UNION ALL
@@ -181,13 +185,37 @@ def q_inject_anomalies(spark, sf):
                            "is_injected_anomaly", "anomaly_kind"))
 
 
-@query("prepare_eval_set")
+SPLITS_CTE = """
+sa AS (SELECT DISTINCT account_id FROM led WHERE NOT is_inflow AND amount > 0),
+sr AS (SELECT account_id, row_number() OVER (ORDER BY md5('42|' || CAST(account_id AS VARCHAR)), account_id) AS rk,
+              count(*) OVER () AS n FROM sa),
+splits AS (SELECT account_id, CASE WHEN rk <= floor(n * 0.6) THEN 'train'
+                                   WHEN rk <= floor(n * 0.6) + floor(n * 0.2) THEN 'val' ELSE 'test' END AS split
+           FROM sr)"""
+
+_TXF_ON_COMB = (TXF.replace("spend AS (SELECT *, CAST(amount AS DOUBLE) AS amt FROM led WHERE",
+                            "spend2 AS (SELECT *, CAST(amount AS DOUBLE) AS amt FROM comb WHERE")
+                .replace("FROM spend\n", "FROM spend2\n"))
+
+PREPARE_SQL = (with_ledgers(("raw", EV_SQL)) + ",\n" + LED + ",\n" + SPLITS_CTE + ",\n"
+               + _inject_ctes("account_id IN (SELECT account_id FROM splits WHERE split = 'val')") + """,
+comb AS (SELECT transaction_id, account_id, posted_date, month, amount, merchant, category, false AS is_inflow,
+                false AS is_injected_anomaly, CAST(NULL AS VARCHAR) AS anomaly_kind FROM spend
+         UNION ALL
+         SELECT transaction_id, account_id, posted_date, CAST(date_trunc('month', posted_date) AS DATE),
+                CAST(amount AS DECIMAL(12,2)), merchant, category, false, true, kind FROM inj),""" + _TXF_ON_COMB + """
+SELECT txf.transaction_id, txf.account_id, comb.is_injected_anomaly, comb.anomaly_kind, """
+               + ", ".join(f"{r6('txf.' + c)} AS {c}" for c in ANOMALY_FEATURES)
+               + " FROM txf JOIN comb ON txf.transaction_id = comb.transaction_id")
+
+
+@query("prepare_eval_set", PREPARE_SQL)
 def q_prepare_eval_set(spark, sf):
     led = normalised(events(spark, sf))
     splits = J.split_accounts(spend_only(led), seed=42)
     ev = prepare_eval_set(led, splits, "val", inject=True, seed=7)
-    return ev.select("transaction_id", "account_id", "is_injected_anomaly", "anomaly_kind",
-                     *[F.round(c, 6).alias(c) for c in ANOMALY_FEATURES])
+    return flat(ev.select("transaction_id", "account_id", "is_injected_anomaly", "anomaly_kind",
+                          *ANOMALY_FEATURES))
 
 
 @query("evaluate_detectors")
