@@ -1,4 +1,4 @@
-"""Registered queries for H12-H15, H17, H18 and J1-J3, plus the two pipelines."""
+"""Registered queries for H12-H15, H17, H18 and J1-J3, plus the end-to-end flows."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from kontor.operators import iforest as IF
 from kontor.operators.causal import ANOMALY_FEATURES, spend_only
 from kontor.operators import inject as INJ
 from kontor.operators.inject import inject_anomalies, prepare_eval_set
-from kontor.plans import pipelines as P
+from kontor.plans import flows as P
 from kontor.plans.common import EV_SQL, catalogue, events, normalised, with_ledgers
 from kontor.plans.q_anomaly import TXF_EV, txf_events
 from kontor.plans.registry import d10, flat, query, r6
