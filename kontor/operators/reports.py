@@ -91,7 +91,6 @@ def trend_stats(trend: DataFrame) -> DataFrame:
     """Per account over months with total > 0: peak (first max in month
     order), average, count; per month the bar height total/peak·100 with a 2 %
     floor when total > 0."""
-    acct = Window.partitionBy("account_id")
     has = F.col("total") > 0
     t = trend.withColumn("total_d", F.col("total").cast("double"))
     stats = (t.groupBy("account_id").agg(
