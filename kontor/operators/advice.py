@@ -1,9 +1,10 @@
 """L: deterministic budget advice, one nested row per account-month.
 
 Inputs are assembled from per-(account, month) aggregates that all share the
-same key, so the joins are co-partitioned; every list is built by
-`collect_list` inside one account-month and sorted in place. The rule text is
-pure Column expressions (no UDF).
+same key, so the joins are co-partitioned. Only bounded lists are nested
+(top 5 categories; at most one delta per category); flagged charges, whose
+number grows with the data, are reduced to a count, the largest charge and an
+order-free digest. The rule text is pure Column expressions (no UDF).
 """
 
 from __future__ import annotations
@@ -51,7 +52,8 @@ def advice_inputs(months: DataFrame, archetypes: DataFrame, top: DataFrame, delt
     months     (account_id, month)
     archetypes (account_id, month, archetype, description)
     top        D7 rows; deltas D8 rows; flagged (account_id, month, merchant,
-               amount, posted_date, anomaly_score, transaction_id)
+               amount, posted_date, anomaly_score, transaction_id): reduced to
+               flagged_count, top_flagged and an order-free flagged_digest
     outflow    D9 (account_id, month, total_spend); recurring D10 rows.
     """
     key = ["account_id", "month"]
@@ -70,15 +72,21 @@ def advice_inputs(months: DataFrame, archetypes: DataFrame, top: DataFrame, delt
             e["category"].alias("category"), e["this_month"].alias("this_month"),
             e["last_month"].alias("last_month"), e["percent_change"].alias("percent_change")))
             .alias("notable_changes")))
+    # Flagged charges per account-month can be many: no list is collected.
+    # The advice needs their count and the largest one (earliest in score
+    # order on ties); the cache hash needs an order-free digest of the set.
+    # All three are mergeable aggregates (partial aggregation, bounded state).
     score3 = F.round(F.col("anomaly_score").cast("decimal(38,6)"), 3).cast("decimal(38,3)").cast("string")
-    f = (flagged.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(
-        (-F.col("anomaly_score")).alias("_o"), F.col("transaction_id").alias("_id"), "merchant",
-        F.col("amount").cast("decimal(38,2)").alias("amount"),
-        F.date_format("posted_date", "yyyy-MM-dd").alias("date"),
-        F.array(F.format_string(FLAG_REASON, score3)).alias("reasons")))).alias("_f"))
-        .select(*key, F.transform("_f", lambda e: F.struct(
-            e["merchant"].alias("merchant"), e["amount"].alias("amount"), e["date"].alias("date"),
-            e["reasons"].alias("reasons"))).alias("flagged_charges")))
+    charge = F.struct(F.col("merchant").alias("merchant"),
+                      F.col("amount").cast("decimal(38,2)").alias("amount"),
+                      F.date_format("posted_date", "yyyy-MM-dd").alias("date"),
+                      F.array(F.format_string(FLAG_REASON, score3)).alias("reasons"))
+    f = flagged.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("flagged_count"),
+        F.min_by(charge, F.struct((-F.col("amount")).alias("a"), (-F.col("anomaly_score")).alias("s"),
+                                  F.col("transaction_id").alias("i"))).alias("top_flagged"),
+        F.sum(F.xxhash64("transaction_id", "merchant", "amount", "posted_date", "anomaly_score")
+              .cast("decimal(38,0)")).alias("flagged_digest"))
     o = outflow.select(*key, F.col("total_spend").cast("decimal(38,2)").alias("total_spend"))
     r = recurring.select(*key, F.col("recurring_spend").cast("decimal(38,2)").alias("recurring_spend"))
     a = archetypes.select(*key, "archetype", F.col("description").alias("archetype_description"))
@@ -90,8 +98,9 @@ def advice_inputs(months: DataFrame, archetypes: DataFrame, top: DataFrame, delt
         empty("top_categories", "array<struct<category:string,amount:decimal(38,2),share:double>>"),
         empty("notable_changes", "array<struct<category:string,this_month:decimal(38,2),"
                                  "last_month:decimal(38,2),percent_change:double>>"),
-        empty("flagged_charges", "array<struct<merchant:string,amount:decimal(38,2),date:string,"
-                                 "reasons:array<string>>>"),
+        F.coalesce("flagged_count", F.lit(0).cast("long")).alias("flagged_count"),
+        "top_flagged",
+        F.coalesce("flagged_digest", F.lit(0).cast("decimal(38,0)")).alias("flagged_digest"),
         F.coalesce("total_spend", F.lit(0).cast("decimal(38,2)")).alias("total_spend"),
         F.coalesce("recurring_spend", F.lit(0).cast("decimal(38,2)")).alias("recurring_spend"))
 
@@ -104,7 +113,7 @@ def has_enough_data(inputs: DataFrame) -> DataFrame:
 
 
 INPUT_FIELDS = ["month_text", "archetype", "archetype_description", "top_categories", "notable_changes",
-                "flagged_charges", "total_spend", "recurring_spend"]
+                "flagged_count", "top_flagged", "flagged_digest", "total_spend", "recurring_spend"]
 
 
 def inputs_hash(inputs: DataFrame) -> DataFrame:
@@ -129,7 +138,7 @@ def rule_summary(inputs: DataFrame) -> DataFrame:
     led = F.when(F.size("top_categories") > 0, F.concat(
         F.lit(", led by "), top["category"], F.lit(" at "), percent(top["share"]),
         F.lit(" of your discretionary spending"))).otherwise(F.lit(""))
-    n = F.size("flagged_charges")
+    n = F.col("flagged_count")
     tail = F.when(n == 0, F.lit(NOTHING_FLAGGED)).otherwise(F.concat(
         n.cast("string"), F.when(n == 1, F.lit(" charge was")).otherwise(F.lit(" charges were")),
         F.lit(" flagged as unusual.")))
@@ -180,16 +189,13 @@ def rule_recommendations(inputs: DataFrame) -> DataFrame:
 
 def explain_top_flag(inputs: DataFrame) -> DataFrame:
     """The largest flagged amount (earliest in score order on ties) as a sentence."""
-    # list order is score desc; keep the first maximum: (amount desc, position asc)
-    indexed = F.transform("flagged_charges", lambda e, i: F.struct(e["amount"].alias("a"), (-i).alias("p"),
-                                                                  e.alias("e")))
-    top = F.array_max(indexed)["e"]
+    top = F.col("top_flagged")
     reason = F.when((top["reasons"].isNull()) | (F.size(top["reasons"]) == 0), F.lit(NO_REASON)) \
         .otherwise(F.lower(top["reasons"][0]))
     sentence = F.concat(F.lit("The "), money(top["amount"]), F.lit(" charge at "), top["merchant"],
                         F.lit(" on "), top["date"], F.lit(" was flagged because "), reason, F.lit("."))
     return inputs.withColumn("flagged_charge_explanation",
-                             F.when(F.size("flagged_charges") == 0, F.lit(NOTHING_UNUSUAL)).otherwise(sentence))
+                             F.when(F.col("flagged_count") == 0, F.lit(NOTHING_UNUSUAL)).otherwise(sentence))
 
 
 def _blank(c: Column) -> Column:

@@ -112,13 +112,13 @@ hs AS (SELECT transaction_id, account_id, posted_date, merchant, amount,
               ('0x' || substr(md5(transaction_id), 1, 8))::BIGINT / 4294967296.0 AS u FROM raw),
 fl AS (SELECT *, round(u, 4) AS score, CAST(date_trunc('month', posted_date) AS DATE) AS month
        FROM hs WHERE u > {FLAG_CUTOFF}),
-flags AS (SELECT account_id, month,
-                 list({{'merchant': merchant, 'amount': CAST(amount AS DECIMAL(38,2)),
-                       'date': strftime(posted_date, '%Y-%m-%d'),
-                       'reasons': ['its anomaly score of '
-                                   || CAST(CAST(round(CAST(score AS DECIMAL(38,6)), 3) AS DECIMAL(38,3)) AS VARCHAR)
-                                   || ' is well above the flagging threshold']}}
-                      ORDER BY score DESC, transaction_id ASC) AS flagged_charges
+flags AS (SELECT account_id, month, count(*) AS flagged_count,
+                 arg_min({{'merchant': merchant, 'amount': CAST(amount AS DECIMAL(38,2)),
+                          'date': strftime(posted_date, '%Y-%m-%d'),
+                          'reason': 'its anomaly score of '
+                                    || CAST(CAST(round(CAST(score AS DECIMAL(38,6)), 3) AS DECIMAL(38,3)) AS VARCHAR)
+                                    || ' is well above the flagging threshold'}},
+                         (-CAST(amount AS DECIMAL(38,2)), -score, transaction_id)) AS top_flagged
           FROM fl GROUP BY account_id, month),
 outflow AS (SELECT account_id, month, sum(total) AS total_spend FROM pos GROUP BY ALL),
 recur AS (SELECT o.account_id, o.month,
@@ -127,7 +127,7 @@ recur AS (SELECT o.account_id, o.month,
 inputs AS (SELECT m.account_id, m.month, a.archetype,
                   coalesce(t.top_categories, []) AS top_categories,
                   coalesce(d.notable_changes, []) AS notable_changes,
-                  coalesce(fg.flagged_charges, []) AS flagged_charges,
+                  coalesce(fg.flagged_count, 0) AS flagged_count, fg.top_flagged,
                   coalesce(CAST(o.total_spend AS DECIMAL(38,2)), 0) AS total_spend,
                   coalesce(CAST(r.recurring_spend AS DECIMAL(38,2)), 0) AS recurring_spend
            FROM months m
@@ -153,9 +153,9 @@ def q_has_enough_data(spark, sf):
 SUMMARY_SQL = f"""'Your spending this month looks like a ' || coalesce(lower(archetype), 'typical') || ' pattern'
     || CASE WHEN len(top_categories) > 0 THEN ', led by ' || top_categories[1].category || ' at '
             || {pct('top_categories[1].share')} || ' of your discretionary spending' ELSE '' END
-    || '. ' || CASE WHEN len(flagged_charges) = 0 THEN '{L.NOTHING_FLAGGED}'
-                    ELSE CAST(len(flagged_charges) AS VARCHAR)
-                         || CASE WHEN len(flagged_charges) = 1 THEN ' charge was' ELSE ' charges were' END
+    || '. ' || CASE WHEN flagged_count = 0 THEN '{L.NOTHING_FLAGGED}'
+                    ELSE CAST(flagged_count AS VARCHAR)
+                         || CASE WHEN flagged_count = 1 THEN ' charge was' ELSE ' charges were' END
                          || ' flagged as unusual.' END"""
 
 
@@ -211,21 +211,13 @@ def q_rule_recommendations(spark, sf):
                          r[2]["saving"].alias("saving_3")))
 
 
-@query("explain_top_flag", INPUTS_SQL + f""",
-topf AS (SELECT account_id, month, arg_max({{'amount': CAST(amount AS DECIMAL(38,2)), 'merchant': merchant,
-                 'date': strftime(posted_date, '%Y-%m-%d'),
-                 'reason': 'its anomaly score of '
-                           || CAST(CAST(round(CAST(score AS DECIMAL(38,6)), 3) AS DECIMAL(38,3)) AS VARCHAR)
-                           || ' is well above the flagging threshold'}},
-                 (CAST(amount AS DECIMAL(38,2)), score, -CAST(transaction_id IS NOT NULL AS INT))) AS c
-         FROM (SELECT *, row_number() OVER (PARTITION BY account_id, month
-                                             ORDER BY CAST(amount AS DECIMAL(38,2)) DESC, score DESC, transaction_id ASC) AS rn
-               FROM fl) x WHERE rn = 1 GROUP BY account_id, month)
-SELECT {KEY_OUT.replace('account_id,', 'i.account_id,').replace('(month,', '(i.month,')},
-       CASE WHEN len(i.flagged_charges) = 0 THEN '{L.NOTHING_UNUSUAL}'
-            ELSE 'The ' || {money('t.c.amount')} || ' charge at ' || t.c.merchant || ' on ' || t.c.date
-                 || ' was flagged because ' || lower(t.c.reason) || '.' END AS flagged_charge_explanation
-FROM inputs i LEFT JOIN topf t ON i.account_id = t.account_id AND i.month = t.month""")
+@query("explain_top_flag", INPUTS_SQL + f"""
+SELECT {KEY_OUT},
+       CASE WHEN flagged_count = 0 THEN '{L.NOTHING_UNUSUAL}'
+            ELSE 'The ' || {money('top_flagged.amount')} || ' charge at ' || top_flagged.merchant || ' on '
+                 || top_flagged.date || ' was flagged because ' || lower(top_flagged.reason) || '.' END
+         AS flagged_charge_explanation
+FROM inputs""")
 def q_explain_top_flag(spark, sf):
     return flat(L.explain_top_flag(inputs_catalogue(spark, sf))
                 .select("account_id", "month", "flagged_charge_explanation"))
@@ -239,13 +231,13 @@ def q_advice_valid(spark, sf):
 
 @query("advice_inputs", INPUTS_SQL + f"""
 SELECT {KEY_OUT}, archetype, len(top_categories) AS n_top, len(notable_changes) AS n_changes,
-       len(flagged_charges) AS n_flagged, {r6('total_spend')} AS total_spend,
+       flagged_count AS n_flagged, {r6('total_spend')} AS total_spend,
        {r6('recurring_spend')} AS recurring_spend FROM inputs""")
 def q_advice_inputs(spark, sf):
     i = inputs_catalogue(spark, sf)
     return flat(i.select("account_id", "month", "archetype", F.size("top_categories").alias("n_top"),
                          F.size("notable_changes").alias("n_changes"),
-                         F.size("flagged_charges").alias("n_flagged"), "total_spend", "recurring_spend"))
+                         F.col("flagged_count").alias("n_flagged"), "total_spend", "recurring_spend"))
 
 
 @query("inputs_hash")
@@ -257,8 +249,8 @@ def _refresh(spark, sf):
     hashed = L.inputs_hash(L.has_enough_data(inputs_catalogue(spark, sf)))
     # a cache written before the last change: odd accounts saw no flagged charges
     stale_inputs = inputs_catalogue(spark, sf).withColumn(
-        "flagged_charges", F.when(F.col("account_id") % 2 == 1, F.slice("flagged_charges", 1, 0))
-        .otherwise(F.col("flagged_charges")))
+        "flagged_count", F.when(F.col("account_id") % 2 == 1, F.lit(0).cast("long"))
+        .otherwise(F.col("flagged_count")))
     cache = L.inputs_hash(L.has_enough_data(stale_inputs)).filter("has_enough_data") \
         .select("account_id", "month", "inputs_hash", "source")
     return L.advice_refresh_set(hashed, cache)

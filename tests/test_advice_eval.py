@@ -15,7 +15,8 @@ INPUTS = ("account_id long, month date, month_text string, archetype string, arc
           "top_categories array<struct<category:string,amount:decimal(38,2),share:double>>, "
           "notable_changes array<struct<category:string,this_month:decimal(38,2),last_month:decimal(38,2),"
           "percent_change:double>>, "
-          "flagged_charges array<struct<merchant:string,amount:decimal(38,2),date:string,reasons:array<string>>>, "
+          "flagged_count long, top_flagged struct<merchant:string,amount:decimal(38,2),date:string,"
+          "reasons:array<string>>, flagged_digest decimal(38,0), "
           "total_spend decimal(38,2), recurring_spend decimal(38,2)")
 M = dt.date(2026, 5, 1)
 
@@ -28,11 +29,9 @@ def test_rich_and_quiet_month(spark):
     rich = (1, M, "2026-05", "Dining Led", "d",
             [("dining", Decimal("600.00"), 0.6), ("groceries", Decimal("400.00"), 0.4)],
             [("groceries", Decimal("400.00"), Decimal("300.00"), 33.3)],
-            [("Kiosk", Decimal("99.00"), "2026-05-03", ["Its anomaly score of 0.712 is well above the flagging threshold"]),
-             ("Watch", Decimal("950.00"), "2026-05-04", ["First reason"]),
-             ("Other", Decimal("950.00"), "2026-05-05", ["Second reason"])],
+            3, ("Watch", Decimal("950.00"), "2026-05-04", ["First reason"]), Decimal(17),
             Decimal("1000.00"), Decimal("200.00"))
-    quiet = (2, M, "2026-05", None, None, [], [], [], Decimal("0.00"), Decimal("0.00"))
+    quiet = (2, M, "2026-05", None, None, [], [], 0, None, Decimal(0), Decimal("0.00"), Decimal("0.00"))
     got = advice(spark, [rich, quiet])
     r = got[1]
     assert r.summary == ("Your spending this month looks like a dining led pattern, led by dining at 60% of your "
@@ -41,7 +40,6 @@ def test_rich_and_quiet_month(spark):
     assert titles == ["Trim dining spending", "Trim groceries spending", "Check your rising groceries costs"]
     assert r.recommendations[0].saving == 90.0
     assert r.recommendations[0].detail.endswith("Cutting it by 15% would free about $90.00 a month.")
-    # largest amount, the earlier one (higher score) on ties
     assert r.flagged_charge_explanation == ("The $950.00 charge at Watch on 2026-05-04 was flagged because "
                                             "first reason.")
     assert r.valid and r.has_enough_data
@@ -55,7 +53,7 @@ def test_rich_and_quiet_month(spark):
 
 
 def test_recurring_recommendation(spark):
-    row = (1, M, "2026-05", "Commuter", "d", [("transport", Decimal("100.00"), 0.1)], [], [],
+    row = (1, M, "2026-05", "Commuter", "d", [("transport", Decimal("100.00"), 0.1)], [], 0, None, Decimal(0),
            Decimal("1000.00"), Decimal("150.00"))
     r = advice(spark, [row])[1]
     assert r.recommendations[0].title == "Audit your recurring charges"
@@ -64,8 +62,10 @@ def test_recurring_recommendation(spark):
 
 
 def test_hash_changes_with_inputs(spark):
-    base = (1, M, "2026-05", "A", "d", [("x", Decimal("1.00"), 1.0)], [], [], Decimal("1.00"), Decimal("0.00"))
-    other = (2, M, "2026-05", "B", "d", [("x", Decimal("1.00"), 1.0)], [], [], Decimal("1.00"), Decimal("0.00"))
+    base = (1, M, "2026-05", "A", "d", [("x", Decimal("1.00"), 1.0)], [], 0, None, Decimal(0),
+            Decimal("1.00"), Decimal("0.00"))
+    other = (2, M, "2026-05", "B", "d", [("x", Decimal("1.00"), 1.0)], [], 0, None, Decimal(0),
+             Decimal("1.00"), Decimal("0.00"))
     same = (3,) + base[1:]
     h = {r.account_id: r.inputs_hash for r in L.inputs_hash(spark.createDataFrame([base, other, same], INPUTS)).collect()}
     assert h[1] == h[3] != h[2] and len(h[1]) == 64
@@ -134,3 +134,22 @@ def test_split_accounts_sizes(spark):
     df = spark.createDataFrame([(i,) for i in range(47)], "account_id long")
     counts = {r.split: r["count"] for r in J.split_accounts(df).groupBy("split").count().collect()}
     assert counts == {"train": 28, "val": 9, "test": 10}
+
+
+def test_top_flagged_ties_keep_higher_score(spark):
+    key = "account_id long, month date"
+    months = spark.createDataFrame([(1, M)], key)
+    flagged = spark.createDataFrame(
+        [(1, M, "Kiosk", Decimal("99.00"), M, 0.712, "a"), (1, M, "Watch", Decimal("950.00"), M, 0.80, "b"),
+         (1, M, "Other", Decimal("950.00"), M, 0.75, "c")],
+        key + ", merchant string, amount decimal(12,2), posted_date date, anomaly_score double, transaction_id string")
+    empty = spark.createDataFrame([], key + ", rank int, category string, amount decimal(12,2), share double")
+    deltas = spark.createDataFrame([], key + ", category string, this_month decimal(12,2), "
+                                          "last_month decimal(12,2), percent_change double")
+    arche = spark.createDataFrame([(1, M, "A", "d")], key + ", archetype string, description string")
+    out = spark.createDataFrame([(1, M, Decimal("1.00"))], key + ", total_spend decimal(12,2)")
+    rec = spark.createDataFrame([(1, M, 0.0)], key + ", recurring_spend double")
+    row = L.advice_inputs(months, arche, empty, deltas, flagged, out, rec).first()
+    assert row.flagged_count == 3
+    assert row.top_flagged.merchant == "Watch"
+    assert row.top_flagged.reasons == ["its anomaly score of 0.800 is well above the flagging threshold"]
