@@ -58,3 +58,32 @@ def exact_quantile(df: DataFrame, col: str, q: float) -> DataFrame:
         F.max(F.when(F.col("_r") == lo + 1, F.col("_x"))).alias("a"),
         F.max(F.when(F.col("_r") == hi + 1, F.col("_x"))).alias("b"))
     return pts.select((F.col("a") + (F.col("b") - F.col("a")) * F.lit(frac)).alias("quantile"))
+
+
+def keyed_running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column] | None = None,
+                  rank_col: str = "key_rank") -> DataFrame:
+    """Per-key rank (1-based) and running sums in `order`, without putting a key in one task.
+
+    The global sort is by (keys, order) with a total order, so the range
+    partitioner spreads a hot key over many partitions. Offsets come from the
+    (partition, key) counts — at most (#partitions + #keys) rows, a hot key
+    contributing one row per partition it spans — and the running part is a
+    window over (partition, key) inside each partition.
+    """
+    sums = sums or {}
+    staged = df.select("*", *[e.alias(f"_v_{n}") for n, e in sums.items()])
+    stamped = cut_lineage(staged.orderBy(*[F.asc(k) for k in keys], *order)
+                          .withColumn("_mid", F.monotonically_increasing_id()))
+    stamped = stamped.withColumn("_pid", F.shiftright("_mid", _PID_SHIFT))
+    part = stamped.groupBy(*keys, "_pid").agg(F.count(F.lit(1)).alias("_n"),
+                                              *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = part.select(*keys, "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+                          *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums])
+    local = Window.partitionBy("_pid", *keys).orderBy("_mid")
+    running = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = stamped.join(offsets, [*keys, "_pid"]).select(
+        "*", (F.col("_off") + F.row_number().over(local)).alias(rank_col),
+        *[(F.col(f"_o_{n}") + F.sum(f"_v_{n}").over(running)).alias(n) for n in sums])
+    drop = ["_pid", "_mid", "_off"] + [f"_v_{n}" for n in sums] + [f"_o_{n}" for n in sums]
+    return out.drop(*drop)

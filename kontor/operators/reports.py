@@ -209,7 +209,6 @@ def anomaly_scan_summary(scored: DataFrame) -> DataFrame:
 
 def flagged_in_month(flagged: DataFrame, month: Column) -> DataFrame:
     """Flagged rows of one month, highest score first (rank per account)."""
-    w = Window.partitionBy("account_id").orderBy(F.desc("score"), F.asc("transaction_id"),
-                                                 F.asc("model_name"))
-    return (flagged.filter(month_of("posted_date") == month)
-            .withColumn("rank", F.row_number().over(w)))
+    from kontor.functions.scan import keyed_running
+    return keyed_running(flagged.filter(month_of("posted_date") == month), ["account_id"],
+                         [F.desc("score"), F.asc("transaction_id"), F.asc("model_name")], rank_col="rank")

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kontor.functions.scan import keyed_running
+
 SCORE_KEYS = ["subject_type", "subject_id", "model_name"]
 FEATURE_KEYS = ["account_id", "month"]
 SUBJECT_MONTH = "MONTH"
@@ -71,8 +73,9 @@ def flagged_transactions(scores: DataFrame, raw: DataFrame) -> DataFrame:
     score desc per account; a transaction appears once per model version."""
     fl = scores.filter((F.col("subject_type") == SUBJECT_TRANSACTION) & (F.col("label") == "ANOMALY"))
     j = fl.join(raw, fl.subject_id == raw.transaction_id).drop("subject_id")
-    w = Window.partitionBy("account_id").orderBy(F.desc("score"), F.asc("transaction_id"), F.asc("model_name"))
-    return j.withColumn("rank", F.row_number().over(w))
+    # per-account rank with the keyed scan: a hot account is spread over tasks
+    return keyed_running(j, ["account_id"], [F.desc("score"), F.asc("transaction_id"), F.asc("model_name")],
+                         rank_col="rank")
 
 
 def scores_with_fallback(requested: DataFrame, features: DataFrame, live: DataFrame,
