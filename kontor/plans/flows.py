@@ -77,11 +77,11 @@ class ForestModel:
     grid: DataFrame
 
 
-def anomaly_evaluation(ledger: DataFrame, k: int = 6) -> DataFrame:
+def anomaly_evaluation(ledger: DataFrame, k: int = 6, with_scored: bool = False):
     """Entry 3: metrics of forest vs z-score on injected held-out accounts.
 
     Returns one row per detector with threshold, budget and threshold-free
-    metrics, plus per-kind recall rows (metric = 'recall_<kind>').
+    metrics; with `with_scored`, also the scored test rows (for J7 by kind).
     """
     spend = spend_only(ledger)
     splits = cut_lineage(J.split_accounts(spend, seed=42))
@@ -122,7 +122,7 @@ def anomaly_evaluation(ledger: DataFrame, k: int = 6) -> DataFrame:
     compared = J.compare_detectors(rows).withColumn("contamination", F.lit(c)) \
         .withColumn("budget", F.lit(budget)) \
         .withColumn("model_version", F.lit(IF.model_version(k, c)))
-    return compared
+    return (compared, scored) if with_scored else compared
 
 
 def recall_by_kind_eval(scored: DataFrame) -> DataFrame:

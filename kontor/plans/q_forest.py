@@ -223,6 +223,12 @@ def q_evaluate_detectors(spark, sf):
     return P.anomaly_evaluation(normalised(events(spark, sf)))
 
 
+@query("evaluate_recall_by_kind")
+def q_evaluate_recall_by_kind(spark, sf):
+    _, scored = P.anomaly_evaluation(normalised(events(spark, sf)), with_scored=True)
+    return P.recall_by_kind_eval(scored)
+
+
 @query("archetypes")
 def q_archetypes(spark, sf):
     out = P.archetypes(catalogue(spark, sf), k=6)
