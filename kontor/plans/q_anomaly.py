@@ -64,7 +64,7 @@ def q_zscore_flags(spark, sf):
 
 
 @query("transaction_vectors", TXF_EV + f"""
-SELECT transaction_id, account_id, {len(G.ANOMALY_FEATURES)} AS n_features,
+SELECT transaction_id, account_id, CAST({len(G.ANOMALY_FEATURES)} AS BIGINT) AS n_features,
        {r6(' + '.join(G.ANOMALY_FEATURES))} AS sum_of_values FROM txf""")
 def q_transaction_vectors(spark, sf):
     v = G.transaction_vectors(txf_events(spark, sf))
@@ -128,7 +128,7 @@ def q_metrics_at_threshold(spark, sf):
 
 @query("metrics_at_budget", SCORED_EV + f""",
 rk AS (SELECT *, row_number() OVER (ORDER BY score DESC, transaction_id ASC) <= {BUDGET} AS bflag FROM scored)
-SELECT {BUDGET} AS budget, * FROM ({_metrics_sql('bflag', 'rk')}) m""")
+SELECT CAST({BUDGET} AS BIGINT) AS budget, * FROM ({_metrics_sql('bflag', 'rk')}) m""")
 def q_metrics_at_budget(spark, sf):
     return flat(J.metrics_at_budget(scored_events(spark, sf), BUDGET, "score")
                 .select("budget", *METRIC_COLS))

@@ -157,7 +157,7 @@ def q_month_vector_or_reason(spark, sf):
 
 
 @query("feature_vector", FEAT_CAT + f"""
-SELECT account_id, {d10('month')} AS month, CAST({len(M.BEHAVIOUR_FEATURES)} AS INTEGER) AS dims,
+SELECT account_id, {d10('month')} AS month, CAST({len(M.BEHAVIOUR_FEATURES)} AS BIGINT) AS dims,
        {r6(' + '.join(M.BEHAVIOUR_FEATURES))} AS sum_of_values FROM feat""")
 def q_feature_vector(spark, sf):
     v = M.feature_vector(features_catalogue(spark, sf))
@@ -179,7 +179,7 @@ def q_recurring_spend(spark, sf):
 
 
 @query("feature_summary", FEAT_CAT + "\n" + " UNION ALL ".join(
-    f"SELECT {i} AS position, '{n}' AS feature, {r6(f'avg({n})')} AS mean, {r6(f'stddev_samp({n})')} AS std, "
+    f"SELECT CAST({i} AS BIGINT) AS position, '{n}' AS feature, {r6(f'avg({n})')} AS mean, {r6(f'stddev_samp({n})')} AS std, "
     f"{r6(f'min({n})')} AS min, {r6(f'max({n})')} AS max FROM feat"
     for i, n in enumerate(M.BEHAVIOUR_FEATURES)))
 def q_feature_summary(spark, sf):

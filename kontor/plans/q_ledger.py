@@ -48,7 +48,7 @@ def q_write_ledger_csv(spark, sf):
 
 @query("pack_features", FEAT_CAT + f"""
 SELECT account_id, {d10('month')} AS month, {r6('recurring_share')} AS recurring_share,
-       0.0 AS missing_feature FROM feat""")
+       CAST(0.0 AS DOUBLE) AS missing_feature FROM feat""")
 def q_pack_features(spark, sf):
     packed = pack_features(features_catalogue(spark, sf), NAMES, ["account_id", "month"])
     return flat(packed.select("account_id", "month",
@@ -181,7 +181,7 @@ w AS (SELECT m1.account_id, m1.month, sum(m2.n_rows) AS rows_in_window, sum(m2.n
        AND m2.month BETWEEN CAST(m1.month - INTERVAL 11 MONTH AS DATE) AND m1.month
       GROUP BY m1.account_id, m1.month)
 SELECT account_id, {d10('month')} AS month, {d10("month - INTERVAL 11 MONTH")} AS window_start,
-       rows_in_window, {r6('net_amount_in_window')} AS net_amount_in_window,
+       CAST(rows_in_window AS BIGINT) AS rows_in_window, {r6('net_amount_in_window')} AS net_amount_in_window,
        {d10('first_day_in_window')} AS first_day_in_window FROM w""")
 def q_history_window(spark, sf):
     return flat(B.history_window(normalised(catalogue(spark, sf)), 12))

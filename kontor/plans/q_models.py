@@ -92,7 +92,7 @@ def q_standardise(spark, sf):
 
 
 @query("assign_cluster", BASE_ASG + f"""
-SELECT account_id, {d10('month')} AS month, cluster, {r6('round(dist, 3)')} AS distance_to_centroid,
+SELECT account_id, {d10('month')} AS month, CAST(cluster AS BIGINT) AS cluster, {r6('round(dist, 3)')} AS distance_to_centroid,
        'kmeans-k6+fixed' AS model_version FROM asg""")
 def q_assign_cluster(spark, sf):
     a, _ = assigned_catalogue(spark, sf)
@@ -119,7 +119,7 @@ def q_month_evidence(spark, sf):
 
 
 @query("cluster_shares", BASE_ASG + f"""
-SELECT cluster, count(*) AS months, {r6('count(*) / (SELECT count(*) FROM asg)')} AS share
+SELECT CAST(cluster AS BIGINT) AS cluster, count(*) AS months, {r6('count(*) / (SELECT count(*) FROM asg)')} AS share
 FROM asg GROUP BY cluster""")
 def q_cluster_shares(spark, sf):
     a, _ = assigned_catalogue(spark, sf)
@@ -137,7 +137,7 @@ r AS (SELECT *, {_PHRASE_CASE} AS phrase,
              row_number() OVER (PARTITION BY cluster ORDER BY abs(v) DESC, i ASC) AS rank
       FROM u WHERE abs(v) >= 0.6),
 top AS (SELECT * FROM r WHERE rank <= 3)
-SELECT c.cluster,
+SELECT CAST(c.cluster AS BIGINT) AS cluster,
        CASE WHEN count(top.rank) = 0 THEN '{H.CLOSE_TO_AVERAGE}'
             ELSE 'This group ' || string_agg(phrase, ', ' ORDER BY top.rank) || '.' END AS description,
        coalesce(string_agg(top.feature || ':' || CAST(round(top.v, 2) AS VARCHAR), '|' ORDER BY top.rank), '') AS evidence
@@ -150,7 +150,7 @@ def q_describe_centroid(spark, sf):
     return d.select(F.col("cluster").cast("long").alias("cluster"), "description", ev.alias("evidence"))
 
 
-@query("centroid_real_units", BASE_ASG + ",\n" + CENTS_SQL + "\nSELECT cluster, " + ", ".join(
+@query("centroid_real_units", BASE_ASG + ",\n" + CENTS_SQL + "\nSELECT CAST(cluster AS BIGINT) AS cluster, " + ", ".join(
     f"{r6(f'round(center[{i + 1}] * CASE WHEN std_{n} > 0 THEN std_{n} ELSE 1.0 END + mean_{n}, 3)')} AS {n}"
     for i, n in enumerate(NAMES)) + " FROM cents, st")
 def q_centroid_real_units(spark, sf):
@@ -194,7 +194,7 @@ s AS (SELECT sum(n * (n - 1) / 2.0) AS idx, sum(n) AS total,
       FROM cells),
 e AS (SELECT *, sa * sb / (total * (total - 1) / 2.0) AS ex, (sa + sb) / 2.0 AS mx FROM s)
 SELECT {r6('round(CASE WHEN mx - ex = 0 THEN 1.0 ELSE (idx - ex) / (mx - ex) END, 3)')} AS adjusted_rand_index,
-       total AS n_months FROM e""")
+       CAST(total AS BIGINT) AS n_months FROM e""")
 def q_adjusted_rand_index(spark, sf):
     return flat(J.adjusted_rand_index(labelled_catalogue(spark, sf)))
 

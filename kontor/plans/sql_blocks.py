@@ -106,7 +106,7 @@ txf AS (SELECT transaction_id, account_id, posted_date, month, merchant, categor
          1.0 - (c_rn - 1) / greatest(a_rn - 1, 1) AS category_rarity,
          CAST(m_day AS DOUBLE) AS merchant_txns_same_day,
          CAST(a_day AS DOUBLE) AS account_txns_same_day,
-         CAST(c_cnt >= 5 AS INTEGER) AS has_history
+         CAST(c_cnt >= 5 AS BIGINT) AS has_history
       FROM w)"""
 
 # detector scores for J without a model: z-score and ratio detectors,
