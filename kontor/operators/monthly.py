@@ -35,8 +35,30 @@ def _dsum(cond: Column) -> Column:
     return F.sum(F.when(cond, F.col("amount")))
 
 
+def _recurring_disc_spend(ledger: DataFrame) -> DataFrame:
+    """Σ discretionary spend on E1-recurring keys per (account, month), without
+    flagging rows: disc spend is pre-aggregated to (account, month, merchant,
+    amount_key) and only those partial sums meet the recurring keys. The
+    ledger rows are never shuffled for the join."""
+    from kontor.operators.recurring import KEY, recurring_keys
+    disc = ~F.col("is_inflow") & (F.col("category") != FIXED_CATEGORY)
+    parts = (ledger.filter(disc)
+             .groupBy("account_id", "month", "merchant", F.bround("amount", 0).alias("amount_key"))
+             .agg(F.sum("amount").alias("_s")))
+    keys = recurring_keys(ledger).select(*KEY)
+    return (parts.join(keys, KEY, "left_semi").groupBy("account_id", "month")
+            .agg(F.sum("_s").cast("double").alias("_recurring")))
+
+
 def monthly_features(flagged: DataFrame, min_transactions: int = MIN_TRANSACTIONS) -> DataFrame:
-    """F1-F14 over a normalised ledger that carries `is_recurring`."""
+    """F1-F14 over a normalised ledger.
+
+    With an `is_recurring` column (E1 already applied) the recurring spend is
+    a conditional sum; without it (the reference computes E1 itself then), the
+    recurring part comes from pre-aggregated sums (`_recurring_disc_spend`),
+    which gives the same numbers without a row-level join.
+    """
+    has_flag = "is_recurring" in flagged.columns
     spend = ~F.col("is_inflow")
     disc = spend & (F.col("category") != FIXED_CATEGORY)
     fixed = spend & (F.col("category") == FIXED_CATEGORY)
@@ -50,10 +72,13 @@ def monthly_features(flagged: DataFrame, min_transactions: int = MIN_TRANSACTION
                      F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
         F.countDistinct(F.when(disc, F.col("merchant"))).alias("_merchants"),
         F.coalesce(_dsum(disc & (F.weekday("posted_date") >= FRIDAY)), F.lit(0)).cast("double").alias("_weekend"),
-        F.coalesce(_dsum(disc & F.col("is_recurring")), F.lit(0)).cast("double").alias("_recurring"),
-    ] + [F.coalesce(_dsum(disc & (F.col("category") == c)), F.lit(0)).cast("double").alias(f"_cat_{c}")
+    ] + ([F.coalesce(_dsum(disc & F.col("is_recurring")), F.lit(0)).cast("double").alias("_recurring")]
+         if has_flag else []) + [F.coalesce(_dsum(disc & (F.col("category") == c)), F.lit(0)).cast("double").alias(f"_cat_{c}")
          for c in DISCRETIONARY]
     g = flagged.groupBy("account_id", "month").agg(*aggs)
+    if not has_flag:
+        g = (g.join(_recurring_disc_spend(flagged), ["account_id", "month"], "left")
+             .withColumn("_recurring", F.coalesce("_recurring", F.lit(0.0))))
     g = g.filter((F.col("_n") >= min_transactions) & (F.col("_spend") > 0) & (F.col("_disc") > 0))
     median = F.col("_q")[1]
     feats = [

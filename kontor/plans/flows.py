@@ -25,7 +25,6 @@ from kontor.operators.causal import ANOMALY_FEATURES, spend_only, transaction_fe
 from kontor.operators.inject import prepare_eval_set
 from kontor.operators.ledger import normalise_ledger
 from kontor.operators.monthly import BEHAVIOUR_FEATURES, monthly_features
-from kontor.operators.recurring import flag_recurring
 from kontor.session import cut_lineage
 
 
@@ -54,7 +53,7 @@ def fit_archetypes(features: DataFrame, k: int | None = None, restarts: int = H.
 def archetypes(raw: DataFrame, model: ArchetypeModel | None = None, k: int | None = 6,
                version_contamination: float = 0.02) -> DataFrame:
     """Entry 1 for every account-month: cluster, archetype, distance, evidence."""
-    features = cut_lineage(monthly_features(flag_recurring(normalise_ledger(raw))))
+    features = cut_lineage(monthly_features(normalise_ledger(raw)))
     model = model or fit_archetypes(features, k)
     z = H.standardise(features, model.stats)
     version = IF.model_version(model.k, version_contamination)

@@ -19,7 +19,8 @@ def flagged_catalogue(spark, sf):
 
 
 def features_catalogue(spark, sf):
-    return M.monthly_features(flagged_catalogue(spark, sf))
+    # E1 enters F as pre-aggregated recurring sums (no row-level flag join)
+    return M.monthly_features(normalised(catalogue(spark, sf)))
 
 
 def features_events(spark, sf):

@@ -9,7 +9,6 @@ from kontor.operators import reports as R
 from kontor.operators import store as K
 from kontor.operators.monthly import BEHAVIOUR_FEATURES as NAMES
 from kontor.operators.monthly import monthly_features
-from kontor.operators.recurring import flag_recurring
 from kontor.plans.common import CAT_SQL, catalogue, events, normalised, normalised_sql
 from kontor.plans.q_anomaly import TXF_EV, txf_events
 from kontor.plans.q_features import FEAT_CAT, features_catalogue
@@ -159,7 +158,7 @@ def q_anomaly_scan_summary(spark, sf):
 def new_features(spark, sf):
     """A recomputation on settled rows only (pending excluded) for even accounts."""
     led = normalised(catalogue(spark, sf)).filter(~F.col("pending") & (F.col("account_id") % 2 == 0))
-    return monthly_features(flag_recurring(led))
+    return monthly_features(led)
 
 
 def _upsert_features_sql() -> str:

@@ -120,3 +120,14 @@ def test_half_even_amount_key(ledger):
     raw = ledger([("2026-01-03", 2.50, "X"), ("2026-02-03", 3.50, "X"), ("2026-03-03", 2.50, "X")])
     assert not any(r.is_recurring for r in flag_recurring(normalise_ledger(raw)).collect())
     assert raw.select(F.bround("amount", 0).alias("k")).collect()[1].k == 4
+
+
+def test_recurring_share_paths_agree(spark):
+    """F with E1 as a row flag and F with E1 as pre-aggregated sums agree."""
+    from kontor.plans.common import catalogue
+    led = normalise_ledger(catalogue(spark, "/root/testdata/sf0.001"))
+    a = {(r.account_id, r.month): r.recurring_share for r in monthly_features(flag_recurring(led)).collect()}
+    b = {(r.account_id, r.month): r.recurring_share for r in monthly_features(led).collect()}
+    assert a.keys() == b.keys()
+    assert any(v > 0 for v in a.values())
+    assert all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
