@@ -37,17 +37,28 @@ def _dsum(cond: Column) -> Column:
 
 def _recurring_disc_spend(ledger: DataFrame) -> DataFrame:
     """Σ discretionary spend on E1-recurring keys per (account, month), without
-    flagging rows: disc spend is pre-aggregated to (account, month, merchant,
-    amount_key) and only those partial sums meet the recurring keys. The
-    ledger rows are never shuffled for the join."""
-    from kontor.operators.recurring import KEY, recurring_keys
-    disc = ~F.col("is_inflow") & (F.col("category") != FIXED_CATEGORY)
-    parts = (ledger.filter(disc)
+    flagging rows. One pre-aggregate of the outflow rows at (account, month,
+    merchant, amount_key) carries n, Σx, Σx² and the discretionary sum; E1's
+    rule is evaluated on it grouped by key (months = its row count, sample std
+    from the sums), and the qualifying keys select the discretionary sums.
+    The ledger is read once for this and its rows are never shuffled."""
+    from kontor.operators.recurring import KEY, MEAN_FLOOR, MIN_MONTHS, REL_TOLERANCE
+    amt = F.col("amount").cast("double")
+    disc = F.col("category") != FIXED_CATEGORY
+    parts = (ledger.filter(~F.col("is_inflow"))
              .groupBy("account_id", "month", "merchant", F.bround("amount", 0).alias("amount_key"))
-             .agg(F.sum("amount").alias("_s")))
-    keys = recurring_keys(ledger).select(*KEY)
-    return (parts.join(keys, KEY, "left_semi").groupBy("account_id", "month")
-            .agg(F.sum("_s").cast("double").alias("_recurring")))
+             .agg(F.count(F.lit(1)).alias("_n"), F.sum(amt).alias("_x"), F.sum(amt * amt).alias("_xx"),
+                  F.sum(F.when(disc, F.col("amount"))).alias("_d")))
+    k = parts.groupBy(*KEY).agg(F.count(F.lit(1)).alias("months"), F.sum("_n").alias("n"),
+                                F.sum("_x").alias("x"), F.sum("_xx").alias("xx"))
+    mean = F.col("x") / F.col("n")
+    var = F.when(F.col("n") > 1, (F.col("xx") - F.col("x") * F.col("x") / F.col("n")) / (F.col("n") - 1)) \
+        .otherwise(F.lit(0.0))
+    std = F.sqrt(F.greatest(var, F.lit(0.0)))
+    keys = k.filter((F.col("months") >= MIN_MONTHS)
+                    & (std <= REL_TOLERANCE * F.greatest(F.abs(mean), F.lit(MEAN_FLOOR)))).select(*KEY)
+    return (parts.filter(F.col("_d").isNotNull()).join(keys, KEY, "left_semi").groupBy("account_id", "month")
+            .agg(F.sum("_d").cast("double").alias("_recurring")))
 
 
 def monthly_features(flagged: DataFrame, min_transactions: int = MIN_TRANSACTIONS) -> DataFrame:
