@@ -5,8 +5,9 @@ cursor (it is committed only after a micro-batch's sink write succeeds, so a
 failed sync resumes from the last committed cursor, and rerunning with
 nothing new is a no-op). Each micro-batch is one sync: upserts (M1) then
 removals (M2) against the current ledger version, written as a new version
-directory `batch=<id>`. A replayed batch id finds its version already written
-and skips it, so at-least-once delivery still yields one application.
+directory `batch=<id>` and then recorded in a small commit log (`_commits`).
+Only committed versions are read, and a replayed batch id that is already in
+the log is skipped, so at-least-once delivery still yields one application.
 """
 
 from __future__ import annotations
