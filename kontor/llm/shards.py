@@ -44,8 +44,9 @@ def shuffled(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, exchange:
     exchange=True also moves the rows: tasks hold runs of slots of one shard, in order.
     """
     own = [c for c in rows.columns if c.lower() not in ("shard", "slot")]
-    # the address of a row is frozen by writing it: both passes below see the same one
-    held = stored(rows.select(*own).withColumn("_at", F.monotonically_increasing_id()), "shard-rows")
+    # the address of a row is frozen by writing it: both passes below see the same one;
+    # inside a struct, the row's own names can't meet those used here
+    held = stored(rows.select(F.struct(*own).alias("row"), F.monotonically_increasing_id().alias("_at")), "shard-rows")
     held = (held.withColumn("_part", F.shiftright("_at", 33))
             .withColumn("_i", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at"))
     zero = F.lit(0).cast("long")
@@ -66,7 +67,7 @@ def shuffled(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, exchange:
     size = F.floor(F.lit(total) / shards).cast("long") + (F.col("shard") < F.lit(total % shards)).cast("long")
     placed = (local.join(lanes, ["_part", "_r"])
               .withColumn("slot", permuted(F.col("_place"), size, F.lit(seed + 2), F.col("shard"))))
-    out = placed.select(*own, "shard", "slot")
+    out = placed.select("row.*", "shard", "slot")
     if not exchange:
         return out
     return (out.repartition("shard", F.floor(F.col("slot") / SLOTS_A_TASK))
