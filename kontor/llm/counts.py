@@ -83,14 +83,16 @@ class Rollups:
         if deletes is not None:
             gone = deletes.filter("doc_id IS NOT NULL").select("doc_id").distinct().join(new, "doc_id", "left_anti")
             touched = touched.unionByName(gone.select("doc_id", F.lit(False).alias("live")), allowMissingColumns=True)
+        # the batch's part of the ledger is written first and read back, so texts are counted once
+        part = f"{self.path}/ledger/batch={batch}"
+        touched.withColumn("tokens", F.col("tokens").cast("long")).write.mode("overwrite").parquet(part)
+        touched = self.spark.read.schema(touched.schema).parquet(part)
         signed = touched.filter("live").select(*KEYS, F.lit(1).alias("sign"), "tokens")
         if not first:
             old = self.ledger().join(touched.select("doc_id"), "doc_id", "left_semi")
             signed = signed.unionByName(old.select(*KEYS, F.lit(-1).alias("sign"), "tokens"))
         delta = signed.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("docs"),
                                           F.sum(F.col("sign") * F.col("tokens")).cast("long").alias("tokens"))
-        (touched.withColumn("tokens", F.col("tokens").cast("long"))
-         .write.mode("overwrite").parquet(f"{self.path}/ledger/batch={batch}"))
         delta.write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch}")
         self.spark.range(1).select(F.lit(batch).cast("long").alias("batch")).write.mode("append").parquet(f"{self.path}/commits")
         return True

@@ -160,7 +160,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT,
                  F.floor((F.col("start") + F.col("size") - 1) / block).cast("long"))))
              .select("rank", "block", "granule", "place", "doc_id",
                      (begin - F.col("start")).alias("first"), (end - begin).alias("n")))
-    placed = draw_slots(plan, slots, shard_slots, seed).join(parts, ["rank", "block"])
+    # neither side is bounded, and runs of numbers shuffle in few bytes: no broadcast by that size
+    placed = draw_slots(plan, slots, shard_slots, seed).join(parts.hint("merge"), ["rank", "block"])
     return placed, rows, plan
 
 
@@ -168,7 +169,7 @@ def taken(docs: DataFrame, **how) -> DataFrame:
     """Per document row: its size, its source's size and target, and the words that the mix takes of it."""
     placed, rows, plan = mix(docs, **how)
     words = placed.groupBy("rank", "granule", "place").agg(F.sum("n").alias("taken"))
-    return (rows.join(words, ["rank", "granule", "place"], "left")
+    return (rows.join(words.hint("merge"), ["rank", "granule", "place"], "left")
             .join(plan.select("rank", "source_size", "target"), "rank")
             .select("doc_id", "size", "source_size", "target",
                     F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source"))
