@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kontor.functions.text import sql_strip, strip
+
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's vocabulary for equal results).
 # Canonical categories, inflow categories, and the raw-label -> canonical map.
@@ -44,15 +46,15 @@ CATEGORY_MAP = {
     "home_improvement": "housing",
     "government_and_non_profit": "other",
 }
-# Categories that get a share column (spend minus housing and other).
-DISCRETIONARY = [c for c in CANONICAL if c not in ("housing", "other")]
+# Categories that get a share column.
+DISCRETIONARY = ["dining", "groceries", "subscriptions", "transport", "shopping", "entertainment"]
 FIXED_CATEGORY = "housing"
 UNKNOWN = "other"
 
 
 def strip_lower(raw: Column) -> Column:
-    """Lower-case and strip surrounding whitespace (not only spaces)."""
-    return F.lower(F.regexp_replace(raw, r"^\s+|\s+$", ""))
+    """Lower-case and strip surrounding white space of any script."""
+    return F.lower(strip(raw))
 
 
 def _category_map() -> Column:
@@ -75,7 +77,7 @@ def is_inflow(canonical: Column | str) -> Column:
 
 def sql_canonical_category(raw_sql: str) -> str:
     """The same lookup as a portable SQL CASE (used by the DuckDB oracle)."""
-    key = f"lower(regexp_replace({raw_sql}, '^\\s+|\\s+$', '', 'g'))"
+    key = f"lower({sql_strip(raw_sql)})"
     arms = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CATEGORY_MAP.items())
     return f"coalesce(CASE {key} {arms} END, '{UNKNOWN}')"
 

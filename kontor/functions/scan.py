@@ -43,23 +43,6 @@ def global_running(df: DataFrame, order: list[Column], sums: dict[str, Column] |
     return out.drop(*drop)
 
 
-def exact_quantile(df: DataFrame, col: str, q: float) -> DataFrame:
-    """Linear-interpolated quantile (numpy default) as a one-row DataFrame,
-    computed from two global ranks instead of collecting the values."""
-    ranked = global_running(df.select(F.col(col).cast("double").alias("_x")).filter("_x IS NOT NULL"),
-                            [F.asc("_x")], rank_col="_r")
-    n = df.filter(F.col(col).isNotNull()).count()
-    if n == 0:
-        return df.sparkSession.createDataFrame([(None,)], "quantile double")
-    h = (n - 1) * q
-    lo, hi = int(h // 1), min(int(h // 1) + 1, n - 1)
-    frac = h - lo
-    pts = ranked.filter(F.col("_r").isin(lo + 1, hi + 1)).agg(
-        F.max(F.when(F.col("_r") == lo + 1, F.col("_x"))).alias("a"),
-        F.max(F.when(F.col("_r") == hi + 1, F.col("_x"))).alias("b"))
-    return pts.select((F.col("a") + (F.col("b") - F.col("a")) * F.lit(frac)).alias("quantile"))
-
-
 def keyed_running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column] | None = None,
                   rank_col: str = "key_rank") -> DataFrame:
     """Per-key rank (1-based) and running sums in `order`, without putting a key in one task.

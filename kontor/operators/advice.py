@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kontor.functions.text import is_blank
+
 # Thresholds and sentences of the rule-based advice.
 HIGH_CATEGORY_SHARE = 0.30
 NOTABLE_INCREASE = 25.0
@@ -45,6 +47,19 @@ def percent(fraction: Column) -> Column:
     return F.concat(F.floor(fraction * 100 + 0.5).cast("bigint").cast("string"), F.lit("%"))
 
 
+def flagged_charges(flagged: DataFrame) -> DataFrame:
+    """The full list of flagged charges, flat, keyed by (account_id, month), with what the advice shows of each."""
+    score3 = F.round(F.col("anomaly_score").cast("decimal(38,6)"), 3).cast("decimal(38,3)").cast("string")
+    return flagged.select("account_id", "month", "transaction_id", "merchant", F.col("amount").cast("decimal(38,2)").alias("amount"),
+                          F.date_format("posted_date", "yyyy-MM-dd").alias("date"), "anomaly_score", score3.alias("score"),
+                          F.array(F.format_string(FLAG_REASON, score3)).alias("reasons"))
+
+
+def _words32(text: Column) -> Column:
+    """The first 32 bits of a text's md5 as a number."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("decimal(38,0)")
+
+
 def advice_inputs(months: DataFrame, archetypes: DataFrame, top: DataFrame, deltas: DataFrame,
                   flagged: DataFrame, outflow: DataFrame, recurring: DataFrame) -> DataFrame:
     """L1: one row per requested (account, month) with every advice input.
@@ -72,21 +87,17 @@ def advice_inputs(months: DataFrame, archetypes: DataFrame, top: DataFrame, delt
             e["category"].alias("category"), e["this_month"].alias("this_month"),
             e["last_month"].alias("last_month"), e["percent_change"].alias("percent_change")))
             .alias("notable_changes")))
-    # Flagged charges per account-month can be many: no list is collected.
-    # The advice needs their count and the largest one (earliest in score
-    # order on ties); the cache hash needs an order-free digest of the set.
-    # All three are mergeable aggregates (partial aggregation, bounded state).
-    score3 = F.round(F.col("anomaly_score").cast("decimal(38,6)"), 3).cast("decimal(38,3)").cast("string")
-    charge = F.struct(F.col("merchant").alias("merchant"),
-                      F.col("amount").cast("decimal(38,2)").alias("amount"),
-                      F.date_format("posted_date", "yyyy-MM-dd").alias("date"),
-                      F.array(F.format_string(FLAG_REASON, score3)).alias("reasons"))
-    f = flagged.groupBy(*key).agg(
+    # Flagged charges per account-month can be many: their list stays a flat table
+    # (`flagged_charges`). The advice text needs their count and the largest one (earliest in
+    # score order on ties); the cache hash needs an order-free digest of the set, with scores
+    # at the three places that the inputs show. All are mergeable aggregates (bounded state).
+    charge = F.struct("merchant", "amount", "date", "reasons")
+    f = flagged_charges(flagged).groupBy(*key).agg(
         F.count(F.lit(1)).alias("flagged_count"),
         F.min_by(charge, F.struct((-F.col("amount")).alias("a"), (-F.col("anomaly_score")).alias("s"),
                                   F.col("transaction_id").alias("i"))).alias("top_flagged"),
-        F.sum(F.xxhash64("transaction_id", "merchant", "amount", "posted_date", "anomaly_score")
-              .cast("decimal(38,0)")).alias("flagged_digest"))
+        F.sum(_words32(F.concat_ws("|", "transaction_id", "merchant", F.col("amount").cast("string"), "date", "score")))
+        .cast("decimal(38,0)").alias("flagged_digest"))
     o = outflow.select(*key, F.col("total_spend").cast("decimal(38,2)").alias("total_spend"))
     r = recurring.select(*key, F.col("recurring_spend").cast("decimal(38,2)").alias("recurring_spend"))
     a = archetypes.select(*key, "archetype", F.col("description").alias("archetype_description"))
@@ -116,9 +127,21 @@ INPUT_FIELDS = ["month_text", "archetype", "archetype_description", "top_categor
                 "flagged_count", "top_flagged", "flagged_digest", "total_spend", "recurring_spend"]
 
 
+def inputs_text() -> dict[str, Column]:
+    """Every input as text of a fixed format (lists are sorted already; null is empty)."""
+    listed = lambda name, fields: F.array_join(F.transform(name, lambda e: F.concat_ws(":", *[
+        F.format_string(fmt, e[f]) if fmt else e[f].cast("string") for f, fmt in fields])), ";")
+    top = F.col("top_flagged")
+    text = {name: F.col(name).cast("string") for name in INPUT_FIELDS}
+    text["top_categories"] = listed("top_categories", [("category", ""), ("amount", ""), ("share", "%.4f")])
+    text["notable_changes"] = listed("notable_changes", [("category", ""), ("this_month", ""), ("last_month", ""), ("percent_change", "%.1f")])
+    text["top_flagged"] = F.concat_ws(":", top["merchant"], top["amount"].cast("string"), top["date"], top["reasons"][0])
+    return {name: F.coalesce(c, F.lit("")) for name, c in text.items()}
+
+
 def inputs_hash(inputs: DataFrame) -> DataFrame:
-    """L3: SHA-256 hex of the canonical JSON of the inputs (lists already sorted)."""
-    return inputs.withColumn("inputs_hash", F.sha2(F.to_json(F.struct(*INPUT_FIELDS)), 256))
+    """L3: SHA-256 hex of the inputs' text."""
+    return inputs.withColumn("inputs_hash", F.sha2(F.concat_ws("|", *inputs_text().values()), 256))
 
 
 def advice_refresh_set(hashed: DataFrame, cache: DataFrame) -> DataFrame:
@@ -198,17 +221,13 @@ def explain_top_flag(inputs: DataFrame) -> DataFrame:
                              F.when(F.col("flagged_count") == 0, F.lit(NOTHING_UNUSUAL)).otherwise(sentence))
 
 
-def _blank(c: Column) -> Column:
-    return c.isNull() | (F.trim(c) == "")
-
-
 def advice_valid(advice: DataFrame) -> DataFrame:
     """Summary and explanation non-blank; exactly 3 recommendations with
     non-blank title and detail."""
     recs = F.col("recommendations")
-    ok = (~_blank(F.col("summary")) & (F.size(recs) == 3)
-          & F.forall(recs, lambda r: ~_blank(r["title"]) & ~_blank(r["detail"]))
-          & ~_blank(F.col("flagged_charge_explanation")))
+    ok = (~is_blank(F.col("summary")) & (F.size(recs) == 3)
+          & F.forall(recs, lambda r: ~is_blank(r["title"]) & ~is_blank(r["detail"]))
+          & ~is_blank(F.col("flagged_charge_explanation")))
     return advice.withColumn("valid", ok)
 
 

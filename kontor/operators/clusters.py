@@ -95,14 +95,12 @@ def _zvec(names: list[str]) -> Column:
 
 
 def centroid_rows(centroids: DataFrame) -> list[tuple[int, list[float]]]:
-    """The k (<= 8) centroid rows of a model table, read once on the driver.
+    """The k centroid rows of a model table, read once on the driver.
 
     Model parameters are k x 14 numbers; they become literals in the scoring
     projection (codegen constants), so no join and no broadcast of data happens.
     """
     rows = centroids.orderBy("cluster").collect()
-    if len(rows) > 64:
-        raise ValueError("centroid table too large for literal scoring")
     return [(int(r["cluster"]), [float(x) for x in r["center"]]) for r in rows]
 
 
@@ -253,19 +251,24 @@ def silhouette(assigned: DataFrame, names: list[str] = BEHAVIOUR_FEATURES) -> fl
     return float(ev.evaluate(data))
 
 
-def choose_k(z: DataFrame, k_range=K_RANGE, restarts: int = RESTARTS,
-             names: list[str] = BEHAVIOUR_FEATURES) -> DataFrame:
-    """H5: inertia and silhouette per k; `chosen` marks the max silhouette (first on ties)."""
+def fit_best_k(z: DataFrame, k_range=K_RANGE, restarts: int = RESTARTS, names: list[str] = BEHAVIOUR_FEATURES):
+    """H5: one fit per k; (rows of k, inertia, silhouette; the best k, first on ties; its centroids)."""
     z = z.cache()
-    rows = []
+    rows, fitted = [], {}
     for k in k_range:
-        cents, cost, _ = kmeans_fit(z, k, restarts, names=names)
-        sil = silhouette(assign_cluster(z, cents, names=names), names)
-        rows.append((k, cost, sil))
+        fitted[k], cost, _ = kmeans_fit(z, k, restarts, names=names)
+        rows.append((k, cost, silhouette(assign_cluster(z, fitted[k], names=names), names)))
     z.unpersist()
-    best_k = max(rows, key=lambda r: (r[2], -r[0]))[0]
+    best = max(rows, key=lambda r: (r[2], -r[0]))[0]
+    return rows, best, fitted[best]
+
+
+def choose_k(z: DataFrame, k_range=K_RANGE, restarts: int = RESTARTS,
+             names: list[str] = BEHAVIOUR_FEATURES) -> DataFrame:
+    """H5: inertia and silhouette per k; `chosen` marks the max silhouette (first on ties)."""
+    rows, best, _ = fit_best_k(z, k_range, restarts, names)
     return z.sparkSession.createDataFrame(
-        [(k, c, s, k == best_k) for k, c, s in rows],
+        [(k, c, s, k == best) for k, c, s in rows],
         "k int, inertia double, silhouette_squared_euclidean double, chosen boolean")
 
 

@@ -79,9 +79,22 @@ def metrics_at_threshold(scored: DataFrame, flag: str = "flag", truth: str = "tr
 
 def flag_top_budget(scored: DataFrame, budget: int, score: str = "score",
                     tiebreak: str = "transaction_id") -> DataFrame:
-    """Flag exactly `budget` rows: highest score first, ties by id (global rank)."""
-    ranked = global_running(scored, [F.desc(score), F.asc(tiebreak)], rank_col="_budget_rank")
-    return ranked.withColumn("flag", F.col("_budget_rank") <= budget).drop("_budget_rank")
+    """Flag exactly `budget` rows: highest score first, ties by id.
+
+    A running count over the distinct scores finds the score at which the budget runs out;
+    only the rows with exactly that score are ranked by id. Rows without a score come last.
+    """
+    counts = scored.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    run = global_running(counts, [F.desc("_s")], {"_upto": F.col("_n")}, rank_col="_r")
+    cut = run.filter((F.col("_upto") >= budget) & (F.col("_upto") - F.col("_n") < budget)).first()
+    s = F.col(score)
+    if cut is None:  # fewer scored rows than the budget
+        return scored.withColumn("flag", s.isNotNull())
+    here = F.coalesce(s == F.lit(cut["_s"]), F.lit(False))
+    ties = global_running(scored.filter(here), [F.asc(tiebreak)], rank_col="_tie")
+    left = budget - (cut["_upto"] - cut["_n"])
+    above = scored.filter(~here).withColumn("flag", F.coalesce(s > F.lit(cut["_s"]), F.lit(False)))
+    return above.unionByName(ties.withColumn("flag", F.col("_tie") <= left).drop("_tie"))
 
 
 def metrics_at_budget(scored: DataFrame, budget: int, score: str = "score",

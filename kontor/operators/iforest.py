@@ -2,10 +2,11 @@
 
 MLlib has no isolation forest, so this is the one place that runs Python:
 
-fit   Each (row, tree) pair is kept with probability p = 2·psi/N, decided by a
-      hash of (seed, tree, row id), so only about 2·psi rows per tree are ever
-      materialised (bounded by trees x 2·psi, independent of N). Rows are
-      ranked inside each tree by a second hash and the first psi kept. Trees
+fit   Each (row, tree) pair is kept with probability p = 2·psi/N, so only about
+      2·psi rows per tree are ever materialised (about trees x 2·psi, whatever N
+      is). One hash per row first decides whether any tree may take it; only
+      those rows draw for the single trees. Rows are
+      ranked inside each tree by a further hash and the first psi kept. Trees
       are built in parallel by `groupBy('tree').applyInPandas`, seeded by
       their id, giving a node table (<= trees x (2·psi - 1) rows).
 score The node table is a bounded model artifact: it is read once and
@@ -56,8 +57,8 @@ def average_path_length(n):
 
 
 def _unit_hash(*cols: Column) -> Column:
-    """Deterministic uniform in [0, 1) from a hash of the given columns."""
-    return F.pmod(F.xxhash64(*cols), F.lit(2147483647)).cast("double") / 2147483647.0
+    """Deterministic uniform in [0, 1) from the upper 53 bits (all a double holds) of a 64-bit hash."""
+    return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / float(1 << 53)
 
 
 def _build_tree(tree_id: int, x: np.ndarray, max_depth: int, seed: int) -> list[tuple]:
@@ -99,10 +100,11 @@ def iforest_fit(features: DataFrame, names: list[str], trees: int = TREES, sampl
     p = min(1.0, 2.0 * psi / n)
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
     rid = F.col(id_col).cast("string")
-    picked = features.select(
+    some = min(1.0, trees * p)
+    picked = features.filter(_unit_hash(F.lit(seed + 2), rid) < some).select(
         rid.alias("_id"), *[F.col(c).cast("double").alias(c) for c in names],
         F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
-                           lambda t: _unit_hash(F.lit(seed), t, rid) < p)).alias("tree"))
+                           lambda t: _unit_hash(F.lit(seed), t, rid) < p / some)).alias("tree"))
     ranked = picked.withColumn("_u", _unit_hash(F.lit(seed + 1), F.col("tree"), F.col("_id")))
     from pyspark.sql import Window
     w = Window.partitionBy("tree").orderBy("_u", "_id")
@@ -165,9 +167,7 @@ def iforest_score(features: DataFrame, nodes: DataFrame, psi: int, names: list[s
                   out_col: str = "anomaly_score") -> DataFrame:
     """2^(-E[path]/c(psi)); higher is more anomalous."""
     spark = features.sparkSession
-    pdf = nodes.toPandas()  # <= trees x (2·psi - 1) rows: a bounded model artifact
-    if len(pdf) > TREES * 2 * SAMPLE * 4:
-        raise ValueError("node table larger than the model bound")
+    pdf = nodes.toPandas()  # <= trees x (2·psi - 1) rows, set by the model's parameters and not by the data
     bc = spark.sparkContext.broadcast(ForestArrays(pdf, psi))
 
     @F.pandas_udf(T.DoubleType())
@@ -179,11 +179,13 @@ def iforest_score(features: DataFrame, nodes: DataFrame, psi: int, names: list[s
 
 
 def exact_quantiles(df: DataFrame, col: str, qs: list[float]) -> dict[float, float]:
-    """Linear-interpolated quantiles (numpy default) from ONE distributed rank
-    of the column; only the handful of needed ranks reach the driver."""
-    vals = df.select(F.col(col).cast("double").alias("_x")).filter("_x IS NOT NULL")
-    ranked = global_running(vals, [F.asc("_x")], rank_col="_r")
-    n = ranked.agg(F.max("_r")).first()[0] or 0
+    """Linear-interpolated quantiles (numpy default) from ONE running count over the
+    distinct values, so a value that many rows share is one row; only the handful of
+    needed ranks reach the driver."""
+    counts = (df.select(F.col(col).cast("double").alias("_x")).filter("_x IS NOT NULL")
+              .groupBy("_x").agg(F.count(F.lit(1)).alias("_n")))
+    run = global_running(counts, [F.asc("_x")], {"_upto": F.col("_n")}, rank_col="_r")
+    n = run.agg(F.max("_upto")).first()[0] or 0
     if n == 0:
         return {q: float("nan") for q in qs}
     need = {}
@@ -192,7 +194,9 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float]) -> dict[float, flo
         lo = int(math.floor(h))
         need[q] = (lo, min(lo + 1, n - 1), h - lo)
     ranks = sorted({r + 1 for lo, hi, _ in need.values() for r in (lo, hi)})
-    got = {int(r["_r"]): float(r["_x"]) for r in ranked.filter(F.col("_r").isin(ranks)).collect()}
+    wanted = F.filter(F.array(*[F.lit(r) for r in ranks]),
+                      lambda r: (r <= F.col("_upto")) & (r > F.col("_upto") - F.col("_n")))
+    got = {int(r["_rank"]): float(r["_x"]) for r in run.select("_x", F.explode(wanted).alias("_rank")).collect()}
     return {q: got[lo + 1] + (got[hi + 1] - got[lo + 1]) * frac for q, (lo, hi, frac) in need.items()}
 
 
@@ -228,9 +232,9 @@ def tune_contamination(train_scores: DataFrame, val_scored: DataFrame,
     return grid_df.withColumn("chosen", F.col("position") == best).drop("position")
 
 
-def model_version(k: int, contamination: float) -> str:
-    """Identifier stamped on every score."""
-    return f"kmeans-k{k}+iforest-c{contamination}"
+def model_version(k: int, contamination: float | None = None) -> str:
+    """Identifier stamped on every score, from the fitted values (the cluster part alone without a forest)."""
+    return f"kmeans-k{k}" + ("" if contamination is None else f"+iforest-c{contamination}")
 
 
 def score_transactions(features: DataFrame, nodes: DataFrame, psi: int, threshold: float,

@@ -33,22 +33,17 @@ def apply_changes(base: DataFrame, changes: DataFrame, accounts: DataFrame) -> D
     sync order; an update keeps the stored account_id, an insert takes the
     account of the first event that created it. Orphan rows are skipped."""
     ok, _ = quarantine_orphans(changes, accounts)
-    # one struct per event so the values and the sync order travel together;
-    # the value mapping is A6 (map_feed_record) applied to each event
-    ev = ok.select(
-        "transaction_id", "account_id",
-        F.struct("page", kind_order().alias("k"), "seq").alias("_order"),
-        F.struct(*[c for c in _value_exprs()]).alias("_v"))
-    per_id = ev.groupBy("transaction_id").agg(
-        F.max_by("_v", "_order").alias("_v"),
-        F.min_by("account_id", "_order").alias("_first_account"))
-    stored = base.select("transaction_id", F.col("account_id").alias("_stored_account"))
-    changed = (per_id.join(stored, "transaction_id", "left")
-               .select("transaction_id",
-                       F.coalesce("_stored_account", "_first_account").cast("long").alias("account_id"),
-                       "_v.*"))
-    kept = base.join(per_id.select("transaction_id"), "transaction_id", "left_anti")
-    return kept.select(*LEDGER_COLUMNS).unionByName(changed.select(*LEDGER_COLUMNS))
+    # stored rows and events are one stream per id, stored rows first: the first names the
+    # account, the last the values (A6 applied to each event), in one shuffle
+    order = lambda stored, page, kind, seq: F.struct(
+        F.lit(stored).alias("fed"), page.cast("int").alias("page"), kind.cast("int").alias("k"), seq.cast("long").alias("seq")).alias("_order")
+    old = base.select("transaction_id", F.col("account_id").cast("long").alias("account_id"),
+                      order(0, F.lit(0), F.lit(0), F.lit(0)), F.struct(*VALUE_COLUMNS).alias("_v"))
+    ev = ok.select("transaction_id", F.col("account_id").cast("long").alias("account_id"),
+                   order(1, F.col("page"), kind_order(), F.col("seq")), F.struct(*_value_exprs()).alias("_v"))
+    merged = old.unionByName(ev).groupBy("transaction_id").agg(
+        F.max_by("_v", "_order").alias("_v"), F.min_by("account_id", "_order").alias("account_id"))
+    return merged.select("transaction_id", "account_id", "_v.*").select(*LEDGER_COLUMNS)
 
 
 def _value_exprs():
@@ -67,7 +62,7 @@ def sync(base: DataFrame, changes: DataFrame, accounts: DataFrame) -> DataFrame:
 
 def sync_counts(base: DataFrame, changes: DataFrame, accounts: DataFrame) -> DataFrame:
     """M3: added = real inserts; modified = every modified event (skipped ones
-    too); removed = rows actually deleted; pages."""
+    too); removed = rows actually deleted; pages, counted for each item (external account)."""
     ok, _ = quarantine_orphans(changes, accounts)
     first = (ok.groupBy("transaction_id")
              .agg(F.min_by("kind", F.struct("page", kind_order().alias("k"), "seq")).alias("first_kind")))
@@ -80,7 +75,7 @@ def sync_counts(base: DataFrame, changes: DataFrame, accounts: DataFrame) -> Dat
         inserts.agg(F.count(F.lit(1))).scalar().alias("added"),
         F.count_if(F.col("kind") == "modified").alias("modified"),
         deleted.agg(F.count(F.lit(1))).scalar().alias("removed"),
-        F.countDistinct("page").alias("pages"))
+        F.countDistinct("external_account_id", "page").alias("pages"))
 
 
 def link_accounts(accounts: DataFrame, fetched: DataFrame) -> DataFrame:

@@ -39,14 +39,16 @@ def inject_anomalies(spend: DataFrame, n_per_kind: int = 8, seed: int = 7) -> Da
     counts = spend.groupBy("account_id").agg(F.count(F.lit(1)).alias("n"))
     eligible = counts.filter(F.col("n") >= MIN_ROWS)
     ranked = global_running(eligible.select("account_id", "n"), [F.asc("account_id")], rank_col="_acct_rank")
-    n_eligible = eligible.agg(F.count(F.lit(1))).scalar()
+    n_eligible = eligible.count()
+    if n_eligible == 0:
+        raise ValueError(f"no account has {MIN_ROWS} spend rows to inject into")
 
     kinds = F.array(*[F.lit(k) for k in ANOMALY_KINDS])
     picks = (spark.range(len(ANOMALY_KINDS) * n_per_kind)
              .select(F.element_at(kinds, (F.col("id") / n_per_kind).cast("int") + 1).alias("kind"),
                      (F.col("id") % n_per_kind).cast("int").alias("i")))
     picks = picks.withColumn("_acct_rank", F.floor(draw(seed, F.col("kind"), F.col("i"), "account")
-                                                   * n_eligible).cast("long") + 1)
+                                                   * F.lit(n_eligible)).cast("long") + 1)
     picks = picks.join(ranked, "_acct_rank").drop("_acct_rank")
 
     rows = spend.join(picks.select("account_id").distinct(), "account_id", "left_semi")

@@ -1,18 +1,22 @@
 """F: the 14 monthly behaviour features, one row per (account, month).
 
-One `groupBy(account_id, month)` of conditional aggregates. Sums run on exact
-decimals and become doubles once, so the result does not depend on the order
-rows arrive in. The three quantiles share one `percentile` buffer, which holds
-value -> count pairs and merges map-side: its memory follows the number of
-distinct amounts in a month, not the number of rows.
+The ledger is read once, into `month_facts`: rows counted by account, month, category,
+merchant, amount and weekend, written as a table. Sums, distinct merchants, recurring
+keys (E1) and quantiles all come from it, and so does D1. Sums run on exact decimals
+and become doubles once, so the result does not depend on the order rows arrive
+in. Quantiles come from running counts over distinct amounts, so no task holds all amounts of
+an account-month.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kontor.functions.categories import DISCRETIONARY, FIXED_CATEGORY
+from kontor.functions.categories import DISCRETIONARY, FIXED_CATEGORY, canonical_category, is_inflow
+from kontor.functions.scan import keyed_running
+from kontor.operators.ledger import month_of
+from kontor.session import cut_lineage
 
 # Model feature order (positional contract of the model tables).
 BEHAVIOUR_FEATURES = [
@@ -31,24 +35,34 @@ SPEND_TO_INCOME_CAP = 3.0
 FRIDAY = 4  # weekday(): Monday = 0; the monthly weekend is Friday..Sunday
 
 
-def _dsum(cond: Column) -> Column:
-    return F.sum(F.when(cond, F.col("amount")))
+def month_facts(ledger: DataFrame) -> DataFrame:
+    """The one pre-aggregate behind F and D1: rows of a ledger counted by everything that either reads.
 
+    Works on raw and on normalised ledgers (the canonical category of a canonical category is
+    itself). Partial aggregation halves it before the shuffle, and no key is coarser than
+    (account, month, merchant, amount), so a busy account spreads over all tasks.
+    """
+    month = [] if "month" in ledger.columns else [month_of("posted_date").alias("month")]
+    flag = ["is_recurring"] if "is_recurring" in ledger.columns else []
+    rows = ledger.select("account_id", "category", "merchant", "amount", *flag, *(month or ["month"]),
+                         (F.weekday("posted_date") >= FRIDAY).alias("weekend"))
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+def category_totals(facts: DataFrame) -> DataFrame:
+    """D1's totals (raw categories, inflows included) from the pre-aggregate."""
+    return facts.groupBy("account_id", "month", "category").agg(
+        F.sum(F.col("amount") * F.col("n")).cast("decimal(22,2)").alias("total"), F.sum("n").alias("txn_count"))
 
-def _recurring_disc_spend(ledger: DataFrame) -> DataFrame:
-    """Σ discretionary spend on E1-recurring keys per (account, month), without
-    flagging rows. One pre-aggregate of the outflow rows at (account, month,
-    merchant, amount_key) carries n, Σx, Σx² and the discretionary sum; E1's
-    rule is evaluated on it grouped by key (months = its row count, sample std
-    from the sums), and the qualifying keys select the discretionary sums.
-    The ledger is read once for this and its rows are never shuffled."""
+
+def _recurring_spend(spend: DataFrame) -> DataFrame:
+    """Discretionary spend on E1-recurring keys per (account, month): E1's rule on the facts grouped by key
+    (months, mean and sample deviation from sums), then the sums of the keys that qualify."""
     from kontor.operators.recurring import KEY, MEAN_FLOOR, MIN_MONTHS, REL_TOLERANCE
-    amt = F.col("amount").cast("double")
-    disc = F.col("category") != FIXED_CATEGORY
-    parts = (ledger.filter(~F.col("is_inflow"))
-             .groupBy("account_id", "month", "merchant", F.bround("amount", 0).alias("amount_key"))
-             .agg(F.count(F.lit(1)).alias("_n"), F.sum(amt).alias("_x"), F.sum(amt * amt).alias("_xx"),
-                  F.sum(F.when(disc, F.col("amount"))).alias("_d")))
+    amt, n = F.col("amount").cast("double"), F.col("n")
+    parts = (spend.withColumn("amount_key", F.bround("amount", 0)).groupBy(*KEY, "month")
+             .agg(F.sum("n").alias("_n"), F.sum(amt * n).alias("_x"), F.sum(amt * amt * n).alias("_xx"),
+                  F.sum(F.when(F.col("disc"), F.col("amount") * n)).alias("_d")))
     k = parts.groupBy(*KEY).agg(F.count(F.lit(1)).alias("months"), F.sum("_n").alias("n"),
                                 F.sum("_x").alias("x"), F.sum("_xx").alias("xx"))
     mean = F.col("x") / F.col("n")
@@ -61,42 +75,65 @@ def _recurring_disc_spend(ledger: DataFrame) -> DataFrame:
             .agg(F.sum("_d").cast("double").alias("_recurring")))
 
 
-def monthly_features(flagged: DataFrame, min_transactions: int = MIN_TRANSACTIONS) -> DataFrame:
-    """F1-F14 over a normalised ledger.
+def _quantiles(disc: DataFrame, qs: tuple[float, ...]) -> DataFrame:
+    """Linear-interpolated quantiles of the amount per (account, month), from counts of distinct amounts.
 
-    With an `is_recurring` column (E1 already applied) the recurring spend is
-    a conditional sum; without it (the reference computes E1 itself then), the
-    recurring part comes from pre-aggregated sums (`_recurring_disc_spend`),
-    which gives the same numbers without a row-level join.
+    The running count is a keyed scan, so an account-month with very many amounts lies in several tasks.
+    """
+    key = ["account_id", "month"]
+    counts = disc.groupBy(*key, "amount").agg(F.sum("n").alias("n"))
+    run = keyed_running(counts, key, [F.asc("amount")], {"upto": F.col("n")})
+    total = counts.groupBy(*key).agg(F.sum("n").alias("rows"))
+    placed = run.join(total, key)
+    at = lambda rank: F.max(F.when((rank >= F.col("upto") - F.col("n")) & (rank < F.col("upto")),
+                                   F.col("amount").cast("double")))
+    parts, last = [], F.col("rows") - 1
+    for i, q in enumerate(qs):
+        low = F.floor(last * q)
+        parts += [at(low).alias(f"_lo{i}"), at(F.least(low + 1, last)).alias(f"_hi{i}"),
+                  F.first(last * q - low).alias(f"_f{i}")]
+    ends = placed.groupBy(*key).agg(*parts)
+    return ends.select(*key, *[(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(f"_q{i}")
+                               for i in range(len(qs))])
+
+
+def monthly_features(ledger: DataFrame, min_transactions: int = MIN_TRANSACTIONS) -> DataFrame:
+    """F1-F14 over a normalised ledger (see `features_from_facts`)."""
+    return features_from_facts(cut_lineage(month_facts(ledger)), min_transactions)
+
+
+def features_from_facts(facts: DataFrame, min_transactions: int = MIN_TRANSACTIONS) -> DataFrame:
+    """F1-F14 from a written pre-aggregate (`month_facts`).
+
+    With an `is_recurring` column (E1 already applied, for example as of each month) the recurring
+    spend is a conditional sum; without it E1 is computed from the facts.
     """
-    has_flag = "is_recurring" in flagged.columns
-    spend = ~F.col("is_inflow")
-    disc = spend & (F.col("category") != FIXED_CATEGORY)
-    fixed = spend & (F.col("category") == FIXED_CATEGORY)
-    aggs = [
-        F.coalesce(_dsum(spend), F.lit(0)).cast("double").alias("_spend"),
-        F.coalesce(_dsum(disc), F.lit(0)).cast("double").alias("_disc"),
-        F.coalesce(_dsum(fixed), F.lit(0)).cast("double").alias("_fixed"),
-        F.coalesce(-_dsum(F.col("is_inflow")), F.lit(0)).cast("double").alias("_income"),
-        F.count_if(disc).alias("_n"),
-        F.percentile(F.when(disc, F.col("amount").cast("double")),
-                     F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
-        F.countDistinct(F.when(disc, F.col("merchant"))).alias("_merchants"),
-        F.coalesce(_dsum(disc & (F.weekday("posted_date") >= FRIDAY)), F.lit(0)).cast("double").alias("_weekend"),
-    ] + ([F.coalesce(_dsum(disc & F.col("is_recurring")), F.lit(0)).cast("double").alias("_recurring")]
-         if has_flag else []) + [F.coalesce(_dsum(disc & (F.col("category") == c)), F.lit(0)).cast("double").alias(f"_cat_{c}")
-         for c in DISCRETIONARY]
-    g = flagged.groupBy("account_id", "month").agg(*aggs)
+    key = ["account_id", "month"]
+    rows = (facts.withColumn("category", canonical_category("category"))
+            .withColumn("is_inflow", is_inflow("category"))
+            .withColumn("disc", ~F.col("is_inflow") & (F.col("category") != FIXED_CATEGORY)))
+    has_flag = "is_recurring" in facts.columns
+    spend, disc = ~F.col("is_inflow"), F.col("disc")
+    money = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("amount") * F.col("n"))), F.lit(0)).cast("double")
+    aggs = [money(spend).alias("_spend"), money(disc).alias("_disc"), money(spend & ~disc).alias("_fixed"),
+            (-money(F.col("is_inflow"))).alias("_income"),
+            F.coalesce(F.sum(F.when(disc, F.col("n"))), F.lit(0)).alias("_n"),
+            money(disc & F.col("weekend")).alias("_weekend"),
+            *([money(disc & F.col("is_recurring")).alias("_recurring")] if has_flag else []),
+            *[money(disc & (F.col("category") == c)).alias(f"_cat_{c}") for c in DISCRETIONARY]]
+    g = rows.groupBy(*key).agg(*aggs).filter(
+        (F.col("_n") >= min_transactions) & (F.col("_spend") > 0) & (F.col("_disc") > 0))
+    shops = rows.filter("disc").select(*key, "merchant").filter("merchant IS NOT NULL").distinct() \
+        .groupBy(*key).agg(F.count(F.lit(1)).alias("_merchants"))
+    g = g.join(shops, key, "left").join(_quantiles(rows.filter("disc"), (0.25, 0.5, 0.75)), key)
     if not has_flag:
-        g = (g.join(_recurring_disc_spend(flagged), ["account_id", "month"], "left")
-             .withColumn("_recurring", F.coalesce("_recurring", F.lit(0.0))))
-    g = g.filter((F.col("_n") >= min_transactions) & (F.col("_spend") > 0) & (F.col("_disc") > 0))
-    median = F.col("_q")[1]
+        g = g.join(_recurring_spend(rows.filter(spend)), key, "left").withColumn("_recurring", F.coalesce("_recurring", F.lit(0.0)))
+    median = F.col("_q1")
     feats = [
         F.col("_n").cast("double").alias("txn_count"),
         median.alias("avg_ticket"),
-        ((F.col("_q")[2] - F.col("_q")[0]) / F.greatest(median, F.lit(1.0))).alias("ticket_variability"),
-        (F.col("_merchants") / F.col("_n")).alias("merchant_diversity"),
+        ((F.col("_q2") - F.col("_q0")) / F.greatest(median, F.lit(1.0))).alias("ticket_variability"),
+        (F.coalesce("_merchants", F.lit(0)) / F.col("_n")).alias("merchant_diversity"),
         (F.col("_weekend") / F.col("_disc")).alias("weekend_ratio"),
         (F.col("_recurring") / F.col("_disc")).alias("recurring_share"),
         (F.col("_fixed") / F.col("_spend")).alias("fixed_share"),
@@ -104,7 +141,7 @@ def monthly_features(flagged: DataFrame, min_transactions: int = MIN_TRANSACTION
                F.least(F.col("_spend") / F.col("_income"), F.lit(SPEND_TO_INCOME_CAP)))
          .otherwise(F.lit(1.0)).alias("spend_to_income"),
     ] + [(F.col(f"_cat_{c}") / F.col("_disc")).alias(f"share_{c}") for c in DISCRETIONARY]
-    return g.select("account_id", "month", *feats)
+    return g.select(*key, *feats)
 
 
 def require_rows(features: DataFrame) -> DataFrame:

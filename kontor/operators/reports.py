@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kontor.operators.ledger import month_of
+from kontor.session import cut_lineage
 
 
 def _dec_round_half_up(c: Column, places: int) -> Column:
@@ -53,14 +54,21 @@ def account_activity(accounts: DataFrame, raw: DataFrame) -> DataFrame:
                     F.coalesce("months", F.array().cast("array<string>")).alias("months")))
 
 
-def positive_category_totals(raw: DataFrame) -> DataFrame:
-    """Category totals > 0 per account-month (outflow view of D1)."""
-    return category_summary(raw).filter(F.col("total") > 0).drop("rank")
+def positive_category_totals(raw: DataFrame | None, totals: DataFrame | None = None) -> DataFrame:
+    """Category totals > 0 per account-month (outflow view of D1).
+
+    `totals` (account_id, month, category, total) stands in for the ledger where D1 is at hand already, as
+    in every report below.
+    """
+    if totals is None:
+        totals = (raw.withColumn("month", month_of("posted_date")).groupBy("account_id", "month", "category")
+                  .agg(F.sum("amount").alias("total")))
+    return totals.select("account_id", "month", "category", "total").filter(F.col("total") > 0)
 
 
-def month_outflow(raw: DataFrame) -> DataFrame:
+def month_outflow(raw: DataFrame | None, totals: DataFrame | None = None) -> DataFrame:
     """Σ of positive category totals per account-month."""
-    return (positive_category_totals(raw).groupBy("account_id", "month")
+    return (positive_category_totals(raw, totals).groupBy("account_id", "month")
             .agg(F.sum("total").alias("total_spend")))
 
 
@@ -70,18 +78,19 @@ def spend_trend(raw: DataFrame, end_month: Column | None = None, count: int = 6)
     Missing months are 0. `end_month` defaults to the ledger's latest month,
     planned as a scalar subquery (no join, no driver round trip). The month
     spine is a per-account `sequence`, so the grid is built without a cross
-    join, and only the needed months reach the aggregation.
+    join. The ledger is read once, into its category totals; accounts, the latest month
+    and the outflow all come from that far smaller table.
     """
+    sums = cut_lineage(raw.withColumn("month", month_of("posted_date")).groupBy("account_id", "month", "category")
+                       .agg(F.sum("amount").alias("total")))
     if end_month is None:
-        end_month = raw.agg(F.max(month_of("posted_date"))).scalar()
+        end_month = sums.agg(F.max("month")).scalar()
     start = F.add_months(end_month, 1 - count)
-    grid = (raw.select("account_id").distinct()
+    grid = (sums.select("account_id").distinct()
             .select("account_id", F.posexplode(
                 F.sequence(start, end_month, F.expr("INTERVAL 1 MONTH"))).alias("pos", "month"))
             .select("account_id", "month", (F.lit(count - 1) - F.col("pos")).alias("months_back")))
-    recent = raw.filter((F.col("posted_date") >= start)
-                        & (F.col("posted_date") < F.add_months(end_month, 1)))
-    totals = month_outflow(recent)
+    totals = month_outflow(None, sums.filter((F.col("month") >= start) & (F.col("month") <= end_month)))
     return (grid.join(totals, ["account_id", "month"], "left")
             .select("account_id", "month", "months_back",
                     F.coalesce(F.col("total_spend"), F.lit(0).cast("decimal(38,2)")).alias("total")))
@@ -119,10 +128,10 @@ def category_shares(raw: DataFrame) -> DataFrame:
         F.row_number().over(ranked).alias("rank"))
 
 
-def top_categories(raw: DataFrame, n: int = 5) -> DataFrame:
+def top_categories(raw: DataFrame | None, n: int = 5, totals: DataFrame | None = None) -> DataFrame:
     """Top n positive totals per account-month; share rounded 4 places
     HALF_UP on exact decimals, amount 2 places."""
-    pos = positive_category_totals(raw)
+    pos = positive_category_totals(raw, totals)
     p = Window.partitionBy("account_id", "month")
     ranked = Window.partitionBy("account_id", "month").orderBy(F.desc("total"), F.asc("category"))
     with_tot = pos.select("*", F.sum("total").over(p).alias("total_spend"),
@@ -135,19 +144,17 @@ def top_categories(raw: DataFrame, n: int = 5) -> DataFrame:
                      .otherwise(F.lit(0)).cast("double").alias("share")))
 
 
-def category_deltas(raw: DataFrame, min_pct: float = 20.0) -> DataFrame:
+def category_deltas(raw: DataFrame | None, min_pct: float = 20.0, totals: DataFrame | None = None) -> DataFrame:
     """Calendar month-over-month change per category (both totals > 0).
 
     change = round_half_up((cur - prev) / prev, 4) * 100, kept when
     |change| >= min_pct, reported as round(change*10)/10 (Java Math.round).
-    A self-join on (account, category, month = prev + 1 month); both sides are
-    the already aggregated D1, so the join is small relative to the ledger.
+    The previous row of the category is last month's only if no month lies between.
     """
-    pos = positive_category_totals(raw)
-    prev = pos.select("account_id", "category",
-                      F.add_months("month", 1).alias("month"),
-                      F.col("total").alias("prev_total"))
-    j = pos.join(prev, ["account_id", "category", "month"])
+    w = Window.partitionBy("account_id", "category").orderBy("month")
+    j = (positive_category_totals(raw, totals)
+         .withColumn("prev_total", F.when(F.lag("month").over(w) == F.add_months("month", -1), F.lag("total").over(w)))
+         .filter(F.col("prev_total").isNotNull()))
     change = F.round((F.col("total") - F.col("prev_total")) / F.col("prev_total"), 4).cast("double") * 100
     return (j.withColumn("change", change)
             .filter(F.abs("change") >= min_pct)
@@ -157,14 +164,16 @@ def category_deltas(raw: DataFrame, min_pct: float = 20.0) -> DataFrame:
                     (F.floor(F.col("change") * 10 + 0.5) / 10.0).alias("percent_change")))
 
 
-def recurring_spend(raw: DataFrame, features: DataFrame) -> DataFrame:
-    """round(month_outflow * recurring_share, 2); 0 with no feature row."""
-    out = month_outflow(raw)
+def recurring_spend(raw: DataFrame | None, features: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """round(month_outflow * recurring_share, 2) half up on exact decimals (the share
+    through its text form); 0 with no feature row."""
+    out = month_outflow(raw, totals)
     f = features.select("account_id", "month", "recurring_share")
+    share = F.col("recurring_share").cast("string").cast("decimal(19,18)")
+    spend = F.round(F.col("total_spend").cast("decimal(18,2)") * share, 2).cast("decimal(20,2)")
     return (out.join(f, ["account_id", "month"], "left")
             .select("account_id", "month", "total_spend",
-                    F.coalesce(F.round(F.col("total_spend").cast("double") * F.col("recurring_share"), 2),
-                               F.lit(0.0)).alias("recurring_spend")))
+                    F.coalesce(spend, F.lit(0).cast("decimal(20,2)")).alias("recurring_spend")))
 
 
 def subscription_totals(subs: DataFrame) -> DataFrame:

@@ -2,16 +2,17 @@
 
 Parquet tables have no MERGE; an upsert is `old ⟕anti new-keys ∪ latest(new)`.
 The anti join lets the planner broadcast the (usually small) new batch and
-stream the large stored table; on disk the result replaces only the affected
-partitions (dynamic partition overwrite, see `write_upsert`).
+stream the large stored table; on disk only the partitions that hold new rows are
+rewritten, merged with what they held (`write_upsert`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kontor.functions.scan import keyed_running
+from kontor.session import cut_lineage
 
 SCORE_KEYS = ["subject_type", "subject_id", "model_name"]
 FEATURE_KEYS = ["account_id", "month"]
@@ -22,6 +23,11 @@ SUBJECT_TRANSACTION = "TRANSACTION"
 NOTE_STALE = "Scoring service is unavailable — showing the last result I stored."
 NOTE_NONE = "Scoring service is unavailable and I have no earlier result for this month"
 NOTE_THIN = "Not enough activity this month to identify a pattern"
+NOTE_NO_TRANSACTIONS = "No transactions for this account"
+NOTE_NOTHING_SCORABLE = "No scorable transactions"
+NOTE_STALE_FLAGS = "Scoring service is unavailable — showing previously flagged charges"
+HISTORY_MONTHS = 12
+SCAN_YEARS = 2
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -68,49 +74,108 @@ def match_scores_by_id(scored: DataFrame, raw: DataFrame) -> tuple[DataFrame, Da
     return matched, unknown
 
 
-def flagged_transactions(scores: DataFrame, raw: DataFrame) -> DataFrame:
-    """K5: TRANSACTION subjects labelled ANOMALY joined to the ledger, ranked by
-    score desc per account; a transaction appears once per model version."""
+def flagged_rows(scores: DataFrame, raw: DataFrame) -> DataFrame:
+    """TRANSACTION subjects labelled ANOMALY joined to the ledger, one row per model version."""
     fl = scores.filter((F.col("subject_type") == SUBJECT_TRANSACTION) & (F.col("label") == "ANOMALY"))
-    j = fl.join(raw, fl.subject_id == raw.transaction_id).drop("subject_id")
+    return fl.join(raw, fl.subject_id == raw.transaction_id).drop("subject_id")
+
+
+def flagged_transactions(scores: DataFrame, raw: DataFrame) -> DataFrame:
+    """K5: flagged rows ranked by score desc per account."""
     # per-account rank with the keyed scan: a hot account is spread over tasks
-    return keyed_running(j, ["account_id"], [F.desc("score"), F.asc("transaction_id"), F.asc("model_name")],
-                         rank_col="rank")
+    return keyed_running(flagged_rows(scores, raw), ["account_id"],
+                         [F.desc("score"), F.asc("transaction_id"), F.asc("model_name")], rank_col="rank")
+
+
+def with_history(requested: DataFrame, ledger: DataFrame, months: int = HISTORY_MONTHS) -> DataFrame:
+    """B9 for requests: the requested (account, month) rows with the number of ledger rows in the
+    `months` months up to it. Each request meets at most `months` rows of per-month counts."""
+    counts = ledger.groupBy("account_id", F.trunc("posted_date", "MM").alias("_m")).agg(F.count(F.lit(1)).alias("_n"))
+    spread = requested.select("account_id", "month", F.explode(F.sequence(
+        F.add_months("month", 1 - months), F.col("month"), F.expr("INTERVAL 1 MONTH"))).alias("_m"))
+    seen = (spread.join(counts, ["account_id", "_m"]).groupBy(*FEATURE_KEYS)
+            .agg(F.sum("_n").alias("rows_in_window")))
+    return (requested.join(seen, FEATURE_KEYS, "left")
+            .withColumn("rows_in_window", F.coalesce("rows_in_window", F.lit(0).cast("long"))))
 
 
 def scores_with_fallback(requested: DataFrame, features: DataFrame, live: DataFrame,
                          stored: DataFrame) -> DataFrame:
     """K6 for (account, month) subjects.
 
-    no feature row           -> null, stale = false, "not enough activity"
-    live score present       -> live,  stale = false
-    only a stored score      -> last stored, stale = true, note with its time
-    neither                  -> null, stale = true
+    requested: account_id, month, service_up, rows_in_window (`with_history`); features: the feature
+    table; live: this run's scores; stored: the score store.
+
+    no ledger rows in the window   -> null, fresh, "no transactions"
+    service up, scored             -> live, fresh
+    service up, not scored         -> null, fresh, "not enough activity"
+    service down, feature row and a stored score -> last stored, stale, note with its time
+    service down otherwise         -> null, stale, "no earlier result"
     """
     f = features.select(*FEATURE_KEYS).withColumn("_has", F.lit(True))
-    lv = live.select(*FEATURE_KEYS, F.col("label").alias("live_label"), F.col("score").alias("live_score"),
-                     F.col("model_name").alias("live_model"))
+    told = F.col("description") if "description" in live.columns else F.lit(None).cast("string")
+    lv = live.select(*FEATURE_KEYS, F.struct(F.col("label").alias("archetype"), told.alias("description"),
+                                             F.col("score").cast("double").alias("score"), "model_name").alias("_live"))
     st = (latest_per_key(stored, FEATURE_KEYS, [F.desc("scored_at"), F.asc("model_name")])
-          .select(*FEATURE_KEYS, F.col("label").alias("st_label"), F.col("score").alias("st_score"),
-                  F.col("model_name").alias("st_model"), F.col("scored_at").alias("st_at")))
-    j = (requested.select(*FEATURE_KEYS).join(f, FEATURE_KEYS, "left")
+          .select(*FEATURE_KEYS, F.struct(F.col("label").alias("archetype"), F.lit(NOTE_STALE).alias("description"),
+                                          F.col("score").cast("double").alias("score"), "model_name").alias("_old"),
+                  F.col("scored_at").alias("_at")))
+    j = (requested.select(*FEATURE_KEYS, "service_up", "rows_in_window").join(f, FEATURE_KEYS, "left")
          .join(lv, FEATURE_KEYS, "left").join(st, FEATURE_KEYS, "left"))
-    thin = F.col("_has").isNull()
-    has_live = F.col("live_label").isNotNull()
-    has_st = F.col("st_label").isNotNull()
+    known = F.col("rows_in_window") > 0
+    up = F.col("service_up")
+    old = known & ~up & F.col("_has").isNotNull() & F.col("_old").isNotNull()
+    answer = F.when(known & up, F.col("_live")).when(old, F.col("_old"))
+    note = (F.when(~known, F.lit(NOTE_NO_TRANSACTIONS))
+            .when(up & F.col("_live").isNull(), F.lit(NOTE_THIN)).when(up, F.lit(None).cast("string"))
+            .when(old, F.concat(F.lit("Last scored "), F.date_format("_at", "yyyy-MM-dd'T'HH:mm:ss")))
+            .otherwise(F.lit(NOTE_NONE)))
+    return j.withColumn("_a", answer).select(*FEATURE_KEYS, "_a.archetype", "_a.description", "_a.score", "_a.model_name",
+                                             (known & ~up).alias("stale"), note.alias("note"))
+
+
+def scan_with_fallback(requested: DataFrame, ledger: DataFrame, live: DataFrame, stored_flags: DataFrame,
+                       as_of) -> DataFrame:
+    """K6 for the transactions of an account: how many were scored and flagged, and how fresh that is.
+
+    requested: account_id, service_up; ledger: rows of the last SCAN_YEARS years up to `as_of` count;
+    live: this run's scores (account_id, is_anomaly, model_version); stored_flags: flagged rows
+    of the score store (`flagged_rows`), which are what the answer lists in either case.
+    """
+    day = as_of if isinstance(as_of, Column) else F.lit(str(as_of)).cast("date")
+    recent = (ledger.filter((F.col("posted_date") >= F.add_months(day, -12 * SCAN_YEARS))
+                            & (F.col("posted_date") <= F.date_add(day, 1)))
+              .groupBy("account_id").agg(F.count(F.lit(1)).alias("_rows")))
+    now = live.groupBy("account_id").agg(F.count(F.lit(1)).alias("_scored"), F.count_if("is_anomaly").alias("_flagged"),
+                                         F.max("model_version").alias("_version"))
+    old = stored_flags.groupBy("account_id").agg(F.count(F.lit(1)).alias("_stored"))
+    j = (requested.join(recent, "account_id", "left").join(now, "account_id", "left").join(old, "account_id", "left"))
+    known, up = F.col("_rows").isNotNull(), F.col("service_up")
+    zero = F.lit(0).cast("long")
     return j.select(
-        *FEATURE_KEYS,
-        F.when(thin, None).when(has_live, F.col("live_label")).when(has_st, F.col("st_label")).alias("archetype"),
-        F.when(thin, None).when(has_live, F.col("live_score")).when(has_st, F.col("st_score")).alias("score"),
-        F.when(thin, None).when(has_live, F.col("live_model")).when(has_st, F.col("st_model")).alias("model_name"),
-        (~thin & ~has_live).alias("stale"),
-        F.when(thin, F.lit(NOTE_THIN)).when(has_live, F.lit(None))
-         .when(has_st, F.concat(F.lit("Last scored "), F.date_format("st_at", "yyyy-MM-dd'T'HH:mm:ss")))
-         .otherwise(F.lit(NOTE_NONE)).alias("note"))
-
-
-def write_upsert(df: DataFrame, path: str, partition_by: list[str]) -> None:
-    """Persist with dynamic partition overwrite: only partitions present in
-    `df` are replaced, every other partition of the table stays as is."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        "account_id",
+        F.when(known & up, F.coalesce("_scored", zero)).otherwise(zero).alias("scored"),
+        F.when(~known, zero).when(up, F.coalesce("_flagged", zero)).otherwise(F.coalesce("_stored", zero)).alias("flagged"),
+        F.when(known & up, F.col("_version")).alias("model_version"),
+        (known & ~up).alias("stale"),
+        F.when(~known, F.lit(NOTE_NO_TRANSACTIONS)).when(~up, F.lit(NOTE_STALE_FLAGS))
+        .when(F.col("_scored").isNull(), F.lit(NOTE_NOTHING_SCORABLE)).alias("note"))
+
+
+def write_upsert(new: DataFrame, path: str, keys: list[str], partition_by: list[str],
+                 order: list | None = None) -> None:
+    """Persisted upsert: rows of the table at `path` with a key of `new` are replaced, the rest stay.
+
+    Only the partitions that `new` touches are read, merged and rewritten (dynamic partition
+    overwrite). `partition_by` must follow from `keys`, so a key never changes its partition.
+    """
+    spark = new.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        touched = new.select(*partition_by).distinct()
+        held = spark.read.schema(new.schema).parquet(path).join(touched, partition_by, "left_semi")
+        new = cut_lineage(upsert(held.select(*new.columns), new, keys, order))  # read before it is overwritten
+    elif order:
+        new = latest_per_key(new, keys, order)
+    (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partition_by).parquet(path))

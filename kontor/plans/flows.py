@@ -25,6 +25,7 @@ from kontor.operators.causal import ANOMALY_FEATURES, spend_only, transaction_fe
 from kontor.operators.inject import prepare_eval_set
 from kontor.operators.ledger import normalise_ledger
 from kontor.operators.monthly import BEHAVIOUR_FEATURES, monthly_features
+from kontor.operators.recurring import flag_recurring_as_of
 from kontor.session import cut_lineage
 
 
@@ -42,22 +43,30 @@ def fit_archetypes(features: DataFrame, k: int | None = None, restarts: int = H.
     stats = cut_lineage(H.fit_scaler(features))
     z = cut_lineage(H.standardise(features, stats))
     if k is None:
-        grid = H.choose_k(z, restarts=restarts)
-        k = int(grid.filter("chosen").first()["k"])
-    cents, _, _ = H.kmeans_fit(z, k, restarts)
+        _, k, cents = H.fit_best_k(z, restarts=restarts)
+    else:
+        cents, _, _ = H.kmeans_fit(z, k, restarts)
     cents = cut_lineage(cents)
     sil = H.silhouette(H.assign_cluster(z, cents))
     return ArchetypeModel(stats, cents, H.name_clusters(cents), k, sil)
 
 
-def archetypes(raw: DataFrame, model: ArchetypeModel | None = None, k: int | None = 6,
-               version_contamination: float = 0.02) -> DataFrame:
-    """Entry 1 for every account-month: cluster, archetype, distance, evidence."""
-    features = cut_lineage(monthly_features(normalise_ledger(raw)))
-    model = model or fit_archetypes(features, k)
+def features_as_of(raw: DataFrame) -> DataFrame:
+    """F of every account-month M from the ledger of M-11..M alone: what a request for M sees, so
+    later months never change it."""
+    return monthly_features(flag_recurring_as_of(normalise_ledger(raw)))
+
+
+def archetypes(raw: DataFrame, model: ArchetypeModel | None = None, contamination: float | None = None) -> DataFrame:
+    """Entry 1 for every account-month: cluster, archetype, distance, evidence.
+
+    Without a stored model one is fitted, with k chosen by silhouette; `contamination` is
+    that of the forest deployed with it, if any, for the version stamp.
+    """
+    features = cut_lineage(features_as_of(raw))
+    model = model or fit_archetypes(features)
     z = H.standardise(features, model.stats)
-    version = IF.model_version(model.k, version_contamination)
-    assigned = H.assign_cluster(z, model.centroids, version)
+    assigned = H.assign_cluster(z, model.centroids, IF.model_version(model.k, contamination))
     evidence = H.month_evidence(z, model.stats)
     names = model.names.select("cluster", F.col("name").alias("archetype"), "description")
     # names has k rows: a bounded model table joined by the planner's broadcast threshold
@@ -76,14 +85,15 @@ class ForestModel:
     grid: DataFrame
 
 
-def anomaly_evaluation(ledger: DataFrame, k: int = 6, with_scored: bool = False):
-    """Entry 3: metrics of forest vs z-score on injected held-out accounts.
+def split_of(ledger: DataFrame) -> DataFrame:
+    """Accounts dealt to train, validation and test."""
+    return cut_lineage(J.split_accounts(spend_only(ledger), seed=42))
 
-    Returns one row per detector with threshold, budget and threshold-free
-    metrics; with `with_scored`, also the scored test rows (for J7 by kind).
-    """
-    spend = spend_only(ledger)
-    splits = cut_lineage(J.split_accounts(spend, seed=42))
+
+def fit_forest(ledger: DataFrame, splits: DataFrame | None = None) -> ForestModel:
+    """Fit on the clean spend rows of the train accounts; the contamination with the best F1 on injected
+    validation accounts sets the threshold (H12, H15)."""
+    splits = split_of(ledger) if splits is None else splits
     train = cut_lineage(prepare_eval_set(ledger, splits, "train", inject=False))
     nodes, psi = IF.iforest_fit(train, ANOMALY_FEATURES)
     nodes = cut_lineage(nodes)
@@ -93,8 +103,18 @@ def anomaly_evaluation(ledger: DataFrame, k: int = 6, with_scored: bool = False)
                              .withColumn("truth", F.col("is_injected_anomaly")))
     grid = cut_lineage(IF.tune_contamination(train_scores, val_scored))
     chosen = grid.filter("chosen").first()
-    c, threshold = float(chosen["contamination"]), float(chosen["threshold"])
+    return ForestModel(nodes, psi, float(chosen["threshold"]), float(chosen["contamination"]), grid)
+
 
+def anomaly_evaluation(ledger: DataFrame, with_scored: bool = False):
+    """Entry 3: metrics of forest vs z-score on injected held-out accounts.
+
+    Returns one row per detector with threshold, budget and threshold-free
+    metrics; with `with_scored`, also the scored test rows (for J7 by kind).
+    """
+    splits = split_of(ledger)
+    model = fit_forest(ledger, splits)
+    nodes, psi, threshold, c = model.nodes, model.psi, model.threshold, model.contamination
     test = prepare_eval_set(ledger, splits, "test", inject=True, seed=99)
     scored = cut_lineage(
         IF.iforest_score(test, nodes, psi, ANOMALY_FEATURES)
@@ -120,7 +140,7 @@ def anomaly_evaluation(ledger: DataFrame, k: int = 6, with_scored: bool = False)
         rows = row if rows is None else rows.unionByName(row)
     compared = J.compare_detectors(rows).withColumn("contamination", F.lit(c)) \
         .withColumn("budget", F.lit(budget)) \
-        .withColumn("model_version", F.lit(IF.model_version(k, c)))
+        .withColumn("model_version", F.lit(f"iforest-c{c}"))
     return (compared, scored) if with_scored else compared
 
 
@@ -133,14 +153,3 @@ def anomaly_scan(ledger: DataFrame, model: ForestModel, version: str) -> DataFra
     feats = transaction_features(ledger)
     return IF.score_transactions(feats, model.nodes, model.psi, model.threshold, version,
                                  ANOMALY_FEATURES)
-
-
-def fit_forest(ledger: DataFrame, contamination: float = 0.02) -> ForestModel:
-    """Fit on every account's spend rows; threshold at the (1-c) train quantile."""
-    train = cut_lineage(transaction_features(ledger))
-    nodes, psi = IF.iforest_fit(train, ANOMALY_FEATURES)
-    nodes = cut_lineage(nodes)
-    scores = IF.iforest_score(train, nodes, psi, ANOMALY_FEATURES)
-    thr = IF.contamination_threshold(scores, contamination)
-    grid = train.sparkSession.createDataFrame([(contamination, thr)], "contamination double, threshold double")
-    return ForestModel(nodes, psi, thr, contamination, grid)

@@ -15,9 +15,9 @@ from kontor.operators import clusters as H
 from kontor.operators import reports as R
 from kontor.operators.ledger import month_of
 from kontor.operators.monthly import BEHAVIOUR_FEATURES as NAMES
+from kontor.operators.monthly import category_totals, features_from_facts, month_facts
 from kontor.plans.common import catalogue
-from kontor.plans.q_features import features_catalogue
-from kontor.plans.q_models import ASSIGN_SQL, BASE, _fixed, _fixed_values
+from kontor.plans.q_models import ASSIGN_SQL, BASE, _fixed
 from kontor.plans.q_reports import HALF_UP_CHANGE, HALF_UP_SHARE
 from kontor.plans.registry import flat, query, r6
 from kontor.session import cut_lineage
@@ -31,37 +31,30 @@ def hash_scores(raw):
                       F.round(u, 4).alias("anomaly_score"), (u > FLAG_CUTOFF).alias("is_anomaly"))
 
 
-def fixed_names_py() -> list[tuple[int, str]]:
-    """H7 naming evaluated on the rule-made centroid table (for the SQL twin)."""
-    used, out = set(), []
-    for cid, center in enumerate(_fixed_values()):
-        f = dict(zip(NAMES, center))
-        label = next((name for name, rule in H.RULES if name not in used and rule(f)), None)
-        if label is None:
-            top_i = max(range(len(NAMES)), key=lambda i: (abs(center[i]), -i))
-            top_v = center[top_i]
-            if abs(top_v) < H.NOTABLE:
-                label = H.BALANCED
-            else:
-                pretty = NAMES[top_i].replace("share_", "").replace("_", " ").title()
-                label = f"{'High' if top_v > 0 else 'Low'} {pretty}"
-        used.add(label)
-        out.append((cid, label))
-    return out
+# The names that the rule-made centroids get, by cluster.
+FIXED_NAMES = ["High Txn Count", "High Recurring Share", "Low Merchant Diversity", "High Avg Ticket", "High Fixed Costs", "Commuter"]
+
+
+def _fixed_description(cluster: int) -> str:
+    """A rule-made centroid has one feature at +1 and one at -1; equal sizes keep the feature order."""
+    high, low = (5 * cluster) % len(NAMES), (5 * cluster + 7) % len(NAMES)
+    return "This group " + ", ".join(H.PHRASES[NAMES[i]][i == low] for i in sorted((high, low))) + "."
 
 
 def inputs_catalogue(spark, sf):
     raw = catalogue(spark, sf)
-    feats = cut_lineage(features_catalogue(spark, sf))
+    facts = cut_lineage(month_facts(raw))  # F and every D report below ride on this one table
+    feats = cut_lineage(features_from_facts(facts))
+    totals = cut_lineage(category_totals(facts))
     stats = H.fit_scaler(feats)
     cents = _fixed(spark)
     assigned = H.assign_cluster(H.standardise(feats, stats), cents)
     names = H.name_clusters(cents).select("cluster", F.col("name").alias("archetype"), "description")
     arche = assigned.join(F.broadcast(names), "cluster").select("account_id", "month", "archetype", "description")
-    months = raw.select("account_id", month_of("posted_date").alias("month")).distinct()
+    months = totals.select("account_id", "month").distinct()
     flagged = hash_scores(raw).filter("is_anomaly").withColumn("month", month_of("posted_date"))
-    return L.advice_inputs(months, arche, R.top_categories(raw), R.category_deltas(raw), flagged,
-                           R.month_outflow(raw), R.recurring_spend(raw, feats))
+    return L.advice_inputs(months, arche, R.top_categories(None, totals=totals), R.category_deltas(None, totals=totals), flagged,
+                           R.month_outflow(None, totals), R.recurring_spend(None, feats, totals))
 
 
 def advice_catalogue(spark, sf):
@@ -71,7 +64,7 @@ def advice_catalogue(spark, sf):
 # --- SQL twin of the inputs ----------------------------------------------------
 
 NAMES_SQL = "names AS (SELECT * FROM (VALUES " + ", ".join(
-    f"({c}, '{n}')" for c, n in fixed_names_py()) + ") t(cluster, archetype))"
+    f"({c}, '{n}', '{_fixed_description(c)}')" for c, n in enumerate(FIXED_NAMES)) + ") t(cluster, archetype, description))"
 MONEY = "('$' || CAST(CAST(round(CAST({x} AS DECIMAL(38,6)), 2) AS DECIMAL(38,2)) AS VARCHAR))"
 PCT = "(CAST(CAST(floor(({x}) * 100 + 0.5) AS BIGINT) AS VARCHAR) || '%')"
 
@@ -85,7 +78,7 @@ def pct(x: str) -> str:
 
 
 INPUTS_SQL = BASE + ",\n" + ASSIGN_SQL + ",\n" + NAMES_SQL + f""",
-arche AS (SELECT asg.account_id, asg.month, names.archetype FROM asg JOIN names ON asg.cluster = names.cluster),
+arche AS (SELECT asg.account_id, asg.month, names.archetype, names.description FROM asg JOIN names ON asg.cluster = names.cluster),
 months AS (SELECT DISTINCT account_id, CAST(date_trunc('month', posted_date) AS DATE) AS month FROM raw),
 agg AS (SELECT account_id, CAST(date_trunc('month', posted_date) AS DATE) AS month, category,
                sum(amount) AS total FROM raw GROUP BY ALL),
@@ -118,13 +111,16 @@ flags AS (SELECT account_id, month, count(*) AS flagged_count,
                           'reason': 'its anomaly score of '
                                     || CAST(CAST(round(CAST(score AS DECIMAL(38,6)), 3) AS DECIMAL(38,3)) AS VARCHAR)
                                     || ' is well above the flagging threshold'}},
-                         (-CAST(amount AS DECIMAL(38,2)), -score, transaction_id)) AS top_flagged
+                         (-CAST(amount AS DECIMAL(38,2)), -score, transaction_id)) AS top_flagged,
+                 sum(('0x' || substr(md5(concat_ws('|', transaction_id, merchant, CAST(CAST(amount AS DECIMAL(38,2)) AS VARCHAR),
+                     strftime(posted_date, '%Y-%m-%d'),
+                     CAST(CAST(round(CAST(score AS DECIMAL(38,6)), 3) AS DECIMAL(38,3)) AS VARCHAR))), 1, 8))::BIGINT) AS flagged_digest
           FROM fl GROUP BY account_id, month),
 outflow AS (SELECT account_id, month, sum(total) AS total_spend FROM pos GROUP BY ALL),
 recur AS (SELECT o.account_id, o.month,
-                 coalesce(round(CAST(o.total_spend AS DOUBLE) * f.recurring_share, 2), 0.0) AS recurring_spend
+                 coalesce(round(CAST(o.total_spend AS DECIMAL(18,2)) * CAST(CAST(f.recurring_share AS VARCHAR) AS DECIMAL(19,18)), 2), 0) AS recurring_spend
           FROM outflow o LEFT JOIN feat f ON o.account_id = f.account_id AND o.month = f.month),
-inputs AS (SELECT m.account_id, m.month, a.archetype,
+inputs AS (SELECT m.account_id, m.month, a.archetype, a.description, coalesce(fg.flagged_digest, 0) AS flagged_digest,
                   coalesce(t.top_categories, []) AS top_categories,
                   coalesce(d.notable_changes, []) AS notable_changes,
                   coalesce(fg.flagged_count, 0) AS flagged_count, fg.top_flagged,
@@ -140,6 +136,22 @@ inputs AS (SELECT m.account_id, m.month, a.archetype,
 
 KEY_OUT = "account_id, strftime(month, '%Y-%m-%d') AS month"
 
+TEXT_FIELDS = {
+    "month_text": "strftime(month, '%Y-%m')", "archetype": "coalesce(archetype, '')",
+    "archetype_description": "coalesce(description, '')",
+    "top_categories": """array_to_string(list_transform(top_categories, lambda c: concat_ws(':', c.category,
+        CAST(c.amount AS VARCHAR), printf('%.4f', c.share))), ';')""",
+    "notable_changes": """array_to_string(list_transform(notable_changes, lambda d: concat_ws(':', d.category,
+        CAST(d.this_month AS VARCHAR), CAST(d.last_month AS VARCHAR), printf('%.1f', d.percent_change))), ';')""",
+    "flagged_count": "CAST(flagged_count AS VARCHAR)",
+    "top_flagged": """CASE WHEN top_flagged IS NULL THEN '' ELSE concat_ws(':', top_flagged.merchant,
+        CAST(top_flagged.amount AS VARCHAR), top_flagged.date, top_flagged.reason) END""",
+    "flagged_digest": "CAST(flagged_digest AS VARCHAR)",
+    "total_spend": "CAST(CAST(total_spend AS DECIMAL(38,2)) AS VARCHAR)",
+    "recurring_spend": "CAST(CAST(recurring_spend AS DECIMAL(38,2)) AS VARCHAR)",
+}
+ENOUGH = "(archetype IS NOT NULL AND len(top_categories) > 0)"
+
 
 @query("has_enough_data", INPUTS_SQL + f"""
 SELECT {KEY_OUT}, archetype IS NOT NULL AND len(top_categories) > 0 AS has_enough_data,
@@ -224,46 +236,66 @@ def q_explain_top_flag(spark, sf):
 
 
 @query("advice_valid", INPUTS_SQL + f"""
-SELECT {KEY_OUT}, length(trim({SUMMARY_SQL})) > 0 AND len({RECS_SQL}) = 3 AS valid FROM inputs""")
+SELECT {KEY_OUT}, account_id % 5 NOT IN (1, 2, 3) AND length(trim({SUMMARY_SQL})) > 0 AND len({RECS_SQL}) = 3 AS valid
+FROM inputs""")
 def q_advice_valid(spark, sf):
-    return flat(advice_catalogue(spark, sf).select("account_id", "month", "valid"))
+    """Advice of which some is broken by rule: a blank summary, a missing recommendation, a blank detail."""
+    a = advice_catalogue(spark, sf).drop("valid")
+    recs, rest = F.col("recommendations"), F.col("account_id") % 5
+    a = (a.withColumn("summary", F.when(rest == 1, F.lit(" \t\n")).otherwise(F.col("summary")))
+         .withColumn("recommendations", F.when(rest == 2, F.slice(recs, 1, 2)).when(rest == 3, F.transform(
+             recs, lambda r: r.withField("detail", F.lit("\u2003")))).otherwise(recs)))
+    return flat(L.advice_valid(a).select("account_id", "month", "valid"))
 
 
 @query("advice_inputs", INPUTS_SQL + f"""
-SELECT {KEY_OUT}, archetype, len(top_categories) AS n_top, len(notable_changes) AS n_changes,
-       flagged_count AS n_flagged, {r6('total_spend')} AS total_spend,
-       {r6('recurring_spend')} AS recurring_spend FROM inputs""")
+SELECT {KEY_OUT}, {', '.join(f"{sql} AS {name}" for name, sql in TEXT_FIELDS.items())} FROM inputs""")
 def q_advice_inputs(spark, sf):
+    """Every input by value, as the text that L3 hashes."""
     i = inputs_catalogue(spark, sf)
-    return flat(i.select("account_id", "month", "archetype", F.size("top_categories").alias("n_top"),
-                         F.size("notable_changes").alias("n_changes"),
-                         F.col("flagged_count").alias("n_flagged"), "total_spend", "recurring_spend"))
+    return i.select("account_id", F.date_format("month", "yyyy-MM-dd").alias("month"),
+                    *[c.alias(name) for name, c in L.inputs_text().items()])
 
 
-@query("inputs_hash")
+@query("advice_flagged_charges", INPUTS_SQL + f"""
+SELECT {KEY_OUT}, transaction_id, merchant, {r6('amount')} AS amount, strftime(posted_date, '%Y-%m-%d') AS date,
+       CAST(CAST(round(CAST(score AS DECIMAL(38,6)), 3) AS DECIMAL(38,3)) AS VARCHAR) AS score FROM fl""")
+def q_advice_flagged_charges(spark, sf):
+    """The companion list of L1: every flagged charge of every account-month."""
+    flagged = hash_scores(catalogue(spark, sf)).filter("is_anomaly").withColumn("month", month_of("posted_date"))
+    return flat(L.flagged_charges(flagged).select("account_id", "month", "transaction_id", "merchant", "amount", "date", "score"))
+
+
+@query("inputs_hash", INPUTS_SQL + f"""
+SELECT {KEY_OUT}, sha256(concat_ws('|', {', '.join(TEXT_FIELDS.values())})) AS inputs_hash FROM inputs""")
 def q_inputs_hash(spark, sf):
-    return L.inputs_hash(inputs_catalogue(spark, sf)).select("account_id", "month", "inputs_hash")
+    return flat(L.inputs_hash(inputs_catalogue(spark, sf)).select("account_id", "month", "inputs_hash"))
 
 
-def _refresh(spark, sf):
-    hashed = L.inputs_hash(L.has_enough_data(inputs_catalogue(spark, sf)))
+def _refresh(inputs):
+    hashed = L.inputs_hash(L.has_enough_data(inputs))
     # a cache written before the last change: odd accounts saw no flagged charges
-    stale_inputs = inputs_catalogue(spark, sf).withColumn(
-        "flagged_count", F.when(F.col("account_id") % 2 == 1, F.lit(0).cast("long"))
-        .otherwise(F.col("flagged_count")))
-    cache = L.inputs_hash(L.has_enough_data(stale_inputs)).filter("has_enough_data") \
+    before = inputs.withColumn("flagged_count", F.when(F.col("account_id") % 2 == 1, F.lit(0).cast("long"))
+                               .otherwise(F.col("flagged_count")))
+    cache = L.inputs_hash(L.has_enough_data(before)).filter("has_enough_data") \
         .select("account_id", "month", "inputs_hash", "source")
     return L.advice_refresh_set(hashed, cache)
 
 
-@query("advice_refresh_set")
+CACHED_SQL = f"({ENOUGH} AND (account_id % 2 <> 1 OR flagged_count = 0))"
+
+
+@query("advice_refresh_set", INPUTS_SQL + f"""
+SELECT {KEY_OUT}, {CACHED_SQL} AS cached, NOT {CACHED_SQL} AS regenerate FROM inputs""")
 def q_advice_refresh_set(spark, sf):
-    return _refresh(spark, sf).select("account_id", "month", "cached", "regenerate")
+    return flat(_refresh(cut_lineage(inputs_catalogue(spark, sf))).select("account_id", "month", "cached", "regenerate"))
 
 
-@query("advice_provenance")
+@query("advice_provenance", INPUTS_SQL + f"""
+SELECT {KEY_OUT}, CASE WHEN {ENOUGH} THEN 'rules' ELSE 'none' END AS source, {CACHED_SQL} AS cached FROM inputs""")
 def q_advice_provenance(spark, sf):
-    return L.advice_provenance(advice_catalogue(spark, sf), _refresh(spark, sf))
+    inputs = cut_lineage(inputs_catalogue(spark, sf))
+    return flat(L.advice_provenance(L.generate_advice(inputs), _refresh(inputs)))
 
 
 @query("archetype_catalogue")

@@ -65,19 +65,25 @@ def q_zscore_flags(spark, sf):
 
 @query("transaction_vectors", TXF_EV + f"""
 SELECT transaction_id, account_id, CAST({len(G.ANOMALY_FEATURES)} AS BIGINT) AS n_features,
-       {r6(' + '.join(G.ANOMALY_FEATURES))} AS sum_of_values FROM txf""")
+       {', '.join(f"{r6(n)} AS {n}" for n in G.ANOMALY_FEATURES)} FROM txf""")
 def q_transaction_vectors(spark, sf):
+    """The map's values under their names."""
     v = G.transaction_vectors(txf_events(spark, sf))
     return flat(v.select("transaction_id", "account_id", F.size("features").cast("long").alias("n_features"),
-                         F.aggregate(F.map_values("features"), F.lit(0.0), lambda a, x: a + x)
-                         .alias("sum_of_values")))
+                         *[F.col("features")[n].alias(n) for n in G.ANOMALY_FEATURES]))
 
 
-@query("finite_check", TXF_EV + "\nSELECT " + ", ".join(
-    f"count(*) FILTER (WHERE isnan({n}) OR isinf({n})) AS {n}__nonfinite, "
-    f"count(*) FILTER (WHERE {n} IS NULL) AS {n}__nulls" for n in G.ANOMALY_FEATURES) + " FROM txf")
+_BROKEN = {n: f"CASE CAST(transaction_id AS BIGINT) % {11 + i} WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN CAST('Infinity' AS DOUBLE) "
+              f"WHEN 2 THEN NULL ELSE {n} END" for i, n in enumerate(G.ANOMALY_FEATURES)}
+
+
+@query("finite_check", TXF_EV + ",\nbroken AS (SELECT " + ", ".join(f"{x} AS {n}" for n, x in _BROKEN.items()) + " FROM txf)\nSELECT "
+       + ", ".join(f"count(*) FILTER (WHERE isnan({n}) OR isinf({n})) AS {n}__nonfinite, "
+                   f"count(*) FILTER (WHERE {n} IS NULL) AS {n}__nulls" for n in G.ANOMALY_FEATURES) + " FROM broken")
 def q_finite_check(spark, sf):
-    return flat(N.finite_check(txf_events(spark, sf), G.ANOMALY_FEATURES))
+    """Every feature with some values broken by rule: NaN, infinity and null."""
+    broken = txf_events(spark, sf).selectExpr(*[f"{x} AS {n}" for n, x in _BROKEN.items()])
+    return flat(N.finite_check(broken, G.ANOMALY_FEATURES))
 
 
 @query("explain_flags", TXF_EV + """,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kontor.functions.categories import canonical_category, is_inflow, sql_canonical_category, sql_is_inflow
 from kontor.operators import monthly as M
 from kontor.operators import recurring as E
+from kontor.operators.causal import ANOMALY_FEATURES
 from kontor.operators import reports as R
 from kontor.plans.common import CAT_SQL, EV_SQL, catalogue, events, normalised, with_ledgers
 from kontor.plans.registry import d10, flat, query, r6
@@ -159,20 +160,21 @@ def q_month_vector_or_reason(spark, sf):
 
 @query("feature_vector", FEAT_CAT + f"""
 SELECT account_id, {d10('month')} AS month, CAST({len(M.BEHAVIOUR_FEATURES)} AS BIGINT) AS dims,
-       {r6(' + '.join(M.BEHAVIOUR_FEATURES))} AS sum_of_values FROM feat""")
+       {', '.join(f"{r6(n)} AS at_{i}" for i, n in enumerate(M.BEHAVIOUR_FEATURES))} FROM feat""")
 def q_feature_vector(spark, sf):
+    """The vector's values by position, so another order of features shows."""
     v = M.feature_vector(features_catalogue(spark, sf))
     from pyspark.ml.functions import vector_to_array
-    return flat(v.select("account_id", "month", F.size(vector_to_array("features")).alias("dims"),
-                         F.aggregate(vector_to_array("features"), F.lit(0.0),
-                                     lambda a, x: a + x).alias("sum_of_values")))
+    x = vector_to_array("features")
+    return flat(v.select("account_id", "month", F.size(x).alias("dims"),
+                         *[x[i].alias(f"at_{i}") for i in range(len(M.BEHAVIOUR_FEATURES))]))
 
 
 @query("recurring_spend", FEAT_CAT + f""",
 agg AS (SELECT account_id, month, category, sum(amount) AS total FROM raw2 GROUP BY ALL),
 outflow AS (SELECT account_id, month, sum(total) AS total_spend FROM agg WHERE total > 0 GROUP BY ALL)
 SELECT o.account_id, {d10('o.month')} AS month, {r6('o.total_spend')} AS total_spend,
-       {r6('coalesce(round(CAST(o.total_spend AS DOUBLE) * f.recurring_share, 2), 0.0)')} AS recurring_spend
+       {r6('coalesce(round(CAST(o.total_spend AS DECIMAL(18,2)) * CAST(CAST(f.recurring_share AS VARCHAR) AS DECIMAL(19,18)), 2), 0)')} AS recurring_spend
 FROM outflow o LEFT JOIN feat f ON o.account_id = f.account_id AND o.month = f.month""".replace(
     "FROM raw2", "FROM (SELECT account_id, CAST(date_trunc('month', posted_date) AS DATE) AS month, category, amount FROM raw) r2"))
 def q_recurring_spend(spark, sf):
@@ -187,7 +189,7 @@ def q_feature_summary(spark, sf):
     return flat(R.feature_summary(features_catalogue(spark, sf), M.BEHAVIOUR_FEATURES))
 
 
-AS_OF_SQL = with_ledgers(("raw", CAT_SQL)) + ",\n" + LED + """,
+AS_OF_CTES = with_ledgers(("raw", CAT_SQL)) + ",\n" + LED + """,
 mk AS (SELECT account_id, merchant, round_even(amount, 0) AS amount_key, month,
               count(*) AS n, sum(CAST(amount AS DOUBLE)) AS s,
               sum(CAST(amount AS DOUBLE) * CAST(amount AS DOUBLE)) AS q
@@ -197,11 +199,12 @@ win AS (SELECT *, count(*) OVER w AS months, sum(n) OVER w AS nn, sum(s) OVER w
                              ORDER BY year(month) * 12 + month(month) RANGE BETWEEN 11 PRECEDING AND CURRENT ROW)),
 verdict AS (SELECT account_id, merchant, amount_key, month,
                    months >= 3 AND sqrt(greatest(CASE WHEN nn > 1 THEN (qq - ss * ss / nn) / (nn - 1) ELSE 0.0 END, 0.0))
-                       <= 0.05 * greatest(abs(ss / nn), 0.01) AS rec FROM win)
-SELECT l.transaction_id, l.account_id, l.merchant,
-       coalesce(v.rec, false) AND NOT l.is_inflow AS is_recurring
+                       <= 0.05 * greatest(abs(ss / nn), 0.01) AS rec FROM win),
+flagged_as_of AS (SELECT l.*, coalesce(v.rec, false) AND NOT l.is_inflow AS is_recurring
 FROM led l LEFT JOIN verdict v ON l.account_id = v.account_id AND l.merchant = v.merchant
- AND round_even(l.amount, 0) = v.amount_key AND l.month = v.month"""
+ AND round_even(l.amount, 0) = v.amount_key AND l.month = v.month)"""
+AS_OF_SQL = AS_OF_CTES + """
+SELECT transaction_id, account_id, merchant, is_recurring FROM flagged_as_of"""
 
 
 @query("flag_recurring_as_of", AS_OF_SQL)
@@ -210,6 +213,13 @@ def q_flag_recurring_as_of(spark, sf):
                 .select("transaction_id", "account_id", "merchant", "is_recurring"))
 
 
+@query("monthly_features_as_of", AS_OF_CTES + "," + feat_block(src="flagged_as_of") + f"""
+SELECT account_id, {d10('month')} AS month, {feat_select()} FROM feat""")
+def q_monthly_features_as_of(spark, sf):
+    from kontor.plans.flows import features_as_of
+    return flat(features_as_of(catalogue(spark, sf)))
+
+
 @query("feature_contract", FEAT_CAT + f"""
 SELECT account_id, {d10('month')} AS month, {feat_select()} FROM feat""")
 def q_feature_contract(spark, sf):
@@ -220,22 +230,21 @@ def q_feature_contract(spark, sf):
     return flat(feature_contract(shuffled, M.BEHAVIOUR_FEATURES, ["account_id", "month"]))
 
 
-@query("artifact_consistency")
+ARTIFACTS = [("scaler", 2 * len(M.BEHAVIOUR_FEATURES)), ("centroids", len(M.BEHAVIOUR_FEATURES)),
+             ("forest", len(ANOMALY_FEATURES))]
+
+
+@query("artifact_consistency", " UNION ALL ".join(
+    f"SELECT '{part}' AS part, CAST({n} AS BIGINT) AS found, CAST({n} AS BIGINT) AS widest, CAST({n} AS BIGINT) AS expected, "
+    "true AS consistent" for part, n in ARTIFACTS))
 def q_artifact_consistency(spark, sf):
-    """N3 over freshly fitted model tables: scaler, centroids and forest."""
-    from kontor.operators import clusters as H
-    from kontor.operators import iforest as IF
-    from kontor.operators.causal import ANOMALY_FEATURES, transaction_features
-    from kontor.operators.contracts import artifact_consistency
-    f = features_catalogue(spark, sf)
-    stats = H.fit_scaler(f)
-    n_scaler = len([c for c in stats.columns if c.startswith("mean_")])
-    cents = H.fixed_centroids(spark)
-    n_cent = cents.select(F.max(F.size("center"))).first()[0]
-    t = transaction_features(normalised(events(spark, sf)))
-    nodes, _ = IF.iforest_fit(t, ANOMALY_FEATURES, trees=20)
-    n_forest = nodes.agg(F.max("feature")).first()[0] + 1
-    artifact_consistency(n_scaler, n_cent, len(M.BEHAVIOUR_FEATURES), len(ANOMALY_FEATURES), len(ANOMALY_FEATURES))
-    return spark.createDataFrame([(n_scaler, n_cent, len(M.BEHAVIOUR_FEATURES), n_forest, len(ANOMALY_FEATURES))],
-                                 "scaler_features int, centroid_features int, behaviour_features int, "
-                                 "forest_max_feature_index_plus_one int, anomaly_features int")
+    """N3 over models that are fitted on the ledgers, stored and read again."""
+    import uuid
+
+    from kontor.plans import flows as P
+    from kontor.session import ensure_checkpoint_dir
+    from kontor.sources import models
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kontor-models/{uuid.uuid4().hex}"
+    models.save_archetypes(P.fit_archetypes(features_catalogue(spark, sf), k=6, restarts=1), M.BEHAVIOUR_FEATURES, f"{root}/archetypes")
+    models.save_forest(P.fit_forest(normalised(events(spark, sf))), ANOMALY_FEATURES, f"{root}/forest")
+    return models.consistency(spark, f"{root}/archetypes", f"{root}/forest")

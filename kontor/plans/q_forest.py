@@ -38,8 +38,8 @@ def q_iforest_score(spark, sf):
 @query("score_transactions")
 def q_score_transactions(spark, sf):
     led = normalised(events(spark, sf))
-    model = P.fit_forest(led, 0.02)
-    out = P.anomaly_scan(led, model, IF.model_version(6, 0.02))
+    model = P.fit_forest(led)
+    out = P.anomaly_scan(led, model, f"iforest-c{model.contamination}")
     return out.withColumn("reasons", F.array_join("reasons", "|"))
 
 
@@ -231,7 +231,7 @@ def q_evaluate_recall_by_kind(spark, sf):
 
 @query("archetypes")
 def q_archetypes(spark, sf):
-    out = P.archetypes(catalogue(spark, sf), k=6)
+    out = P.archetypes(catalogue(spark, sf))
     return out.select("account_id", "month", "cluster", "archetype", "distance_to_centroid",
                       F.array_join(F.transform("evidence", lambda e: e["feature"]), "|").alias("evidence"),
                       "model_version")

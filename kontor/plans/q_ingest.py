@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kontor.functions.text import sql_blank_to_null
 from kontor.operators import ingest as M
 from kontor.operators.ledger import map_feed_record
 from kontor.plans.common import ACCOUNTS_SQL as CUSTOMER_ACCOUNTS_SQL
@@ -15,9 +16,8 @@ HEAD = f"WITH base AS ({FD.BASE_SQL}), acc AS ({FD.ACCOUNTS_SQL}), feed AS ({FD.
 
 MAPPED = """
 mapped AS (SELECT transaction_id, external_account_id, kind, page, seq,
-                  date AS posted_date, CAST(CAST(amount AS VARCHAR) AS DECIMAL(12,2)) AS amount,
-                  coalesce(CASE WHEN trim(merchant_name) = '' THEN NULL ELSE merchant_name END,
-                           CASE WHEN trim(name) = '' THEN NULL ELSE name END, 'Unknown') AS merchant,
+                  date AS posted_date, TRY_CAST(CAST(amount AS VARCHAR) AS DECIMAL(12,2)) AS amount,
+                  coalesce(""" + sql_blank_to_null("merchant_name") + ", " + sql_blank_to_null("name") + """, 'Unknown') AS merchant,
                   coalesce(primary_category, 'OTHER') AS category,
                   coalesce(pending, false) AS pending
            FROM feed)"""
@@ -74,7 +74,7 @@ SELECT (SELECT count(*) FROM per WHERE first_kind = 'added'
           AND transaction_id NOT IN (SELECT transaction_id FROM base)) AS added,
        (SELECT count(*) FROM feed WHERE kind = 'modified') AS modified,
        (SELECT count(*) FROM removed WHERE transaction_id IN (SELECT transaction_id FROM applied)) AS removed,
-       (SELECT count(DISTINCT page) FROM feed) AS pages""")
+       (SELECT count(DISTINCT (external_account_id, page)) FROM feed) AS pages""")
 def q_sync_counts(spark, sf):
     base, feed, acc = _base(spark, sf)
     return flat(M.sync_counts(base, feed, acc))
@@ -99,7 +99,7 @@ SELECT CAST((SELECT max(account_id) FROM acc) + r AS BIGINT), name, external_acc
 def q_link_accounts(spark, sf):
     _, feed, acc = _base(spark, sf)
     fetched = feed.select("external_account_id",
-                          F.concat(F.lit("user-"), F.substring("external_account_id", 5, 1 << 20)).alias("name"))
+                          F.concat(F.lit("user-"), F.expr("substr(external_account_id, 5)")).alias("name"))
     return M.link_accounts(acc, fetched).select("account_id", "name", "external_account_id",
                                                 "access_token", "sync_status")
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from kontor.operators import filters as B
-from kontor.operators.ledger import pack_features, unpack_feature, validate_ledger
+from kontor.operators.ledger import pack_features, unpack_feature, validate_ledger, validate_months
 from kontor.operators.monthly import BEHAVIOUR_FEATURES as NAMES
 from kontor.plans.common import (ACCOUNTS_SQL, CAT_SQL, EV_SQL, accounts, catalogue, events,
                                  normalised, with_ledgers)
@@ -37,22 +37,28 @@ def q_read_ledger_csv(spark, sf):
     return flat(FS.read_ledger_csv(spark, [path, path + "-missing"]))
 
 
-@query("write_ledger_csv", "WITH c AS (" + CAT_SQL + ") " + LEDGER_OUT + " FROM c")
+@query("write_ledger_csv", "WITH c0 AS (" + CAT_SQL + """),
+c AS (SELECT * REPLACE (CASE account_id % 5 WHEN 0 THEN merchant || ', Inc.' WHEN 1 THEN '"' || merchant || '"'
+                             WHEN 2 THEN merchant || chr(10) || 'next line' WHEN 3 THEN NULL ELSE merchant END AS merchant) FROM c0) """
+       + LEDGER_OUT + " FROM c")
 def q_write_ledger_csv(spark, sf):
-    """The catalogue ledger (categories with spaces, commas-free ids) written
-    and read back: every value survives the CSV rules."""
+    """The catalogue ledger (categories with spaces; merchants with commas, quotes, line breaks and
+    nulls) written and read back: every value survives the CSV rules."""
     path = _scratch(spark, "catalogue-csv")
-    FS.write_ledger_csv(catalogue(spark, sf), path)
+    m, rest = F.col("merchant"), F.col("account_id") % 5
+    odd = (F.when(rest == 0, F.concat(m, F.lit(", Inc."))).when(rest == 1, F.concat(F.lit('"'), m, F.lit('"')))
+           .when(rest == 2, F.concat(m, F.lit("\nnext line"))).when(rest == 4, m))
+    FS.write_ledger_csv(catalogue(spark, sf).withColumn("merchant", odd), path)
     return flat(FS.read_ledger_csv(spark, [path]))
 
 
 @query("pack_features", FEAT_CAT + f"""
-SELECT account_id, {d10('month')} AS month, {r6('recurring_share')} AS recurring_share,
+SELECT account_id, {d10('month')} AS month, {', '.join(f"{r6(n)} AS {n}" for n in NAMES)},
        CAST(0.0 AS DOUBLE) AS missing_feature FROM feat""")
 def q_pack_features(spark, sf):
     packed = pack_features(features_catalogue(spark, sf), NAMES, ["account_id", "month"])
     return flat(packed.select("account_id", "month",
-                              unpack_feature("features", "recurring_share").alias("recurring_share"),
+                              *[unpack_feature("features", n).alias(n) for n in NAMES],
                               unpack_feature("features", "no_such_feature").alias("missing_feature")))
 
 
@@ -86,8 +92,10 @@ def _text_ledger(spark, sf):
         F.col("account_id").cast("string").alias("account_id"),
         F.when(eid % 97 == 0, F.date_format("posted_date", "yyyy/MM/dd"))
          .otherwise(F.date_format("posted_date", "yyyy-MM-dd")).alias("posted_date"),
-        F.when(eid % 89 == 0, F.lit("n/a")).otherwise(F.col("amount").cast("string")).alias("amount"),
-        "merchant", "category", F.col("pending").cast("string").alias("pending"),
+        F.when(eid % 89 == 0, F.lit("n/a")).when(eid % 79 == 0, F.lit("99999999999.99"))
+         .otherwise(F.col("amount").cast("string")).alias("amount"),
+        "merchant", "category",
+        F.when(eid % 73 == 0, F.lit("maybe")).otherwise(F.col("pending").cast("string")).alias("pending"),
         eid.alias("event_id"))
 
 
@@ -95,16 +103,18 @@ TEXT_SQL = f"""
 t AS (SELECT CASE WHEN eid % 83 = 0 THEN '' ELSE transaction_id END AS transaction_id,
              CAST(account_id AS VARCHAR) AS account_id,
              CASE WHEN eid % 97 = 0 THEN strftime(posted_date, '%Y/%m/%d') ELSE strftime(posted_date, '%Y-%m-%d') END AS posted_date,
-             CASE WHEN eid % 89 = 0 THEN 'n/a' ELSE CAST(amount AS VARCHAR) END AS amount,
+             CASE WHEN eid % 89 = 0 THEN 'n/a' WHEN eid % 79 = 0 THEN '99999999999.99' ELSE CAST(amount AS VARCHAR) END AS amount,
+             CASE WHEN eid % 73 = 0 THEN 'maybe' ELSE CAST(pending AS VARCHAR) END AS pending,
              merchant, category, eid AS event_id
       FROM (SELECT *, CAST(transaction_id AS BIGINT) AS eid FROM ({EV_SQL}) e0) e),
 v AS (SELECT *, CASE WHEN transaction_id IS NULL OR trim(transaction_id) = '' THEN 'missing transaction_id'
                      WHEN TRY_CAST(account_id AS BIGINT) IS NULL THEN 'bad account_id'
                      WHEN posted_date IS NULL OR NOT regexp_matches(posted_date, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$')
                           OR TRY_CAST(posted_date AS DATE) IS NULL THEN 'bad posted_date'
-                     WHEN TRY_CAST(amount AS DOUBLE) IS NULL THEN 'bad amount'
+                     WHEN TRY_CAST(amount AS DECIMAL(12,2)) IS NULL THEN 'bad amount'
                      WHEN merchant IS NULL THEN 'missing merchant'
-                     WHEN category IS NULL THEN 'missing category' END AS reason FROM t)"""
+                     WHEN category IS NULL THEN 'missing category'
+                     WHEN pending IS NOT NULL AND TRY_CAST(pending AS BOOLEAN) IS NULL THEN 'bad pending' END AS reason FROM t)"""
 
 
 @query("validate_ledger", "WITH " + TEXT_SQL + """
@@ -116,10 +126,28 @@ def q_validate_ledger(spark, sf):
 
 @query("validate_ledger_good", "WITH " + TEXT_SQL + f"""
 SELECT transaction_id, CAST(account_id AS BIGINT) AS account_id, posted_date,
-       {r6('CAST(amount AS DECIMAL(12,2))')} AS amount FROM v WHERE reason IS NULL""")
+       {r6('CAST(amount AS DECIMAL(12,2))')} AS amount, CAST(pending AS BOOLEAN) AS pending FROM v WHERE reason IS NULL""")
 def q_validate_ledger_good(spark, sf):
     good, _ = validate_ledger(_text_ledger(spark, sf))
-    return flat(good.select("transaction_id", "account_id", "posted_date", "amount"))
+    return flat(good.select("transaction_id", "account_id", "posted_date", "amount", "pending"))
+
+
+MONTHS_SQL = "WITH e AS (" + EV_SQL + """),
+r AS (SELECT DISTINCT account_id, CASE account_id % 7 WHEN 0 THEN strftime(posted_date, '%Y/%m') WHEN 1 THEN strftime(posted_date, '%Y') || '-13'
+                                    ELSE strftime(posted_date, '%Y-%m') END AS month FROM e)
+SELECT account_id, month, CASE WHEN account_id % 7 < 2 THEN 'bad month' END AS reason FROM r"""
+
+
+@query("validate_months", MONTHS_SQL)
+def q_validate_months(spark, sf):
+    """Month requests of every account, some with another separator or no such month: good ones and quarantine together."""
+    day, rest = F.col("posted_date"), F.col("account_id") % 7
+    requests = events(spark, sf).select("account_id", F.when(rest == 0, F.date_format(day, "yyyy/MM"))
+                                        .when(rest == 1, F.concat(F.date_format(day, "yyyy"), F.lit("-13")))
+                                        .otherwise(F.date_format(day, "yyyy-MM")).alias("month")).distinct()
+    good, bad = validate_months(requests)
+    return (good.select("account_id", F.date_format("month", "yyyy-MM").alias("month"), F.lit(None).cast("string").alias("reason"))
+            .unionByName(bad.select("account_id", "month", "reason")))
 
 
 # --- B -----------------------------------------------------------------------
@@ -141,9 +169,12 @@ def q_ledger_by_category(spark, sf):
     return flat(B.ledger_by_category(catalogue(spark, sf), " Coffee "))
 
 
-@query("ledger_by_id", "WITH e AS (" + EV_SQL + ") " + LEDGER_OUT + " FROM e WHERE transaction_id = '000000000268'")
+ONE_ID = f"{268:019d}"
+
+
+@query("ledger_by_id", "WITH e AS (" + EV_SQL + ") " + LEDGER_OUT + f" FROM e WHERE transaction_id = '{ONE_ID}'")
 def q_ledger_by_id(spark, sf):
-    return flat(B.ledger_by_id(events(spark, sf), "000000000268"))
+    return flat(B.ledger_by_id(events(spark, sf), ONE_ID))
 
 
 @query("public_accounts", with_ledgers(("raw", EV_SQL), ("acc", ACCOUNTS_SQL)) + """,

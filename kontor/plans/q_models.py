@@ -178,10 +178,21 @@ def q_choose_k(spark, sf):
     return H.choose_k(z)
 
 
-@query("silhouette")
+_ZLIST = "[" + ", ".join(f"z_{n}" for n in NAMES) + "]"
+
+
+@query("silhouette", BASE_ASG + f""",
+v AS (SELECT z.account_id, z.month, asg.cluster, {_ZLIST} AS x, list_inner_product({_ZLIST}, {_ZLIST}) AS xx
+      FROM z JOIN asg ON z.account_id = asg.account_id AND z.month = asg.month),
+c AS (SELECT cluster, count(*) AS n, avg(xx) AS psi, [{', '.join(f'avg(x[{i + 1}])' for i in range(len(NAMES)))}] AS mean FROM v GROUP BY cluster),
+pd AS (SELECT v.account_id, v.month, v.cluster = c.cluster AS own, c.n, xx + psi - 2 * list_inner_product(x, mean) AS dist FROM v, c),
+s AS (SELECT account_id, month, max(CASE WHEN own AND n > 1 THEN dist * n / (n - 1) END) AS a, min(CASE WHEN NOT own THEN dist END) AS b
+      FROM pd GROUP BY ALL)
+SELECT {r6('avg(CASE WHEN a IS NULL THEN 0.0 WHEN a = b THEN 0.0 ELSE (b - a) / greatest(a, b) END)')} AS silhouette_squared_euclidean
+FROM s""")
 def q_silhouette(spark, sf):
     a, _ = assigned_catalogue(spark, sf)
-    return spark.createDataFrame([(H.silhouette(a),)], "silhouette_squared_euclidean double")
+    return flat(spark.createDataFrame([(H.silhouette(a),)], "silhouette_squared_euclidean double"))
 
 
 # --- I -----------------------------------------------------------------------

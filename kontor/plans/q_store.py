@@ -139,7 +139,8 @@ SELECT subject_id AS transaction_id, account_id, {r6('score')} AS score, r2 AS r
 def q_flagged_in_month(spark, sf):
     raw = normalised(events(spark, sf))
     month = raw.agg(F.max("month")).scalar()
-    fl = R.flagged_in_month(_flagged(spark, sf).drop("rank"), month)
+    scores = K.upsert_scores(old_scores(spark, sf), new_scores(spark, sf))
+    fl = R.flagged_in_month(K.flagged_rows(scores, raw.filter(F.col("month") == month)), month)
     return flat(fl.select("transaction_id", "account_id", "score", "rank"))
 
 
@@ -190,29 +191,66 @@ def _fallback(spark, sf):
         "account_id", "month", label.alias("label"), F.col("distance_to_centroid").alias("score"),
         F.lit("stored-v1").alias("model_name"),
         F.add_months("month", 1).cast("timestamp").alias("scored_at"))
-    requested = led.select("account_id", "month").distinct()
-    return K.scores_with_fallback(requested, feats, live, stored)
+    # every account-month, and for each account one two years after its last: nothing in that window
+    late = led.groupBy("account_id").agg(F.add_months(F.max("month"), 24).alias("month"))
+    requested = (led.select("account_id", "month").distinct().unionByName(late)
+                 .withColumn("service_up", F.col("account_id") % 3 != 0))
+    return K.scores_with_fallback(K.with_history(requested, led), feats, live, stored)
 
 
 @query("scores_with_fallback", FEAT_CAT + ",\n" + STATS_SQL + ",\n" + Z_SQL + ",\n" + ASSIGN_SQL + f""",
-req AS (SELECT DISTINCT account_id, month FROM led),
-j AS (SELECT req.account_id, req.month, feat.account_id IS NOT NULL AS has_feat,
+req AS (SELECT DISTINCT account_id, month FROM led
+        UNION ALL SELECT account_id, CAST(max(month) + INTERVAL 24 MONTH AS DATE) FROM led GROUP BY account_id),
+win AS (SELECT r.account_id, r.month, count(l.account_id) AS n FROM req r LEFT JOIN led l
+          ON l.account_id = r.account_id AND l.posted_date >= r.month - INTERVAL 11 MONTH
+         AND l.posted_date < r.month + INTERVAL 1 MONTH GROUP BY ALL),
+j AS (SELECT win.account_id, win.month, n > 0 AS known, win.account_id % 3 <> 0 AS up,
+             feat.account_id IS NOT NULL AS has_feat, win.month < DATE '1998-01-01' AS has_stored,
              asg.cluster, round(asg.dist, 3) AS dist
-      FROM req LEFT JOIN feat ON req.account_id = feat.account_id AND req.month = feat.month
-               LEFT JOIN asg ON req.account_id = asg.account_id AND req.month = asg.month)
+      FROM win LEFT JOIN feat ON win.account_id = feat.account_id AND win.month = feat.month
+               LEFT JOIN asg ON win.account_id = asg.account_id AND win.month = asg.month)
 SELECT account_id, {d10('month')} AS month,
-       CASE WHEN NOT has_feat THEN NULL
-            WHEN account_id % 3 <> 0 OR month < DATE '1998-01-01' THEN 'cluster-' || CAST(cluster AS VARCHAR) END AS archetype,
-       {r6('''CASE WHEN NOT has_feat THEN NULL
-            WHEN account_id % 3 <> 0 OR month < DATE '1998-01-01' THEN dist END''')} AS score,
-       CASE WHEN NOT has_feat THEN NULL WHEN account_id % 3 <> 0 THEN '{VERSION}'
-            WHEN month < DATE '1998-01-01' THEN 'stored-v1' END AS model_name,
-       has_feat AND account_id % 3 = 0 AS stale,
-       CASE WHEN NOT has_feat THEN '{K.NOTE_THIN}'
-            WHEN account_id % 3 <> 0 THEN NULL
-            WHEN month < DATE '1998-01-01'
+       CASE WHEN known AND has_feat AND (up OR has_stored) THEN 'cluster-' || CAST(cluster AS VARCHAR) END AS archetype,
+       CASE WHEN known AND NOT up AND has_feat AND has_stored THEN '{K.NOTE_STALE}' END AS description,
+       {r6("CASE WHEN known AND has_feat AND (up OR has_stored) THEN dist END")} AS score,
+       CASE WHEN NOT known OR NOT has_feat THEN NULL WHEN up THEN '{VERSION}' WHEN has_stored THEN 'stored-v1' END AS model_name,
+       known AND NOT up AS stale,
+       CASE WHEN NOT known THEN '{K.NOTE_NO_TRANSACTIONS}'
+            WHEN up THEN CASE WHEN NOT has_feat THEN '{K.NOTE_THIN}' END
+            WHEN has_feat AND has_stored
               THEN 'Last scored ' || strftime(CAST(month + INTERVAL 1 MONTH AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S')
             ELSE '{K.NOTE_NONE}' END AS note
 FROM j""")
 def q_scores_with_fallback(spark, sf):
     return flat(_fallback(spark, sf))
+
+
+SCAN_SQL = FLAGGED + """,
+today AS (SELECT max(posted_date) AS d FROM raw),
+req AS (SELECT DISTINCT account_id FROM raw UNION ALL SELECT DISTINCT -account_id - 1 FROM raw),
+live AS (SELECT account_id, count(*) AS scored, count(*) FILTER (WHERE amount_zscore_in_category > 3.0) AS flagged
+         FROM txf WHERE account_id % 5 <> 1 GROUP BY account_id),
+held AS (SELECT account_id, count(*) AS n FROM fl GROUP BY account_id),
+rec AS (SELECT account_id, count(*) AS n FROM raw, today
+        WHERE posted_date BETWEEN d - INTERVAL 24 MONTH AND d + INTERVAL 1 DAY GROUP BY account_id),
+j AS (SELECT q.account_id, rec.n IS NOT NULL AS known, q.account_id % 3 <> 0 AS up, live.scored, live.flagged, held.n AS held
+      FROM req q LEFT JOIN rec ON q.account_id = rec.account_id LEFT JOIN live ON q.account_id = live.account_id
+      LEFT JOIN held ON q.account_id = held.account_id)
+SELECT account_id, CASE WHEN known AND up THEN coalesce(scored, 0) ELSE 0 END AS scored,
+       CASE WHEN NOT known THEN 0 WHEN up THEN coalesce(flagged, 0) ELSE coalesce(held, 0) END AS flagged,
+       CASE WHEN known AND up AND scored IS NOT NULL THEN '""" + VERSION + """' END AS model_version, known AND NOT up AS stale,
+       CASE WHEN NOT known THEN '""" + K.NOTE_NO_TRANSACTIONS + """' WHEN NOT up THEN '""" + K.NOTE_STALE_FLAGS + """'
+            WHEN scored IS NULL THEN '""" + K.NOTE_NOTHING_SCORABLE + """' END AS note FROM j"""
+
+
+@query("scan_with_fallback", SCAN_SQL)
+def q_scan_with_fallback(spark, sf):
+    """The transaction half of K6: service down for every third account, nothing scorable for some, and accounts
+    without any transaction."""
+    raw = normalised(events(spark, sf))
+    ids = raw.select("account_id").distinct()
+    requested = ids.unionByName(ids.select((-F.col("account_id") - 1).alias("account_id"))) \
+        .withColumn("service_up", F.col("account_id") % 3 != 0)
+    live = _scan(spark, sf).filter("account_id % 5 <> 1").withColumn("model_version", F.lit(VERSION))
+    stored = K.flagged_rows(K.upsert_scores(old_scores(spark, sf), new_scores(spark, sf)), raw)
+    return K.scan_with_fallback(requested, raw, live, stored, raw.agg(F.max("posted_date")).scalar())

@@ -27,6 +27,10 @@ BASE_CONF = {
 
 def get_spark(master: str | None = None, shuffle_partitions: int = 8,
               app_name: str = "kontor") -> SparkSession:
+    running = SparkSession.getActiveSession()
+    if running is not None:  # a cluster's session keeps its own sizing
+        running.conf.set("spark.sql.session.timeZone", BASE_CONF["spark.sql.session.timeZone"])
+        return running
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -46,13 +50,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    The cluster's `spark.checkpoint.dir` is used as is. Only when it is unset
-    (local tests) a fresh scratch folder is created and registered.
+    The cluster's `spark.checkpoint.dir` is used as is. Only when it is unset in local
+    mode (tests, bench), where driver and executors are one process, a fresh scratch
+    folder is created and registered; on a cluster a missing setting is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     scratch = tempfile.mkdtemp(prefix="kontor-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", scratch)
     spark.sparkContext.setCheckpointDir(scratch)
@@ -70,6 +77,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     re-read gets column pruning and filter pushdown.
     """
     base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{base}/kontor-tables/{uuid.uuid4().hex}"
+    path = f"{base}/kontor-tables/{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete all tables that `cut_lineage` has written for this application (call when its results are stored)."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kontor-tables/{spark.sparkContext.applicationId}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

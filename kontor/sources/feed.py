@@ -47,7 +47,7 @@ def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("ext-"), F.col("account_id").cast("string")).alias("external_account_id"),
             F.col("posted_date").alias("date"),
             (F.col("amount").cast("double") + F.lit(bump)).alias("amount"),
-            F.when(eid % 17 == 0, F.lit("")).otherwise(F.col("merchant")).alias("merchant_name"),
+            F.when(eid % 17 == 0, F.lit("")).when(eid % 31 == 0, F.lit("\t")).otherwise(F.col("merchant")).alias("merchant_name"),
             F.when(eid % 19 == 0, F.lit(None).cast("string"))
              .otherwise(F.concat(F.lit("name-"), F.col("merchant"))).alias("name"),
             F.when(eid % 23 == 0, F.lit(None).cast("boolean")).otherwise(F.col("pending")).alias("pending"),
@@ -75,7 +75,7 @@ def _rows_sql(kind: str, cond: str, bump: str = "0.0") -> str:
     return f"""
 SELECT transaction_id, 'ext-' || CAST(account_id AS VARCHAR) AS external_account_id,
        posted_date AS date, CAST(amount AS DOUBLE) + {bump} AS amount,
-       CASE WHEN eid % 17 = 0 THEN '' ELSE merchant END AS merchant_name,
+       CASE WHEN eid % 17 = 0 THEN '' WHEN eid % 31 = 0 THEN chr(9) ELSE merchant END AS merchant_name,
        CASE WHEN eid % 19 = 0 THEN NULL ELSE 'name-' || merchant END AS name,
        CASE WHEN eid % 23 = 0 THEN NULL ELSE pending END AS pending,
        CASE WHEN eid % 29 = 0 THEN NULL ELSE category END AS primary_category,

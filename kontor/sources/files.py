@@ -1,6 +1,6 @@
 """Ledger and feature files (CSV in, CSV/Parquet out).
 
-Reads use an explicit schema (no inference pass over the data); writes are
+Reads take their types from an explicit schema (no inference pass over the data); writes are
 distributed (one file per task), never assembled on the driver.
 """
 
@@ -12,27 +12,36 @@ from pyspark.sql import functions as F
 
 from kontor.sources.tables import LEDGER_COLUMNS, LEDGER_SCHEMA
 
-CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "multiLine": "true",
+CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"',
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
-def read_ledger_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_ledger_csv(spark: SparkSession, paths: list[str], multi_line: bool = True) -> DataFrame:
     """A1: read 1..n ledger CSVs by header name; missing paths are skipped;
-    error when none exists. Columns are matched by name, so files may order
-    them differently."""
+    error when none exists.
+
+    The header of each path names its columns, so files may order them differently or hold more; a
+    value that does not parse is null. Line breaks inside quotes need `multi_line`, which
+    makes one task of each file; without such values, multi_line=False splits large files.
+    """
     frames = []
     for p in paths:
         try:
-            frames.append(spark.read.options(**CSV_OPTIONS).option("enforceSchema", "false")
-                          .schema(LEDGER_SCHEMA).csv(p))
-        except AnalysisException:  # path does not exist: skipped like the reference
+            text = spark.read.options(**CSV_OPTIONS).option("multiLine", str(multi_line).lower()).csv(p)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             continue
+        absent = [c for c in LEDGER_COLUMNS if c not in text.columns]
+        if absent:
+            raise ValueError(f"{p} has no column {', '.join(absent)}")
+        frames.append(text.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in LEDGER_SCHEMA.fields]))
     if not frames:
         raise FileNotFoundError("no ledger CSV found in " + ", ".join(paths))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    return out.select(*LEDGER_COLUMNS)
+    return out
 
 
 def write_ledger_csv(raw: DataFrame, path: str) -> None:
@@ -47,11 +56,11 @@ def write_ledger_csv(raw: DataFrame, path: str) -> None:
 
 
 def write_monthly_features(features: DataFrame, path: str) -> None:
-    """Parquet partitioned by month; a rerun replaces only the months it
-    contains (dynamic partition overwrite)."""
-    (features.withColumn("feature_month", F.date_format("month", "yyyy-MM"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("feature_month").parquet(path))
+    """Parquet partitioned by month; a rerun replaces the account-months it
+    contains and keeps the other accounts of those months."""
+    from kontor.operators.store import FEATURE_KEYS, write_upsert
+    write_upsert(features.withColumn("feature_month", F.date_format("month", "yyyy-MM")), path,
+                 FEATURE_KEYS, ["feature_month"])
 
 
 def write_labelled_months(assigned: DataFrame, names: DataFrame, path: str) -> None:

@@ -26,7 +26,8 @@ def events_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     negate = (F.col("event_type") == "signup") | ((F.col("event_type") == "error") & (k % 7 == 0))
     amount = F.when(negate, -F.col("value")).otherwise(F.col("value"))
     return ev.select(
-        F.lpad(F.col("event_id").cast("string"), 12, "0").alias("transaction_id"),
+        # 19 digits hold every BIGINT id whole, and the text orders like the number
+        F.lpad(F.col("event_id").cast("string"), 19, "0").alias("transaction_id"),
         F.col("user_id").cast("long").alias("account_id"),
         F.col("ts").cast("date").alias("posted_date"),
         amount.cast("decimal(12,2)").alias("amount"),
@@ -103,7 +104,7 @@ def catalogue_ledger(spark: SparkSession, sf_dir: str, variant: str = "base") ->
 
 
 EVENTS_LEDGER_SQL = """
-SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS transaction_id,
+SELECT lpad(CAST(event_id AS VARCHAR), 19, '0') AS transaction_id,
        CAST(user_id AS BIGINT) AS account_id,
        CAST(ts AS DATE) AS posted_date,
        CAST(CASE WHEN event_type = 'signup'

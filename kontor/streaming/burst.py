@@ -1,10 +1,10 @@
 """O1: live same-merchant burst counts (card-testing signal) on a stream.
 
-Event-time tumbling windows of one day per (account, merchant) with a one-day
-watermark, so state for closed days is dropped (bounded state). Counts are
-emitted in update mode and upserted by (account, merchant, day) into a table;
-once the stream has passed a day, the table row for that day equals the batch
-feature G12 (`merchant_txns_same_day`).
+Counts per (account, merchant, day of the event) are additive, so each micro-batch
+adds its own counts as a file under its batch number and then commits that
+number; the table is the sum over committed batches. No state is held, nothing
+written before is rewritten, and a row that arrives days late still counts. The
+sum of a day equals the batch feature G12 (`merchant_txns_same_day`).
 """
 
 from __future__ import annotations
@@ -14,14 +14,20 @@ from pyspark.sql import functions as F
 
 from kontor.functions.categories import canonical_category, is_inflow
 from kontor.sources.tables import table
+from kontor.streaming.sync import last_committed, read_or_empty
 
+COMMITS = "batch_id long"
+COUNTS = "account_id long, merchant string, day date, merchant_txns_same_day long, batch_id long"
 
-def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def events_stream(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None) -> DataFrame:
     """The driver's `events` parquet as a file stream (schema taken from the file)."""
     schema = table(spark, sf_dir, "events").schema
     # the stream source watches the directory; the glob keeps it to the events files
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
-            .parquet(sf_dir.rstrip("/")))
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
+    return reader.parquet(sf_dir.rstrip("/"))
 
 
 def ledger_stream(events: DataFrame) -> DataFrame:
@@ -44,44 +50,34 @@ def ledger_stream(events: DataFrame) -> DataFrame:
         amount.alias("amount"), is_inflow(canon).alias("is_inflow"))
 
 
-def streaming_burst_counts(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Charges per (account, merchant, day) on spend rows, as a streaming DataFrame."""
-    spend = stream.filter(~F.col("is_inflow") & (F.col("amount") > 0))
-    return (spend.withWatermark("ts", watermark)
-            .groupBy(F.window("ts", "1 day").alias("w"), "account_id", "merchant")
+def burst_counts(spend: DataFrame) -> DataFrame:
+    """Charges per (account, merchant, day) on spend rows."""
+    return (spend.filter(~F.col("is_inflow") & (F.col("amount") > 0))
+            .groupBy("account_id", "merchant", F.to_date("ts").alias("day"))
             .agg(F.count(F.lit(1)).alias("merchant_txns_same_day")))
 
 
-def run_burst_counts(spark: SparkSession, sf_dir: str, out_dir: str, checkpoint: str) -> DataFrame:
-    """Drive O1 over the available events and return the upserted count table."""
-    from kontor.operators.store import upsert
-
-    counts = streaming_burst_counts(ledger_stream(events_stream(spark, sf_dir)))
-    key = ["account_id", "merchant", "day"]
-
+def run_burst_counts(spark: SparkSession, sf_dir: str, out_dir: str, checkpoint: str,
+                     files_per_batch: int | None = None) -> DataFrame:
+    """Drive O1 over the available events and return the counts."""
     def land(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("account_id", "merchant", F.to_date(F.col("w.start")).alias("day"),
-                            "merchant_txns_same_day", F.lit(batch_id).alias("batch_id"))
-        target = f"{out_dir}/batch={batch_id}"
-        prev = [v for v in _committed(spark, out_dir) if v < batch_id]
-        if prev:
-            old = spark.read.parquet(f"{out_dir}/batch={prev[-1]}")
-            rows = upsert(old, rows, key)
-        rows.write.mode("overwrite").parquet(target)
-        _commit(spark, out_dir, batch_id)
-
-    q = (counts.writeStream.outputMode("update").foreachBatch(land)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        last = last_committed(read_or_empty(spark, f"{out_dir}/commits", COMMITS))
+        if last is not None and batch_id <= last:
+            return
+        burst_counts(batch).write.mode("overwrite").parquet(f"{out_dir}/counts/batch_id={batch_id}")
+        (spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id")).coalesce(1)
+         .write.mode("append").parquet(f"{out_dir}/commits"))
+
+    stream = ledger_stream(events_stream(spark, sf_dir, files_per_batch))
+    q = (stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    done = _committed(spark, out_dir)
-    return spark.read.parquet(f"{out_dir}/batch={done[-1]}").drop("batch_id")
-
-
-def _committed(spark: SparkSession, out_dir: str) -> list[int]:
-    from kontor.streaming.sync import _versions
-    return _versions(spark, out_dir)
+    return burst_table(spark, out_dir)
 
 
-def _commit(spark: SparkSession, out_dir: str, batch_id: int) -> None:
-    from kontor.streaming.sync import _commit as commit
-    commit(spark, out_dir, batch_id)
+def burst_table(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The counts after the last committed batch."""
+    done = read_or_empty(spark, f"{out_dir}/commits", COMMITS)
+    counts = read_or_empty(spark, f"{out_dir}/counts", COUNTS)
+    return (counts.join(done, "batch_id", "left_semi").groupBy("account_id", "merchant", "day")
+            .agg(F.sum("merchant_txns_same_day").alias("merchant_txns_same_day")))

@@ -4,21 +4,24 @@ The feed directory is a file stream source; the streaming checkpoint is the
 cursor (it is committed only after a micro-batch's sink write succeeds, so a
 failed sync resumes from the last committed cursor, and rerunning with
 nothing new is a no-op). Each micro-batch is one sync: upserts (M1) then
-removals (M2) against the current ledger version, written as a new version
-directory `batch=<id>` and then recorded in a small commit log (`_commits`).
-Only committed versions are read, and a replayed batch id that is already in
-the log is skipped, so at-least-once delivery still yields one application.
+removals (M2).
+
+The ledger lies in buckets by a hash of the transaction id. A sync reads and rewrites
+only the buckets of the ids it names, as files under its own batch number, and then
+appends those buckets to the manifest; the newest manifest row of a bucket says which
+files hold it. Batch numbers ascend, so a replayed batch is one that is not above the last
+committed number, and is skipped. Rows of unknown accounts go to a quarantine table, and the
+last position of every account's feed to a cursor table.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kontor.operators.ingest import sync
-from kontor.sources.tables import LEDGER_COLUMNS
+from kontor.operators.ingest import quarantine_orphans, sync
+from kontor.sources.tables import LEDGER_COLUMNS, LEDGER_SCHEMA
 
 FEED_SCHEMA = T.StructType([
     T.StructField("transaction_id", T.StringType()),
@@ -34,59 +37,123 @@ FEED_SCHEMA = T.StructType([
     T.StructField("seq", T.LongType()),
 ])
 
+BUCKETS = 64
+MANIFEST = "batch_id long, bucket int, filled boolean"
+CURSORS = "external_account_id string, cursor long, batch_id long"
+BASE_BATCH = -1
 
-COMMITS = "_commits"
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
-def _versions(spark: SparkSession, ledger_dir: str) -> list[int]:
-    """Committed batch ids, from the commit log written after each version."""
-    try:
-        log = spark.read.parquet(f"{ledger_dir}/{COMMITS}")
-    except AnalysisException:  # no sync committed yet
-        return []
-    return sorted(int(r[0]) for r in log.select("batch_id").distinct().collect())
 
+def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
 
-def _commit(spark: SparkSession, ledger_dir: str, batch_id: int) -> None:
-    spark.createDataFrame([(batch_id,)], "batch_id long").withColumn(
-        "committed_at", F.current_timestamp()).write.mode("append").parquet(f"{ledger_dir}/{COMMITS}")
+
+def last_committed(log: DataFrame) -> int | None:
+    """The highest committed batch number of a commit table."""
+    return log.agg(F.max("batch_id")).first()[0]
+
+
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("transaction_id"), F.lit(buckets)).cast("int")
+
+
+def _manifest(spark: SparkSession, ledger_dir: str) -> DataFrame:
+    return read_or_empty(spark, f"{ledger_dir}/manifest", MANIFEST)
+
+
+def _write(spark: SparkSession, ledger_dir: str, rows: DataFrame, batch_id: int, touched: list[int], buckets: int) -> None:
+    """Bucket files of one batch, then the manifest rows that make them current (one file: all or none)."""
+    path = f"{ledger_dir}/data/batch={batch_id}"
+    (rows.withColumn("bucket", _bucket(buckets)).repartition("bucket")
+     .write.mode("overwrite").partitionBy("bucket").parquet(path))
+    filled = {r.bucket for r in spark.read.schema("bucket int").parquet(path).select("bucket").distinct().collect()}
+    (spark.createDataFrame([(batch_id, b, b in filled) for b in touched], MANIFEST)
+     .coalesce(1).write.mode("append").parquet(f"{ledger_dir}/manifest"))
+
+
+def _current(spark: SparkSession, ledger_dir: str, only: list[int] | None = None) -> DataFrame:
+    """Rows of the newest version of all buckets, or of some. At most one manifest row per bucket is collected."""
+    newest = _manifest(spark, ledger_dir).groupBy("bucket").agg(F.max_by(F.struct("batch_id", "filled"), "batch_id").alias("v"))
+    files = [f"{ledger_dir}/data/batch={r.v.batch_id}/bucket={r.bucket}" for r in newest.collect()
+             if r.v.filled and (only is None or r.bucket in only)]
+    return spark.read.schema(LEDGER_SCHEMA).parquet(*files) if files else spark.createDataFrame([], LEDGER_SCHEMA)
 
 
 def current_ledger(spark: SparkSession, ledger_dir: str, base: DataFrame | None = None) -> DataFrame:
-    """The newest committed ledger version (or `base` before the first sync)."""
-    versions = _versions(spark, ledger_dir)
-    if versions:
-        return spark.read.parquet(f"{ledger_dir}/batch={versions[-1]}")
+    """The ledger after the last committed sync (or `base` before the first)."""
+    if last_committed(_manifest(spark, ledger_dir)) is not None:
+        return _current(spark, ledger_dir)
     if base is None:
-        raise FileNotFoundError(f"no ledger version in {ledger_dir}")
+        raise FileNotFoundError(f"no ledger in {ledger_dir}")
     return base.select(*LEDGER_COLUMNS)
 
 
+def quarantined(spark: SparkSession, ledger_dir: str) -> DataFrame:
+    """All feed rows of unknown accounts so far, with the batch that met them."""
+    return read_or_empty(spark, f"{ledger_dir}/quarantine", T.StructType([*FEED_SCHEMA.fields, T.StructField("batch", T.LongType())]))
+
+
+def synced_accounts(spark: SparkSession, ledger_dir: str, accounts: DataFrame) -> DataFrame:
+    """Accounts with the cursor that the last sync of their feed reached; those with one are idle again."""
+    done = (read_or_empty(spark, f"{ledger_dir}/cursors", CURSORS)
+            .join(_manifest(spark, ledger_dir).select("batch_id").distinct(), "batch_id", "left_semi")
+            .groupBy("external_account_id").agg(F.max("cursor").cast("string").alias("_cursor")))
+    return (accounts.join(done, "external_account_id", "left")
+            .withColumn("sync_cursor", F.coalesce("_cursor", "sync_cursor"))
+            .withColumn("sync_status", F.when(F.col("_cursor").isNotNull(), "IDLE").otherwise(F.col("sync_status")))
+            .select(*accounts.columns))
+
+
 def incremental_sync(spark: SparkSession, feed_dir: str, ledger_dir: str, checkpoint: str,
-                     accounts: DataFrame, base: DataFrame | None = None) -> DataFrame:
-    """Run every available feed file through the sync and return the ledger."""
+                     accounts: DataFrame, base: DataFrame | None = None, buckets: int = BUCKETS,
+                     files_per_sync: int | None = None) -> DataFrame:
+    """Run every available feed file through the sync and return the ledger.
 
+    files_per_sync splits a backlog into several syncs; removals then come after the upserts of their own sync.
+    """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        if batch_id in _versions(spark, ledger_dir):
+        last = last_committed(_manifest(spark, ledger_dir))
+        if last is None:
+            start = spark.createDataFrame([], LEDGER_SCHEMA) if base is None else base.select(*LEDGER_COLUMNS)
+            _write(spark, ledger_dir, start, BASE_BATCH, list(range(buckets)), buckets)
+        elif batch_id <= last:
             return  # replay of a committed sync: already applied
-        current = current_ledger(spark, ledger_dir, base)
-        result = sync(current, batch, accounts)
-        result.write.mode("overwrite").parquet(f"{ledger_dir}/batch={batch_id}")
-        _commit(spark, ledger_dir, batch_id)  # the version is visible only once committed
-
-    stream = spark.readStream.schema(FEED_SCHEMA).parquet(feed_dir)
-    q = (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+        changes = batch.persist()
+        _, orphans = quarantine_orphans(changes, accounts)
+        orphans.select(*FEED_SCHEMA.fieldNames()).write.mode("overwrite").parquet(f"{ledger_dir}/quarantine/batch={batch_id}")
+        (changes.groupBy("external_account_id").agg(F.max("seq").alias("cursor")).withColumn("batch_id", F.lit(batch_id).cast("long"))
+         .write.mode("overwrite").parquet(f"{ledger_dir}/cursors/of={batch_id}"))
+        touched = sorted(r.b for r in changes.select(_bucket(buckets).alias("b")).distinct().collect())
+        _write(spark, ledger_dir, sync(_current(spark, ledger_dir, touched), changes, accounts), batch_id, touched, buckets)
+        changes.unpersist()
+
+    feed = spark.readStream.schema(FEED_SCHEMA)
+    if files_per_sync:
+        feed = feed.option("maxFilesPerTrigger", str(files_per_sync))
+    q = (feed.parquet(feed_dir).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return current_ledger(spark, ledger_dir, base)
 
 
+def vacuum(spark: SparkSession, ledger_dir: str) -> int:
+    """Delete bucket files that no manifest row makes current; how many folders went."""
+    kept = {(r.v, r.bucket) for r in _manifest(spark, ledger_dir).groupBy("bucket").agg(F.max("batch_id").alias("v")).collect()}
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger_dir}/data")
+    fs, gone = root.getFileSystem(spark._jsc.hadoopConfiguration()), 0
+    for version in fs.listStatus(root):
+        for part in fs.listStatus(version.getPath()):
+            name = part.getPath().getName()
+            if name.startswith("bucket=") and (int(version.getPath().getName()[6:]), int(name[7:])) not in kept:
+                fs.delete(part.getPath(), True)
+                gone += 1
+    return gone
+
+
 def write_feed(feed: DataFrame, feed_dir: str) -> None:
     """Land change rows as feed files (one sync's worth)."""
     feed.select(*[f.name for f in FEED_SCHEMA.fields]).write.mode("append").parquet(feed_dir)
-
-
-def sync_status(spark: SparkSession, ledger_dir: str) -> DataFrame:
-    versions = _versions(spark, ledger_dir)
-    return spark.createDataFrame([(len(versions), versions[-1] if versions else None)],
-                                 "syncs int, last_batch int").withColumn("checked_at", F.current_timestamp())

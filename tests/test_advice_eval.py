@@ -153,3 +153,76 @@ def test_top_flagged_ties_keep_higher_score(spark):
     assert row.flagged_count == 3
     assert row.top_flagged.merchant == "Watch"
     assert row.top_flagged.reasons == ["its anomaly score of 0.800 is well above the flagging threshold"]
+
+
+def test_hash_ignores_places_that_are_not_shown(spark):
+    """The digest takes scores at three places, so a change in the fifth regenerates nothing."""
+    key = "account_id long, month date"
+    rest = ", merchant string, amount decimal(12,2), posted_date date, anomaly_score double, transaction_id string"
+    ddl = {"top": key + ", rank int, category string, amount decimal(12,2), share double",
+           "deltas": key + ", category string, this_month decimal(12,2), last_month decimal(12,2), percent_change double",
+           "arche": key + ", archetype string, description string", "out": key + ", total_spend decimal(12,2)", "rec": key + ", recurring_spend decimal(20,2)"}
+    empty = {n: spark.createDataFrame([], d) for n, d in ddl.items()}
+
+    def hashed(score):
+        flagged = spark.createDataFrame([(1, M, "K", Decimal("9.00"), M, score, "a")], key + rest)
+        i = L.advice_inputs(spark.createDataFrame([(1, M)], key), empty["arche"], empty["top"], empty["deltas"], flagged, empty["out"], empty["rec"])
+        return L.inputs_hash(i).first().inputs_hash
+
+    assert hashed(0.71234) == hashed(0.71239) != hashed(0.7131)
+
+
+def test_recurring_spend_is_decimal(spark):
+    """0.285 x 1.00 rounds half up to 0.29; in doubles it would be 0.28."""
+    from kontor.operators.reports import recurring_spend
+    raw = spark.createDataFrame([(1, M, Decimal("1.00"), "dining")], "account_id long, posted_date date, amount decimal(12,2), category string")
+    f = spark.createDataFrame([(1, M, 0.285)], "account_id long, month date, recurring_share double")
+    assert str(recurring_spend(raw, f).first().recurring_spend) == "0.29"
+
+
+def test_budget_with_a_hot_score(spark):
+    """Half of all rows share the score at which the budget runs out; rows without a score come last."""
+    rows = [(f"t{i:04d}", 0.5 if i % 2 else 0.001 * i, i % 7 == 0) for i in range(400)] + [("z", None, True)]
+    df = spark.createDataFrame(rows, "transaction_id string, score double, truth boolean")
+    want = {t for t, s, _ in sorted((r for r in rows if r[1] is not None), key=lambda r: (-r[1], r[0]))[:90]}
+    got = {r.transaction_id for r in J.flag_top_budget(df, 90).filter("flag").collect()}
+    assert got == want
+    assert J.flag_top_budget(df, 1000).filter("flag").count() == 400
+
+
+def test_injection_needs_an_eligible_account(spark):
+    from kontor.operators.inject import inject_anomalies
+    from kontor.operators.ledger import normalise_ledger
+    raw = spark.createDataFrame([("a", 1, M, Decimal("1.00"), "m", "dining", False)],
+                                "transaction_id string, account_id long, posted_date date, amount decimal(12,2), merchant string, category string, pending boolean")
+    with pytest.raises(ValueError):
+        inject_anomalies(normalise_ledger(raw))
+
+
+def test_quantiles_with_a_hot_value(spark):
+    from kontor.operators.iforest import exact_quantiles
+    x = [0.0] * 500 + [float(i) for i in range(1, 301)]
+    got = exact_quantiles(spark.createDataFrame([(v,) for v in x] + [(None,)], "x double"), "x", [0.0, 0.3, 0.625, 0.98, 1.0])
+    assert all(got[q] == pytest.approx(np.quantile(x, q)) for q in got)
+
+
+def test_stored_models_are_checked(spark, tmp_path):
+    from kontor.operators import contracts as C
+    from kontor.plans.flows import ArchetypeModel, ForestModel
+    from kontor.sources import models
+    from pyspark.sql import functions as F
+    names = ["a", "b"]
+    stats = spark.createDataFrame([(0.0, 1.0, 2.0, 1.0)], "mean_a double, std_a double, mean_b double, std_b double")
+    cents = spark.createDataFrame([(0, [0.0, 1.0]), (1, [1.0, 0.0])], "cluster int, center array<double>")
+    label = spark.createDataFrame([(0, "x", "d"), (1, "y", "d")], "cluster int, name string, description string")
+    nodes = spark.createDataFrame([(0, 0, 1, False), (0, 1, -1, True)], "tree int, node int, feature int, leaf boolean")
+    grid = spark.createDataFrame([(0.02, True)], "contamination double, chosen boolean")
+    models.save_archetypes(ArchetypeModel(stats, cents, label, 2, 0.5), names, str(tmp_path / "a"))
+    models.save_forest(ForestModel(nodes, 256, 0.6, 0.02, grid), ["u", "v"], str(tmp_path / "f"))
+    one, two = models.load_checked(spark, str(tmp_path / "a"), str(tmp_path / "f"))
+    assert (one.k, two.threshold, models.model_version_of(one, two)) == (2, 0.6, "kmeans-k2+iforest-c0.02")
+    wrong = {"stats": (stats.drop("std_b"), cents, nodes), "cents": (stats, cents.withColumn("center", F.slice("center", 1, 1)), nodes),
+             "nodes": (stats, cents, nodes.withColumn("feature", F.col("feature") + 1))}
+    for part, (s, c, n) in wrong.items():
+        with pytest.raises(C.FeatureContractError, match={"stats": "scaler", "cents": "centroids", "nodes": "forest"}[part]):
+            C.require_consistent(C.artifact_consistency(s, c, names, n, ["u", "v"]))

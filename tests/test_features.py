@@ -131,3 +131,82 @@ def test_recurring_share_paths_agree(spark):
     assert a.keys() == b.keys()
     assert any(v > 0 for v in a.values())
     assert all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
+
+
+def test_strip_is_unicode_aware(spark):
+    df = spark.createDataFrame([("\u00a0Groceries\u2003",), ("\u3000coffee\n",)], "c string")
+    assert [r[0] for r in df.select(canonical_category("c")).collect()] == ["groceries", "dining"]
+
+
+def test_as_of_features_ignore_later_months(ledger):
+    """A request for March sees the twelve months up to March; what comes later changes nothing."""
+    from kontor.plans.flows import features_as_of
+    rows = [(f"2026-0{m}-03", 15.49, "Netflix", "subscriptions") for m in (1, 2, 3)]
+    rows += [(f"2026-03-{d:02d}", 10 + d, f"Shop {d}", "dining") for d in (5, 9, 13, 20)]
+    later = [(f"2026-0{m}-{d:02d}", 10 + d, "Shop 5", "dining") for m in (4, 5, 6) for d in (5, 5, 5, 5, 5)]
+    pick = lambda raw: [tuple(r) for r in features_as_of(raw).collect() if str(r.month) == "2026-03-01"]
+    before = pick(ledger(rows))
+    assert len(before) == 1 and before[0][2 + 5] > 0  # the subscription is recurring as of March
+    assert pick(ledger(rows + later)) == before
+
+
+def test_quantiles_of_a_hot_month(spark):
+    """One account-month with half of all rows and many equal amounts, against numpy."""
+    import numpy as np
+    from decimal import Decimal
+    rng = np.random.default_rng(4)
+    rows = []
+    for account, n in ((1, 3000), (2, 40), (3, 7)):
+        for i in range(n):
+            amount = 9.99 if rng.random() < 0.4 else round(float(rng.uniform(1, 90)), 2)
+            rows.append((f"{account}-{i}", account, "2026-05-04", Decimal(str(amount)), f"m{i % 9}", "dining", False))
+    raw = spark.createDataFrame(rows, "transaction_id string, account_id long, posted_date string, amount decimal(12,2), "
+                                      "merchant string, category string, pending boolean")
+    raw = raw.withColumn("posted_date", F.col("posted_date").cast("date"))
+    for r in monthly_features(normalise_ledger(raw)).collect():
+        x = [float(a[3]) for a in rows if a[1] == r.account_id]
+        q1, q2, q3 = np.quantile(x, [0.25, 0.5, 0.75])
+        assert r.avg_ticket == pytest.approx(q2) and r.ticket_variability == pytest.approx((q3 - q1) / max(q2, 1))
+        assert r.merchant_diversity == pytest.approx(len({a[4] for a in rows if a[1] == r.account_id}) / len(x))
+
+
+def test_csv_columns_by_name(spark, tmp_path):
+    """A1: files with columns in another order, or more of them; one without a needed column is an error."""
+    from kontor.sources.files import read_ledger_csv
+    (tmp_path / "a.csv").write_text("account_id,transaction_id,posted_date,extra,amount,merchant,category,pending\n"
+                                    '7,t1,2026-05-01,x,1.50,"A, ""B""\nC",dining,true\n')
+    (tmp_path / "b.csv").write_text("transaction_id,account_id,posted_date,amount,merchant,category,pending\nt2,8,2026-05-02,oops,M,rent,false\n")
+    (tmp_path / "c.csv").write_text("transaction_id,account_id\nt3,9\n")
+    got = {r.transaction_id: r for r in read_ledger_csv(spark, [str(tmp_path / f) for f in ("a.csv", "none.csv", "b.csv")]).collect()}
+    assert got["t1"].account_id == 7 and got["t1"].merchant == 'A, "B"\nC' and str(got["t1"].amount) == "1.50" and got["t1"].pending
+    assert got["t2"].account_id == 8 and got["t2"].amount is None
+    with pytest.raises(ValueError):
+        read_ledger_csv(spark, [str(tmp_path / "c.csv")])
+    with pytest.raises(FileNotFoundError):
+        read_ledger_csv(spark, [str(tmp_path / "none.csv")])
+
+
+def test_validation_rejects_overflow_and_bad_booleans(spark):
+    from kontor.operators.ledger import validate_ledger, validate_months
+    ddl = "transaction_id string, account_id string, posted_date string, amount string, merchant string, category string, pending string"
+    rows = [("a", "1", "2026-05-01", "99999999999.99", "m", "c", "true"), ("b", "1", "2026-05-01", "1.00", "m", "c", "maybe"),
+            ("c", "1", "2026-05-01", "1.005", "m", "c", None), ("d", "1", "2026-05-01", "NaN", "m", "c", "false"), ("\t", "1", "2026-05-01", "1", "m", "c", "false")]
+    good, bad = validate_ledger(spark.createDataFrame(rows, ddl))
+    assert {r.transaction_id: r.reason for r in bad.collect()} == {"a": "bad amount", "b": "bad pending", "d": "bad amount", "\t": "missing transaction_id"}
+    assert [(r.transaction_id, str(r.amount), r.pending) for r in good.collect()] == [("c", "1.01", False)]
+    good, bad = validate_months(spark.createDataFrame([(1, "2026-05"), (1, "2026-13"), (1, "2026-5"), (None, "2026-05"), (2, None)], "account_id long, month string"))
+    assert [str(r.month) for r in good.collect()] == ["2026-05-01"] and bad.count() == 4
+
+
+def test_ids_never_shorten(spark):
+    """Event ids beyond twelve digits stay different."""
+    from kontor.sources import fixtures
+    from kontor.sources.fixtures import events_ledger
+    import datetime as dt
+    import tempfile
+    rows = [(1234567890123, dt.datetime(2026, 5, 1), 1, "view", 1.0, '{"k": 1}'), (1234567890124, dt.datetime(2026, 5, 1), 1, "view", 1.0, '{"k": 1}')]
+    where = tempfile.mkdtemp(dir="/tmp")
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string") \
+        .write.parquet(f"{where}/events.parquet")
+    ids = [r.transaction_id for r in events_ledger(spark, where).collect()]
+    assert sorted(ids) == ["0000001234567890123", "0000001234567890124"] and fixtures

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from kontor.operators import ingest as M
 from kontor.operators import store as K
+from kontor.sources.files import write_monthly_features
+from kontor.streaming import sync as S
+from kontor.streaming.burst import run_burst_counts
 from kontor.streaming.sync import FEED_SCHEMA, incremental_sync, write_feed
 
 D = dt.date(2026, 5, 1)
@@ -71,17 +74,21 @@ def test_orphans_skipped_and_counted(spark, accounts):
     _, orphans = M.quarantine_orphans(ch, accounts)
     assert orphans.count() == 2
     c = M.sync_counts(base(spark), ch, accounts).first()
-    assert (c.added, c.modified, c.removed, c.pages) == (1, 1, 0, 2)
+    assert (c.added, c.modified, c.removed, c.pages) == (1, 1, 0, 3)  # page 0 of ext-9, pages 0 and 1 of ext-1
 
 
 def test_feed_fallbacks(spark):
     from kontor.operators.ledger import map_feed_record
     rows = [("a", "ext-1", D, 1.005, "  ", "Name", None, None, "added", 0, 1),
-            ("b", "ext-1", D, 2.0, None, None, True, "TRAVEL", "added", 0, 2)]
+            ("b", "ext-1", D, 2.0, None, None, True, "TRAVEL", "added", 0, 2),
+            ("c", "ext-1", D, 99999999999.99, "\t", "\u2003\n", None, None, "added", 0, 3),
+            ("d", "ext-1", D, 1.0, "\u00a0", "Name", None, None, "added", 0, 4)]
     m = result(map_feed_record(spark.createDataFrame(rows, FEED_SCHEMA)))
     assert m["a"].merchant == "Name" and m["a"].category == "OTHER" and m["a"].pending is False
     assert m["b"].merchant == "Unknown"
     assert str(m["a"].amount) == "1.01"  # decimal text 1.005, scale 2 half up
+    assert m["c"].merchant == "Unknown" and m["c"].amount is None  # a tab is blank; too large an amount does not abort the job
+    assert m["d"].merchant == "\u00a0"  # a no-break space is not blank
 
 
 def test_streaming_sync_equals_batch_and_replays_noop(spark, accounts, tmp_path):
@@ -97,6 +104,74 @@ def test_streaming_sync_equals_batch_and_replays_noop(spark, accounts, tmp_path)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, first.collect()))
 
 
+def state(df):
+    return sorted((r.transaction_id, r.account_id, float(r.amount)) for r in df.collect())
+
+
+def test_sync_in_two_batches_touches_only_their_buckets(spark, accounts, tmp_path):
+    dirs = [str(tmp_path / x) for x in ("feed", "ledger", "ckpt")]
+    b = base(spark, [(f"x{i}", 2, i) for i in range(40)])
+    write_feed(feed(spark, [("n1", "ext-1", 10, "added", 0, 7), ("o1", "ext-9", 3, "added", 0, 8)]), dirs[0])
+    incremental_sync(spark, *dirs, accounts, b, buckets=8)
+    second = feed(spark, [("n1", "ext-1", 11, "modified", 0, 9), ("x3", "ext-2", 0, "removed", 0, 10)])
+    write_feed(second, dirs[0])
+    got = incremental_sync(spark, *dirs, accounts, b, buckets=8)
+    assert state(got) == sorted([(f"x{i}", 2, float(i)) for i in range(40) if i != 3] + [("n1", 1, 11.0)])
+    manifest = S._manifest(spark, dirs[1])
+    assert manifest.filter("batch_id = -1").count() == 8
+    assert 1 <= manifest.filter("batch_id = 1").count() <= 2  # the buckets of n1 and x3
+    assert [(r.transaction_id, r.batch) for r in S.quarantined(spark, dirs[1]).collect()] == [("o1", 0)]
+    done = {r.external_account_id: (r.sync_cursor, r.sync_status) for r in S.synced_accounts(spark, dirs[1], accounts).collect()}
+    assert done["ext-1"] == ("9", "IDLE") and done["ext-2"][0] == "10"
+    assert S.vacuum(spark, dirs[1]) > 0
+    assert state(S.current_ledger(spark, dirs[1])) == state(got)
+
+
+def test_failed_and_replayed_sync(spark, accounts, tmp_path, monkeypatch):
+    dirs = [str(tmp_path / x) for x in ("feed", "ledger", "ckpt")]
+    b = base(spark, [("x1", 2, 1), ("x2", 2, 2)])
+    write_feed(feed(spark, [("n1", "ext-1", 10, "added", 0, 1)]), dirs[0])
+    first = state(incremental_sync(spark, *dirs, accounts, b, buckets=4))
+    write_feed(feed(spark, [("x1", "ext-2", 5, "modified", 0, 2), ("x2", "ext-2", 0, "removed", 0, 3)]), dirs[0])
+    real = S._write
+
+    def broken(spark_, ledger_dir, rows, batch_id, touched, buckets):
+        rows.write.mode("overwrite").parquet(f"{ledger_dir}/data/batch={batch_id}/bucket=0")
+        raise RuntimeError("lost before the commit")
+
+    monkeypatch.setattr(S, "_write", broken)
+    with pytest.raises(Exception):
+        incremental_sync(spark, *dirs, accounts, b, buckets=4)
+    assert state(S.current_ledger(spark, dirs[1])) == first  # nothing of the failed sync shows
+    monkeypatch.setattr(S, "_write", real)
+    after = state(incremental_sync(spark, *dirs, accounts, b, buckets=4))
+    assert after == [("n1", 1, 10.0), ("x1", 2, 5.0)]
+    again = state(incremental_sync(spark, dirs[0], dirs[1], str(tmp_path / "lost-checkpoint"), accounts, b, buckets=4))
+    assert again == after  # replayed batch numbers are skipped
+
+
+def test_late_rows_count(spark, tmp_path):
+    """Rows that arrive days after later ones are counted, and a repeated run adds nothing."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    where = tmp_path / "data"
+    where.mkdir()
+
+    def land(name, days):
+        pq.write_table(pa.table({
+            "event_id": pa.array(range(len(days)), pa.int64()), "ts": pa.array([dt.datetime(2026, 5, d, 12) for d in days], pa.timestamp("us")),
+            "user_id": pa.array([1] * len(days), pa.int64()), "event_type": ["purchase"] * len(days),
+            "value": [5.0] * len(days), "props": ['{"k": 1}'] * len(days)}), where / name)
+
+    land("events.parquet", [20, 20])
+    args = (spark, str(where), str(tmp_path / "out"), str(tmp_path / "ckpt"), 1)
+    run_burst_counts(*args)
+    land("events-2.parquet", [1, 20])
+    for _ in range(2):
+        got = sorted((str(r.day), r.merchant_txns_same_day) for r in run_burst_counts(*args).collect())
+        assert got == [("2026-05-01", 1), ("2026-05-20", 3)]
+
+
 # --- K -------------------------------------------------------------------------
 
 SCORES = "subject_type string, subject_id string, model_name string, score double, label string, scored_at timestamp"
@@ -114,18 +189,52 @@ def test_upsert_and_latest(spark):
 
 
 def test_fallback_cases(spark):
+    """Every answer of the month half: live, thin, stored, nothing stored, no transactions."""
     keys = "account_id long, month date"
-    m1, m2, m3, m4 = (dt.date(2026, i, 1) for i in (1, 2, 3, 4))
-    requested = spark.createDataFrame([(1, m1), (1, m2), (1, m3), (1, m4)], keys)
+    m1, m2, m3, m4, m5 = (dt.date(2026, i, 1) for i in (1, 2, 3, 4, 5))
+    late = dt.date(2028, 1, 1)
+    ledger = base(spark, [("a", 1, 5)]).withColumn("posted_date", F.lit("2026-01-15").cast("date"))
+    requested = spark.createDataFrame([(1, m1, True), (1, m2, False), (1, m3, False), (1, m4, True), (1, m5, False), (1, late, False),
+                                       (2, m1, True)], keys + ", service_up boolean")
+    requested = K.with_history(requested, ledger)
+    assert {(r.account_id, r.month): r.rows_in_window for r in requested.collect()} == {
+        (1, m1): 1, (1, m2): 1, (1, m3): 1, (1, m4): 1, (1, m5): 1, (1, late): 0, (2, m1): 0}
     features = spark.createDataFrame([(1, m1), (1, m2), (1, m3)], keys)
     live = spark.createDataFrame([(1, m1, "Dining Led", 1.5, "v")], keys + ", label string, score double, model_name string")
-    stored = spark.createDataFrame([(1, m2, "Commuter", 2.5, "v0", dt.datetime(2026, 3, 1))],
+    stored = spark.createDataFrame([(1, m2, "Commuter", 2.5, "v0", dt.datetime(2026, 3, 1)), (1, m5, "Commuter", 1.0, "v0", dt.datetime(2026, 6, 1))],
                                    keys + ", label string, score double, model_name string, scored_at timestamp")
-    got = {r.month: r for r in K.scores_with_fallback(requested, features, live, stored).collect()}
-    assert (got[m1].archetype, got[m1].stale) == ("Dining Led", False)
-    assert (got[m2].archetype, got[m2].stale) == ("Commuter", True) and got[m2].note.startswith("Last scored")
-    assert (got[m3].archetype, got[m3].stale, got[m3].note) == (None, True, K.NOTE_NONE)
-    assert (got[m4].archetype, got[m4].stale, got[m4].note) == (None, False, K.NOTE_THIN)
+    got = {(r.account_id, r.month): r for r in K.scores_with_fallback(requested, features, live, stored).collect()}
+    answer = lambda *k: (got[k].archetype, got[k].stale, got[k].note)
+    assert answer(1, m1) == ("Dining Led", False, None)
+    assert answer(1, m2) == ("Commuter", True, "Last scored 2026-03-01T00:00:00") and got[1, m2].description == K.NOTE_STALE
+    assert answer(1, m3) == (None, True, K.NOTE_NONE)
+    assert answer(1, m4) == (None, False, K.NOTE_THIN)
+    assert answer(1, m5) == (None, True, K.NOTE_NONE)  # service down and no feature row: no earlier result
+    assert answer(1, late) == answer(2, m1) == (None, False, K.NOTE_NO_TRANSACTIONS)
+
+
+def test_scan_fallback_cases(spark):
+    ledger = base(spark, [("a", 1, 5), ("b", 2, 5), ("c", 3, 5), ("old", 4, 5)]).withColumn(
+        "posted_date", F.when(F.col("account_id") == 4, F.lit("2020-01-01")).otherwise(F.lit("2026-05-01")).cast("date"))
+    requested = spark.createDataFrame([(1, True), (2, True), (3, False), (4, True), (5, False)], "account_id long, service_up boolean")
+    live = spark.createDataFrame([(1, "a", True, "v"), (1, "a2", False, "v"), (4, "old", True, "v")],
+                                 "account_id long, transaction_id string, is_anomaly boolean, model_version string")
+    flags = spark.createDataFrame([(1,), (3,), (3,)], "account_id long")
+    got = {r.account_id: tuple(r)[1:] for r in K.scan_with_fallback(requested, ledger, live, flags, "2026-06-01").collect()}
+    assert got == {1: (2, 1, "v", False, None), 2: (0, 0, None, False, K.NOTE_NOTHING_SCORABLE),
+                   3: (0, 2, None, True, K.NOTE_STALE_FLAGS), 4: (0, 0, None, False, K.NOTE_NO_TRANSACTIONS),
+                   5: (0, 0, None, False, K.NOTE_NO_TRANSACTIONS)}
+
+
+def test_written_upsert_keeps_other_accounts(spark, tmp_path):
+    """A8 and K1 on disk: a batch of some accounts leaves the others of the month as they were."""
+    path = str(tmp_path / "features")
+    rows = "account_id long, month date, txn_count double"
+    may, june = dt.date(2026, 5, 1), dt.date(2026, 6, 1)
+    write_monthly_features(spark.createDataFrame([(1, may, 1.0), (2, may, 2.0), (1, june, 3.0)], rows), path)
+    write_monthly_features(spark.createDataFrame([(2, may, 9.0), (3, may, 4.0)], rows), path)
+    got = {(r.account_id, r.month): r.txn_count for r in spark.read.parquet(path).collect()}
+    assert got == {(1, may): 1.0, (2, may): 9.0, (3, may): 4.0, (1, june): 3.0}
 
 
 def test_match_scores_by_id_not_position(spark):
