@@ -1,36 +1,72 @@
-"""Connected components of a link table, in rounds of joins over written tables."""
+"""Connected components of a link table by rounds of local contraction.
+
+In every round each node's links meet in one task (a link is sent to both of its ends), which joins what
+its links connect and answers with a star per local component: its smallest node linked to
+all others. A chain of links shrinks by half or more per round, a star stays as it is, and no task ever
+holds more than the links of its nodes. The rounds end when no node's root has changed and no
+original link joins two roots.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kontor.llm.scratch import drop, stored
 
+STARS = "node long, root long, home boolean"
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of the links (a, b); root is the smallest node reachable.
 
-    Each round takes the smallest root among a node's neighbours and then that root's own root,
-    so a chain shrinks by a constant factor per round. Ends when nothing changes.
-    """
-    both = stored(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), "links")
-    state = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
+def local_roots(a: list[int], b: list[int]) -> dict[int, int]:
+    """Smallest node of the component of every node of the links (a, b)."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        root = x
+        while (up := above.setdefault(root, root)) != root:
+            root = up
+        while above[x] != root:
+            above[x], x = root, above[x]
+        return root
+
+    for x, y in zip(a, b, strict=True):
+        x, y = top(x), top(y)
+        if x != y:
+            above[max(x, y)] = min(x, y)
+    return {x: top(x) for x in list(above)}
+
+
+def _contract(table: pa.Table) -> pa.Table:
+    roots = local_roots(table.column("node").to_pylist(), table.column("other").to_pylist())
+    own = set(table.column("node").to_pylist())  # nodes at home here; the others are ends of their links
+    nodes = np.fromiter(roots, np.int64, len(roots))
+    return pa.table({"node": nodes, "root": np.fromiter(roots.values(), np.int64, len(roots)),
+                     "home": np.fromiter((n in own for n in roots), bool, len(roots))})
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) for every node of the links (a, b); root is the smallest node reachable."""
+    spark = links.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    links = stored(links.select("a", "b").filter("a <> b"), "links")
+    state, before = links.select(F.col("a").alias("node"), F.col("b").alias("other")), None
+    held: DataFrame | None = None
     while True:
-        near = (both.join(state.withColumnRenamed("node", "b"), "b")
-                .groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near")))
-        hooked = state.join(near, "node").select(
-            "node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        # a root that has seen a smaller one takes all its nodes along
-        lower = hooked.groupBy(F.col("old").alias("_r")).agg(F.min("root").alias("_low"))
-        up = hooked.select(F.col("node").alias("_n"), F.col("root").alias("_up"))
-        moved = (hooked.join(lower, hooked["old"] == lower["_r"], "left")
-                 .withColumn("root", F.least("root", F.coalesce("_low", "root")))
-                 .join(up, F.col("root") == F.col("_n"), "left")
-                 .select("node", "old", F.least("root", F.coalesce("_up", "root")).alias("root")))
-        new = stored(moved, "roots")
-        changed = new.filter("old <> root").limit(1).count()
-        drop(state.sparkSession, state)
-        state = new.select("node", "root")
-        if not changed:
-            return state
+        ends = state.union(state.select("other", "node"))
+        stars = stored(ends.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts)))
+                       .groupBy("part").applyInArrow(lambda t: _contract(t), STARS), "stars")
+        if held is not None:
+            drop(spark, held)
+        held = stars
+        roots = stars.filter("home").select("node", "root")
+        mark = tuple(roots.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first())
+        if mark == before:
+            here = roots.withColumnRenamed("root", "ra"), roots.withColumnRenamed("root", "rb")
+            torn = (links.join(here[0], links["a"] == here[0]["node"]).drop("node")
+                    .join(here[1], F.col("b") == F.col("node")).filter("ra <> rb"))
+            if torn.isEmpty():
+                return roots
+        before = mark
+        state = stars.filter("node <> root").select("node", F.col("root").alias("other"))

@@ -12,12 +12,14 @@ first d + 1 + s (d: the most that can differ) hold s + 1 that the other set has
 own first ones. A set meets larger sets of the next band under that band's chunks as well. Chunks are joined by the
 hash of their odd bits.
 
-Chunks of up to GROUP classes give all their pairs. More frequent ones give none, and a class is settled if fewer of
-its chunks are frequent than it must share with any partner. The pairs among unsettled classes are found by the same join over
+Chunks of up to GROUP classes give all their pairs; a pair stays a candidate if it has met in as many chunks as a
+linked pair must share, frequent ones aside, so a passage that two texts share is not enough. More frequent chunks
+give no pairs, and a class is settled if fewer of its chunks are frequent than it must share with any partner. The pairs among unsettled classes are found by the same join over
 all their shingles, where a class is settled unless three quarters of its shingles are frequent among unsettled classes. What is left
-are crowds of near copies: there each class is compared with the first of each of its
-groups, and after joining what links, all pairs of group members that are still in different
-components are compared. No pair is dropped anywhere.
+are crowds of near copies: there each class is compared with the most central class of each of its
+groups (the one with the largest share of frequent shingles, as the text that the others are copies of), and
+after joining what links, all pairs of group members that are still in different
+components and whose dense sketches differ in no more bits than their sizes allow. No pair is dropped anywhere.
 
 Every candidate pair is verified on the sets themselves (64-bit shingle hashes).
 
@@ -32,20 +34,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kontor.llm.components import components
-from kontor.llm.scratch import stored
+from kontor.llm.scratch import drop, stored
 from kontor.llm.words import U64, Texts, mix64, per_text, shingles, text_slices
 
 WIDTH = 5
 GROUP = 64
 DENSE = 1024
 FILTER_BITS = 23
+SKETCH_BITS = 1024
 
 BLOBS = "bucket int, keys binary, owners binary, classes binary, sizes binary"
-FOUND = "a long, b long, frequent long"
+#: A pair of classes with the keys it has met in and those a linked pair must share, or (b null) a class with its frequent keys.
+FOUND = "a long, b long, times long, need long"
 
 
 class Sets:
@@ -76,22 +80,47 @@ class Sets:
         return out
 
 
-class Fresh:
-    """Marks texts whose class has not come before in this task (its copies need no second sketch)."""
-
-    def __init__(self, wanted: np.ndarray | None = None):
-        self.seen: set[int] = set()
-        self.wanted = wanted
-
-    def __call__(self, sets: Sets) -> np.ndarray:
-        keep = sets.sizes > 0
-        if self.wanted is not None:
-            keep &= self.wanted[sets.classes & ((1 << FILTER_BITS) - 1)]
-        for i in np.flatnonzero(keep).tolist():
-            name = int(sets.classes[i])
-            keep[i] = name not in self.seen
-            self.seen.add(name)
-        return keep
+class Wanted:
+    """Bits of some classes and of the ids of documents that stand for them; a filter of fixed size that lets these pass."""
+
+    def __init__(self, classes: DataFrame, first: DataFrame):
+        numbers = (classes.select("cls").join(first.select("cls", "first_doc"), "cls")
+                   .select(F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("cls").alias("x")),
+                                             F.struct(F.lit(1).alias("kind"), F.col("first_doc").alias("x")))).alias("r")).select("r.*"))
+        place = F.pmod("x", F.lit(1 << FILTER_BITS)) + 1
+        rows = (numbers.dropna().groupBy("kind", F.bitmap_bucket_number(place).alias("k"))
+                .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect())
+        self.classes, self.docs = np.zeros(1 << FILTER_BITS, bool), np.zeros(1 << FILTER_BITS, bool)
+        for r in rows:
+            bits = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little").astype(bool)
+            at = slice((r.k - 1) * 32768, r.k * 32768)
+            (self.docs if r.kind else self.classes)[at] = bits
+
+    def rows(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The rows that may stand for a class; a null id always may."""
+        ids = batch.column(0)
+        known = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        keep = self.docs[known & ((1 << FILTER_BITS) - 1)] | ids.is_null().to_numpy(zero_copy_only=False)
+        return batch.filter(pa.array(keep))
+
+
+def fresh_sets(batches: Iterator[pa.RecordBatch], wanted: Wanted | None = None) -> Iterator[Sets]:
+    """Sets of the texts of (doc_id, text) rows, of every class the first that this task meets (copies need no second sketch)."""
+    seen: set[int] = set()
+    for batch in batches:
+        if wanted is not None:
+            batch = wanted.rows(batch)
+        for texts in text_slices(batch.column(1)):
+            sets = Sets(texts)
+            keep = sets.sizes > 0
+            if wanted is not None:
+                keep &= wanted.classes[sets.classes & ((1 << FILTER_BITS) - 1)]
+            for i in np.flatnonzero(keep).tolist():
+                name = int(sets.classes[i])
+                keep[i] = name not in seen
+                seen.add(name)
+            if keep.any():
+                yield sets.only(keep)
 
 
 def chunk_keys(items: np.ndarray, of: np.ndarray, sizes: np.ndarray, band: np.ndarray, limit: np.ndarray
@@ -158,27 +187,21 @@ def _least_keys(sets: Sets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key, owner, sets.sizes
 
 
-def _sketching(buckets: int, keys: Callable, wanted: np.ndarray | None) -> Callable:
+def _sketching(buckets: int, keys: Callable, wanted: Wanted | None) -> Callable:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh = Fresh(wanted)
-        for batch in batches:
-            for texts in text_slices(batch.column(0)):
-                sets = Sets(texts)
-                sets = sets.only(fresh(sets))
-                if not sets.sizes.size:
-                    continue
-                key, owner, sizes = keys(sets)
-                bucket = (key >> U64(32)) % U64(buckets)
-                order = np.lexsort((owner, bucket))
-                key, owner, bucket = key[order], owner[order], bucket[order]
-                cut = np.searchsorted(bucket, np.arange(buckets + 1).astype(U64))
-                for b in np.flatnonzero(np.diff(cut)).tolist():
-                    at = slice(cut[b], cut[b + 1])
-                    mine, local = np.unique(owner[at], return_inverse=True)
-                    yield pa.RecordBatch.from_pydict({
-                        "bucket": pa.array([b], pa.int32()), "keys": [key[at].tobytes()],
-                        "owners": [local.astype(np.uint32).tobytes()],
-                        "classes": [sets.classes[mine].tobytes()], "sizes": [sizes[mine].astype(np.int32).tobytes()]})
+        for sets in fresh_sets(batches, wanted):
+            key, owner, sizes = keys(sets)
+            bucket = (key >> U64(32)) % U64(buckets)
+            order = np.lexsort((owner, bucket))
+            key, owner, bucket = key[order], owner[order], bucket[order]
+            cut = np.searchsorted(bucket, np.arange(buckets + 1).astype(U64))
+            for b in np.flatnonzero(np.diff(cut)).tolist():
+                at = slice(cut[b], cut[b + 1])
+                mine, local = np.unique(owner[at], return_inverse=True)
+                yield pa.RecordBatch.from_pydict({
+                    "bucket": pa.array([b], pa.int32()), "keys": [key[at].tobytes()],
+                    "owners": [local.astype(np.uint32).tobytes()],
+                    "classes": [sets.classes[mine].tobytes()], "sizes": [sizes[mine].astype(np.int32).tobytes()]})
     return sketch
 
 
@@ -209,64 +232,89 @@ def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 4 * np.minimum(a, b) >= 3 * np.maximum(a, b)
 
 
-def _found(pairs: np.ndarray, frequent: np.ndarray | None = None, times: np.ndarray | None = None) -> pa.Table:
-    n, m = len(pairs), 0 if frequent is None else frequent.size
-    blank = np.zeros(n + m, bool)
-    blank[n:] = True
-    a = np.concatenate([pairs[:, 0], frequent if m else np.zeros(0, np.int64)])
-    b = np.concatenate([pairs[:, 1], np.zeros(m, np.int64)])
-    t = np.concatenate([np.zeros(n, np.int64), times if m else np.zeros(0, np.int64)])
-    return pa.table({"a": a, "b": pa.array(b, mask=blank), "frequent": pa.array(t, mask=~blank)})
+def _found(a: np.ndarray, b: np.ndarray, times: np.ndarray, need: np.ndarray,
+           frequent: np.ndarray | None = None, often: np.ndarray | None = None) -> pa.Table:
+    n, m = a.size, 0 if frequent is None else frequent.size
+    blank = np.arange(n + m) >= n
+    extra = frequent if m else np.zeros(0, np.int64)
+    return pa.table({"a": np.concatenate([a, extra]), "b": pa.array(np.concatenate([b, extra]), mask=blank),
+                     "times": np.concatenate([times, often if m else extra]).astype(np.int64),
+                     "need": np.concatenate([need, np.zeros(m, np.int64)]).astype(np.int64)})
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct pairs with how often each came, and what it needs."""
+    order = np.lexsort((b, a))
+    a, b, need = a[order], b[order], need[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if a.size else np.zeros(0, int)
+    return a[first], b[first], np.diff(np.concatenate([first, [a.size]])), need[first]
 
 
-def _pairing(group_limit: int) -> Callable:
+def first_need(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Keys that a linked pair of these sizes shares among the first ones of both."""
+    return 1 + low // 16
+
+
+def all_need(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Shingles that a linked pair of these sizes shares."""
+    return -(-3 * high // 4)
+
+
+def _pairing(group_limit: int, need: Callable) -> Callable:
     """All fitting pairs of groups up to the limit; for larger ones how many each class is in."""
     def pair(table: pa.Table) -> pa.Table:
         g = Groups(table)
         small = np.where(g.count <= group_limit, g.count, 0)
         at = np.flatnonzero((small > 1)[g.group])
-        found = [np.zeros((0, 2), np.int64)]
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for step in range(1, int(small.max(initial=0))):
             at = at[at + step < (g.begin + g.count)[g.group[at]]]
-            a, b = at, at + step
-            ok = fits(g.size[a], g.size[b])
-            found.append(np.unique(np.stack([g.name[a[ok]], g.name[b[ok]]], 1), axis=0))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        name, times = np.unique(g.name[(g.count > group_limit)[g.group]], return_counts=True)
-        return _found(pairs, name, times)
+            ok = fits(g.size[at], g.size[at + step])
+            left.append(at[ok])
+            right.append(at[ok] + step)
+        x, y = np.concatenate(left), np.concatenate(right)
+        low, high = np.minimum(g.size[x], g.size[y]), np.maximum(g.size[x], g.size[y])
+        name, often = np.unique(g.name[(g.count > group_limit)[g.group]], return_counts=True)
+        return _found(*_pairs(g.name[x], g.name[y], need(low, high)), name, often)
     return pair
 
 
-def _star(table: pa.Table) -> pa.Table:
-    """Each class of a group with the group's first."""
-    g = Groups(table)
-    first = g.begin[g.group]
-    ok = (first != np.arange(first.size)) & fits(g.size, g.size[first])
-    return _found(np.unique(np.stack([g.name[first[ok]], g.name[ok]], 1), axis=0))
+def parity_sketch(items: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Dense sketches (n, SKETCH_BITS // 8 bytes): every shingle flips one bit."""
+    place = of * SKETCH_BITS + (mix64(items ^ U64(0xD6E8FEB86659FD93)) % U64(SKETCH_BITS)).astype(np.int64)
+    odd = np.bincount(place, minlength=n * SKETCH_BITS) & 1
+    return np.packbits(odd.reshape(n, SKETCH_BITS).astype(np.uint8), axis=1)
+
+
+_ONES = np.array([bin(x).count("1") for x in range(256)], np.uint16)
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """All fitting pairs of a group's classes in different components. Rows: key, cls, size, root."""
+    """Pairs of a group's classes in different components that fit in size and sketch. Rows: key, cls, size, sketch, root."""
     key, name, size, root = (table.column(c).to_numpy() for c in ("key", "cls", "size", "root"))
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(key.size, -1)
     order = np.lexsort((name, root, key))
-    key, name, size, root = key[order], name[order], size[order], root[order]
+    key, name, size, root, sketch = key[order], name[order], size[order], root[order], sketch[order]
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+    held = 0
     for a, b in zip(begin.tolist(), [*begin[1:].tolist(), key.size], strict=True):
         if root[a] == root[b - 1]:
             continue
         part = np.flatnonzero(np.concatenate([[True], root[a + 1: b] != root[a: b - 1]])) + a
         for s, e in zip(part.tolist(), [*part[1:].tolist(), b], strict=True):
-            if e == b:
-                break
-            for i in range(s, e):  # one class against all of later components
-                ok = fits(size[e:b], size[i])
-                if ok.any():
-                    other = name[e:b][ok]
-                    found.append(np.stack([np.minimum(other, name[i]), np.maximum(other, name[i])], 1))
-            if sum(map(len, found)) > 1 << 20:
+            for i in range(s, e if e < b else s):  # one class against all of later components
+                at = np.flatnonzero(fits(size[e:b], size[i])) + e
+                differ = _ONES[sketch[at] ^ sketch[i]].sum(axis=1)
+                at = at[7 * differ <= size[at] + size[i]]
+                if at.size:
+                    found.append(np.stack([np.minimum(name[at], name[i]), np.maximum(name[at], name[i])], 1))
+                    held += at.size
+            if held > 1 << 20:
                 found = [np.unique(np.concatenate(found), axis=0)]
-    return _found(np.unique(np.concatenate(found), axis=0))
+                held = 0
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def profiles(docs: DataFrame) -> DataFrame:
@@ -282,34 +330,14 @@ def profiles(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(profile, "doc_id long, n_shingles long, cls long")
 
 
-def class_filter(classes: DataFrame) -> np.ndarray:
-    """Bit per class number modulo 2**FILTER_BITS: a filter of fixed size that lets every given class pass."""
-    place = F.pmod("cls", F.lit(1 << FILTER_BITS)) + 1
-    rows = (classes.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect())
-    out = np.zeros(1 << FILTER_BITS, bool)
-    for r in rows:
-        bits = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little").astype(bool)
-        out[(r.k - 1) * 32768: r.k * 32768] = bits[: out.size - (r.k - 1) * 32768]
-    return out
-
-
-def class_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls, items): the sorted shingle hashes of the given classes."""
-    wanted = class_filter(classes)
-
+def class_sets(docs: DataFrame, wanted: Wanted) -> DataFrame:
+    """(cls, items): the sorted shingle hashes of the wanted classes."""
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh = Fresh(wanted)
-        for batch in batches:
-            for texts in text_slices(batch.column(0)):
-                sets = Sets(texts)
-                at = np.flatnonzero(fresh(sets)).tolist()
-                if at:
-                    yield pa.RecordBatch.from_pydict({
-                        "cls": sets.classes[at],
-                        "items": [sets.items[sets.bounds[i]: sets.bounds[i + 1]].tobytes() for i in at]})
+        for sets in fresh_sets(batches, wanted):
+            yield pa.RecordBatch.from_pydict({"cls": sets.classes, "items": [
+                sets.items[a:b].tobytes() for a, b in zip(sets.bounds[:-1].tolist(), sets.bounds[1:].tolist(), strict=True)]})
 
-    return docs.select("text").mapInArrow(sets_of, "cls long, items binary").groupBy("cls").agg(F.first("items").alias("items"))
+    return docs.mapInArrow(sets_of, "cls long, items binary").groupBy("cls").agg(F.first("items").alias("items"))
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,74 +351,87 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose sets have the similarity; pairs: distinct (a, b) of class numbers, written."""
     names = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    sets = stored(class_sets(docs, names), "jaccard-sets")
+    sets = stored(class_sets(docs, Wanted(names, classes)), "jaccard-sets")
     left = sets.select(F.col("cls").alias("a"), F.col("items").alias("left"))
     right = sets.select(F.col("cls").alias("b"), F.col("items").alias("right"))
-    return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_linked, "a long, b long"),
-                  "jaccard-links")
+    links = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_linked, "a long, b long"),
+                   "jaccard-links")
+    drop(docs.sparkSession, sets)
+    return links
 
 
-def _joined(docs: DataFrame, keys: Callable, how: Callable, wanted: np.ndarray | None = None) -> DataFrame:
+def _joined(docs: DataFrame, keys: Callable, how: Callable, wanted: Wanted | None = None) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs, and the classes with frequent keys and how many."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stored(docs.select("text").mapInArrow(_sketching(buckets, keys, wanted), BLOBS)
-                  .groupBy("bucket").applyInArrow(how, FOUND), "jaccard-found")
-
-
-def _unsettled(found: DataFrame, sizes: DataFrame, share) -> DataFrame:
-    """Classes with so many frequent keys that a partner may have been missed."""
-    times = found.filter("b IS NULL").groupBy(F.col("a").alias("cls")).agg(F.sum("frequent").alias("times"))
-    return stored(times.join(sizes, "cls").filter(share).select("cls"), "jaccard-unsettled")
-
-
-def class_links(docs: DataFrame, sizes: DataFrame, group_limit: int = GROUP) -> DataFrame:
-    """All links (a, b) that components need between the classes of `sizes` (cls, size)."""
-    pair = lambda found: found.filter("b IS NOT NULL").select("a", "b").distinct()
-    found = _joined(docs, _first_keys, _pairing(group_limit))
-    pairs = pair(found)
+    found = stored(docs.mapInArrow(_sketching(buckets, keys, wanted), BLOBS).groupBy("bucket").applyInArrow(how, FOUND), "jaccard-found")
+    often = stored(found.filter("b IS NULL").groupBy(F.col("a").alias("cls")).agg(F.sum("times").alias("often")), "jaccard-frequent")
+    met = found.filter("b IS NOT NULL").groupBy("a", "b").agg(F.sum("times").alias("times"), F.first("need").alias("need"))
+    for side in ("a", "b"):
+        met = met.join(often.select(F.col("cls").alias(side), F.col("often").alias(f"often_{side}")), side, "left")
+    shared = F.col("times") + F.least(F.coalesce("often_a", F.lit(0)), F.coalesce("often_b", F.lit(0)))
+    pairs = stored(met.filter(shared >= F.col("need")).select("a", "b"), "jaccard-pairs")
+    drop(docs.sparkSession, found)
+    return pairs, often
+
+
+def class_links(docs: DataFrame, classes: DataFrame, group_limit: int = GROUP) -> DataFrame:
+    """All links (a, b) that components need between the classes (cls, first_doc, size)."""
+    sizes = classes.select("cls", "size")
+    pairs, often = _joined(docs, _first_keys, _pairing(group_limit, first_need))
     least = F.ceil(F.col("size") * 3 / 4)  # the smallest partner shares 1 + a sixteenth of its own size
-    rest = _unsettled(found, sizes, F.col("times") >= 1 + F.floor(least / 16))
-    crowd = None
+    rest = stored(often.join(sizes, "cls").filter(F.col("often") >= 1 + F.floor(least / 16)).select("cls"), "jaccard-unsettled")
+    members = None
     if not rest.isEmpty():
-        again = _joined(docs, _all_keys, _pairing(group_limit), class_filter(rest))
-        pairs = pairs.union(pair(again)).distinct()
-        crowd = _unsettled(again, sizes, F.col("times") >= least)
-        if crowd.isEmpty():
-            crowd = None
-        else:
-            star = _joined(docs, _least_keys, _star, class_filter(crowd))
-            pairs = pairs.union(pair(star)).distinct()
-    links = verified(docs, stored(pairs, "jaccard-pairs"))
-    return links if crowd is None else links.union(_crowd_links(docs, crowd, links))
-
-
-def _crowd_links(docs: DataFrame, crowd: DataFrame, links: DataFrame) -> DataFrame:
-    """Links between members of a crowd's groups that the links so far leave in different components."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = class_filter(crowd)
-
+        more, often = _joined(docs, _all_keys, _pairing(group_limit, all_need), Wanted(rest, classes))
+        pairs = pairs.union(more)
+        crowd = stored(often.join(sizes, "cls").filter(F.col("often") >= least)
+                       .select("cls", (F.col("often") / F.col("size")).alias("share")), "jaccard-crowd")
+        if not crowd.isEmpty():
+            members = _members(docs, crowd, Wanted(crowd, classes))
+            pairs = pairs.union(_stars(members))
+    links = verified(docs, classes, stored(pairs.distinct(), "jaccard-pairs"))
+    if members is None:
+        return links
+    across = _open_pairs(members, links)
+    return links if across.isEmpty() else links.union(verified(docs, classes, across))
+
+
+def _members(docs: DataFrame, crowd: DataFrame, wanted: Wanted) -> DataFrame:
+    """(key, cls, size, sketch, share) of the crowd's classes, a row for each of their least keys."""
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh = Fresh(wanted)
-        for batch in batches:
-            for texts in text_slices(batch.column(0)):
-                sets = Sets(texts)
-                sets = sets.only(fresh(sets))
-                key, owner, sizes = _least_keys(sets)
-                yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "cls": sets.classes[owner], "size": sizes[owner]})
-
-    rows = docs.select("text").mapInArrow(keyed, "key long, cls long, size long").distinct()
-    roots = components(links)
-    rows = (rows.join(crowd, "cls", "left_semi").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-            .withColumn("root", F.coalesce("root", "cls")))
-    rows = stored(rows, "jaccard-crowd")
-    # only keys whose classes are not all in one component, and of those one row per class
-    open_keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    across = (rows.join(open_keys, "key").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
-              .groupBy("bucket").applyInArrow(lambda t: _across(t), FOUND))
-    pairs = stored(across.select("a", "b").distinct(), "jaccard-pairs")
-    return verified(docs, pairs)
+        for sets in fresh_sets(batches, wanted):
+            key, owner, sizes = _least_keys(sets)
+            dense = [row.tobytes() for row in parity_sketch(sets.items, sets.of, sizes.size)]
+            bounds = per_text(owner, sizes.size)
+            yield pa.RecordBatch.from_pydict({
+                "cls": sets.classes, "size": sizes, "sketch": dense,
+                "keys": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(key.view(np.int64)))})
+
+    rows = docs.mapInArrow(keyed, "cls long, size long, sketch binary, keys array<long>").dropDuplicates(["cls"])
+    return stored(rows.join(crowd, "cls").select(F.explode("keys").alias("key"), "cls", "size", "sketch", "share"), "jaccard-members")
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """Each member of a group with the group's most central class."""
+    rank = F.struct("share", "size", "cls")
+    pivot = members.groupBy("key").agg(F.max_by(F.struct("cls", "size"), rank).alias("p"), F.count("*").alias("n")).filter("n > 1")
+    met = (members.select("key", "cls", "size").join(pivot.select("key", F.col("p.cls").alias("pc"), F.col("p.size").alias("ps")), "key")
+           .filter((F.col("cls") != F.col("pc")) & (4 * F.least("size", "ps") >= 3 * F.greatest("size", "ps"))))
+    return met.select(F.least("cls", "pc").alias("a"), F.greatest("cls", "pc").alias("b")).distinct()
+
+
+def _open_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs of a group's members that the links so far leave in different components."""
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rooted = (members.drop("share").join(components(links).withColumnRenamed("node", "cls"), "cls", "left")
+              .withColumn("root", F.coalesce("root", "cls")))
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    across = (rooted.join(open_keys, "key").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(parts)))
+              .groupBy("bucket").applyInArrow(lambda t: _across(t), "a long, b long"))
+    return stored(across.distinct(), "jaccard-pairs")
 
 
 def near_duplicates(docs: DataFrame, group_limit: int = GROUP) -> DataFrame:
@@ -398,7 +439,7 @@ def near_duplicates(docs: DataFrame, group_limit: int = GROUP) -> DataFrame:
     rows = stored(profiles(docs), "jaccard-profiles")
     classes = stored(rows.filter("cls IS NOT NULL").groupBy("cls")
                      .agg(F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("size")), "jaccard-classes")
-    links = class_links(docs, classes.select("cls", "size"), group_limit)
+    links = class_links(docs.select(F.col("doc_id").cast("long"), "text"), classes, group_limit)
     roots = components(links).withColumnRenamed("node", "cls")
     named = classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
