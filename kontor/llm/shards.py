@@ -65,7 +65,8 @@ def shuffled(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, exchange:
     local = (held.join(parts.select(F.col("part").alias("_part"), F.col("rows").alias("_rows")), "_part")
              .withColumn("_r", permuted(F.col("_i"), F.col("_rows"), F.lit(seed + 1), F.col("_part"))))
     size = F.floor(F.lit(total) / shards).cast("long") + (F.col("shard") < F.lit(total % shards)).cast("long")
-    placed = (local.join(lanes, ["_part", "_r"])
+    # lanes has a row per row: its runs compress so well that a size check on shuffled bytes would broadcast it
+    placed = (local.join(lanes.hint("merge"), ["_part", "_r"])
               .withColumn("slot", permuted(F.col("_place"), size, F.lit(seed + 2), F.col("shard"))))
     out = placed.select("row.*", "shard", "slot")
     if not exchange:
