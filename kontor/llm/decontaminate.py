@@ -127,9 +127,11 @@ def _tiling(seeds: Seeds, item_ids: list, coverage: float) -> Callable:
                 bounds = per_text(text, part.n)
                 rows = []
                 for of, item, d, i, width in seeds.hits(part.hashes(start, end), bounds):
+                    if not of.size:
+                        continue
                     order = np.lexsort((item, of))
                     of, item, d, i = of[order], item[order], d[order], i[order]
-                    cut = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (item[1:] != item[:-1])])) if of.size else []
+                    cut = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (item[1:] != item[:-1])]))
                     for a, b in zip(cut, [*cut[1:], of.size], strict=True):
                         words = int(seeds.lengths[item[a]])
                         # words under any seed bound the coverage from above
