@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kontor.llm.scratch import scratch_dir, stored
-from kontor.llm.words import Texts, U64, mix64, per_text, text_slices
+from kontor.llm.words import FOLD, U64, Texts, mix64, per_text, text_slices
 
 END_ID = 1
 LEVEL = 3
@@ -64,7 +64,7 @@ def _byte_characters() -> dict[int, str]:
 
 
 class Encoder:
-    """Ids of whole texts; keeps the ids of up to CACHED_WORDS words."""
+    """Ids of whole texts; keeps the ids of up to CACHED_WORDS words, one after the other in `flat`."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -72,67 +72,81 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.pieces = Tokenizer(self.whole.model)
         self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.characters = _byte_characters()
-        self.words: dict[int, tuple[int, ...]] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _learn(self, keys: list[int], words: list[bytes], plain: list[bool]) -> None:
-        cut = {}
-        for key, word, easy in zip(keys, words, plain, strict=True):
-            if easy:
-                cut[key] = PIECES.findall(word.decode().lower())
-        new = list({p for pieces in cut.values() for p in pieces} - self.known.keys())
-        for i in range(0, len(new), 2000):
-            some = new[i: i + 2000]
-            line = " ".join(p if p.isascii() else "".join(self.characters[b] for b in p.encode()) for p in some)
-            code = self.pieces.encode(line, add_special_tokens=False)
-            ids, of = code.ids, np.array(code.word_ids, np.int64)
-            bounds = np.searchsorted(of, np.arange(len(some) + 1)).tolist()
-            for k, piece in enumerate(some):
-                self.known[piece] = tuple(ids[bounds[k]: bounds[k + 1]])
-        for key, pieces in cut.items():
-            self.words[key] = tuple(itertools.chain.from_iterable(self.known[p] for p in pieces))
-        hard = [(k, w.decode()) for k, w, easy in zip(keys, words, plain, strict=True) if not easy]
-        for (key, _), code in zip(hard, self.whole.encode_batch([w for _, w in hard], add_special_tokens=False), strict=True):
-            self.words[key] = tuple(code.ids)
+        characters = _byte_characters()
+        self.letters = {c: "".join(characters[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[int, int] = {}
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.bounds = np.zeros(CACHED_WORDS + 1, np.int64)
+
+    def _keep(self, keys: list[int], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Words with their ids; ends: where each word's ids end in `ids`."""
+        n = len(self.number)
+        at = int(self.bounds[n])
+        while at + ids.size > self.flat.size:
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[at: at + ids.size] = ids
+        self.bounds[n + 1: n + 1 + len(keys)] = at + ends
+        self.number.update(zip(keys, range(n, n + len(keys)), strict=True))
+
+    def _learn_plain(self, keys: list[int], words: list[bytes], single: list[bool]) -> None:
+        """Words of ASCII and Latin-1 letters, in lower case; single: letters only, hence one piece."""
+        for i in range(0, len(words), 2000):
+            some = words[i: i + 2000]
+            counts = np.ones(len(some), np.int64)
+            for k, one in enumerate(single[i: i + 2000]):
+                if not one:
+                    pieces = PIECES.findall(some[k].decode())
+                    counts[k] = len(pieces)
+                    some[k] = " ".join(pieces).encode()
+            line = b" ".join(some).decode()
+            code = self.pieces.encode(line if line.isascii() else line.translate(self.letters), add_special_tokens=False)
+            of = np.array(code.word_ids, np.int64)
+            self._keep(keys[i: i + 2000], np.array(code.ids, np.uint32), np.searchsorted(of, np.cumsum(counts)))
+
+    def _learn_whole(self, keys: list[int], words: list[bytes]) -> None:
+        codes = [c.ids for c in self.whole.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+        self._keep(keys, np.fromiter(itertools.chain.from_iterable(codes), np.uint32), np.cumsum([len(c) for c in codes], dtype=np.int64))
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts and their bounds (n + 1)."""
         start, end, text = texts.words()
         data = texts.data
-        high = data >= 0x80
-        latin = np.zeros(data.size, bool)
-        if data.size > 1:  # letters of the two-byte range 0xC3 but for the multiplication and division signs
-            pair = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
-            latin[:-1] |= pair
-            latin[1:] |= pair
-        odd = high & ~latin
-        if data.size > 1:
-            odd[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)  # may open a special token
-        count = np.concatenate([[0], np.cumsum(odd)])
-        easy = count[start] == count[end]
+        pair = np.zeros(data.size + 1, bool)  # second bytes of letters in the range 0xC3, signs aside
+        pair[1:-1] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        latin = pair[:-1] | pair[1:]
+        odd = ((data >= 0x80) & ~latin) | (data < 0x20) | (data == 0x7F)
+        odd[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)  # may open a special token
+        lower = FOLD[data] + (pair[:-1] & (data < 0x9F)).astype(np.uint8) * np.uint8(0x20)
+        other = ~(latin | ((lower >= 0x61) & (lower <= 0x7A)))
+        inside = lambda marks: np.diff(np.concatenate([[0], np.cumsum(marks)])[np.stack([start, end])], axis=0)[0] > 0
+        hard = inside(odd)
         keys = texts.hashes(start, end)
-        if not easy.all():
-            keys = np.where(easy, keys, mix64(_exact(texts, start, end) ^ U64(0x5BD1E995)))
+        if hard.any():
+            keys = np.where(hard, mix64(_exact(texts, start, end) ^ U64(0x5BD1E995)), keys)
         distinct, first, use = np.unique(keys, return_index=True, return_inverse=True)
         names = distinct.tolist()
-        missing = [i for i, k in enumerate(names) if k not in self.words]
-        if len(self.words) + len(missing) > CACHED_WORDS:
-            self.words.clear()
-            self.known.clear()
-            missing = list(range(len(names)))
-        if missing:
-            at = first[missing]
-            raw = data.tobytes()
-            self._learn([names[i] for i in missing],
-                        [raw[s:e] for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)], easy[at].tolist())
-        ids = [self.words[k] for k in names]
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32)
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        begin = np.cumsum(lens) - lens
-        n_of = lens[use]
+        numbers = np.fromiter(map(self.number.get, names, itertools.repeat(-1)), np.int64, len(names))
+        if len(self.number) + (numbers < 0).sum() > CACHED_WORDS:
+            self._forget()
+            numbers[:] = -1
+            if len(names) > CACHED_WORDS:
+                self.bounds = np.zeros(len(names) + 1, np.int64)
+        missing = np.flatnonzero(numbers < 0)
+        if missing.size:
+            at, tough, more = first[missing], hard[first[missing]], inside(other)[first[missing]]
+            cut = lambda raw, which: [raw[s:e] for s, e in zip(start[at[which]].tolist(), end[at[which]].tolist(), strict=True)]
+            self._learn_plain(distinct[missing[~tough]].tolist(), cut(lower.tobytes(), ~tough), (~more[~tough]).tolist())
+            if tough.any():
+                self._learn_whole(distinct[missing[tough]].tolist(), cut(data.tobytes(), tough))
+            numbers[missing] = [self.number[names[i]] for i in missing.tolist()]
+        word = numbers[use]
+        begin = self.bounds[word]
+        n_of = self.bounds[word + 1] - begin
         ends = np.concatenate([[0], np.cumsum(n_of)])
-        out = flat[np.arange(ends[-1]) + np.repeat(begin[use] - ends[:-1], n_of)]
+        out = self.flat[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], n_of)]
         return out, ends[per_text(text, texts.n)]
 
 
@@ -159,8 +173,12 @@ def _with_end(ids: np.ndarray, end_id: int) -> bytes:
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> bytes:
     """A zstandard dictionary from a bounded sample of documents; empty if they give none."""
-    sample = (docs.filter(F.octet_length("text").between(1, SAMPLE_BYTES))
-              .select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text").limit(SAMPLE_DOCS).collect())
+    short = F.octet_length("text").between(1, SAMPLE_BYTES)
+    n = docs.filter(short).count()
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    # about 4 * SAMPLE_DOCS texts pass the threshold and are sorted, however many there are
+    some = docs.filter(short & (draw <= min(1 << 40, (4 * SAMPLE_DOCS << 40) // max(n, 1))))
+    sample = some.select("text", draw.alias("h")).orderBy("h", "text").limit(SAMPLE_DOCS).collect()
     arrays = []
     for texts in text_slices(pa.array([r.text for r in sample], pa.string())):
         ids, bounds = encoder(tokenizer).encode(texts)
