@@ -1,72 +1,48 @@
-"""Connected components of a link table by rounds of local contraction.
+"""Connected components of a link table by alternating stars.
 
-In every round each node's links meet in one task (a link is sent to both of its ends), which joins what
-its links connect and answers with a star per local component: its smallest node linked to
-all others. A chain of links shrinks by half or more per round, a star stays as it is, and no task ever
-holds more than the links of its nodes. The rounds end when no node's root has changed and no
-original link joins two roots.
+Links point from the larger to the smaller node. A round hangs every node's larger neighbours on the
+smallest node it knows (large star), then every node and its smaller neighbours on the smallest of
+these (small star). Components stay as they are and the links become one star per component, around its
+smallest node. The least neighbours are aggregates combined before their shuffle, and no step gathers
+a node's neighbours: a hub's links are rows of a join, which adaptive execution splits where they are many.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kontor.llm.scratch import drop, stored
 
-STARS = "node long, root long, home boolean"
 
+def large_star(links: DataFrame) -> DataFrame:
+    """(node, other), node > other: the larger neighbours of every node with the smallest node it knows."""
+    ends = links.union(links.select("other", "node"))
+    least = ends.groupBy("node").agg(F.min("other").alias("low"))
+    # a row per node and one per link: neither side has a bound for a broadcast
+    return (ends.join(least.hint("merge"), "node").filter("other > node")
+            .select(F.col("other").alias("node"), F.least("node", "low").alias("other")))
 
-def local_roots(a: list[int], b: list[int]) -> dict[int, int]:
-    """Smallest node of the component of every node of the links (a, b)."""
-    above: dict[int, int] = {}
 
-    def top(x: int) -> int:
-        root = x
-        while (up := above.setdefault(root, root)) != root:
-            root = up
-        while above[x] != root:
-            above[x], x = root, above[x]
-        return root
-
-    for x, y in zip(a, b, strict=True):
-        x, y = top(x), top(y)
-        if x != y:
-            above[max(x, y)] = min(x, y)
-    return {x: top(x) for x in list(above)}
-
-
-def _contract(table: pa.Table) -> pa.Table:
-    roots = local_roots(table.column("node").to_pylist(), table.column("other").to_pylist())
-    own = set(table.column("node").to_pylist())  # nodes at home here; the others are ends of their links
-    nodes = np.fromiter(roots, np.int64, len(roots))
-    return pa.table({"node": nodes, "root": np.fromiter(roots.values(), np.int64, len(roots)),
-                     "home": np.fromiter((n in own for n in roots), bool, len(roots))})
+def small_star(links: DataFrame) -> DataFrame:
+    """(node, other), node > other, distinct: every node and its smaller neighbours with the smallest of these."""
+    least = links.groupBy("node").agg(F.min("other").alias("low"))
+    near = links.join(least.hint("merge"), "node").filter("other > low").select(F.col("other").alias("node"), F.col("low").alias("other"))
+    return near.union(least.select("node", F.col("low").alias("other"))).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of the links (a, b); root is the smallest node reachable."""
+    """(node, root) for every node of the links (a, b) but those linked to themselves alone; root is the smallest node reachable."""
     spark = links.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = stored(links.select("a", "b").filter("a <> b"), "links")
-    state, before = links.select(F.col("a").alias("node"), F.col("b").alias("other")), None
-    held: DataFrame | None = None
+    state = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("other")).distinct(), "links")
+    before = None
     while True:
-        ends = state.union(state.select("other", "node"))
-        stars = stored(ends.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts)))
-                       .groupBy("part").applyInArrow(lambda t: _contract(t), STARS), "stars")
-        if held is not None:
-            drop(spark, held)
-        held = stars
-        roots = stars.filter("home").select("node", "root")
-        mark = tuple(roots.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first())
+        mark = tuple(state.agg(F.count("*"), F.sum(F.xxhash64("node", "other").cast("decimal(38,0)"))).first())
         if mark == before:
-            here = roots.withColumnRenamed("root", "ra"), roots.withColumnRenamed("root", "rb")
-            torn = (links.join(here[0], links["a"] == here[0]["node"]).drop("node")
-                    .join(here[1], F.col("b") == F.col("node")).filter("ra <> rb"))
-            if torn.isEmpty():
-                return roots
-        before = mark
-        state = stars.filter("node <> root").select("node", F.col("root").alias("other"))
+            break
+        large = stored(large_star(state), "large-star")
+        drop(spark, state)
+        state, before = stored(small_star(large), "small-star"), mark
+        drop(spark, large)
+    roots = state.select(F.col("other").alias("node"), F.col("other").alias("root")).distinct()
+    return state.select("node", F.col("other").alias("root")).union(roots)
