@@ -58,6 +58,16 @@ def _unpack(raw: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw, max_output_size=1 << 31), dtype=kind)
 
 
+def _pack_totals(values: np.ndarray) -> bytes:
+    """Corpus totals in the narrowest width that holds them all, told by the first byte."""
+    wide = values.max(initial=0) >= 1 << 32
+    return (b"\x08" if wide else b"\x04") + _pack(values.astype(np.int64 if wide else np.uint32))
+
+
+def _unpack_totals(raw: bytes) -> np.ndarray:
+    return _unpack(raw[1:], np.int64 if raw[0] == 8 else np.uint32)
+
+
 def _tokens(payload: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of a block's texts and their bounds per text."""
     raw = zstandard.ZstdDecompressor().decompress(payload, max_output_size=1 << 31)
@@ -192,7 +202,7 @@ def _answering(hot: np.ndarray) -> Callable:
         for i, r in enumerate(rows):
             mine, pick = pair[at: at + nexts[i].size], word[at_word: at_word + words[i].size]
             at, at_word = at + nexts[i].size, at_word + words[i].size
-            out.append({"block": r["block"], "bucket": r["bucket"], "totals": _pack(totals[mine].astype(np.uint32)),
+            out.append({"block": r["block"], "bucket": r["bucket"], "totals": _pack_totals(totals[mine]),
                         "words": _pack(total[pick]), "kinds": _pack(kinds[pick].astype(np.int64)),
                         "stats": np.concatenate([stats, partial]).tobytes() if i == 0 else None})
         return pa.Table.from_pylist(out, schema=_ANSWERS)
@@ -243,7 +253,7 @@ class Automaton:
             if words.size:
                 total[words] = _unpack(answers[b]["words"], np.int64)
                 kinds[words] = _unpack(answers[b]["kinds"], np.int64)
-                seen[asked.cuts[b]: asked.cuts[b + 1]] = _unpack(answers[b]["totals"], np.uint32)
+                seen[asked.cuts[b]: asked.cuts[b + 1]] = _unpack_totals(answers[b]["totals"])
         at = np.minimum(np.searchsorted(model.hot, asked.vocabulary), max(model.hot.size - 1, 0))
         if model.hot.size:
             spread = model.hot[at] == asked.vocabulary
