@@ -112,7 +112,9 @@ def draw_slots(plan: DataFrame, slots: int, shard_slots: int = SHARD_SLOTS, seed
               .withColumn("short", F.greatest(F.col("quota") - F.col("drawn"), zero))
               .withColumn("over_start", F.coalesce(F.sum("over").over(before), zero))
               .withColumn("short_start", F.coalesce(F.sum("short").over(before), zero)))
-    each = (cells.withColumn("i", F.explode(F.sequence(zero, F.col("n") - 1)))
+    # cells are few bytes but stand for all slots: they are spread before they expand
+    spread = cells.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "rank")
+    each = (spread.withColumn("i", F.explode(F.sequence(zero, F.col("n") - 1)))
             .select("shard", "rank", "shard_n", (F.col("k0") + F.col("i")).alias("k"), (F.col("at0") + F.col("i")).alias("at"))
             .join(ledger.select("rank", "quota", "blocks", "over_start"), "rank"))
     kept = each.filter(F.col("k") < F.col("quota")).select("shard", "shard_n", "at", "rank", "k", "blocks")
