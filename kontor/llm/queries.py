@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kontor.llm import ann, counts, decontaminate, ids, jaccard, langid, lm, mix, secrets, shards
+from kontor.llm.scratch import stored
 from kontor.sources.tables import table
 
 #: Folder lookup of the public tokenizer files; the file is a parameter of the operator.
@@ -92,11 +93,11 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole documents, sharded and written; the digest columns are read from that."""
+    rows = stored(shards.shuffled(table(spark, sf_dir, "documents")), "sharded")
     text = F.coalesce("text", F.lit("")).cast("binary")
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    return (shards.shuffled(docs).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
-                                         F.lit(None).cast("int").alias("grown_shard")))
+    return rows.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+                       F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

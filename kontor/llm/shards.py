@@ -57,16 +57,17 @@ def shuffled(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, exchange:
     along = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     down = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     cells = (stored(count_matrix(parts, total, shards, seed), "shard-matrix")
-             .withColumn("_from", F.coalesce(F.sum("n").over(along), zero))
-             .withColumn("_to", F.coalesce(F.sum("n").over(down), zero)))
-    lanes = (cells.withColumn("_k", F.explode(F.sequence(zero, F.col("n") - 1)))
-             .select(F.col("part").alias("_part"), (F.col("_from") + F.col("_k")).alias("_r"), "shard",
-                     (F.col("_to") + F.col("_k")).alias("_place")))
-    local = (held.join(parts.select(F.col("part").alias("_part"), F.col("rows").alias("_rows")), "_part")
+             .withColumn("from", F.coalesce(F.sum("n").over(along), zero))
+             .withColumn("to", F.coalesce(F.sum("n").over(down), zero)))
+    # a partition's row of the matrix, one value for each: the rows themselves move once, to their shards
+    lanes = stored(cells.groupBy("part").agg(F.collect_list(F.struct("shard", "n", "from", "to")).alias("_cells"))
+                   .join(parts, "part").select(F.col("part").alias("_part"), F.col("rows").alias("_rows"), "_cells"), "shard-lanes")
+    local = (held.join(lanes, "_part")
              .withColumn("_r", permuted(F.col("_i"), F.col("_rows"), F.lit(seed + 1), F.col("_part"))))
     size = F.floor(F.lit(total) / shards).cast("long") + (F.col("shard") < F.lit(total % shards)).cast("long")
-    # lanes has a row per row: its runs compress so well that a size check on shuffled bytes would broadcast it
-    placed = (local.join(lanes.hint("merge"), ["_part", "_r"])
+    mine = F.filter("_cells", lambda c: (c["from"] <= F.col("_r")) & (F.col("_r") < c["from"] + c["n"]))[0]
+    placed = (local.withColumn("_cell", mine).withColumn("shard", F.col("_cell.shard"))
+              .withColumn("_place", F.col("_cell.to") + F.col("_r") - F.col("_cell.from"))
               .withColumn("slot", permuted(F.col("_place"), size, F.lit(seed + 2), F.col("shard"))))
     out = placed.select("row.*", "shard", "slot")
     if not exchange:

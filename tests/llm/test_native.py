@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from kontor.llm import counts, mix, shards
+from kontor.llm import counts, mix, queries, shards
 from kontor.llm.permute import permuted
 from tests.llm.conftest import CLASHING, WORDS, edge_rows, listed, prose
 
@@ -162,6 +163,18 @@ def test_shard_edges(spark, edges, clashing, nothing):
     assert shards.shuffled(nothing).count() == 0
 
 
+def test_the_registered_query_shards_whole_documents(spark, edges, tmp_path, monkeypatch):
+    """What reaches the operator, and the digests of what it returns."""
+    edges.write.parquet(f"{tmp_path}/documents.parquet")
+    given, real = [], shards.shuffled
+    monkeypatch.setattr(shards, "shuffled", lambda rows, *a, **b: given.append(rows) or real(rows, *a, **b))
+    got = queries.op10_shards(spark, str(tmp_path)).collect()
+    whole = lambda r: repr(tuple(r))
+    assert sorted(map(whole, given[0].collect())) == sorted(map(whole, edges.collect()))
+    text = [(r.doc_id, (r.text or "").encode()) for r in edges.collect()]
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len(t) + 8, zlib.crc32(t)) for i, t in text)
+
+
 def test_counts_follow_inserts_deletes_and_revisions(spark, tmp_path):
     one, two = F.lit("words-1"), F.lit("split-2")
     ddl = "doc_id long, text string, lang string, source string"
