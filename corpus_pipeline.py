@@ -26,20 +26,30 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
             .select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a `row_key` for each row, written once: ids may be null or repeat.
+    xxhash64 of a single long is a bijection, so keys are distinct, and even in their low bits."""
+    return stored(docs.select(*COLUMNS, F.xxhash64(F.monotonically_increasing_id()).alias("row_key")), "pipeline-rows")
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near duplicates the one with the smallest id stays; of rows that repeat an id, one;
-    documents without words, and ids of null, are no duplicates of anything."""
-    groups = jaccard.near_duplicates(docs).filter("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(groups, "doc_id", "left_anti")
-    repeated = kept.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    again = stored(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "repeated")
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(again).select(*COLUMNS)
+    """Of rows linked by near duplicates the one with the smallest id stays (null last, then by row); rows that only
+    share an id are no duplicates; rows without words are no duplicates of anything."""
+    rows = keyed(docs)
+    groups = stored(jaccard.near_duplicates(rows.select(F.col("row_key").alias("doc_id"), "text"))
+                    .withColumnRenamed("doc_id", "row_key"), "pipeline-groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key"))
+    kept = (groups.filter("n_shingles > 0").join(rows.select("row_key", "doc_id"), "row_key")
+            .groupBy("component_id").agg(first.alias("first")).select("first.row_key")
+            .union(groups.filter("n_shingles = 0").select("row_key")))
+    return rows.join(kept, "row_key", "left_semi").select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
-    pairs = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.select(*COLUMNS).join(pairs.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """Rows that contain a benchmark item go, whatever their id; other rows with that id stay."""
+    rows = keyed(docs)
+    pairs = decontaminate.contaminated(rows.select(F.col("row_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return rows.join(pairs.select(F.col("doc_id").alias("row_key")).distinct(), "row_key", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

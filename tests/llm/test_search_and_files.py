@@ -237,6 +237,22 @@ def test_pipeline_edges(spark, edges, nothing, tmp_path):
         assert (docs.count() == 0) == (df is nothing)
 
 
+def test_pipeline_decides_by_row(spark, tmp_path):
+    """Ids that repeat or are null: each row stays or goes by its own text."""
+    import corpus_pipeline as P
+    item, a, x, y, z = prose(900, 40), prose(10, 80), prose(11, 80), prose(12, 80), prose(13, 80)
+    leak = lambda n: prose(n, 60) + " " + item
+    rows = [(5, a), (5, x), (9, a + " tail"), (9, y), (None, a + " end"), (None, z), (None, z), (20, prose(14, 80)), (20, None)]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], ddl)
+    counted = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    sf = str(tmp_path)
+    assert counted(P.one_of_each_group(spark, frame(rows), sf)) == Counter([(5, a), (5, x), (9, y), (None, z), *rows[7:]])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    rows = [(None, leak(15)), (None, z), (7, leak(16)), (7, y), (8, None), (None, None)]
+    assert counted(P.decontaminated(spark, frame(rows), sf)) == Counter([(None, z), (7, y), (8, None), (None, None)])
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
     assert queries.QUERIES.keys() <= entry.queries().keys()
