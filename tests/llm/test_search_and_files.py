@@ -61,6 +61,21 @@ def test_nearest_recall_and_scores(spark):
         assert [v for _, v, _ in got[q]] == [v for v, _ in want[q]]
 
 
+@pytest.mark.parametrize("longest", [1, 10000])
+def test_recall_of_a_full_shard(longest):
+    """With the defaults, also where one vector is far longer than the rest."""
+    rng = np.random.default_rng(5)
+    n, k = ann.SHARD_ROWS, ann.K
+    vectors = rng.standard_normal((n, 16))
+    vectors /= np.sqrt((vectors * vectors).sum(axis=1))[:, None]
+    vectors[n // 2] *= longest
+    graph = ann.Graph.build(vectors)
+    asked = vectors[:: n // 100]
+    true = np.argsort(-(asked @ vectors.T), axis=1)[:, :k]
+    got = [set(graph.search(q, ann.SEARCH_BEAM)) for q in asked]
+    assert np.mean([len(g & set(t)) / k for g, t in zip(got, true.tolist(), strict=True)]) > 0.9
+
+
 def test_nearest_edges(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]),
             (6, [float("inf"), 0.0]), (None, [1.0, 1.0]), (20, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [1.0, 2.0, 3.0]), (40, [0.0, 0.0]), (1, [0.5, 0.5])]
