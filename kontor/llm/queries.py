@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kontor.llm import ann, counts, decontaminate, ids, jaccard, langid, lm, mix, secrets, shards
+from kontor.llm import align, ann, counts, decontaminate, ids, jaccard, langid, lm, mix, periods, pieces, secrets, shards
 from kontor.llm.scratch import stored
 from kontor.sources.tables import table
 
 #: Folder lookup of the public tokenizer files; the file is a parameter of the operator.
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
+PIECE_TOKENIZER = "piece_bpe_32k.model"
 
 
 def id_remainder(modulus: int) -> Column:
@@ -100,6 +102,48 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def repeated_words(docs: DataFrame) -> DataFrame:
+    """Documents whose id hashes to a multiple of ten get periodic texts: with h the crc32 of the id, g = h / 10 and n words,
+    each word i >= a = g % n becomes word a + (i - a) % p, p = 1 + (n - a) / (3 + g % 8). Other texts stay as they are."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    g, n = F.floor(h / 10), F.size("_words").cast("long")
+    a = F.col("_g") % F.col("_n")
+    p = 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8))
+    place = lambda i: F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p"))
+    repeated = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda i: F.get("_words", place(i).cast("int"))), " ")
+    return (docs.withColumn("_words", F.when(h % 10 == 0, words)).withColumns({"_g": g, "_n": n}).withColumn("_a", a).withColumn("_p", p)
+            .withColumn("text", F.when(F.col("_n") > 0, repeated).otherwise(F.col("text"))).drop("_words", "_g", "_n", "_a", "_p"))
+
+
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.find_runs(repeated_words(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    order = lambda r: F.struct((-r["length"]).alias("length"), r["start"], r["period"])
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    top = F.array_min(F.transform("runs", order))
+    return found.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.start").alias("start"), (-F.col("top.length")).alias("length"),
+        F.col("top.period").alias("period"), F.expr("(1000 * -top.length) div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    path = public_tokenizers.path(PIECE_TOKENIZER)
+    texts = pieces.decode_ids(pieces.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    return texts.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    found = align.aligned(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                          public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_TOKENIZER))
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise(F.lit(""))
+    counted = align.with_counts(found.withColumn("groups_sha256", digest).drop("groups"))
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -107,5 +151,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mix, op2_lm_score, op3_nearest, op4_decontaminate, op5_jaccard, op6_language,
-                            op7_token_ids, op8_token_counts, op9_secrets, op10_shards, pipeline)}
+                            op7_token_ids, op8_token_counts, op9_secrets, op10_shards, op11_periods, op12_pieces, op13_align, pipeline)}
 ORACLE = {"op8_token_counts": OP8_SQL}

@@ -271,5 +271,5 @@ def test_pipeline_decides_by_row(spark, tmp_path):
 def test_queries_are_registered():
     import __spark_entry__ as entry
     assert queries.QUERIES.keys() <= entry.queries().keys()
-    assert {int(m[1]) for m in map(lambda q: re.match(r"op(\d+)_", q), queries.QUERIES) if m} == set(range(1, 11))
+    assert {int(m[1]) for m in map(lambda q: re.match(r"op(\d+)_", q), queries.QUERIES) if m} == set(range(1, 14))
     assert langid.UNKNOWN == "und"
