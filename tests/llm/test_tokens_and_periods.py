@@ -245,8 +245,9 @@ def tokens(library):
             return None
         ends = [np.cumsum([len(x) for x in raw]).tolist() for raw in (raw_a, raw_b)]
         groups, x, y = [], 0, 0
+        place = [{end: k for k, end in enumerate(e)} for e in ends]
         for cut in sorted(set(ends[0]) & set(ends[1])):
-            i, j = ends[0].index(cut) + 1, ends[1].index(cut) + 1
+            i, j = place[0][cut] + 1, place[1][cut] + 1
             groups.append((a[x:i], b[y:j]))
             x, y = i, j
         return a, b, groups
