@@ -1,17 +1,17 @@
 """G: twelve strictly causal per-transaction features (plus has_history).
 
 "Past" means rows strictly before the current one in the account's order
-(posted_date, transaction_id): frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1
-PRECEDING. All windows sit in one projection and every partition key starts
-with account_id, so the plan hash-partitions the spend rows once on
-account_id and the finer windows only add local sorts.
+(posted_date, transaction_id); their statistics come from `expanding`, which
+reads an account in one task only while it fits a block.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kontor.operators.expanding import BLOCK_ROWS, expanding
+
 # Model feature order (positional contract of the forest tables).
 ANOMALY_FEATURES = [
     "amount",
@@ -31,8 +31,6 @@ MIN_HISTORY = 5
 FIRST_GAP_DAYS = 30.0
 SATURDAY = 5  # weekday(): Monday = 0; the per-transaction weekend is Saturday..Sunday
 
-ORDER = ["posted_date", "transaction_id"]
-
 
 def spend_only(ledger: DataFrame) -> DataFrame:
     """Outflows with a positive amount (drops income and refunds)."""
@@ -49,37 +47,13 @@ def _ratio(amt: Column, median: Column) -> Column:
 
 
 def transaction_features(ledger: DataFrame, min_history: int = MIN_HISTORY,
-                         carry: list[str] | tuple = ()) -> DataFrame:
+                         carry: list[str] | tuple = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """G1-G15 for every scorable transaction of a normalised ledger.
 
     `carry` names extra input columns passed through unchanged (labels).
     """
-    s = spend_only(ledger).withColumn("amount", F.col("amount").cast("double"))
+    stats = expanding(spend_only(ledger), block_rows).withColumn("amount", F.col("amount").cast("double"))
     amt = F.col("amount")
-    by_cat = Window.partitionBy("account_id", "category").orderBy(*ORDER)
-    by_acct = Window.partitionBy("account_id").orderBy(*ORDER)
-    by_merchant = Window.partitionBy("account_id", "merchant").orderBy(*ORDER)
-    past_cat = by_cat.rowsBetween(Window.unboundedPreceding, -1)
-    past_acct = by_acct.rowsBetween(Window.unboundedPreceding, -1)
-    same_merchant_day = Window.partitionBy("account_id", "merchant", "posted_date")
-    same_day = Window.partitionBy("account_id", "posted_date")
-
-    stats = s.select(
-        "*",
-        F.avg(amt).over(past_cat).alias("_c_mean"),
-        F.stddev_samp(amt).over(past_cat).alias("_c_std"),
-        F.percentile(amt, 0.5).over(past_cat).alias("_c_med"),
-        F.count(amt).over(past_cat).alias("_c_cnt"),
-        F.avg(amt).over(past_acct).alias("_a_mean"),
-        F.stddev_samp(amt).over(past_acct).alias("_a_std"),
-        F.percentile(amt, 0.5).over(past_acct).alias("_a_med"),
-        F.row_number().over(by_merchant).alias("_m_rn"),
-        F.row_number().over(by_cat).alias("_c_rn"),
-        F.row_number().over(by_acct).alias("_a_rn"),
-        F.lag("posted_date").over(by_acct).alias("_prev_date"),
-        F.count(F.lit(1)).over(same_merchant_day).alias("_m_day"),
-        F.count(F.lit(1)).over(same_day).alias("_a_day"),
-    )
     z = F.coalesce(_scaled(amt, F.col("_c_mean"), F.col("_c_std")),
                    _scaled(amt, F.col("_a_mean"), F.col("_a_std")), F.lit(0.0))
     ratio = F.coalesce(_ratio(amt, F.col("_c_med")), _ratio(amt, F.col("_a_med")), F.lit(1.0))
@@ -89,13 +63,13 @@ def transaction_features(ledger: DataFrame, min_history: int = MIN_HISTORY,
         F.log1p(F.greatest(amt, F.lit(0.0))).alias("amount_log"),
         z.alias("amount_zscore_in_category"),
         ratio.alias("amount_ratio_to_category_median"),
-        (F.col("_m_rn") == 1).cast("double").alias("merchant_novelty"),
-        (F.col("_m_rn") - 1).cast("double").alias("merchant_frequency"),
+        (F.col("_m_cnt") == 0).cast("double").alias("merchant_novelty"),
+        F.col("_m_cnt").cast("double").alias("merchant_frequency"),
         (F.weekday("posted_date") >= SATURDAY).cast("double").alias("is_weekend"),
         F.dayofmonth("posted_date").cast("double").alias("day_of_month"),
         F.coalesce(F.datediff("posted_date", "_prev_date").cast("double"),
                    F.lit(FIRST_GAP_DAYS)).alias("days_since_previous"),
-        (F.lit(1.0) - (F.col("_c_rn") - 1) / F.greatest(F.col("_a_rn") - 1, F.lit(1))).alias("category_rarity"),
+        (F.lit(1.0) - F.col("_c_cnt") / F.greatest(F.col("_a_cnt"), F.lit(1))).alias("category_rarity"),
         F.col("_m_day").cast("double").alias("merchant_txns_same_day"),
         F.col("_a_day").cast("double").alias("account_txns_same_day"),
         (F.col("_c_cnt") >= min_history).cast("int").alias("has_history"),

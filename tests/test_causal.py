@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
+import random
+import statistics
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from kontor.operators import expanding
 from kontor.operators.causal import ANOMALY_FEATURES, transaction_features, zscore_flags
 from kontor.operators.contracts import finite_check
 from kontor.operators.ledger import normalise_ledger
@@ -94,3 +98,64 @@ def test_threshold_monotone(spark, lo, delta):
     loose = {r.transaction_id for r in zscore_flags(t, lo).filter("zscore_flag").collect()}
     assert strict <= loose
     assert not math.isnan(lo)
+
+
+def naive_stats(rows):
+    """Every row's features from its account's earlier rows, one by one."""
+    out, key = {}, lambda r: (r[2] or "", r[0])
+    for account in {r[1] for r in rows}:
+        mine = sorted((r for r in rows if r[1] == account), key=key)
+        for i, (tid, _, day, amount, merchant, category) in enumerate(mine):
+            past, of = mine[:i], [float(r[3]) for r in mine[:i] if r[5] == category]
+            every = [float(r[3]) for r in past]
+            sample = next((s for s in (of, every) if len(s) > 1), None)
+            z = (float(amount) - statistics.mean(sample)) / max(statistics.stdev(sample), 1.0) if sample else 0.0
+            centre = next((statistics.median(s) for s in (of, every) if s), None)
+            gap = (dt.date.fromisoformat(day) - dt.date.fromisoformat(past[-1][2])).days if past and day and past[-1][2] else 30.0
+            out[tid] = (z, float(amount) / max(centre, 1.0) if centre else 1.0, sum(r[4] == merchant for r in past), gap,
+                        1 - len(of) / max(len(past), 1), sum(r[4] == merchant and r[2] == day for r in mine), sum(r[2] == day for r in mine), int(len(of) >= 5))
+    return out
+
+
+def drifting(n_hot, n_other, seed):
+    """One account with most rows, whose amounts drift and repeat, with days that hold many rows; small ones; nulls."""
+    rng = random.Random(seed)
+    day = lambda i: str(dt.date(2026, 1, 1) + dt.timedelta(days=i))
+    rows = []
+    for i in range(n_hot):
+        amount = rng.choice([20, 20, 35, 5000, round(rng.uniform(1, 50) + (i if i < n_hot / 2 else n_hot - i) / 3, 2)])
+        rows.append((f"h{rng.randrange(10**9):09d}{i}", 7, day(rng.choice([i // 9, i // 30 * 3])), amount, rng.choice("ABCD") if i % 50 else f"M{i}",
+                     rng.choice(["dining", "dining", "groceries", "travel"]) if i % 41 else None))
+    rows += [(f"o{i}", rng.choice([1, 2, 3, None]), day(rng.randrange(40)) if i % 13 else None, round(rng.uniform(1, 90), 2), rng.choice("AB"), "dining") for i in range(n_other)]
+    return rows
+
+
+@pytest.mark.parametrize(("block_rows", "n_hot"), [(17, 260), (90, 400), (10_000, 200)])
+def test_hot_account_over_many_blocks(spark, block_rows, n_hot):
+    rows = drifting(n_hot, 60, block_rows)
+    schema = "transaction_id string, account_id long, d string, a string, merchant string, category string"
+    df = spark.createDataFrame([(t, k, d, str(a), m, c) for t, k, d, a, m, c in rows], schema).select(
+        "*", F.col("d").cast("date").alias("posted_date"), F.col("a").cast("decimal(12,2)").alias("amount"), F.lit(False).alias("is_inflow"),
+        F.trunc(F.col("d").cast("date"), "month").alias("month"), F.lit("own").alias("n"))
+    got = transaction_features(df, carry=["n"], block_rows=block_rows)
+    want = naive_stats(rows)
+    found = {r.transaction_id: r for r in got.collect()}
+    assert found.keys() == want.keys()
+    for tid, r in found.items():
+        mine = (r.amount_zscore_in_category, r.amount_ratio_to_category_median, r.merchant_frequency, r.days_since_previous, r.category_rarity,
+                r.merchant_txns_same_day, r.account_txns_same_day, r.has_history)
+        assert mine == pytest.approx(want[tid], rel=1e-9), (tid, mine, want[tid])
+        assert r.merchant_novelty == (want[tid][2] == 0) and r.n == "own"
+
+
+def test_blocks_are_bounded(spark, monkeypatch):
+    """No task reads more than about a block of the account that holds most rows, nor more carried values than a few blocks."""
+    rows = drifting(3000, 30, 1)
+    df = spark.createDataFrame([(t, k, d, str(a), m, c) for t, k, d, a, m, c in rows],
+                               "transaction_id string, account_id long, d string, a string, merchant string, category string").select(
+        "*", F.col("d").cast("date").alias("posted_date"), F.col("a").cast("decimal(12,2)").alias("amount"))
+    staged = df.filter("account_id = 7").withColumns({"_key": F.lit("=7"), "_cents": (F.col("amount") * 100).cast("long"), "_day": F.datediff("posted_date", F.lit("1970-01-01"))})
+    ranged = expanding.cut_lineage(staged.repartitionByRange(10, "_day", "transaction_id").withColumn("_pid", F.spark_partition_id().cast("long")))
+    sizes = [r["count"] for r in ranged.groupBy("_pid").count().collect()]
+    carried = [r["n"] for r in expanding._left_behind(ranged).filter("kind IN ('av')").groupBy("_pid").agg(F.sum("n").alias("n")).collect()]
+    assert max(sizes) < 3 * 300 and max(carried) < 4 * max(sizes)
