@@ -1,23 +1,27 @@
 """O1: live same-merchant burst counts (card-testing signal) on a stream.
 
 Counts per (account, merchant, day of the event) are additive, so each micro-batch
-adds its own counts as a file under its batch number and then commits that
-number; the table is the sum over committed batches. No state is held, nothing
-written before is rewritten, and a row that arrives days late still counts. The
+commits its own counts as a run (kontor.sources.runs); runs are summed on read and merged as
+they grow. No state is held, and a row that arrives days late still counts. A commit names the files it
+counted, so a file is counted once, whatever the stream's checkpoint says. The
 sum of a day equals the batch feature G12 (`merchant_txns_same_day`).
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kontor.functions.categories import canonical_category, is_inflow
+from kontor.session import cut_lineage
+from kontor.sources.runs import RunTable, summed
 from kontor.sources.tables import table
-from kontor.streaming.sync import last_committed, read_or_empty
+from kontor.streaming.sync import FILES, read_or_empty
 
-COMMITS = "batch_id long"
-COUNTS = "account_id long, merchant string, day date, merchant_txns_same_day long, batch_id long"
+KEYS = ["account_id", "merchant", "day"]
+COUNTS = "account_id long, merchant string, day date, merchant_txns_same_day long"
 
 
 def events_stream(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None) -> DataFrame:
@@ -27,7 +31,7 @@ def events_stream(spark: SparkSession, sf_dir: str, files_per_batch: int | None
     reader = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
-    return reader.parquet(sf_dir.rstrip("/"))
+    return reader.parquet(sf_dir.rstrip("/")).select("*", F.col("_metadata.file_path").alias("file"))
 
 
 def ledger_stream(events: DataFrame) -> DataFrame:
@@ -47,7 +51,7 @@ def ledger_stream(events: DataFrame) -> DataFrame:
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("user_id").cast("long").alias("account_id"),
         F.concat(F.lit("m"), k.cast("string")).alias("merchant"),
-        amount.alias("amount"), is_inflow(canon).alias("is_inflow"))
+        amount.alias("amount"), is_inflow(canon).alias("is_inflow"), "file")
 
 
 def burst_counts(spend: DataFrame) -> DataFrame:
@@ -60,13 +64,15 @@ def burst_counts(spend: DataFrame) -> DataFrame:
 def run_burst_counts(spark: SparkSession, sf_dir: str, out_dir: str, checkpoint: str,
                      files_per_batch: int | None = None) -> DataFrame:
     """Drive O1 over the available events and return the counts."""
+    counts = counts_table(spark, out_dir)
+
     def land(batch: DataFrame, batch_id: int) -> None:
-        last = last_committed(read_or_empty(spark, f"{out_dir}/commits", COMMITS))
-        if last is not None and batch_id <= last:
-            return
-        burst_counts(batch).write.mode("overwrite").parquet(f"{out_dir}/counts/batch_id={batch_id}")
-        (spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id")).coalesce(1)
-         .write.mode("append").parquet(f"{out_dir}/commits"))
+        done = read_or_empty(spark, f"{out_dir}/files", FILES).join(counts.committed(), "sync", "left_semi")
+        new = cut_lineage(batch.join(done, "file", "left_anti"))
+        if not new.isEmpty():
+            name = uuid.uuid4().hex
+            new.select("file", F.lit(name).alias("sync")).distinct().write.mode("append").parquet(f"{out_dir}/files")
+            counts.commit(burst_counts(new), name)
 
     stream = ledger_stream(events_stream(spark, sf_dir, files_per_batch))
     q = (stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
@@ -75,9 +81,10 @@ def run_burst_counts(spark: SparkSession, sf_dir: str, out_dir: str, checkpoint:
     return burst_table(spark, out_dir)
 
 
+def counts_table(spark: SparkSession, out_dir: str) -> RunTable:
+    return RunTable(spark, out_dir, COUNTS, KEYS, summed(KEYS, "merchant_txns_same_day"))
+
+
 def burst_table(spark: SparkSession, out_dir: str) -> DataFrame:
     """The counts after the last committed batch."""
-    done = read_or_empty(spark, f"{out_dir}/commits", COMMITS)
-    counts = read_or_empty(spark, f"{out_dir}/counts", COUNTS)
-    return (counts.join(done, "batch_id", "left_semi").groupBy("account_id", "merchant", "day")
-            .agg(F.sum("merchant_txns_same_day").alias("merchant_txns_same_day")))
+    return counts_table(spark, out_dir).read()

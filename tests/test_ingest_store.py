@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from kontor.operators import ingest as M
 from kontor.operators import store as K
 from kontor.sources.files import write_monthly_features
+from kontor.sources.runs import Conflict, RunTable, latest
 from kontor.streaming import sync as S
 from kontor.streaming.burst import run_burst_counts
 from kontor.streaming.sync import FEED_SCHEMA, incremental_sync, write_feed
@@ -108,19 +110,18 @@ def state(df):
     return sorted((r.transaction_id, r.account_id, float(r.amount)) for r in df.collect())
 
 
-def test_sync_in_two_batches_touches_only_their_buckets(spark, accounts, tmp_path):
+def test_sync_in_two_batches_writes_only_its_ids(spark, accounts, tmp_path):
     dirs = [str(tmp_path / x) for x in ("feed", "ledger", "ckpt")]
     b = base(spark, [(f"x{i}", 2, i) for i in range(40)])
     write_feed(feed(spark, [("n1", "ext-1", 10, "added", 0, 7), ("o1", "ext-9", 3, "added", 0, 8)]), dirs[0])
-    incremental_sync(spark, *dirs, accounts, b, buckets=8)
+    incremental_sync(spark, *dirs, accounts, b)
     second = feed(spark, [("n1", "ext-1", 11, "modified", 0, 9), ("x3", "ext-2", 0, "removed", 0, 10)])
     write_feed(second, dirs[0])
-    got = incremental_sync(spark, *dirs, accounts, b, buckets=8)
+    got = incremental_sync(spark, *dirs, accounts, b)
     assert state(got) == sorted([(f"x{i}", 2, float(i)) for i in range(40) if i != 3] + [("n1", 1, 11.0)])
-    manifest = S._manifest(spark, dirs[1])
-    assert manifest.filter("batch_id = -1").count() == 8
-    assert 1 <= manifest.filter("batch_id = 1").count() <= 2  # the buckets of n1 and x3
-    assert [(r.transaction_id, r.batch) for r in S.quarantined(spark, dirs[1]).collect()] == [("o1", 0)]
+    number, runs = S.ledger_table(spark, dirs[1]).state()
+    assert number == 3 and [r["rows"] for r in runs] == [40, 2]  # the first sync's run is merged into the second's
+    assert [(r.transaction_id, len(r.sync)) for r in S.quarantined(spark, dirs[1]).collect()] == [("o1", 32)]
     done = {r.external_account_id: (r.sync_cursor, r.sync_status) for r in S.synced_accounts(spark, dirs[1], accounts).collect()}
     assert done["ext-1"] == ("9", "IDLE") and done["ext-2"][0] == "10"
     assert S.vacuum(spark, dirs[1]) > 0
@@ -131,23 +132,93 @@ def test_failed_and_replayed_sync(spark, accounts, tmp_path, monkeypatch):
     dirs = [str(tmp_path / x) for x in ("feed", "ledger", "ckpt")]
     b = base(spark, [("x1", 2, 1), ("x2", 2, 2)])
     write_feed(feed(spark, [("n1", "ext-1", 10, "added", 0, 1)]), dirs[0])
-    first = state(incremental_sync(spark, *dirs, accounts, b, buckets=4))
+    first = state(incremental_sync(spark, *dirs, accounts, b))
     write_feed(feed(spark, [("x1", "ext-2", 5, "modified", 0, 2), ("x2", "ext-2", 0, "removed", 0, 3)]), dirs[0])
-    real = S._write
+    real = RunTable._swap
 
-    def broken(spark_, ledger_dir, rows, batch_id, touched, buckets):
-        rows.write.mode("overwrite").parquet(f"{ledger_dir}/data/batch={batch_id}/bucket=0")
+    def broken(self, number, runs, sync):
         raise RuntimeError("lost before the commit")
 
-    monkeypatch.setattr(S, "_write", broken)
+    monkeypatch.setattr(RunTable, "_swap", broken)
     with pytest.raises(Exception):
-        incremental_sync(spark, *dirs, accounts, b, buckets=4)
+        incremental_sync(spark, *dirs, accounts, b)
     assert state(S.current_ledger(spark, dirs[1])) == first  # nothing of the failed sync shows
-    monkeypatch.setattr(S, "_write", real)
-    after = state(incremental_sync(spark, *dirs, accounts, b, buckets=4))
+    monkeypatch.setattr(RunTable, "_swap", real)
+    after = state(incremental_sync(spark, *dirs, accounts, b))
     assert after == [("n1", 1, 10.0), ("x1", 2, 5.0)]
-    again = state(incremental_sync(spark, dirs[0], dirs[1], str(tmp_path / "lost-checkpoint"), accounts, b, buckets=4))
-    assert again == after  # replayed batch numbers are skipped
+    again = state(incremental_sync(spark, dirs[0], dirs[1], str(tmp_path / "lost-checkpoint"), accounts, b))
+    assert again == after  # applied files are skipped
+
+
+def test_new_files_after_a_lost_checkpoint(spark, accounts, tmp_path):
+    """A fresh checkpoint counts batches from 0 again and meets old and new files in one batch."""
+    dirs = [str(tmp_path / x) for x in ("feed", "ledger", "ckpt")]
+    b = base(spark, [("x1", 2, 1)])
+    write_feed(feed(spark, [("n1", "ext-1", 10, "added", 0, 1)]), dirs[0])
+    incremental_sync(spark, *dirs, accounts, b)
+    write_feed(feed(spark, [("n1", "ext-1", 0, "removed", 0, 2), ("n2", "ext-1", 4, "added", 0, 3)]), dirs[0])
+    for name in ("second", "third"):
+        got = incremental_sync(spark, dirs[0], dirs[1], str(tmp_path / name), accounts, b)
+        assert state(got) == [("n2", 1, 4.0), ("x1", 2, 1.0)]
+    assert S.applied_files(spark, dirs[1]).count() >= 2
+
+
+def test_syncs_one_by_one_equal_the_batch_form(spark, accounts, tmp_path):
+    """Ids that come, go and come back under another account, in many syncs and merges."""
+    rng = random.Random(4)
+    ids, where, seq = [f"t{i}" for i in range(12)], str(tmp_path / "ledger"), 0
+    want = base(spark, [(t, 2, 1) for t in ids[:6]])
+    first = want
+    for k in range(9):
+        rows = []
+        for t in rng.sample(ids, 4):
+            for kind in rng.choice([["added"], ["modified"], ["removed"], ["added", "removed"], ["modified", "added"]]):
+                seq += 1
+                rows.append((t, rng.choice(["ext-1", "ext-2", "ext-9"]), seq, kind, 0, seq))
+        changes = feed(spark, rows)
+        S.apply_files(spark, where, changes.withColumn("file", F.lit(f"f{k}")), accounts, first)
+        want = spark.createDataFrame(M.sync(want, changes, accounts).collect(), S.LEDGER_SCHEMA)
+        assert state(S.current_ledger(spark, where)) == state(want)
+
+
+def test_a_sync_writes_in_proportion_to_its_rows(spark, accounts, tmp_path):
+    where = str(tmp_path / "ledger")
+    big = spark.range(200_000).select(F.concat(F.lit("b"), "id").alias("transaction_id"), F.lit(2).cast("long").alias("account_id"), F.lit(D).alias("posted_date"),
+                                      F.lit(1).cast("decimal(12,2)").alias("amount"), F.lit("Shop").alias("merchant"), F.lit("dining").alias("category"), F.lit(False).alias("pending"))
+    written = []
+    for k in range(6):
+        rows = spark.range(1000).select(F.concat(F.lit("b"), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(200_000))).alias("transaction_id")).distinct()
+        changes = rows.select("transaction_id", F.lit("ext-2").alias("external_account_id"), F.lit(D).alias("date"), F.lit(7.0 + k).alias("amount"),
+                              F.lit("M").alias("merchant_name"), F.lit(None).cast("string").alias("name"), F.lit(False).alias("pending"),
+                              F.lit("TRAVEL").alias("primary_category"), F.lit("modified").alias("kind"), F.lit(0).alias("page"), F.lit(1).cast("long").alias("seq"))
+        written.append(S.apply_files(spark, where, changes.withColumn("file", F.lit(f"f{k}")), accounts, big))
+    assert written[0] < 202_000 and max(written[1:]) < 6_000 and sum(written[1:]) < 20_000
+    ledger = S.current_ledger(spark, where)
+    assert ledger.count() == 200_000 and ledger.filter("amount = 12").count() > 900
+
+
+def test_two_writers_lose_nothing(spark, tmp_path, monkeypatch):
+    """A writer that is overtaken between reading and committing folds its rows onto the other's."""
+    keys, path = ["k"], str(tmp_path / "t")
+    make = lambda: RunTable(spark, path, "k long, v long", keys, latest(keys))
+    rows = lambda *kv: spark.createDataFrame(list(kv), "k long, v long")
+    make().commit(rows((1, 1), (2, 1)))
+    real, once = RunTable._swap, []
+
+    def overtaken(self, number, runs, sync):
+        if not once:
+            once.append(1)
+            make().commit(rows((2, 20), (3, 20)))
+        real(self, number, runs, sync)
+
+    monkeypatch.setattr(RunTable, "_swap", overtaken)
+    make().commit(rows((1, 30), (None, 30)))
+    monkeypatch.setattr(RunTable, "_swap", real)
+    assert {r.k: r.v for r in make().read().collect()} == {1: 30, 2: 20, 3: 20, None: 30}
+    assert make().state()[0] == 3 and make().committed().count() == 3
+    with pytest.raises(Conflict):
+        real(make(), 3, [], "late")
+    assert make().vacuum() > 0 and make().read().count() == 4
 
 
 def test_late_rows_count(spark, tmp_path):
@@ -167,7 +238,8 @@ def test_late_rows_count(spark, tmp_path):
     args = (spark, str(where), str(tmp_path / "out"), str(tmp_path / "ckpt"), 1)
     run_burst_counts(*args)
     land("events-2.parquet", [1, 20])
-    for _ in range(2):
+    for ckpt in ("ckpt", "ckpt", "lost"):
+        args = (*args[:3], str(tmp_path / ckpt), 1)
         got = sorted((str(r.day), r.merchant_txns_same_day) for r in run_burst_counts(*args).collect())
         assert got == [("2026-05-01", 1), ("2026-05-20", 3)]
 
