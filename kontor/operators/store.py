@@ -2,17 +2,17 @@
 
 Parquet tables have no MERGE; an upsert is `old ⟕anti new-keys ∪ latest(new)`.
 The anti join lets the planner broadcast the (usually small) new batch and
-stream the large stored table; on disk only the partitions that hold new rows are
-rewritten, merged with what they held (`write_upsert`).
+stream the large stored table; on disk a batch is a run of its own, merged
+on read (`write_upsert`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kontor.functions.scan import keyed_running
-from kontor.session import cut_lineage
+from kontor.sources.runs import RunTable, latest
 
 SCORE_KEYS = ["subject_type", "subject_id", "model_name"]
 FEATURE_KEYS = ["account_id", "month"]
@@ -162,20 +162,19 @@ def scan_with_fallback(requested: DataFrame, ledger: DataFrame, live: DataFrame,
         .when(F.col("_scored").isNull(), F.lit(NOTE_NOTHING_SCORABLE)).alias("note"))
 
 
-def write_upsert(new: DataFrame, path: str, keys: list[str], partition_by: list[str],
-                 order: list | None = None) -> None:
+def write_upsert(new: DataFrame, path: str, keys: list[str], order: list | None = None) -> int:
     """Persisted upsert: rows of the table at `path` with a key of `new` are replaced, the rest stay.
+    How many rows were written.
 
-    Only the partitions that `new` touches are read, merged and rewritten (dynamic partition
-    overwrite). `partition_by` must follow from `keys`, so a key never changes its partition.
+    The table is one of runs with an atomic manifest (kontor.sources.runs): a job that fails leaves the last
+    state readable, and of two writers the later one adds its rows to the other's. Runs are sorted by `keys`,
+    so put first what readers filter on. Within `new`, the row first in `order` wins (default: any, keys unique).
     """
-    spark = new.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        touched = new.select(*partition_by).distinct()
-        held = spark.read.schema(new.schema).parquet(path).join(touched, partition_by, "left_semi")
-        new = cut_lineage(upsert(held.select(*new.columns), new, keys, order))  # read before it is overwritten
-    elif order:
+    if order:
         new = latest_per_key(new, keys, order)
-    (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*partition_by).parquet(path))
+    return RunTable(new.sparkSession, path, new.schema, keys, latest(keys)).commit(new)
+
+
+def read_upserted(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The rows of a table that `write_upsert` keeps."""
+    return RunTable(spark, path, None, keys, latest(keys)).read()

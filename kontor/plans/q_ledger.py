@@ -67,8 +67,7 @@ def q_pack_features(spark, sf):
 def q_write_monthly_features(spark, sf):
     path = _scratch(spark, "features")
     FS.write_monthly_features(features_catalogue(spark, sf), path)
-    back = spark.read.parquet(path).drop("feature_month")
-    return flat(back.select("account_id", "month", *NAMES))
+    return flat(FS.read_monthly_features(spark, path).select("account_id", "month", *NAMES))
 
 
 @query("write_labelled_months", BASE_ASG + ",\n" + NAMES_SQL + f"""

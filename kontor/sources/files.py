@@ -55,12 +55,21 @@ def write_ledger_csv(raw: DataFrame, path: str) -> None:
      .option("dateFormat", "yyyy-MM-dd").csv(path))
 
 
-def write_monthly_features(features: DataFrame, path: str) -> None:
-    """Parquet partitioned by month; a rerun replaces the account-months it
-    contains and keeps the other accounts of those months."""
-    from kontor.operators.store import FEATURE_KEYS, write_upsert
-    write_upsert(features.withColumn("feature_month", F.date_format("month", "yyyy-MM")), path,
-                 FEATURE_KEYS, ["feature_month"])
+#: Sort order of the stored features: readers ask for months.
+STORED_FEATURE_KEYS = ["month", "account_id"]
+
+
+def write_monthly_features(features: DataFrame, path: str) -> int:
+    """Feature rows sorted by month; a rerun replaces the account-months it contains and keeps the other accounts
+    of those months, in one commit."""
+    from kontor.operators.store import write_upsert
+    return write_upsert(features, path, STORED_FEATURE_KEYS)
+
+
+def read_monthly_features(spark: SparkSession, path: str) -> DataFrame:
+    """The rows written last for each account-month."""
+    from kontor.operators.store import read_upserted
+    return read_upserted(spark, path, STORED_FEATURE_KEYS)
 
 
 def write_labelled_months(assigned: DataFrame, names: DataFrame, path: str) -> None:

@@ -29,14 +29,17 @@ class Conflict(RuntimeError):
 
 
 class RunTable:
-    """`fold(entries, whole)` makes one row per key from entries with `_seq`; `whole`: nothing lies below them."""
+    """`fold(entries, whole)` makes one row per key from entries with `_seq`; `whole`: nothing lies below them.
+    Without a schema, that of the oldest run is taken."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str | T.StructType, keys: list[str], fold: Callable[[DataFrame, bool], DataFrame]):
+    def __init__(self, spark: SparkSession, path: str, schema: str | T.StructType | None, keys: list[str], fold: Callable[[DataFrame, bool], DataFrame]):
         self.spark, self.path, self.keys, self.fold = spark, path.rstrip("/"), keys, fold
         self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         self.hadoop = spark._jvm.org.apache.hadoop
         self.root = self.hadoop.fs.Path(self.path)
         self.fs = self.root.getFileSystem(spark._jsc.hadoopConfiguration())
+        if schema is None:
+            self.schema = spark.read.parquet(f"{self.path}/{self.state()[1][0]['path']}").schema
 
     # --- manifests ---------------------------------------------------------------------------
 

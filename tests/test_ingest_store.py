@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kontor.operators import ingest as M
 from kontor.operators import store as K
-from kontor.sources.files import write_monthly_features
+from kontor.sources.files import read_monthly_features, write_monthly_features
 from kontor.sources.runs import Conflict, RunTable, latest
 from kontor.streaming import sync as S
 from kontor.streaming.burst import run_burst_counts
@@ -298,15 +298,36 @@ def test_scan_fallback_cases(spark):
                    5: (0, 0, None, False, K.NOTE_NO_TRANSACTIONS)}
 
 
-def test_written_upsert_keeps_other_accounts(spark, tmp_path):
-    """A8 and K1 on disk: a batch of some accounts leaves the others of the month as they were."""
+def test_written_upsert_keeps_other_accounts(spark, tmp_path, monkeypatch):
+    """A8 and K1 on disk: a batch of some accounts leaves the others of the month as they were; a job that is lost before its
+    commit leaves all of it, and a writer that is overtaken keeps the other's rows."""
     path = str(tmp_path / "features")
     rows = "account_id long, month date, txn_count double"
     may, june = dt.date(2026, 5, 1), dt.date(2026, 6, 1)
-    write_monthly_features(spark.createDataFrame([(1, may, 1.0), (2, may, 2.0), (1, june, 3.0)], rows), path)
-    write_monthly_features(spark.createDataFrame([(2, may, 9.0), (3, may, 4.0)], rows), path)
-    got = {(r.account_id, r.month): r.txn_count for r in spark.read.parquet(path).collect()}
-    assert got == {(1, may): 1.0, (2, may): 9.0, (3, may): 4.0, (1, june): 3.0}
+    held = lambda: {(r.account_id, r.month): r.txn_count for r in read_monthly_features(spark, path).collect()}
+    write = lambda *r: write_monthly_features(spark.createDataFrame(list(r), rows), path)
+    write((1, may, 1.0), (2, may, 2.0), (1, june, 3.0))
+    write((2, may, 9.0), (3, may, 4.0))
+    want = {(1, may): 1.0, (2, may): 9.0, (3, may): 4.0, (1, june): 3.0}
+    assert held() == want
+    real, other = RunTable._swap, []
+
+    def lost(self, number, runs, sync):
+        raise RuntimeError("lost between files")
+
+    def overtaken(self, number, runs, sync):
+        if not other:
+            other.append(1)
+            write((4, may, 5.0), (1, may, 6.0))
+        real(self, number, runs, sync)
+
+    monkeypatch.setattr(RunTable, "_swap", lost)
+    with pytest.raises(RuntimeError):
+        write((1, may, 100.0), (9, june, 100.0))
+    assert held() == want
+    monkeypatch.setattr(RunTable, "_swap", overtaken)
+    write((1, may, 7.0), (5, june, 8.0))
+    assert held() == want | {(1, may): 7.0, (4, may): 5.0, (5, june): 8.0}
 
 
 def test_match_scores_by_id_not_position(spark):
