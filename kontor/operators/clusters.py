@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kontor.operators import lloyd
 from kontor.operators.monthly import BEHAVIOUR_FEATURES
 
 # Naming rules (on standardised centroids) and phrases.
@@ -212,32 +213,20 @@ def _vectors(z: DataFrame, names: list[str]) -> DataFrame:
     return z.select("*", array_to_vector(_zvec(names)).alias("zvec"))
 
 
-def kmeans_fit(z: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED,
-               names: list[str] = BEHAVIOUR_FEATURES):
-    """H3: `restarts` seeded k-means runs, keep the lowest inertia.
+def _points(z: DataFrame, names: list[str]) -> DataFrame:
+    return lloyd.vector_table(z, _zvec(names).cast("array<double>"))
 
-    The vectors are cached once; the restarts are independent Spark jobs and
-    run concurrently from a small driver thread pool. Returns
-    (centroids DataFrame, inertia, fitted model).
-    """
-    from concurrent.futures import ThreadPoolExecutor
 
-    from pyspark.ml.clustering import KMeans
-    data = _vectors(z, names).select("zvec").cache()
-    data.count()
+def _centroids(spark, fit: lloyd.Fit) -> DataFrame:
+    return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(fit.centers)], "cluster int, center array<double>")
 
-    def fit(r: int):
-        model = KMeans(k=k, seed=seed + r, featuresCol="zvec", maxIter=300, tol=1e-4).fit(data)
-        return model.summary.trainingCost, r, model
 
-    with ThreadPoolExecutor(max_workers=min(restarts, 8)) as pool:
-        fits = list(pool.map(fit, range(restarts)))
-    data.unpersist()
-    cost, _, model = min(fits, key=lambda t: (t[0], t[1]))
-    spark = z.sparkSession
-    centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    cents = spark.createDataFrame(centers, "cluster int, center array<double>")
-    return cents, float(cost), model
+def kmeans_fit(z: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED,
+               names: list[str] = BEHAVIOUR_FEATURES):
+    """H3: `restarts` seeded k-means runs in one batch (every restart takes part in each pass over
+    the rows); the lowest inertia is kept. (centroids DataFrame, inertia, the fit)"""
+    best = lloyd.best_of(lloyd.fit_all(_points(z, names), [k], restarts, seed), k)
+    return _centroids(z.sparkSession, best), best.inertia, best
 
 
 def silhouette(assigned: DataFrame, names: list[str] = BEHAVIOUR_FEATURES) -> float:
@@ -251,16 +240,20 @@ def silhouette(assigned: DataFrame, names: list[str] = BEHAVIOUR_FEATURES) -> fl
     return float(ev.evaluate(data))
 
 
+def euclidean_silhouette(assigned: DataFrame, names: list[str] = BEHAVIOUR_FEATURES, sample: int = lloyd.SAMPLE) -> tuple[float, float, int]:
+    """H6 by Euclidean distances: (value, standard error, rows sampled); exact where the table has at most `sample` rows."""
+    return lloyd.euclidean_silhouette(lloyd.vector_table(assigned, _zvec(names).cast("array<double>"), "cluster"), sample)
+
+
 def fit_best_k(z: DataFrame, k_range=K_RANGE, restarts: int = RESTARTS, names: list[str] = BEHAVIOUR_FEATURES):
-    """H5: one fit per k; (rows of k, inertia, silhouette; the best k, first on ties; its centroids)."""
-    z = z.cache()
-    rows, fitted = [], {}
-    for k in k_range:
-        fitted[k], cost, _ = kmeans_fit(z, k, restarts, names=names)
-        rows.append((k, cost, silhouette(assign_cluster(z, fitted[k], names=names), names)))
-    z.unpersist()
-    best = max(rows, key=lambda r: (r[2], -r[0]))[0]
-    return rows, best, fitted[best]
+    """H5: all k and restarts in one batch; (rows of k, inertia, silhouette; the best k, first on ties; its centroids)."""
+    points, ks = _points(z, names), list(k_range)
+    fits = lloyd.fit_all(points, ks, restarts, SEED)
+    best = {k: lloyd.best_of(fits, k) for k in ks}
+    scores = lloyd.squared_silhouettes(points, [best[k] for k in ks])
+    rows = [(k, best[k].inertia, s) for k, s in zip(ks, scores, strict=True)]
+    chosen = max(rows, key=lambda r: (r[2], -r[0]))[0]
+    return rows, chosen, _centroids(z.sparkSession, best[chosen])
 
 
 def choose_k(z: DataFrame, k_range=K_RANGE, restarts: int = RESTARTS,

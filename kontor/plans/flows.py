@@ -43,11 +43,12 @@ def fit_archetypes(features: DataFrame, k: int | None = None, restarts: int = H.
     stats = cut_lineage(H.fit_scaler(features))
     z = cut_lineage(H.standardise(features, stats))
     if k is None:
-        _, k, cents = H.fit_best_k(z, restarts=restarts)
+        rows, k, cents = H.fit_best_k(z, restarts=restarts)
+        sil = next(s for of, _, s in rows if of == k)
     else:
         cents, _, _ = H.kmeans_fit(z, k, restarts)
+        sil = H.silhouette(H.assign_cluster(z, cents))
     cents = cut_lineage(cents)
-    sil = H.silhouette(H.assign_cluster(z, cents))
     return ArchetypeModel(stats, cents, H.name_clusters(cents), k, sil)
 
 

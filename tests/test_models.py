@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kontor.operators import clusters as H
 from kontor.operators import iforest as IF
+from kontor.operators import lloyd
 from kontor.operators.causal import ANOMALY_FEATURES
 from kontor.operators.contracts import FeatureContractError, assert_finite, feature_contract
 from kontor.operators.explain import explain_flags
@@ -81,6 +82,61 @@ def test_kmeans_recovers_two_groups(spark):
     assert cost < 1.0
 
 
+def test_batched_kmeans_equals_single_fits(spark, monkeypatch):
+    """Every model of a batch ends where plain Lloyd steps from its seeds end, and all take part in the same passes."""
+    rng = np.random.default_rng(1)
+    x = np.vstack([rng.normal(c, 1.0, (40, 3)) for c in (0, 4, 9)])
+    x = np.vstack([x, x[:5]])
+    z = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "account_id long, z_a double, z_b double, z_c double")
+    names, passes = ["a", "b", "c"], []
+    real = lloyd._pass
+    monkeypatch.setattr(lloyd, "_pass", lambda data, fits: passes.append(len(fits)) or real(data, fits))
+    points = H._points(z, names)
+    start = lloyd.seeds(points, 3, 4, 7)
+    fits = lloyd.fit_all(points, [2, 3, 4], 3, 7)
+    assert passes[0] == 9 and len(passes) == max(f.passes for f in fits)
+    for f in fits:
+        c = start[f.restart][:f.k].copy()
+        assert all((x == v).all(1).any() for v in c) and len(np.unique(c, axis=0)) == f.k
+        for _ in range(300):
+            near = ((x[:, None] - c) ** 2).sum(2).argmin(1)
+            new = np.array([x[near == j].mean(0) if (near == j).any() else c[j] for j in range(f.k)])
+            if np.sqrt(((new - c) ** 2).sum(1).max()) <= lloyd.TOLERANCE:
+                break
+            c = new
+        assert f.centers == pytest.approx(c) and f.inertia == pytest.approx(((x[:, None] - c) ** 2).sum(2).min(1).sum())
+    rows, best, cents = H.fit_best_k(z, (2, 3, 4), 3, names)
+    assert best == 3 and cents.count() == 3
+    for k, _, s in rows:
+        fit = lloyd.best_of(lloyd.fit_all(points, [k], 3, H.SEED), k)
+        labels = ((x[:, None] - fit.centers) ** 2).sum(2).argmin(1)
+        assert s == pytest.approx(_brute_silhouette_sq(x, labels), abs=1e-9)
+
+
+def test_kmeans_edges(spark):
+    same = spark.createDataFrame([(i, 1.0, 2.0) for i in range(6)], "account_id long, z_a double, z_b double")
+    cents, cost, _ = H.kmeans_fit(same, 3, restarts=2, names=NAMES)
+    assert cost == 0 and cents.count() == 3
+    with pytest.raises(ValueError, match="no rows"):
+        H.kmeans_fit(same.limit(0), 2, restarts=2, names=NAMES)
+
+
+def test_euclidean_silhouette(spark):
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(0, 1, (150, 2)), rng.normal(4, 1, (60, 2)), rng.normal(8, 1, (1, 2))])
+    labels = np.array([0] * 150 + [1] * 60 + [5])
+    df = spark.createDataFrame([(i, *map(float, v), int(c)) for i, (v, c) in enumerate(zip(x, labels, strict=True))], "account_id long, z_a double, z_b double, cluster int")
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    s = []
+    for i, c in enumerate(labels):
+        own = (labels == c) & (np.arange(len(x)) != i)
+        a, b = d[i, own].mean() if own.any() else None, min(d[i, labels == o].mean() for o in set(labels) - {c})
+        s.append(0.0 if a is None else (b - a) / max(a, b))
+    assert H.euclidean_silhouette(df, NAMES) == (pytest.approx(np.mean(s)), 0.0, len(x))
+    value, error, n = H.euclidean_silhouette(df, NAMES, sample=80)
+    assert 60 <= n <= 90 and 0 < error < 0.05 and abs(value - np.mean(s)) < 4 * error
+
+
 def _txn_frame(spark, n=400, outliers=5):
     rng = np.random.default_rng(0)
     rows = []
