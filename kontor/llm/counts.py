@@ -8,15 +8,17 @@ documents; a revision is a delete of the old version and an insert of the new
 one, so totals are a plain sum of deltas and are never recomputed from texts.
 
 Commits: a batch writes its delta and the touched part of the ledger under its own
-number, then a row in `commits`. Readers sum only committed batches; a batch
+number, then a row in `commits` with the next place in the order of commits. Readers sum only committed batches; a batch
 number that is already committed is skipped, and one that failed half-way is
-overwritten by its repeat, so applying a batch again changes nothing.
+overwritten by its repeat, so applying a batch again changes nothing. A document's current
+version is that of the last commit, not of the highest number: batches may come in any order of their numbers.
+One writer commits at a time.
 
 Defined cases: null text has 0 tokens and still counts as a document; null
 source or language are groups of their own; deletes of unknown documents change
 nothing; of several rows for one document in a batch a delete comes first and, of
-inserts, the one with the largest text hash counts; rows with a null doc_id are refused by
-`changes` (they can't be revised or deleted); extra columns are ignored.
+inserts, the one with the largest text hash counts; every row with a null doc_id counts as a document
+that can't be revised or deleted; long texts are counted whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ VERSIONS = {
 }
 KEYS = ["source", "lang", "version"]
 LEDGER = "doc_id long, source string, lang string, version string, tokens long, live boolean, batch long"
+COMMITS = "batch long, place long"
 DELTA = "source string, lang string, version string, docs long, tokens long, batch long"
 
 
@@ -59,27 +62,29 @@ class Rollups:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
 
-    def committed(self) -> list[int]:
-        """Numbers of the committed batches (one per commit, from the commit log)."""
-        return [r.batch for r in self._read("commits", "batch long").distinct().collect()]
+    def commits(self) -> DataFrame:
+        """batch and its place in the order of commits."""
+        return self._read("commits", COMMITS)
 
     def ledger(self) -> DataFrame:
-        """The live version of every document: of its rows in committed batches the last."""
-        rows = self._read("ledger", LEDGER).filter(F.col("batch").isin(self.committed()))
-        last = rows.groupBy("doc_id").agg(F.max_by(F.struct("source", "lang", "version", "tokens", "live"), "batch").alias("r"))
+        """The live version of every document: of its rows in committed batches the last committed."""
+        rows = self._read("ledger", LEDGER).filter("doc_id IS NOT NULL").join(self.commits(), "batch")
+        last = rows.groupBy("doc_id").agg(F.max_by(F.struct("source", "lang", "version", "tokens", "live"), "place").alias("r"))
         return last.select("doc_id", "r.*").filter("live").drop("live")
 
     def apply(self, batch: int, inserts: DataFrame | None = None, deletes: DataFrame | None = None) -> bool:
         """Commit one batch; False if it was committed before. inserts: rows of `counted` (new or
         revised documents); deletes: doc_id."""
-        if batch in self.committed():
+        if not self.commits().filter(F.col("batch") == batch).isEmpty():
             return False
-        first = not self.committed()
+        done = self.commits().agg(F.max("place")).first()[0] or 0
         new = self.spark.createDataFrame([], LEDGER).drop("live", "batch")
         if inserts is not None:
             pick = F.max_by(F.struct(*KEYS, "tokens"), F.struct(F.coalesce("text_hash", F.lit(0)), *KEYS, "tokens"))
             new = (inserts.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(pick.alias("r")).select("doc_id", "r.*"))
         touched = new.select("doc_id", *KEYS, "tokens", F.lit(True).alias("live"))
+        if inserts is not None:
+            touched = touched.unionByName(inserts.filter("doc_id IS NULL").select(*touched.columns[:-1], F.lit(True).alias("live")))
         if deletes is not None:
             gone = deletes.filter("doc_id IS NOT NULL").select("doc_id").distinct().join(new, "doc_id", "left_anti")
             touched = touched.unionByName(gone.select("doc_id", F.lit(False).alias("live")), allowMissingColumns=True)
@@ -88,17 +93,17 @@ class Rollups:
         touched.withColumn("tokens", F.col("tokens").cast("long")).write.mode("overwrite").parquet(part)
         touched = self.spark.read.schema(touched.schema).parquet(part)
         signed = touched.filter("live").select(*KEYS, F.lit(1).alias("sign"), "tokens")
-        if not first:
+        if done:
             old = self.ledger().join(touched.select("doc_id"), "doc_id", "left_semi")
             signed = signed.unionByName(old.select(*KEYS, F.lit(-1).alias("sign"), "tokens"))
         delta = signed.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("docs"),
                                           F.sum(F.col("sign") * F.col("tokens")).cast("long").alias("tokens"))
         delta.write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch}")
-        self.spark.range(1).select(F.lit(batch).cast("long").alias("batch")).write.mode("append").parquet(f"{self.path}/commits")
+        self.spark.range(1).select(F.lit(batch).cast("long").alias("batch"), F.lit(done + 1).cast("long").alias("place")).write.mode("append").parquet(f"{self.path}/commits")
         return True
 
     def totals(self) -> DataFrame:
         """Documents and tokens by source, language and tokenizer version; groups without documents are gone."""
-        rows = self._read("deltas", DELTA).filter(F.col("batch").isin(self.committed()))
+        rows = self._read("deltas", DELTA).join(self.commits().select("batch"), "batch", "left_semi")
         return (rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
                 .filter("docs <> 0 OR tokens <> 0"))

@@ -74,7 +74,7 @@ OP8_SQL = r"""
 WITH counted AS (
   SELECT source, lang, CASE WHEN doc_id % 5 = 3 OR doc_id % 20 = 0 THEN 'split-2' ELSE 'words-1' END AS version,
          coalesce(text, '') AS t
-  FROM documents WHERE doc_id IS NOT NULL AND (doc_id % 10 <> 0 OR doc_id % 20 = 0)
+  FROM documents WHERE doc_id IS NULL OR doc_id % 10 <> 0 OR doc_id % 20 = 0
 )
 SELECT source, lang, version, count(*) AS docs,
        CAST(sum(CASE WHEN version = 'words-1' THEN len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))

@@ -196,6 +196,19 @@ def test_counts_follow_inserts_deletes_and_revisions(spark, tmp_path):
     assert listed(rolls.totals()) == [("s", "en", "words-1", 1, 2)]
 
 
+def test_batches_in_any_order_of_their_numbers(spark):
+    """Batches 1, 5, 3, 6 revise one document; a repeat of 3 changes nothing; totals and ledger agree after each."""
+    rolls = counts.Rollups(spark)
+    docs = lambda *texts: counts.counted(spark.createDataFrame([(i, t, "en", "s") for i, t in texts],
+                                                               "doc_id long, text string, lang string, source string"), F.lit("words-1"))
+    for number, text, tokens in ((1, "a", 1), (5, "a b c d", 4), (3, "a b c", 3), (6, "a b", 2), (3, "a b c d e", 2)):
+        assert rolls.apply(number, docs((7, text))) == (tokens == len(text.split()))
+        assert listed(rolls.totals()) == [("s", "en", "words-1", 1, tokens)]
+        assert [r.tokens for r in rolls.ledger().collect()] == [tokens]
+    rolls.apply(2, docs((None, "x y"), (None, "x y"), (None, None)), spark.createDataFrame([(None,), (7,)], "doc_id long"))
+    assert listed(rolls.totals()) == [("s", "en", "words-1", 3, 4)] and rolls.ledger().count() == 0
+
+
 def test_counts_edges(spark, edges, clashing, nothing):
     got = []
     for docs in (edges, clashing):
@@ -204,7 +217,8 @@ def test_counts_edges(spark, edges, clashing, nothing):
         got.append(listed(rolls.totals()))
     want = Counter()
     docs_of = Counter()
-    for d, t, lang, source, _ in {r[0]: r for r in edge_rows() if r[0] is not None}.values():
+    nameless = [r for r in edge_rows() if r[0] is None]  # each counts
+    for d, t, lang, source, _ in [*{r[0]: r for r in edge_rows() if r[0] is not None}.values(), *nameless]:
         want[source, lang] += size(t)
         docs_of[source, lang] += 1
     assert got[0] == got[1] == sorted([(*k, "words-1", docs_of[k], want[k]) for k in docs_of], key=repr)
