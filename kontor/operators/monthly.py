@@ -1,16 +1,16 @@
 """F: the 14 monthly behaviour features, one row per (account, month).
 
-The ledger is read once, into `month_facts`: rows counted by account, month, category,
-merchant, amount and weekend, written as a table. Sums, distinct merchants, recurring
-keys (E1) and quantiles all come from it, and so does D1. Sums run on exact decimals
-and become doubles once, so the result does not depend on the order rows arrive
-in. Quantiles come from running counts over distinct amounts, so no task holds all amounts of
-an account-month.
+The ledger is read once, into `month_facts`: its rows with the columns that F and D1 need, written without
+a shuffle (counting equal rows first shrinks a ledger by less than one in a hundred). Each part is then an
+aggregate of its own with partial aggregation: sums by account-month, distinct merchants, E1 keys by month. Sums run on
+exact decimals and become doubles once, so the result does not depend on the order rows arrive
+in. An account-month of up to QUANTILE_ROWS rows takes its quantiles in one aggregate; larger ones by running counts
+over distinct amounts, so no task holds all their amounts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kontor.functions.categories import DISCRETIONARY, FIXED_CATEGORY, canonical_category, is_inflow
@@ -32,21 +32,19 @@ BEHAVIOUR_FEATURES = [
 
 MIN_TRANSACTIONS = 5
 SPEND_TO_INCOME_CAP = 3.0
+QUANTILE_ROWS = 100_000
 FRIDAY = 4  # weekday(): Monday = 0; the monthly weekend is Friday..Sunday
 
 
 def month_facts(ledger: DataFrame) -> DataFrame:
-    """The one pre-aggregate behind F and D1: rows of a ledger counted by everything that either reads.
+    """The rows behind F and D1, narrowed to what they read; n, how many ledger rows one stands for, is 1.
 
-    Works on raw and on normalised ledgers (the canonical category of a canonical category is
-    itself). Partial aggregation halves it before the shuffle, and no key is coarser than
-    (account, month, merchant, amount), so a busy account spreads over all tasks.
+    Works on raw and on normalised ledgers (the canonical category of a canonical category is itself).
     """
     month = [] if "month" in ledger.columns else [month_of("posted_date").alias("month")]
     flag = ["is_recurring"] if "is_recurring" in ledger.columns else []
-    rows = ledger.select("account_id", "category", "merchant", "amount", *flag, *(month or ["month"]),
-                         (F.weekday("posted_date") >= FRIDAY).alias("weekend"))
-    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+    return ledger.select("account_id", "category", "merchant", "amount", *flag, *(month or ["month"]),
+                         (F.weekday("posted_date") >= FRIDAY).alias("weekend"), F.lit(1).cast("long").alias("n"))
 
 
 def category_totals(facts: DataFrame) -> DataFrame:
@@ -55,28 +53,46 @@ def category_totals(facts: DataFrame) -> DataFrame:
         F.sum(F.col("amount") * F.col("n")).cast("decimal(22,2)").alias("total"), F.sum("n").alias("txn_count"))
 
 
-def _recurring_spend(spend: DataFrame) -> DataFrame:
-    """Discretionary spend on E1-recurring keys per (account, month): E1's rule on the facts grouped by key
-    (months, mean and sample deviation from sums), then the sums of the keys that qualify."""
+def _recurring_spend(spend: DataFrame, as_of: int | None = None) -> DataFrame:
+    """Discretionary spend on E1-recurring keys per (account, month): E1's rule on sums by key and month, then the sums of
+    the keys that qualify. With `as_of` a month takes the verdict of itself and the as_of - 1 months before it: the sums
+    slide along the key's months. No ledger row is joined with a verdict."""
     from kontor.operators.recurring import KEY, MEAN_FLOOR, MIN_MONTHS, REL_TOLERANCE
     amt, n = F.col("amount").cast("double"), F.col("n")
-    parts = (spend.withColumn("amount_key", F.bround("amount", 0)).groupBy(*KEY, "month")
+    named = " AND ".join(f"{c} IS NOT NULL" for c in KEY)
+    parts = (spend.withColumn("amount_key", F.bround("amount", 0)).filter(named).groupBy(*KEY, "month")
              .agg(F.sum("n").alias("_n"), F.sum(amt * n).alias("_x"), F.sum(amt * amt * n).alias("_xx"),
                   F.sum(F.when(F.col("disc"), F.col("amount") * n)).alias("_d")))
-    k = parts.groupBy(*KEY).agg(F.count(F.lit(1)).alias("months"), F.sum("_n").alias("n"),
-                                F.sum("_x").alias("x"), F.sum("_xx").alias("xx"))
+    ordinal = F.year("month") * 12 + F.month("month")
+    seen = Window.partitionBy(*KEY) if as_of is None else Window.partitionBy(*KEY).orderBy(ordinal).rangeBetween(1 - as_of, 0)
+    k = parts.select("account_id", "month", "_d", F.count(F.lit(1)).over(seen).alias("months"), F.sum("_n").over(seen).alias("n"),
+                     F.sum("_x").over(seen).alias("x"), F.sum("_xx").over(seen).alias("xx"))
     mean = F.col("x") / F.col("n")
     var = F.when(F.col("n") > 1, (F.col("xx") - F.col("x") * F.col("x") / F.col("n")) / (F.col("n") - 1)) \
         .otherwise(F.lit(0.0))
     std = F.sqrt(F.greatest(var, F.lit(0.0)))
-    keys = k.filter((F.col("months") >= MIN_MONTHS)
-                    & (std <= REL_TOLERANCE * F.greatest(F.abs(mean), F.lit(MEAN_FLOOR)))).select(*KEY)
-    return (parts.filter(F.col("_d").isNotNull()).join(keys, KEY, "left_semi").groupBy("account_id", "month")
+    recurring = (F.col("months") >= MIN_MONTHS) & (std <= REL_TOLERANCE * F.greatest(F.abs(mean), F.lit(MEAN_FLOOR)))
+    return (k.filter(recurring & F.col("_d").isNotNull()).groupBy("account_id", "month")
             .agg(F.sum("_d").cast("double").alias("_recurring")))
 
 
-def _quantiles(disc: DataFrame, qs: tuple[float, ...]) -> DataFrame:
-    """Linear-interpolated quantiles of the amount per (account, month), from counts of distinct amounts.
+def _quantiles(disc: DataFrame, sizes: DataFrame, qs: tuple[float, ...], limit: int) -> DataFrame:
+    """Linear-interpolated quantiles of the amount per (account, month) of `sizes` (written; rows in `_n`): in one
+    aggregate up to `limit` rows, by a scan over counts beyond; both are exact."""
+    key = ["account_id", "month"]
+    found = F.percentile(F.col("amount").cast("double"), F.array(*[F.lit(q) for q in qs]), F.col("n")).alias("_q")
+    apart = lambda df: df.select(*key, *[F.col("_q")[i].alias(f"_q{i}") for i in range(len(qs))])
+    large = sizes.filter(F.col("_n") > limit).select(*key)
+    if large.isEmpty():
+        return apart(disc.groupBy(*key).agg(found))
+    # at most one account-month for every `limit` rows
+    small = disc.join(F.broadcast(large), [disc[k].eqNullSafe(large[k]) for k in key], "left_anti")
+    rest = disc.join(F.broadcast(large), [disc[k].eqNullSafe(large[k]) for k in key], "left_semi")
+    return apart(small.groupBy(*key).agg(found)).unionByName(_scanned_quantiles(rest, qs))
+
+
+def _scanned_quantiles(disc: DataFrame, qs: tuple[float, ...]) -> DataFrame:
+    """The same from counts of distinct amounts.
 
     The running count is a keyed scan, so an account-month with very many amounts lies in several tasks.
     """
@@ -97,16 +113,17 @@ def _quantiles(disc: DataFrame, qs: tuple[float, ...]) -> DataFrame:
                                for i in range(len(qs))])
 
 
-def monthly_features(ledger: DataFrame, min_transactions: int = MIN_TRANSACTIONS) -> DataFrame:
+def monthly_features(ledger: DataFrame, min_transactions: int = MIN_TRANSACTIONS, as_of: int | None = None) -> DataFrame:
     """F1-F14 over a normalised ledger (see `features_from_facts`)."""
-    return features_from_facts(cut_lineage(month_facts(ledger)), min_transactions)
+    return features_from_facts(cut_lineage(month_facts(ledger)), min_transactions, as_of)
 
 
-def features_from_facts(facts: DataFrame, min_transactions: int = MIN_TRANSACTIONS) -> DataFrame:
-    """F1-F14 from a written pre-aggregate (`month_facts`).
+def features_from_facts(facts: DataFrame, min_transactions: int = MIN_TRANSACTIONS, as_of: int | None = None,
+                        quantile_rows: int = QUANTILE_ROWS) -> DataFrame:
+    """F1-F14 from written `month_facts`.
 
-    With an `is_recurring` column (E1 already applied, for example as of each month) the recurring
-    spend is a conditional sum; without it E1 is computed from the facts.
+    With an `is_recurring` column (E1 already applied) the recurring spend is a conditional sum; without it E1 is computed
+    from the facts, over all months or, with `as_of`, over that many months up to each month.
     """
     key = ["account_id", "month"]
     rows = (facts.withColumn("category", canonical_category("category"))
@@ -121,13 +138,13 @@ def features_from_facts(facts: DataFrame, min_transactions: int = MIN_TRANSACTIO
             money(disc & F.col("weekend")).alias("_weekend"),
             *([money(disc & F.col("is_recurring")).alias("_recurring")] if has_flag else []),
             *[money(disc & (F.col("category") == c)).alias(f"_cat_{c}") for c in DISCRETIONARY]]
-    g = rows.groupBy(*key).agg(*aggs).filter(
-        (F.col("_n") >= min_transactions) & (F.col("_spend") > 0) & (F.col("_disc") > 0))
+    g = cut_lineage(rows.groupBy(*key).agg(*aggs).filter(
+        (F.col("_n") >= min_transactions) & (F.col("_spend") > 0) & (F.col("_disc") > 0)))
     shops = rows.filter("disc").select(*key, "merchant").filter("merchant IS NOT NULL").distinct() \
         .groupBy(*key).agg(F.count(F.lit(1)).alias("_merchants"))
-    g = g.join(shops, key, "left").join(_quantiles(rows.filter("disc"), (0.25, 0.5, 0.75)), key)
+    g = g.join(shops, key, "left").join(_quantiles(rows.filter("disc"), g, (0.25, 0.5, 0.75), quantile_rows), key)
     if not has_flag:
-        g = g.join(_recurring_spend(rows.filter(spend)), key, "left").withColumn("_recurring", F.coalesce("_recurring", F.lit(0.0)))
+        g = g.join(_recurring_spend(rows.filter(spend), as_of), key, "left").withColumn("_recurring", F.coalesce("_recurring", F.lit(0.0)))
     median = F.col("_q1")
     feats = [
         F.col("_n").cast("double").alias("txn_count"),

@@ -25,6 +25,7 @@ KEY = ["account_id", "merchant", "amount_key"]
 MIN_MONTHS = 3
 REL_TOLERANCE = 0.05
 MEAN_FLOOR = 0.01
+AS_OF_MONTHS = 12
 CADENCE = 1.5
 DOMINANCE = 0.8
 
@@ -92,7 +93,7 @@ def recurring_rule_divergence(flagged: DataFrame, subscriptions: DataFrame) -> D
     return e1.join(subscriptions.select("account_id", "merchant"), ["account_id", "merchant"], "left_anti")
 
 
-def flag_recurring_as_of(ledger: DataFrame, months: int = 12) -> DataFrame:
+def flag_recurring_as_of(ledger: DataFrame, months: int = AS_OF_MONTHS) -> DataFrame:
     """E1 as seen by a month-M request: the rule evaluated on months M-11..M only.
 
     Per (key, month) partial sums (n, Σx, Σx²) slide over a 12-month RANGE

@@ -90,7 +90,13 @@ def flagged_transactions(scores: DataFrame, raw: DataFrame) -> DataFrame:
 def with_history(requested: DataFrame, ledger: DataFrame, months: int = HISTORY_MONTHS) -> DataFrame:
     """B9 for requests: the requested (account, month) rows with the number of ledger rows in the
     `months` months up to it. Each request meets at most `months` rows of per-month counts."""
-    counts = ledger.groupBy("account_id", F.trunc("posted_date", "MM").alias("_m")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = ledger.groupBy("account_id", F.trunc("posted_date", "MM").alias("month")).agg(F.count(F.lit(1)).alias("rows"))
+    return with_counts(requested, counts, months)
+
+
+def with_counts(requested: DataFrame, counts: DataFrame, months: int = HISTORY_MONTHS) -> DataFrame:
+    """`with_history` from the ledger's rows per account and month (account_id, month, rows)."""
+    counts = counts.select("account_id", F.col("month").alias("_m"), F.col("rows").alias("_n"))
     spread = requested.select("account_id", "month", F.explode(F.sequence(
         F.add_months("month", 1 - months), F.col("month"), F.expr("INTERVAL 1 MONTH"))).alias("_m"))
     seen = (spread.join(counts, ["account_id", "_m"]).groupBy(*FEATURE_KEYS)

@@ -25,7 +25,7 @@ from kontor.operators.causal import ANOMALY_FEATURES, spend_only, transaction_fe
 from kontor.operators.inject import prepare_eval_set
 from kontor.operators.ledger import normalise_ledger
 from kontor.operators.monthly import BEHAVIOUR_FEATURES, monthly_features
-from kontor.operators.recurring import flag_recurring_as_of
+from kontor.operators.recurring import AS_OF_MONTHS
 from kontor.session import cut_lineage
 
 
@@ -55,7 +55,7 @@ def fit_archetypes(features: DataFrame, k: int | None = None, restarts: int = H.
 def features_as_of(raw: DataFrame) -> DataFrame:
     """F of every account-month M from the ledger of M-11..M alone: what a request for M sees, so
     later months never change it."""
-    return monthly_features(flag_recurring_as_of(normalise_ledger(raw)))
+    return monthly_features(normalise_ledger(raw), as_of=AS_OF_MONTHS)
 
 
 def archetypes(raw: DataFrame, model: ArchetypeModel | None = None, contamination: float | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from kontor.operators import clusters as H
 from kontor.operators import reports as R
 from kontor.operators import store as K
 from kontor.operators.monthly import BEHAVIOUR_FEATURES as NAMES
-from kontor.operators.monthly import monthly_features
+from kontor.operators.monthly import features_from_facts, month_facts, monthly_features
 from kontor.plans.common import CAT_SQL, catalogue, events, normalised, normalised_sql
 from kontor.plans.q_anomaly import TXF_EV, txf_events
 from kontor.plans.q_features import FEAT_CAT, features_catalogue
@@ -179,9 +179,9 @@ def q_upsert_features(spark, sf):
 
 
 def _fallback(spark, sf):
-    led = normalised(catalogue(spark, sf))
-    feats = cut_lineage(features_catalogue(spark, sf))
-    stats = H.fit_scaler(feats)
+    facts = cut_lineage(month_facts(normalised(catalogue(spark, sf))))  # features, requests and windows: one ledger read
+    feats = cut_lineage(features_from_facts(facts))
+    stats = cut_lineage(H.fit_scaler(feats))
     assigned = H.assign_cluster(H.standardise(feats, stats), _fixed(spark))
     label = F.concat(F.lit("cluster-"), F.col("cluster").cast("string"))
     live = assigned.filter(F.col("account_id") % 3 != 0).select(
@@ -192,10 +192,11 @@ def _fallback(spark, sf):
         F.lit("stored-v1").alias("model_name"),
         F.add_months("month", 1).cast("timestamp").alias("scored_at"))
     # every account-month, and for each account one two years after its last: nothing in that window
-    late = led.groupBy("account_id").agg(F.add_months(F.max("month"), 24).alias("month"))
-    requested = (led.select("account_id", "month").distinct().unionByName(late)
+    counts = cut_lineage(facts.groupBy("account_id", "month").agg(F.sum("n").alias("rows")))
+    late = counts.groupBy("account_id").agg(F.add_months(F.max("month"), 24).alias("month"))
+    requested = (counts.select("account_id", "month").unionByName(late)
                  .withColumn("service_up", F.col("account_id") % 3 != 0))
-    return K.scores_with_fallback(K.with_history(requested, led), feats, live, stored)
+    return K.scores_with_fallback(K.with_counts(requested, counts), feats, live, stored)
 
 
 @query("scores_with_fallback", FEAT_CAT + ",\n" + STATS_SQL + ",\n" + Z_SQL + ",\n" + ASSIGN_SQL + f""",
