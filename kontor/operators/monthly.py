@@ -37,14 +37,15 @@ FRIDAY = 4  # weekday(): Monday = 0; the monthly weekend is Friday..Sunday
 
 
 def month_facts(ledger: DataFrame) -> DataFrame:
-    """The rows behind F and D1, narrowed to what they read; n, how many ledger rows one stands for, is 1.
-
-    Works on raw and on normalised ledgers (the canonical category of a canonical category is itself).
-    """
+    """The rows behind F and D1, narrowed to what they read, with their canonical category (`canon`), whether it is an
+    inflow, and n, how many ledger rows one stands for: 1. Works on raw and on normalised ledgers."""
     month = [] if "month" in ledger.columns else [month_of("posted_date").alias("month")]
     flag = ["is_recurring"] if "is_recurring" in ledger.columns else []
-    return ledger.select("account_id", "category", "merchant", "amount", *flag, *(month or ["month"]),
-                         (F.weekday("posted_date") >= FRIDAY).alias("weekend"), F.lit(1).cast("long").alias("n"))
+    known = "is_inflow" in ledger.columns  # normalised: its categories are canonical
+    rows = ledger.select("account_id", "category", "merchant", "amount", *flag, *(month or ["month"]), *(["is_inflow"] if known else []),
+                         (F.weekday("posted_date") >= FRIDAY).alias("weekend"), F.lit(1).cast("long").alias("n"),
+                         (F.col("category") if known else canonical_category("category")).alias("canon"))
+    return rows if known else rows.withColumn("is_inflow", is_inflow("canon"))
 
 
 def category_totals(facts: DataFrame) -> DataFrame:
@@ -126,8 +127,7 @@ def features_from_facts(facts: DataFrame, min_transactions: int = MIN_TRANSACTIO
     from the facts, over all months or, with `as_of`, over that many months up to each month.
     """
     key = ["account_id", "month"]
-    rows = (facts.withColumn("category", canonical_category("category"))
-            .withColumn("is_inflow", is_inflow("category"))
+    rows = (facts.withColumn("category", F.col("canon"))
             .withColumn("disc", ~F.col("is_inflow") & (F.col("category") != FIXED_CATEGORY)))
     has_flag = "is_recurring" in facts.columns
     spend, disc = ~F.col("is_inflow"), F.col("disc")
