@@ -96,7 +96,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole documents, sharded and written; the digest columns are read from that."""
-    rows = stored(shards.shuffled(table(spark, sf_dir, "documents")), "sharded")
+    rows = stored(shards.shuffled(table(spark, sf_dir, "documents")), "sharded", "zstd")
     text = F.coalesce("text", F.lit("")).cast("binary")
     return rows.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
                        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

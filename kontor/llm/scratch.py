@@ -14,11 +14,11 @@ def scratch_dir(spark: SparkSession, what: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/kontor-llm/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str = "table") -> DataFrame:
+def stored(df: DataFrame, what: str = "table", codec: str | None = None) -> DataFrame:
     """`df` written once as Parquet in the shared folder and read back: it is computed once,
-    and a lost executor costs a read of files, not the lineage."""
+    and a lost executor costs a read of files, not the lineage. `codec`: of the files, as `zstd` for whole texts."""
     path = scratch_dir(df.sparkSession, what)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -46,7 +46,7 @@ def shuffled(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, exchange:
     own = [c for c in rows.columns if c.lower() not in ("shard", "slot")]
     # the address of a row is frozen by writing it: both passes below see the same one;
     # inside a struct, the row's own names can't meet those used here
-    held = stored(rows.select(F.struct(*own).alias("row"), F.monotonically_increasing_id().alias("_at")), "shard-rows")
+    held = stored(rows.select(F.struct(*own).alias("row"), F.monotonically_increasing_id().alias("_at")), "shard-rows", "zstd")
     held = (held.withColumn("_part", F.shiftright("_at", 33))
             .withColumn("_i", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at"))
     zero = F.lit(0).cast("long")
