@@ -42,6 +42,8 @@ from kontor.llm.scratch import drop, stored
 from kontor.llm.words import U64, Texts, mix64, per_text, shingles, text_slices
 
 WIDTH = 5
+#: Texts hashed at once; a dozen arrays of 8 bytes a byte are alive meanwhile.
+SLICE_BYTES = 512 << 10
 GROUP = 64
 DENSE = 1024
 FILTER_BITS = 23
@@ -110,7 +112,7 @@ def fresh_sets(batches: Iterator[pa.RecordBatch], wanted: Wanted | None = None)
     for batch in batches:
         if wanted is not None:
             batch = wanted.rows(batch)
-        for texts in text_slices(batch.column(1)):
+        for texts in text_slices(batch.column(1), SLICE_BYTES):
             sets = Sets(texts)
             keep = sets.sizes > 0
             if wanted is not None:
@@ -321,7 +323,7 @@ def profiles(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and class (null for an empty set) of every document."""
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in text_slices(batch.column(1)):
+            for texts in text_slices(batch.column(1), SLICE_BYTES):
                 sets = Sets(texts)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(texts.first, texts.n), pa.array(sets.sizes, pa.int64()),

@@ -35,6 +35,7 @@ from kontor.llm.words import FOLD, Texts, text_slices
 SAMPLE_DOCS = 64
 SAMPLE_BYTES = 32 << 10
 RUN = 512
+SLICE_BYTES = 512 << 10
 UNKNOWN = "und"
 
 _CLASS = FOLD.copy()
@@ -178,7 +179,7 @@ def _predicting(shared) -> Callable:
         for batch in batches:
             letters = batch.column("_letters").to_numpy(zero_copy_only=False)
             pred, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
-            for texts in text_slices(batch.column("_text")) if names.size else ():
+            for texts in text_slices(batch.column("_text"), SLICE_BYTES) if names.size else ():
                 costs = model.costs(texts)
                 at = slice(texts.first, texts.first + texts.n)
                 order = np.sort(costs, axis=1)
