@@ -67,9 +67,11 @@ class Past:
         n = self.n
         if not n:
             return None, None, None
-        median = -self.low[0] / 100 if n & 1 else (self.high[0] - self.low[0]) / 200
+        median = -self.low[0] / 100
+        if not n & 1:  # interpolated as SQL's quantiles are
+            median += (self.high[0] / 100 - median) * 0.5
         spread = math.sqrt((n * self.s2 - self.s1 * self.s1) / (n * (n - 1))) / 100 if n > 1 else None
-        return self.s1 / n / 100, spread, median
+        return self.s1 / 100 / n, spread, median
 
     def add(self, x: int) -> None:
         if self.n & 1:
