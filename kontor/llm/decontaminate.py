@@ -4,7 +4,9 @@ Seeds are runs of MIN_MATCH words that a document shares with a benchmark item,
 Karp-Rabin hashes. For every pair of document and item with a seed, maximal matches are
 marked longest first, each word of either side at most once, until none of MIN_MATCH words is
 left; the marked share of the item's words is its coverage. Tiles may lie anywhere
-in the document, so passages in another order are found as well.
+in the document, so passages in another order are found as well. A pair is reported from a coverage of
+COVERAGE on, or from one tile of PASSAGE words on: a long verbatim passage of a long item is a leak whatever
+its share.
 
 Words are runs of letters and digits (bytes of other scripts included), A-Z as a-z, so
 punctuation and case don't hide a passage.
@@ -31,6 +33,7 @@ from kontor.llm.words import ALNUM, U64, mix64, per_text, shingles, text_slices
 
 MIN_MATCH = 5
 COVERAGE = 0.4
+PASSAGE = 50
 BLOCK_BYTES = 8 << 20
 
 PAIRS = ("doc_id long, item_id long, item_words int, covered int, coverage double, "
@@ -119,7 +122,7 @@ def tile(matches: list[tuple[int, int, int]], width: int, item_words: int) -> li
     return sorted(tiles)
 
 
-def _tiling(seeds: Seeds, item_ids: list, coverage: float) -> Callable:
+def _tiling(seeds: Seeds, item_ids: list, coverage: float, passage: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch.column(1)):
@@ -136,11 +139,11 @@ def _tiling(seeds: Seeds, item_ids: list, coverage: float) -> Callable:
                         words = int(seeds.lengths[item[a]])
                         # words under any seed bound the coverage from above
                         under = np.unique((i[a:b, None] + np.arange(width)).ravel()).size
-                        if under < coverage * words:
+                        if under < min(coverage * words, passage):
                             continue
                         tiles = tile(maximal_matches(d[a:b], i[a:b], width), width, words)
                         covered = sum(n for _, _, n in tiles)
-                        if covered >= coverage * words:
+                        if covered >= coverage * words or max((n for _, _, n in tiles), default=0) >= passage:
                             rows.append((part.first + int(of[a]), int(item[a]), words, covered, tiles))
                 if rows:
                     yield pa.RecordBatch.from_pydict({
@@ -154,8 +157,8 @@ def _tiling(seeds: Seeds, item_ids: list, coverage: float) -> Callable:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE,
-                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Pairs of document and benchmark item of which at least `coverage` is tiled, with the tiles."""
+                 block_bytes: int = BLOCK_BYTES, passage: int = PASSAGE) -> DataFrame:
+    """Pairs of document and benchmark item of which at least `coverage` is tiled, or `passage` words in one tile, with the tiles."""
     spark = docs.sparkSession
     items = benchmark.filter("text IS NOT NULL").select(F.col("item_id").cast("long"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -168,6 +171,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
         if not rows:
             continue
         seeds = Seeds([r.text for r in rows], min_match)
-        pairs = texts.mapInArrow(_tiling(seeds, [r.item_id for r in rows], coverage), PAIRS)
+        pairs = texts.mapInArrow(_tiling(seeds, [r.item_id for r in rows], coverage, passage), PAIRS)
         out = pairs if out is None else out.unionByName(pairs)
     return spark.createDataFrame([], PAIRS) if out is None else out

@@ -153,6 +153,18 @@ def test_reordered_and_edited_passages_are_found(spark):
     assert decontaminate.contaminated(frames[0], frames[1].limit(0)).count() == 0
 
 
+def test_long_passage_of_a_long_item_is_found(spark):
+    item = prose(21, 500).split()
+    at = 120
+    docs = [(1, prose(22, 200) + " " + " ".join(item[at:at + 150]) + " " + prose(23, 90)), (2, " ".join(item[:50])),
+            (3, " ".join(item[:49])), (4, " ".join(item[30:70] + ["zq"] + item[200:240]))]
+    frames = spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contaminated(*frames).collect()}
+    assert sorted(got) == [1, 2]  # 150 words and just 50 in a row; 49, or two of 40, are no passage
+    assert got[1].coverage < decontaminate.COVERAGE and max(t.words for t in got[1].tiles) >= 150
+    assert any(t.item_word <= at and t.item_word + t.words >= at + 150 for t in got[1].tiles)
+
+
 def test_decontamination_edges(spark, edges, clashing, nothing):
     bench = spark.createDataFrame([(1, prose(2, 60))], "item_id long, text string")
     want = sorted([6, 6, 7, 8, -1, 9])
