@@ -14,7 +14,8 @@ Bytes are folded first: upper to lower case (A-Z and the Latin-1 letters), and
 runs of anything that is no letter or high byte to one space.
 
 Fitting takes at most SAMPLE_DOCS documents per language, those with the smallest hash of
-their id, and of them SAMPLE_BYTES folded bytes; everything else covers all data.
+their id, and of them about SAMPLE_BYTES: every picked row has the same share, and a text longer than its share gives
+pieces of PIECE characters at even steps over its whole length, cut before they are collected. Everything else covers all data.
 
 Defined cases: null text or text without any letter is `und` with score 0, and so is
 every text if nothing is labelled; equal costs go to the language first by name; null labels don't
@@ -34,6 +35,7 @@ from kontor.llm.words import FOLD, Texts, text_slices
 
 SAMPLE_DOCS = 64
 SAMPLE_BYTES = 32 << 10
+PIECE = 128
 RUN = 512
 SLICE_BYTES = 512 << 10
 UNKNOWN = "und"
@@ -154,12 +156,24 @@ def fit(docs: DataFrame, train: Column) -> Model:
     picked = (labelled.select("lang", "doc_id", "text", draw.alias("draw")).join(F.broadcast(known), "lang")
               .filter(F.col("draw") * F.col("count") <= F.lit(4 * SAMPLE_DOCS * (1 << 40)).cast("decimal(38,0)"))
               .withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= SAMPLE_DOCS)
-              .select("lang", "nth", "text").orderBy("lang", "nth").collect())
+              .withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("lang")))
+              .select("lang", "nth", shared_part("text", F.lit(SAMPLE_BYTES) / F.col("rows")).alias("part"))
+              .orderBy("lang", "nth").collect())
     samples: dict[str, bytes] = {}
     for row in picked:
-        for texts in text_slices(pa.array([row.text])):
+        for texts in text_slices(pa.array([row.part])):
             samples[row.lang] = samples.get(row.lang, b"") + folded(texts)[0].tobytes() + b" "
-    return Model({lang: sample[:SAMPLE_BYTES] for lang, sample in samples.items() if sample.strip()})
+    return Model({lang: sample for lang, sample in samples.items() if sample.strip()})
+
+
+def shared_part(text: str, share: Column) -> Column:
+    """The text, or about `share` bytes of it: pieces of PIECE characters at even steps, joined by spaces."""
+    size = F.length(text)
+    # in characters, as texts of some scripts take two or three bytes for each
+    pieces = F.greatest(F.lit(1), F.floor(share * size / F.greatest(F.octet_length(text), F.lit(1)) / PIECE)).cast("int")
+    at = lambda i: F.substring(F.col(text), (F.floor(i * size / pieces) + 1).cast("int"), F.lit(PIECE))
+    cut = F.array_join(F.transform(F.sequence(F.lit(0), pieces - 1), at), " ")
+    return F.when(F.octet_length(text) <= share, F.col(text)).otherwise(cut)
 
 
 def predict(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:

@@ -305,6 +305,21 @@ def test_languages_are_told_apart(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_shares_of_the_sample(spark):
+    """Each picked text gives the same share, a long one pieces from start to end."""
+    texts = ["", "short text", "a" * 40_000 + "b" * 40_000, "é" * 5_000, "x" * 513]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select(langid.shared_part("text", F.lit(512.0)).alias("part")).collect()
+    parts = [r.part for r in got]
+    assert parts[:2] == texts[:2]
+    assert parts[2] == " ".join([c * langid.PIECE for c in "aabb"])
+    assert parts[3] == " ".join(["é" * langid.PIECE] * 2) and len(parts[3].encode()) <= 514
+    assert len(parts[4]) == 4 * langid.PIECE + 3
+    long = [(i, ("the cat sat " if i else "un deux trois ") * (30 if i else 200_000), "en" if i else "fr") for i in range(9)]
+    model = langid.fit(spark.createDataFrame(long, "doc_id long, text string, lang string"), F.lit(True))
+    assert [x.name for x in model.languages] == ["en", "fr"]
+    assert all(x.table.size // x.width < 3 * langid.SAMPLE_BYTES for x in model.languages)
+
+
 def test_language_edges(spark, edges, clashing, nothing):
     model = langid.fit(edges, F.lit(True))
     first = listed(langid.predict(edges, model, F.col("doc_id")))
