@@ -166,11 +166,13 @@ def category_deltas(raw: DataFrame | None, min_pct: float = 20.0, totals: DataFr
 
 def recurring_spend(raw: DataFrame | None, features: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """round(month_outflow * recurring_share, 2) half up on exact decimals (the share
-    through its text form); 0 with no feature row."""
+    through its text form); 0 with no feature row. Where refunds leave little discretionary spend, the share can be of
+    any size: from 10 on it keeps ten decimals."""
     out = month_outflow(raw, totals)
     f = features.select("account_id", "month", "recurring_share")
-    share = F.col("recurring_share").cast("string").cast("decimal(19,18)")
-    spend = F.round(F.col("total_spend").cast("decimal(18,2)") * share, 2).cast("decimal(20,2)")
+    spent, share = F.col("total_spend").cast("decimal(18,2)"), F.col("recurring_share").cast("string")
+    part = lambda places: F.round(spent * share.cast(places), 2).cast("decimal(20,2)")
+    spend = F.when(F.abs("recurring_share") < 10, part("decimal(19,18)")).otherwise(part("decimal(28,10)"))
     return (out.join(f, ["account_id", "month"], "left")
             .select("account_id", "month", "total_spend",
                     F.coalesce(spend, F.lit(0).cast("decimal(20,2)")).alias("recurring_spend")))
