@@ -120,15 +120,17 @@ def monthly_features(ledger: DataFrame, min_transactions: int = MIN_TRANSACTIONS
 
 
 def features_from_facts(facts: DataFrame, min_transactions: int = MIN_TRANSACTIONS, as_of: int | None = None,
-                        quantile_rows: int = QUANTILE_ROWS) -> DataFrame:
+                        quantile_rows: int = QUANTILE_ROWS, kin: DataFrame | None = None) -> DataFrame:
     """F1-F14 from written `month_facts`.
 
     With an `is_recurring` column (E1 already applied) the recurring spend is a conditional sum; without it E1 is computed
-    from the facts, over all months or, with `as_of`, over that many months up to each month.
+    from the facts, over all months or, with `as_of`, over that many months up to each month. Where `facts` hold some
+    months only, `kin` has the rows of their E1 keys over all months.
     """
     key = ["account_id", "month"]
-    rows = (facts.withColumn("category", F.col("canon"))
-            .withColumn("disc", ~F.col("is_inflow") & (F.col("category") != FIXED_CATEGORY)))
+    canon = lambda df: (df.withColumn("category", F.col("canon"))
+                        .withColumn("disc", ~F.col("is_inflow") & (F.col("category") != FIXED_CATEGORY)))
+    rows = canon(facts)
     has_flag = "is_recurring" in facts.columns
     spend, disc = ~F.col("is_inflow"), F.col("disc")
     money = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("amount") * F.col("n"))), F.lit(0)).cast("double")
@@ -144,7 +146,7 @@ def features_from_facts(facts: DataFrame, min_transactions: int = MIN_TRANSACTIO
         .groupBy(*key).agg(F.count(F.lit(1)).alias("_merchants"))
     g = g.join(shops, key, "left").join(_quantiles(rows.filter("disc"), g, (0.25, 0.5, 0.75), quantile_rows), key)
     if not has_flag:
-        g = g.join(_recurring_spend(rows.filter(spend), as_of), key, "left").withColumn("_recurring", F.coalesce("_recurring", F.lit(0.0)))
+        g = g.join(_recurring_spend((rows if kin is None else canon(kin)).filter(spend), as_of), key, "left").withColumn("_recurring", F.coalesce("_recurring", F.lit(0.0)))
     median = F.col("_q1")
     feats = [
         F.col("_n").cast("double").alias("txn_count"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kontor.operators import advice as L
 from kontor.operators import clusters as H
+from kontor.operators import refresh
 from kontor.operators import reports as R
 from kontor.operators.ledger import month_of
 from kontor.operators.monthly import BEHAVIOUR_FEATURES as NAMES
@@ -291,6 +292,36 @@ def q_advice_refresh_set(spark, sf):
     return flat(_refresh(cut_lineage(inputs_catalogue(spark, sf))).select("account_id", "month", "cached", "regenerate"))
 
 
+# --- L4 after a change: rows whose id hashes to 000... are the ones that have just arrived ------------
+
+ARRIVED = "substr(md5(transaction_id), 1, 3) = '000'"
+_SPEND_KEY = "SELECT account_id, merchant, round_even(amount, 0) AS amount_key FROM led WHERE NOT is_inflow"
+REACHED_SQL = f"""
+fresh AS (SELECT * FROM led WHERE {ARRIVED}),
+reached AS (SELECT account_id, month FROM fresh
+            UNION SELECT account_id, CAST(month + INTERVAL 1 MONTH AS DATE) FROM fresh
+            UNION SELECT l.account_id, l.month FROM led l
+                  JOIN ({_SPEND_KEY} AND {ARRIVED} GROUP BY ALL) k
+                    ON l.account_id = k.account_id AND l.merchant = k.merchant AND round_even(l.amount, 0) = k.amount_key
+                  WHERE NOT l.is_inflow)"""
+
+
+@query("advice_refresh_reached", INPUTS_SQL + "," + REACHED_SQL + f"""
+SELECT {KEY_OUT}, {ENOUGH} AS has_enough_data, sha256(concat_ws('|', {', '.join(TEXT_FIELDS.values())})) AS inputs_hash
+FROM inputs SEMI JOIN reached USING (account_id, month)""")
+def q_advice_refresh_reached(spark, sf):
+    """The months that the arrived rows reach, recomputed from their own rows; the twin recomputes everything."""
+    raw = catalogue(spark, sf)
+    reached = cut_lineage(refresh.reached_months(raw, raw.filter(ARRIVED)))
+    cents = _fixed(spark)
+    # the stored scaler
+    stats = cut_lineage(H.fit_scaler(features_from_facts(cut_lineage(month_facts(raw)))))
+    model = refresh.ArchetypeModel(stats, cents, H.name_clusters(cents))
+    flagged = hash_scores(raw).filter("is_anomaly").withColumn("month", month_of("posted_date"))
+    inputs = refresh.reached_inputs(raw, reached, flagged, model)
+    return flat(L.inputs_hash(L.has_enough_data(inputs)).select("account_id", "month", "has_enough_data", "inputs_hash"))
+
+
 @query("advice_provenance", INPUTS_SQL + f"""
 SELECT {KEY_OUT}, CASE WHEN {ENOUGH} THEN 'rules' ELSE 'none' END AS source, {CACHED_SQL} AS cached FROM inputs""")
 def q_advice_provenance(spark, sf):
