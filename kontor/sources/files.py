@@ -7,9 +7,10 @@ distributed (one file per task), never assembled on the driver.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kontor.session import cut_lineage
 from kontor.sources.tables import LEDGER_COLUMNS, LEDGER_SCHEMA
 
 CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"',
@@ -21,8 +22,8 @@ def read_ledger_csv(spark: SparkSession, paths: list[str], multi_line: bool = Tr
     error when none exists.
 
     The header of each path names its columns, so files may order them differently or hold more; a
-    value that does not parse is null. Line breaks inside quotes need `multi_line`, which
-    makes one task of each file; without such values, multi_line=False splits large files.
+    value that does not parse is null. With `multi_line`, values in quotes may hold line breaks; large files are read by
+    many tasks all the same (see `quoted_records`), and such breaks stay as they are. Without it every line is a record.
     """
     frames = []
     for p in paths:
@@ -35,6 +36,8 @@ def read_ledger_csv(spark: SparkSession, paths: list[str], multi_line: bool = Tr
         absent = [c for c in LEDGER_COLUMNS if c not in text.columns]
         if absent:
             raise ValueError(f"{p} has no column {', '.join(absent)}")
+        if multi_line:
+            text = _split_csv(spark, p, text)
         frames.append(text.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in LEDGER_SCHEMA.fields]))
     if not frames:
         raise FileNotFoundError("no ledger CSV found in " + ", ".join(paths))
@@ -44,6 +47,59 @@ def read_ledger_csv(spark: SparkSession, paths: list[str], multi_line: bool = Tr
     return out
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of the files at a path, with their file, byte range (`block`), order inside that range, and quotes."""
+    text = spark.read.option("lineSep", "\n").text(path)
+    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                       F.monotonically_increasing_id().alias("nth"), "value",
+                       (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("quotes"))
+
+
+def _split_csv(spark: SparkSession, path: str, whole: DataFrame) -> DataFrame:
+    """The rows of `whole` (a multi-line CSV frame over `path`), read by byte ranges. Only where some line has an odd number of
+    quotes can a record span lines: else every line is a record, and nothing is shuffled. An odd number in a whole file is
+    no RFC-4180 text; such a path is left to the multi-line reader."""
+    files = (_lines(spark, path).groupBy("file").agg(F.sum("quotes").alias("quotes"), F.max(F.col("quotes") % 2).alias("odd"))
+             .agg(F.max("odd").alias("odd"), F.max(F.col("quotes") % 2).alias("broken")).first())
+    if files.broken:
+        return whole
+    if not files.odd:
+        return spark.read.options(**CSV_OPTIONS).schema(whole.schema).csv(path)
+    parsed = F.from_csv("record", ", ".join(f"`{c.replace('`', '``')}` string" for c in whole.columns),
+                        {**CSV_OPTIONS, "header": "false", "multiLine": "true"})
+    return quoted_records(spark, path).select(parsed.alias("row")).select("row.*")
+
+
+def quoted_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records (without each file's header) of CSV files whose quoted values hold line breaks.
+
+    A line begins a record if the quotes before it in its file are even in number. They are counted by byte range and added up
+    over a file's ranges, so that a range needs no other range's lines. A record of one line goes straight
+    through; the lines of longer ones, and the last of each range, meet by record number.
+    """
+    lines = _lines(spark, path)
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("file", "block").orderBy("nth")
+    # one row per byte range
+    ranges = lines.groupBy("file", "block").agg(F.sum("quotes").alias("_q")).select(
+        "file", "block", F.coalesce(F.sum("_q").over(before), F.lit(0)).alias("_before"))
+    opened = (F.col("_before") + F.sum("quotes").over(inside) - F.col("quotes")) % 2 == 0
+    marked = cut_lineage(
+        lines.join(ranges, ["file", "block"]).withColumn("starts", opened)
+        .withColumn("own", F.sum(F.col("starts").cast("long")).over(inside))
+        .withColumn("alone", F.coalesce(F.col("starts") & F.lead("starts").over(inside), F.lit(False)))
+        .select("file", "block", "nth", "value", "starts", "own", "alone"))
+    firsts = marked.groupBy("file", "block").agg(F.sum(F.col("starts").cast("long")).alias("_n")).select(
+        "file", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    numbered = marked.join(firsts, ["file", "block"]).withColumn("number", F.col("_first") + F.col("own"))
+    line = F.struct("block", "nth", "value")
+    joined = (numbered.filter(~F.col("alone")).groupBy("file", "number").agg(F.sort_array(F.collect_list(line)).alias("_lines"))
+              .select("number", F.array_join(F.col("_lines.value"), "\n").alias("record")))
+    records = numbered.filter("alone").select("number", F.col("value").alias("record")).unionByName(joined)
+    return (records.filter(F.col("number") > 1).select(F.regexp_replace("record", r"\r\z", "").alias("record"))
+            .filter(F.col("record") != ""))
+
+
 def write_ledger_csv(raw: DataFrame, path: str) -> None:
     """A5: RFC-4180 CSV with an explicit header: quotes only where needed,
     embedded quotes doubled, null as empty, exact decimal text."""
