@@ -1,8 +1,8 @@
 """Secret scan with structural confirmation.
 
 Three base patterns are reported as they match. Candidates for whole keys and
-tokens (long base64 or hex runs, key blocks between BEGIN and END lines, three-part
-signed tokens) are only reported if their content decodes and parses: nested DER lengths
+tokens (long base64 or hex runs, base64 wrapped over lines, key blocks between BEGIN and END lines, three-part
+signed tokens; line breaks may be written as backslash and n, as in JSON) are only reported if their content decodes and parses: nested DER lengths
 that fill their frame exactly, the fields of an SSH key blob, a signed-token header
 that is a JSON object with an algorithm.
 
@@ -20,6 +20,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,8 +33,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+", re.A)
 HEX = re.compile(r"[0-9a-f]{24,}", re.A)  # a run of fewer has no match inside it either
 #: A JSON object starts with an opening brace, hence `e` and one of its successors.
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(e[w-z0-9_-][A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]+)", re.A)
-BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+)-----END \1-----", re.A)
+BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----((?:[A-Za-z0-9+/=\s]|\\[nr])+)-----END \1-----", re.A)
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}", re.A)
+#: Lines of base64, all but the last of 40 characters or more.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}+(?:\r?\n[\x20\t]*|(?:\\r)?\\n))+[A-Za-z0-9+/_-]+={0,2}", re.A)
+LINE = re.compile(r"(?:^|(?<=\\n)|(?<=[\n\x20\t]))[A-Za-z0-9+/_-]+={0,2}", re.A)
 HEX_BYTES = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){20,}(?![0-9A-Fa-f])", re.A)
 
 
@@ -113,8 +117,8 @@ def is_signed_header(part: str) -> bool:
 
 
 def decoded(text: str) -> bytes | None:
-    """Base64 in either alphabet, white space ignored, padding optional."""
-    body = "".join(text.split()).rstrip("=").replace("-", "+").replace("_", "/")
+    """Base64 in either alphabet, white space and escaped line breaks ignored, padding optional."""
+    body = "".join(text.replace("\\n", " ").replace("\\r", " ").split()).rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         return None
     try:
@@ -135,6 +139,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def wrapped_lines(text: str) -> Iterator[tuple[int, int]]:
+    """Ranges of two or more lines of base64 that can be one value: lines of one width, with and without the
+    next line if that is shorter."""
+    for m in WRAPPED.finditer(text):
+        lines = [(m.start() + a, m.start() + b) for a, b in (x.span() for x in LINE.finditer(m[0]))]
+        first = 0
+        for k in range(1, len(lines) + 1):
+            width = lines[first][1] - lines[first][0]
+            if k < len(lines) and lines[k][1] - lines[k][0] == width:
+                continue
+            if k < len(lines) and lines[k][1] - lines[k][0] < width:
+                yield lines[first][0], lines[k][1]
+            if k - first > 1:
+                yield lines[first][0], lines[k - 1][1]
+            first = k
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of candidates whose decoded structure is that of a key or signed token."""
     found, seen = [], set()
@@ -149,6 +170,11 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     if "-----BEGIN" in text:
         for m in BLOCK.finditer(text):
             report(m.start(), m.end(), decoded(m[2]))
+    blocks = sorted(seen)
+    for start, end in wrapped_lines(text):
+        at = bisect_right(blocks, (start, len(text))) - 1
+        if at < 0 or end > blocks[at][1]:  # the lines of a reported block are that block
+            report(start, end, decoded(text[start:end]))
     for m in SIGNED.finditer(text):
         if is_signed_header(m[1]):
             found.append((m.start(), 5, m.end()))

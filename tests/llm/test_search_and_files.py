@@ -201,6 +201,26 @@ def test_structures_are_confirmed():
         assert secrets.confirmed_spans(t) == []
 
 
+def test_keys_over_lines():
+    """Escaped line breaks in a block; base64 wrapped without BEGIN and END, among prose lines and other base64."""
+    number = bytes(range(1, 129))
+    for pad in range(5):
+        rsa = der(0x30, der(2, b"\0") + der(2, number * 2 + bytes(pad + 1)) + der(2, b"\1\0\1") + der(2, number))
+        code = base64.b64encode(rsa).decode()
+        for width, br in ((64, "\n"), (76, "\r\n"), (64, "\\n"), (len(code) // 2 + 1, "\n  "), (76, "\\r\\n"), (len(code) // 4, "\n")):
+            body = br.join(code[i:i + width] for i in range(0, len(code), width))
+            block = f"-----BEGIN PRIVATE KEY-----{br}{body}{br}-----END PRIVATE KEY-----"
+            for t, want in ((f'x = "{block}"', block), (f"see: {body}", body), (f"{'A' * 50}\n{body}", body), (f"{body}{br}{'B' * 90}", body),
+                            (f"{body}{br}Then prose goes on.", body)):
+                if "\n " in br and t.endswith("on."):
+                    continue
+                assert [(secrets.KINDS[k], t[a:b]) for a, k, b in secrets.confirmed_spans(t)] == [("der", want)], t
+        broken = "\n".join(code[i:i + 64] for i in range(0, len(code) - 64, 64))
+        assert secrets.confirmed_spans(broken) == []
+    lines = "\n".join(["Q" * 64] * 50_000)
+    assert secrets.confirmed_spans(lines) == [] and secrets.confirmed_spans("Q" * 2_000_000) == []
+
+
 def test_scan_edges(spark, edges, clashing, nothing, tmp_path):
     want = sorted(((r[0], []) for r in edge_rows()), key=repr)
     assert listed(secrets.scan(edges)) == want == listed(secrets.scan(clashing))
