@@ -5,7 +5,8 @@ words. The output is a sequence of slots, cut into output shards. For each
 shard a multinomial draw over the sources says how many of its slots each
 source fills; the k-th slot of a source takes the block that a pseudorandom
 permutation of the source's block numbers (a new one for every pass over the
-source) gives for k, and blocks and slots meet in a join on (source, block).
+source) gives for k, and blocks and slots meet in a join on (source, block). `mixed_blocks`
+is that output, words included; `taken` counts the words that lie in its blocks.
 
 Targets: weights repeat over the sources in code point order, share all words,
 and stop at `limit` times the source; what is above goes to the others by weight.
@@ -14,7 +15,8 @@ the limit, so a source's slots beyond its quota go to sources short of theirs:
 quotas are then met exactly, while almost all slots keep their draw.
 
 Everything is DataFrame expressions. No step groups rows by source alone: a
-source's stream is laid out by granules of about GRANULE documents.
+source's stream is laid out by granules of about GRANULE documents, dealt by id and
+text, so that rows which share an id (or have none) do not share a granule.
 
 Defined cases: null text or text without words has size 0, is in no block and is
 never taken; a null source is a source of its own, last in order; repeated rows
@@ -24,7 +26,9 @@ is made; columns of the input other than those named here don't matter.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kontor.llm.permute import permuted
@@ -41,13 +45,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACED_WORD = r"(?:\A[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 
 
-def laid_out(docs: DataFrame, granules: int) -> DataFrame:
-    """Rows with their size, granule and a hash that orders equal ids."""
+def laid_out(docs: DataFrame, granules: int, *more: str) -> DataFrame:
+    """Rows with their size, granule and a hash that orders equal ids; `more`: columns to keep."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
-        "doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+        "doc_id", "source", *more, F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         F.xxhash64("text").alias("text_hash"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(granules)).cast("int").alias("granule"))
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(granules)).cast("int").alias("granule"))
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -133,6 +137,40 @@ def draw_slots(plan: DataFrame, slots: int, shard_slots: int = SHARD_SLOTS, seed
                              F.col("pass")).alias("block")))
 
 
+class _Layout:
+    """The rows of a table with their places in their sources' streams, and the targets per source."""
+
+    def __init__(self, docs: DataFrame, weights: tuple[int, ...], limit: int, block: int):
+        self.docs, self.granules = docs, docs.count() // GRANULE + 1
+        rows = stored(numbered(laid_out(docs, self.granules)), "mix-rows")
+        self.plan = stored(targets(rows, weights, limit, block), "mix-plan")
+        self.slots = self.plan.agg(F.sum("quota")).first()[0] or 0
+        self.rows = self.ranked(rows)
+        zero = F.lit(0).cast("long")
+        across = Window.partitionBy("rank").orderBy("granule").rowsBetween(Window.unboundedPreceding, -1)
+        #: Words before a granule in its source's stream.
+        self.bases = stored(self.rows.groupBy("rank", "granule").agg(F.sum("size").alias("words"))
+                            .select("rank", "granule", F.coalesce(F.sum("words").over(across), zero).alias("base")), "mix-bases")
+
+    def ranked(self, rows: DataFrame) -> DataFrame:
+        """Rows with their source's rank."""
+        named = self.plan.select("rank", F.col("source").alias("_s"))
+        return rows.join(named, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+
+    def streamed(self, rows: DataFrame) -> DataFrame:
+        """Ranked rows with `start`, the number of their first word in their source's stream."""
+        inside = Window.partitionBy("rank", "granule").orderBy("doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+        return (rows.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long")))
+                .join(self.bases, ["rank", "granule"])
+                .withColumn("start", F.col("start") + F.col("base")))
+
+
+def _block_numbers(block: int) -> Column:
+    """Numbers of the blocks in which a row has words."""
+    return F.sequence(F.floor(F.col("start") / block).cast("long"),
+                      F.floor((F.col("start") + F.col("size") - 1) / block).cast("long"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, block: int = BLOCK,
         shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(placed, rows, plan).
@@ -141,36 +179,55 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT,
     (granule, place and rank name the document row; `first` its first word, `n` its words).
     rows: the document rows with size and their names; plan: the targets per source.
     """
-    granules = docs.count() // GRANULE + 1
-    rows = stored(numbered(laid_out(docs, granules)), "mix-rows")
-    plan = stored(targets(rows, weights, limit, block), "mix-plan")
-    slots = plan.agg(F.sum("quota")).first()[0] or 0
-    rows = rows.join(plan.select("rank", F.col("source").alias("_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    inside = Window.partitionBy("rank", "granule").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy("rank").orderBy("granule").rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("long")
-    bases = (rows.groupBy("rank", "granule").agg(F.sum("size").alias("words"))
-             .select("rank", "granule", F.coalesce(F.sum("words").over(across), zero).alias("base")))
-    streamed = (rows.withColumn("start", F.coalesce(F.sum("size").over(inside), zero))
-                .join(bases, ["rank", "granule"])
-                .withColumn("start", F.col("start") + F.col("base")))
+    layout = _Layout(docs, weights, limit, block)
     begin = F.greatest(F.col("block") * block, F.col("start"))
     end = F.least((F.col("block") + 1) * block, F.col("start") + F.col("size"))
-    parts = (streamed.filter("size > 0")
-             .withColumn("block", F.explode(F.sequence(
-                 F.floor(F.col("start") / block).cast("long"),
-                 F.floor((F.col("start") + F.col("size") - 1) / block).cast("long"))))
+    parts = (layout.streamed(layout.rows).filter("size > 0")
+             .withColumn("block", F.explode(_block_numbers(block)))
              .select("rank", "block", "granule", "place", "doc_id",
                      (begin - F.col("start")).alias("first"), (end - begin).alias("n")))
     # neither side is bounded, and runs of numbers shuffle in few bytes: no broadcast by that size
-    placed = draw_slots(plan, slots, shard_slots, seed).join(parts.hint("merge"), ["rank", "block"])
-    return placed, rows, plan
+    placed = draw_slots(layout.plan, layout.slots, shard_slots, seed).join(parts.hint("merge"), ["rank", "block"])
+    return placed, layout.rows, layout.plan
+
+
+def mixed_blocks(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, block: int = BLOCK,
+                 shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(blocks, rows, plan): the mix itself, one row per slot of an output shard, and `rows` and `plan` as in `mix`.
+
+    blocks: shard, slot, rank, pass, block and `parts`, the documents' pieces in the order of the stream (granule and place
+    name the document row; `words` are its words in that block, with the white space behind each). The pieces of a
+    block hold `block` words together; the last block of a source may hold fewer.
+    """
+    layout = _Layout(docs, weights, limit, block)
+    place = Window.partitionBy("rank", "granule").orderBy("doc_id", "text_hash")
+    rows = layout.ranked(laid_out(docs, layout.granules, "text")).withColumn("place", F.row_number().over(place))
+    streamed = layout.streamed(rows).filter("size > 0")
+
+    def piece(words: Column) -> Callable[[Column], Column]:
+        def cut(b: Column) -> Column:
+            first = F.greatest(b * block - F.col("start"), F.lit(0).cast("long"))
+            end = F.least((b + 1) * block - F.col("start"), F.col("size"))
+            cut_out = F.array_join(F.slice(words, (first + 1).cast("int"), (end - first).cast("int")), "")
+            return F.struct(b.alias("block"), cut_out.alias("words"))
+        return cut
+
+    # a text is split once: `words` is a variable of the outer function, not an expression that each piece repeats
+    split = F.array(F.regexp_extract_all("text", F.lit(SPACED_WORD), F.lit(0)))
+    pieces = F.flatten(F.transform(split, lambda words: F.transform(_block_numbers(block), piece(words))))
+    packed = (streamed.select("rank", "granule", "place", "doc_id", F.explode(pieces).alias("piece"))
+              .groupBy("rank", F.col("piece.block").alias("block"))
+              .agg(F.array_sort(F.collect_list(F.struct("granule", "place", "doc_id", F.col("piece.words").alias("words")))).alias("parts")))
+    slots = draw_slots(layout.plan, layout.slots, shard_slots, seed)
+    return slots.join(packed.hint("merge"), ["rank", "block"]), layout.rows, layout.plan
 
 
 def taken(docs: DataFrame, **how) -> DataFrame:
-    """Per document row: its size, its source's size and target, and the words that the mix takes of it."""
-    placed, rows, plan = mix(docs, **how)
-    words = placed.groupBy("rank", "granule", "place").agg(F.sum("n").alias("taken"))
+    """Per document row: its size, its source's size and target, and its words in the blocks of the mix."""
+    blocks, rows, plan = mixed_blocks(docs, **how)
+    words = (blocks.select("rank", F.explode("parts").alias("part"))
+             .groupBy("rank", F.col("part.granule").alias("granule"), F.col("part.place").alias("place"))
+             .agg(F.sum(F.regexp_count("part.words", F.lit(WORD))).alias("taken")))
     return (rows.join(words.hint("merge"), ["rank", "granule", "place"], "left")
             .join(plan.select("rank", "source_size", "target"), "rank")
             .select("doc_id", "size", "source_size", "target",
@@ -184,7 +241,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     granules = docs.count() // GRANULE + 1
     wide = numbered(docs.select(
         "doc_id", "source", "text", "lang", F.xxhash64("text").alias("text_hash"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(granules)).cast("int").alias("granule")))
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(granules)).cast("int").alias("granule")))
     picks = (placed.groupBy("rank", "granule", "place", "pass")
              .agg(F.array_sort(F.collect_list(F.struct("first", "n"))).alias("parts"))
              .join(rows.select("rank", "granule", "place", F.col("source").alias("_s")), ["rank", "granule", "place"])

@@ -90,6 +90,36 @@ def test_mix_slots_are_whole_and_blocks_are_used_evenly(spark):
     assert len(set(draws.values())) > 2  # drawn, not dealt evenly
 
 
+def test_blocks_of_the_mix_hold_the_streams(spark):
+    docs = documents(spark, {"a": [333] * 20, "b": [77] * 10, None: [1, 5, 0, 64]})
+    blocks, rows, plan = mix.mixed_blocks(docs, block=32, shard_slots=50)
+    placed, _, _ = mix.mix(docs, block=32, shard_slots=50)
+    got = blocks.collect()
+    name = lambda r: (r.shard, r.slot, r.rank, r["pass"], r.block)
+    assert Counter(map(name, got)) == Counter(map(name, placed.select("shard", "slot", "rank", "pass", "block").distinct().collect()))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    sources = {r.rank: r for r in plan.collect()}
+    streams = defaultdict(str)
+    for r in sorted(rows.collect(), key=lambda r: (r.rank, r.granule, r.place)):
+        streams[r.rank] += " " + texts[r.doc_id]
+    for r in got:
+        held = WORDS.findall(" ".join(p.words for p in r.parts))
+        assert held == WORDS.findall(streams[r.rank])[32 * r.block:32 * r.block + 32]
+        assert len(held) == 32 or r.block == sources[r.rank].blocks - 1
+    words = Counter()
+    for r in got:
+        for p in r.parts:
+            words[p.doc_id] += size(p.words)
+            assert p.words in texts[p.doc_id]
+    assert words == Counter({r.doc_id: r.taken for r in mix.taken(docs, block=32, shard_slots=50).collect() if r.taken})
+
+
+def test_rows_that_share_an_id_are_spread(spark):
+    docs = spark.range(300).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("w"), "id").alias("text"))
+    granules = mix.laid_out(docs.withColumn("source", F.lit("a")), 10).groupBy("granule").count().collect()
+    assert len(granules) == 10 and max(r["count"] for r in granules) < 90
+
+
 def test_mixed_documents_hold_the_words_taken(spark):
     docs = documents(spark, {"a": [120] * 12, "b": [15] * 6, None: [40] * 3})
     texts = {r.doc_id: r.text for r in docs.collect()}
@@ -112,13 +142,14 @@ def test_mix_edges(spark, edges, clashing, nothing):
     assert all(r.taken <= 3 * r["size"] for r in rows)
     assert listed(mix.taken(clashing)) == listed(mix.taken(edges))
     assert mix.taken(nothing).count() == 0 and mix.mixed_documents(nothing).count() == 0
+    assert mix.mixed_blocks(nothing)[0].count() == 0
     blank = edges.filter("doc_id <= 3")
     assert [(r.target, r.taken) for r in mix.taken(blank).collect()] == [(0.0, 0)] * 3
     assert mix.mixed_documents(clashing).columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def test_native_plans_have_no_python(spark, edges):
-    for df in (mix.taken(edges), mix.mixed_documents(edges), shards.shuffled(edges)):
+    for df in (mix.taken(edges), mix.mixed_blocks(edges)[0], mix.mixed_documents(edges), shards.shuffled(edges)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not any(word in plan for word in PYTHON)
 
