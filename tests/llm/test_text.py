@@ -44,56 +44,64 @@ def test_words_of_slices(limit):
 
 # --- LM scoring --------------------------------------------------------------------------------
 
-def brute_scores(rows):
+def brute_scores(rows, order):
+    """Scores by the recursion of the model itself: no automaton, no arcs."""
     tokens = [words(t) + ["</s>"] for _, t in rows]
-    one, two = Counter(), Counter()
+    grams = {k: Counter() for k in range(order)}  # by length of the context
     for (d, _), w in zip(rows, tokens, strict=True):
         if remainder(d, 5) != 1:
-            one.update(w)
-            two.update(zip(["<s>", *w], w))
+            padded = ["<s>", *w]
+            for i in range(1, len(padded)):
+                for k in range(min(order, i + 1)):
+                    grams[k][tuple(padded[i - k:i + 1])] += 1
     context, kinds = Counter(), Counter()
-    for (u, _), c in two.items():
-        context[u] += c
-        kinds[u] += 1
+    for k in range(1, order):
+        for g, c in grams[k].items():
+            context[g[:-1]] += c
+            kinds[g[:-1]] += 1
+    one = Counter({g[0]: c for g, c in grams[0].items()})
     n, v = sum(one.values()), len(one)
-    d1, d2 = (lm.Weights.discount(sum(c == 1 for c in x.values()), sum(c == 2 for c in x.values())) for x in (one, two))
+    disc = [lm.Weights.discount(sum(c == 1 for c in g.values()), sum(c == 2 for c in g.values())) for g in grams.values()]
 
-    def p1(w):
-        return 1.0 if not n else (one[w] - d1) / n if one[w] else d1 * v / n
-
-    def p2(u, w):
+    def p(u, w):
+        if not u:
+            return 1.0 if not n else (one[w] - disc[0]) / n if one[w] else disc[0] * v / n
         if not context[u]:
-            return p1(w)
-        return max(two[u, w] - d2, 0) / context[u] + d2 * kinds[u] / context[u] * p1(w)
+            return p(u[1:], w)
+        d = disc[len(u)]
+        return max(grams[len(u)][(*u, w)] - d, 0) / context[u] + d * kinds[u] / context[u] * p(u[1:], w)
 
     out = []
     for (d, _), w in zip(rows, tokens, strict=True):
+        padded = ["<s>", *w]
+        score = sum(math.log10(p(tuple(padded[max(0, i - order + 1):i]), padded[i])) for i in range(1, len(padded)))
         out.append((d, remainder(d, 5) == 1, len(w), sum(one[x] > 0 for x in w), n,
-                    sum(math.log10((one[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w),
-                    sum(math.log10(p2(u, x)) for u, x in zip(["<s>", *w], w))))
+                    sum(math.log10((one[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), score))
     vocabulary = [*one, "<unk>"]
-    for u in ["<s>", *list(context)[:5], "never"]:
-        assert sum(p2(u, w) for w in vocabulary) == pytest.approx(1)
+    for u in [("<s>",), *list(context)[:5], *list(context)[-5:], ("never",)]:
+        assert sum(p(u, w) for w in vocabulary) == pytest.approx(1)
     return out
 
 
-def check_scores(df, rows):
-    got = sorted(map(tuple, lm.score_texts(df, id_remainder(5) != 1).collect()), key=repr)
-    for g, w in zip(got, sorted(brute_scores(rows), key=repr), strict=True):
+def check_scores(df, rows, order=2):
+    got = sorted(map(tuple, lm.score_texts(df, id_remainder(5) != 1, order).collect()), key=repr)
+    for g, w in zip(got, sorted(brute_scores(rows, order), key=repr), strict=True):
         assert g[:5] == w[:5]
         assert g[5:] == pytest.approx(w[5:], rel=1e-9, abs=1e-9)
 
 
-def test_lm_scores_match_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm_scores_match_brute_force(spark, monkeypatch, order):
     monkeypatch.setattr(lm, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(lm, "LANE", 7)
     rows = [(i, prose(i % 37, 5 + i % 90, 60)) for i in range(120)] + [(None, "w1 w2"), (500, None), (501, ""), (502, "W1 new w2")]
-    check_scores(spark.createDataFrame(rows, DOCS).repartition(5), rows)
+    check_scores(spark.createDataFrame(rows, DOCS).repartition(5), rows, order)
 
 
 def test_lm_edges(spark, edges, clashing, nothing):
     rows = [(r[0], r[1]) for r in edge_rows()]
     check_scores(edges, rows)
-    check_scores(clashing, rows)
+    check_scores(clashing, rows, 3)
     assert lm.score_texts(nothing, id_remainder(5) != 1).count() == 0
     untrained = lm.score_texts(edges, F.lit(False)).collect()
     assert all(r.held_out and r.train_tokens == 0 and r.score == 0 for r in untrained)
