@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from kontor.llm.scratch import stored
 from kontor.llm.words import U64, mix64, per_text, text_slices
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 HOT = 2000
 ORDER = 2
 LANE = 512
@@ -202,6 +202,7 @@ class _Grams(_Sequence):
             self.suffix[part] = self.use[k - 1][held[k - 1]]
         self.first, self.second = first[order_of], second[order_of]
         self.cuts = np.searchsorted(place[order_of], np.arange(buckets + 1).astype(U64))
+        del self.tokens, self.before, self.at  # from here on tokens are numbers of the vocabulary
 
     def counts(self, trains: np.ndarray) -> np.ndarray:
         """How often each n-gram occurs in the texts that train."""
