@@ -6,6 +6,11 @@ distributed (one file per task), never assembled on the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,56 +53,114 @@ def read_ledger_csv(spark: SparkSession, paths: list[str], multi_line: bool = Tr
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of the files at a path, with their file, byte range (`block`), order inside that range, and quotes."""
+    """Lines of the files at a path, with their file, byte range (`block`) and quotes."""
     text = spark.read.option("lineSep", "\n").text(path)
-    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-                       F.monotonically_increasing_id().alias("nth"), "value",
+    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value",
                        (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("quotes"))
 
 
+def _ranges(spark: SparkSession, path: str) -> DataFrame:
+    """One row per byte range, written: its number, quotes, whether some line has an odd number of them (`odd`), whether it begins
+    inside a record (`inside`), and the range where that record began (`owner`).
+
+    A record is left open at a range's end if the quotes up to there are odd and the range changes their parity.
+    """
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counted = (_lines(spark, path).groupBy("file", "block").agg(F.sum("quotes").alias("quotes"), F.max(F.col("quotes") % 2).alias("odd"))
+               .withColumn("range", F.monotonically_increasing_id())
+               .withColumn("inside", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1))
+    opens = (F.col("odd") == 1) & ((F.col("quotes") + F.col("inside").cast("long")) % 2 == 1)
+    return cut_lineage(counted.withColumn("opens", opens)
+                       .withColumn("owner", F.last(F.when(F.col("opens"), F.col("range")), ignorenulls=True).over(before)))
+
+
 def _split_csv(spark: SparkSession, path: str, whole: DataFrame) -> DataFrame:
     """The rows of `whole` (a multi-line CSV frame over `path`), read by byte ranges. Only where some line has an odd number of
     quotes can a record span lines: else every line is a record, and nothing is shuffled. An odd number in a whole file is
     no RFC-4180 text; such a path is left to the multi-line reader."""
-    files = (_lines(spark, path).groupBy("file").agg(F.sum("quotes").alias("quotes"), F.max(F.col("quotes") % 2).alias("odd"))
-             .agg(F.max("odd").alias("odd"), F.max(F.col("quotes") % 2).alias("broken")).first())
+    ranges = _ranges(spark, path)
+    files = (ranges.groupBy("file").agg(F.sum("quotes").alias("quotes"), F.max("odd").alias("odd"), F.max("opens").alias("opens"))
+             .agg(F.max("odd").alias("odd"), F.max(F.col("quotes") % 2).alias("broken"), F.max("opens").alias("opens")).first())
     if files.broken:
         return whole
     if not files.odd:
         return spark.read.options(**CSV_OPTIONS).schema(whole.schema).csv(path)
     parsed = F.from_csv("record", ", ".join(f"`{c.replace('`', '``')}` string" for c in whole.columns),
                         {**CSV_OPTIONS, "header": "false", "multiLine": "true"})
-    return quoted_records(spark, path).select(parsed.alias("row")).select("row.*")
+    return quoted_records(spark, path, ranges, files.opens).select(parsed.alias("row")).select("row.*")
 
 
-def quoted_records(spark: SparkSession, path: str) -> DataFrame:
+def quoted_records(spark: SparkSession, path: str, ranges: DataFrame, opens: bool = True) -> DataFrame:
     """The records (without each file's header) of CSV files whose quoted values hold line breaks.
 
     A line begins a record if the quotes before it in its file are even in number. They are counted by byte range and added up
-    over a file's ranges, so that a range needs no other range's lines. A record of one line goes straight
-    through; the lines of longer ones, and the last of each range, meet by record number.
+    over a file's ranges, so that a task joins the lines of its ranges by itself. Only the parts of records that
+    go beyond a range (`opens`: there are some) meet, by the range where they began.
     """
-    lines = _lines(spark, path)
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy("file", "block").orderBy("nth")
     # one row per byte range
-    ranges = lines.groupBy("file", "block").agg(F.sum("quotes").alias("_q")).select(
-        "file", "block", F.coalesce(F.sum("_q").over(before), F.lit(0)).alias("_before"))
-    opened = (F.col("_before") + F.sum("quotes").over(inside) - F.col("quotes")) % 2 == 0
-    marked = cut_lineage(
-        lines.join(ranges, ["file", "block"]).withColumn("starts", opened)
-        .withColumn("own", F.sum(F.col("starts").cast("long")).over(inside))
-        .withColumn("alone", F.coalesce(F.col("starts") & F.lead("starts").over(inside), F.lit(False)))
-        .select("file", "block", "nth", "value", "starts", "own", "alone"))
-    firsts = marked.groupBy("file", "block").agg(F.sum(F.col("starts").cast("long")).alias("_n")).select(
-        "file", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    numbered = marked.join(firsts, ["file", "block"]).withColumn("number", F.col("_first") + F.col("own"))
-    line = F.struct("block", "nth", "value")
-    joined = (numbered.filter(~F.col("alone")).groupBy("file", "number").agg(F.sort_array(F.collect_list(line)).alias("_lines"))
-              .select("number", F.array_join(F.col("_lines.value"), "\n").alias("record")))
-    records = numbered.filter("alone").select("number", F.col("value").alias("record")).unionByName(joined)
-    return (records.filter(F.col("number") > 1).select(F.regexp_replace("record", r"\r\z", "").alias("record"))
-            .filter(F.col("record") != ""))
+    lines = _lines(spark, path).join(F.broadcast(ranges.drop("quotes")), ["file", "block"]).select("range", "block", "inside", "owner", "value")
+    schema = "owner long, block long, header boolean, record string"
+    records = lines.mapInArrow(lambda batches: _joined_lines(batches, False), schema).filter("NOT header").select("record")
+    if opens:
+        parts = lines.mapInArrow(lambda batches: _joined_lines(batches, True), schema)
+        records = records.unionByName(
+            parts.groupBy("owner").agg(F.max("header").alias("header"), F.sort_array(F.collect_list(F.struct("block", "record"))).alias("_parts"))
+            .filter("NOT header").select(F.array_join(F.col("_parts.record"), "\n").alias("record")))
+    return records.select(F.regexp_replace("record", r"\r\z", "").alias("record")).filter(F.col("record") != "")
+
+
+def _joined_lines(batches: Iterator[pa.RecordBatch], parts: bool) -> Iterator[pa.RecordBatch]:
+    """The records inside each byte range or, with `parts`, the pieces of those that go beyond it: what ends a record of an
+    earlier range (or goes on with it), and what the last record has of its lines. A range's lines come together, in order."""
+    now, block, owner, inside, ahead = None, 0, None, False, False
+    held: list[pa.Array] = []  # lines of the record that is open
+    first = False  # the next record is the file's header
+
+    def row(of: int | None) -> Iterator[pa.RecordBatch]:
+        nonlocal first
+        text = "\n".join(line for lines in held for line in lines.to_pylist())
+        header, first = first and not ahead, first and ahead
+        held.clear()
+        if (of is not None) == parts:
+            yield pa.RecordBatch.from_arrays([pa.array([of], pa.int64()), pa.array([block], pa.int64()), pa.array([header]), pa.array([text])], names=names)
+
+    names = ["owner", "block", "header", "record"]
+    for batch in batches:
+        numbers = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), numbers.size]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a == b:
+                continue
+            if numbers[a] != now:
+                if held:
+                    yield from row(owner if ahead else now)
+                now, block, inside, owner = int(numbers[a]), batch.column(1)[a].as_py(), batch.column(2)[a].as_py(), batch.column(3)[a].as_py()
+                ahead, first = inside, block == 0
+            lines = batch.column(4).slice(a, b - a)
+            after = (np.cumsum(pc.count_substring(lines, '"').to_numpy()) + inside) & 1
+            starts = np.flatnonzero(np.concatenate([[int(inside)], after[:-1]]) == 0)
+            inside = bool(after[-1])
+            begin = int(starts[0]) if starts.size else b - a
+            if begin:
+                held.append(lines.slice(0, begin))
+                if starts.size or not inside:
+                    yield from row(owner if ahead else None)
+                    ahead = False
+            if not starts.size:
+                continue
+            ends = np.append(starts[1:], b - a)
+            if inside:
+                held.append(lines.slice(int(starts[-1])))
+                starts, ends = starts[:-1], ends[:-1]
+            if starts.size and not parts:
+                offsets = pa.array(np.append(starts, ends[-1]).astype(np.int32))
+                texts = pc.binary_join(pa.ListArray.from_arrays(offsets, pa.concat_arrays([lines])), "\n")
+                header = np.zeros(starts.size, bool)
+                header[0] = first
+                yield pa.RecordBatch.from_arrays([pa.nulls(starts.size, pa.int64()), pa.array(np.full(starts.size, block)), pa.array(header), texts], names=names)
+            first = first and not starts.size
+    if held:
+        yield from row(owner if ahead else now)
 
 
 def write_ledger_csv(raw: DataFrame, path: str) -> None:

@@ -74,3 +74,25 @@ def test_files_without_breaks_and_broken_files(spark, tmp_path, ranges):
     assert frame.count() == 400
     assert [r.merchant for r in files.read_ledger_csv(spark, [str(broken)]).collect()] == ['5" nail']
     assert files.read_ledger_csv(spark, [str(empty)]).count() == 0
+
+
+def test_lines_are_joined_inside_their_range(spark, tmp_path, ranges, monkeypatch):
+    """What is written on the way has a row per byte range, not per line; a header may hold line breaks too."""
+    path = tmp_path / "ledger.csv"
+    path.write_bytes(text_of(5, 900).replace("extra,", '"ex\ntra",', 1).encode())
+    written = []
+    monkeypatch.setattr(files, "cut_lineage", lambda df, cut=files.cut_lineage: (written.append(cut(df)), written[-1])[1])
+    whole = spark.read.options(**files.CSV_OPTIONS).option("multiLine", "true").csv(str(path))
+    got = files._split_csv(spark, str(path), whole)
+    assert Counter(tuple(r) for r in got.collect()) == Counter(tuple(r) for r in whole.collect())
+    n = files._lines(spark, str(path)).select("file", "block").distinct().count()
+    assert n > 10 and [w.count() for w in written] == [n]
+
+
+def test_a_long_header_over_many_ranges(spark, tmp_path, ranges):
+    path = tmp_path / "long.csv"
+    name = "x\n" * 6000
+    path.write_text(f'"{name}",' + ",".join(LEDGER_COLUMNS) + '\ne,t1,1,2026-01-01,1.00,"a\nb",dining,false\n')
+    ranges_of = files._ranges(spark, str(path))
+    assert ranges_of.count() > 2
+    assert [r.record for r in files.quoted_records(spark, str(path), ranges_of).collect()] == ['e,t1,1,2026-01-01,1.00,"a\nb",dining,false']
