@@ -33,6 +33,7 @@ BEHAVIOUR_FEATURES = [
 MIN_TRANSACTIONS = 5
 SPEND_TO_INCOME_CAP = 3.0
 QUANTILE_ROWS = 100_000
+KEY_ROWS = 500_000
 FRIDAY = 4  # weekday(): Monday = 0; the monthly weekend is Friday..Sunday
 
 
@@ -54,14 +55,25 @@ def category_totals(facts: DataFrame) -> DataFrame:
         F.sum(F.col("amount") * F.col("n")).cast("decimal(22,2)").alias("total"), F.sum("n").alias("txn_count"))
 
 
-def _recurring_spend(spend: DataFrame, as_of: int | None = None) -> DataFrame:
+def key_tasks(rows: DataFrame) -> int:
+    """How many tasks share the rows of a written table by E1 key: KEY_ROWS each, whatever the session's number of partitions."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // KEY_ROWS))
+
+
+def _recurring_spend(spend: DataFrame, as_of: int | None = None, tasks: int | None = None) -> DataFrame:
     """Discretionary spend on E1-recurring keys per (account, month): E1's rule on sums by key and month, then the sums of
     the keys that qualify. With `as_of` a month takes the verdict of itself and the as_of - 1 months before it: the sums
-    slide along the key's months. No ledger row is joined with a verdict."""
+    slide along the key's months. No ledger row is joined with a verdict.
+
+    The narrow rows move once, to their key's task: few share a key and month, so partial sums would be as many and wider,
+    and the sums would move again to their key. Rows that come with `amount_key` are where a join by key left them."""
     from kontor.operators.recurring import KEY, MEAN_FLOOR, MIN_MONTHS, REL_TOLERANCE
     amt, n = F.col("amount").cast("double"), F.col("n")
     named = " AND ".join(f"{c} IS NOT NULL" for c in KEY)
-    parts = (spend.withColumn("amount_key", F.bround("amount", 0)).filter(named).groupBy(*KEY, "month")
+    if "amount_key" not in spend.columns:
+        spend = (spend.withColumn("amount_key", F.bround("amount", 0)).filter(named)
+                 .select(*KEY, "month", "amount", "n", "disc").repartition(*([tasks] if tasks else []), *KEY))
+    parts = (spend.groupBy(*KEY, "month")
              .agg(F.sum("n").alias("_n"), F.sum(amt * n).alias("_x"), F.sum(amt * amt * n).alias("_xx"),
                   F.sum(F.when(F.col("disc"), F.col("amount") * n)).alias("_d")))
     ordinal = F.year("month") * 12 + F.month("month")
@@ -125,7 +137,7 @@ def features_from_facts(facts: DataFrame, min_transactions: int = MIN_TRANSACTIO
 
     With an `is_recurring` column (E1 already applied) the recurring spend is a conditional sum; without it E1 is computed
     from the facts, over all months or, with `as_of`, over that many months up to each month. Where `facts` hold some
-    months only, `kin` has the rows of their E1 keys over all months.
+    months only, `kin` has the rows of their E1 keys over all months, with `amount_key`.
     """
     key = ["account_id", "month"]
     canon = lambda df: (df.withColumn("category", F.col("canon"))
@@ -146,7 +158,9 @@ def features_from_facts(facts: DataFrame, min_transactions: int = MIN_TRANSACTIO
         .groupBy(*key).agg(F.count(F.lit(1)).alias("_merchants"))
     g = g.join(shops, key, "left").join(_quantiles(rows.filter("disc"), g, (0.25, 0.5, 0.75), quantile_rows), key)
     if not has_flag:
-        g = g.join(_recurring_spend((rows if kin is None else canon(kin)).filter(spend), as_of), key, "left").withColumn("_recurring", F.coalesce("_recurring", F.lit(0.0)))
+        recurring = (_recurring_spend(rows.filter(spend), as_of, key_tasks(facts)) if kin is None
+                     else _recurring_spend(canon(kin).filter(spend), as_of))
+        g = g.join(recurring, key, "left").withColumn("_recurring", F.coalesce("_recurring", F.lit(0.0)))
     median = F.col("_q1")
     feats = [
         F.col("_n").cast("double").alias("txn_count"),

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kontor.operators import advice, clusters, reports
-from kontor.operators.monthly import category_totals, features_from_facts, month_facts
+from kontor.operators.monthly import category_totals, features_from_facts, key_tasks, month_facts
 from kontor.operators.recurring import KEY
 from kontor.session import cut_lineage
 
@@ -60,16 +60,17 @@ def changed_rows(before: DataFrame, after: DataFrame, ids: DataFrame) -> DataFra
     return old.exceptAll(new.select(*old.columns)).unionByName(new.exceptAll(old.select(*new.columns)))
 
 
-def reached_months(ledger: DataFrame, changed: DataFrame, as_of: int | None = None, rescored: DataFrame | None = None) -> DataFrame:
+def reached_months(ledger: DataFrame, changed: DataFrame, as_of: int | None = None, rescored: DataFrame | None = None,
+                   facts: DataFrame | None = None) -> DataFrame:
     """The (account_id, month) that changes reach, each once. ledger: after the change; changed: see `changed_rows`;
-    rescored: rows (account_id, month) whose scores changed."""
-    delta = month_facts(changed)
+    rescored: rows (account_id, month) whose scores changed; facts: the ledger's `month_facts`, if they are written."""
+    delta = cut_lineage(month_facts(changed))  # its size is known, so that the ledger stays where it is if it is small
     own = delta.select(*MONTH).distinct()
     reached = own.unionByName(own.select("account_id", F.add_months("month", 1).alias("month")))
     if rescored is not None:
         reached = reached.unionByName(rescored.select(*MONTH))
     # each key and month once on either side, so that a key with many rows is few pairs
-    rows = _keyed(month_facts(ledger)).select(*KEY, "month")
+    rows = _keyed(month_facts(ledger) if facts is None else facts).select(*KEY, "month")
     moved = _keyed(delta).select(*KEY, F.col("month").alias("_from")).distinct()
     if as_of is None:
         kin = rows.join(moved.drop("_from").distinct(), KEY, "left_semi")
@@ -79,14 +80,17 @@ def reached_months(ledger: DataFrame, changed: DataFrame, as_of: int | None = No
     return reached.unionByName(kin.select(*MONTH)).distinct()
 
 
-def reached_inputs(ledger: DataFrame, reached: DataFrame, flagged: DataFrame, model: ArchetypeModel, as_of: int | None = None) -> DataFrame:
+def reached_inputs(ledger: DataFrame, reached: DataFrame, flagged: DataFrame, model: ArchetypeModel, as_of: int | None = None,
+                   facts: DataFrame | None = None) -> DataFrame:
     """L1's rows of the reached months, as a full recompute gives them; months without rows have none.
-    reached: written `reached_months`; flagged: as in `advice_inputs`, of any months."""
-    facts = month_facts(ledger)
+    reached: written `reached_months`; flagged: as in `advice_inputs`, of any months; facts: as in `reached_months`."""
+    facts = month_facts(ledger) if facts is None else facts
     near = reached.unionByName(reached.select("account_id", F.add_months("month", -1).alias("month"))).distinct()
     around = cut_lineage(_among(facts, near, MONTH))
-    here = cut_lineage(_among(around, reached, MONTH))
-    kin = cut_lineage(_keyed(facts).join(_keyed(here).select(*KEY).distinct(), KEY, "left_semi").drop("amount_key"))
+    here = _among(around, reached, MONTH)
+    tasks = key_tasks(facts)
+    kin = (_keyed(facts).select(*KEY, "month", "amount", "n", "canon", "is_inflow").repartition(tasks, *KEY)
+           .join(_keyed(here).select(*KEY).repartition(tasks, *KEY).distinct(), KEY, "left_semi"))
     features = cut_lineage(features_from_facts(here, as_of=as_of, kin=kin))
     totals = cut_lineage(category_totals(around))
     own = _among(totals, reached, MONTH)

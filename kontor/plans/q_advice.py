@@ -43,7 +43,7 @@ def _fixed_description(cluster: int) -> str:
 
 
 def inputs_catalogue(spark, sf):
-    raw = catalogue(spark, sf)
+    raw = cut_lineage(catalogue(spark, sf))  # the facts and the scores below are read from it
     facts = cut_lineage(month_facts(raw))  # F and every D report below ride on this one table
     feats = cut_lineage(features_from_facts(facts))
     totals = cut_lineage(category_totals(facts))
@@ -311,14 +311,15 @@ SELECT {KEY_OUT}, {ENOUGH} AS has_enough_data, sha256(concat_ws('|', {', '.join(
 FROM inputs SEMI JOIN reached USING (account_id, month)""")
 def q_advice_refresh_reached(spark, sf):
     """The months that the arrived rows reach, recomputed from their own rows; the twin recomputes everything."""
-    raw = catalogue(spark, sf)
-    reached = cut_lineage(refresh.reached_months(raw, raw.filter(ARRIVED)))
+    raw = cut_lineage(catalogue(spark, sf))  # a stored ledger: its joins run once
+    facts = cut_lineage(month_facts(raw))
+    reached = cut_lineage(refresh.reached_months(raw, raw.filter(ARRIVED), facts=facts))
     cents = _fixed(spark)
     # the stored scaler
-    stats = cut_lineage(H.fit_scaler(features_from_facts(cut_lineage(month_facts(raw)))))
+    stats = cut_lineage(H.fit_scaler(features_from_facts(facts)))
     model = refresh.ArchetypeModel(stats, cents, H.name_clusters(cents))
     flagged = hash_scores(raw).filter("is_anomaly").withColumn("month", month_of("posted_date"))
-    inputs = refresh.reached_inputs(raw, reached, flagged, model)
+    inputs = refresh.reached_inputs(raw, reached, flagged, model, facts=facts)
     return flat(L.inputs_hash(L.has_enough_data(inputs)).select("account_id", "month", "has_enough_data", "inputs_hash"))
 
 

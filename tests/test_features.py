@@ -221,3 +221,13 @@ def test_large_account_months_take_scanned_quantiles(ledger):
     facts = cut_lineage(month_facts(normalise_ledger(ledger(rows))))
     got = [sorted(map(tuple, features_from_facts(facts, quantile_rows=limit).collect())) for limit in (10**6, 30, 0)]
     assert len(got[0]) == 3 and got[0] == got[1] == got[2]
+
+
+def test_recurring_spend_moves_rows_once(spark, ledger):
+    """E1's sums by key and month and its verdicts by key share one exchange; the last one is by account and month."""
+    from kontor.operators.monthly import _recurring_spend, month_facts
+    facts = month_facts(normalise_ledger(ledger([(f"2026-0{m}-03", 15.49, "Netflix", "subscriptions") for m in (1, 2, 3)])))
+    found = _recurring_spend(facts.withColumn("disc", ~F.col("is_inflow")).filter("NOT is_inflow"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 2, plan
+    assert sorted((f"{r.month:%m}", r._recurring) for r in found.collect()) == [("01", 15.49), ("02", 15.49), ("03", 15.49)]

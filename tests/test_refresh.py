@@ -126,3 +126,16 @@ def test_nothing_changed_and_nulls(spark, start):
     assert [(r.account_id, f"{r.month:%m}") for r in reached.orderBy("month").collect()] == [(None, "03"), (None, "04")]
     got = refresh.reached_inputs(before.unionByName(odd), reached, flagged_of(before), model).collect()
     assert [(r.account_id, r.archetype) for r in got] == [(None, None)]
+
+
+@pytest.mark.parametrize("as_of", [None, 3])
+def test_written_facts_stand_for_the_ledger(spark, start, as_of):
+    """With the facts at hand neither step reads the ledger's rows again."""
+    before, model = start
+    facts, changed = cut_lineage(month_facts(before)), before.filter("transaction_id = 't00003'")
+    reached = cut_lineage(refresh.reached_months(before, changed, as_of))
+    unread = before.withColumn("amount", F.raise_error(F.lit("read again")).cast("decimal(12,2)"))
+    assert reached_set(refresh.reached_months(unread, changed, as_of, facts=facts)) == reached_set(reached) != []
+    want = refresh.reached_inputs(before, reached, flagged_of(before), model, as_of)
+    got = refresh.reached_inputs(unread, reached, flagged_of(before), model, as_of, facts=facts)
+    assert hashes(L.inputs_hash(got)) == hashes(L.inputs_hash(want)) != {}
