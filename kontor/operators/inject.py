@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kontor.functions.scan import global_running
 from kontor.operators.causal import spend_only
+from kontor.session import cut_lineage
 
 # Anomaly kinds, fraud merchant names, candidate novel categories.
 ANOMALY_KINDS = ["amount_spike", "novel_category_splurge", "card_testing_burst"]
@@ -115,7 +116,8 @@ def inject_anomalies(spend: DataFrame, n_per_kind: int = 8, seed: int = 7) -> Da
                         "pending", "is_inflow", "month",
                         F.lit(False).alias("is_injected_anomaly"),
                         F.lit(None).cast("string").alias("anomaly_kind"))
-    return base.unionByName(injected)
+    # a handful of rows behind many joins: written, as features read their input twice
+    return base.unionByName(cut_lineage(injected))
 
 
 def prepare_eval_set(ledger: DataFrame, splits: DataFrame, which: str, inject: bool,

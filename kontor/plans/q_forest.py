@@ -37,8 +37,8 @@ def q_iforest_score(spark, sf):
 
 @query("score_transactions")
 def q_score_transactions(spark, sf):
-    led = normalised(events(spark, sf))
-    model = P.fit_forest(led)
+    led = P.scorable(normalised(events(spark, sf)))
+    model = P.fit_forest(led, P.split_of(led))
     out = P.anomaly_scan(led, model, f"iforest-c{model.contamination}")
     return out.withColumn("reasons", F.array_join("reasons", "|"))
 

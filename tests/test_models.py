@@ -201,3 +201,44 @@ def test_explain_flags(spark):
                     "This spending category is unusual for this account"]
     assert r[1] == ["Unusual combination of amount, timing and merchant history"]
     assert r[2] == []
+
+
+def test_forest_walk_equals_recursion_over_the_nodes():
+    """Trees of any shape, values at thresholds and NaN (which go right) give the paths of a plain walk."""
+    import numpy as np
+    import pandas as pd
+    from kontor.operators import iforest as IF
+    x = np.round(np.random.default_rng(3).gamma(1, 5, (IF.CACHED_ROWS + 50, 4)))
+    x[::11, 1] = np.nan
+    rows = [r for t in range(6) for r in IF._build_tree(t, np.nan_to_num(x[t * 40:t * 40 + (1 if t == 5 else 32)]), 5, 9)]
+    pdf = pd.DataFrame(rows, columns=IF.NODE_SCHEMA.fieldNames())
+    nodes = {(r.tree, r.node): r for r in pdf.itertuples()}
+
+    def path(tree, v, n=0):
+        r = nodes[tree, n]
+        return r.depth + float(IF.average_path_length([r.size])[0]) if r.leaf else path(tree, v, r.left if v[r.feature] <= r.threshold else r.right)
+
+    forest = IF.ForestArrays(pdf, 32)
+    at = [*range(60), *range(IF.CACHED_ROWS - 5, IF.CACHED_ROWS + 50)]
+    want = [2 ** (-np.mean([path(t, x[i]) for t in range(6)]) / forest.norm) for i in at]
+    assert np.allclose(forest.score(x)[at], want, rtol=1e-12, atol=0)
+    assert not hasattr(forest, "left")  # children by place: one comparison a step, no look-ups of nodes
+
+
+def test_fit_reads_its_ledger_once(spark):
+    import datetime as dt
+    from decimal import Decimal
+    from kontor.operators.ledger import normalise_ledger
+    from kontor.plans import flows
+    rows = [(f"t{a}-{i}", a, dt.date(2026, 1, 1) + dt.timedelta(days=i % 28), Decimal(5 + (i * a) % 40), f"m{i % 5}", "dining", False)
+            for a in range(10) for i in range(45)]
+    raw = spark.createDataFrame(rows, "transaction_id string, account_id long, posted_date date, amount decimal(12,2), merchant string, category string, pending boolean")
+    seen = spark.sparkContext.accumulator(0)
+
+    def touch(merchant: str) -> str:
+        seen.add(1)
+        return merchant
+
+    from pyspark.sql import functions as F
+    model = flows.fit_forest(normalise_ledger(raw.withColumn("merchant", F.udf(touch, "string")("merchant"))))
+    assert model.psi > 0 and seen.value == len(rows)
