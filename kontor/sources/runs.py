@@ -20,10 +20,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kontor.session import cut_lineage
+
 GROWTH = 4
+TASK_ROWS = 1_000_000
 ATTEMPTS = 20
 
 
+def by_rows(rows: DataFrame, n: int, keys: list[str]) -> DataFrame:
+    """`n` rows dealt by key to tasks of about TASK_ROWS each, so that a task's memory does not follow the size of the input;
+    as they are where one task can hold them."""
+    return rows if n <= TASK_ROWS else rows.repartition(-(-n // TASK_ROWS), *keys)
+
+
 class Conflict(RuntimeError):
     """Another writer committed first."""
 
@@ -97,12 +106,14 @@ class RunTable:
         _, runs = self.state()
         oldest = self._entries(runs[:1])
         if len(runs) < 2:
-            return self.fold(oldest, True) if runs else oldest.drop("_seq")
+            return self.fold(by_rows(oldest, runs[0]["rows"], self.keys), True) if runs else oldest.drop("_seq")
         newer = self._entries(runs[1:])
         keys = newer.select(*self.keys).distinct()
         same = lambda df: [df[k].eqNullSafe(keys[k]) for k in self.keys]
         touched = oldest.join(keys, same(oldest), "left_semi")
-        return oldest.join(keys, same(oldest), "left_anti").drop("_seq").unionByName(self.fold(touched.unionByName(newer), True))
+        # a newer run's row meets at most one row of the oldest
+        met = by_rows(touched.unionByName(newer), 2 * sum(run["rows"] for run in runs[1:]), self.keys)
+        return oldest.join(keys, same(oldest), "left_anti").drop("_seq").unionByName(self.fold(met, True))
 
     def commit(self, entries: DataFrame, sync: str | None = None) -> int:
         """Add the entries (one per key) as a commit; how many rows were written, merged runs included."""
@@ -120,7 +131,7 @@ class RunTable:
             new = [{"path": own, "rows": n, "seq": number + 1}]
             merged = new
             if keep < len(runs):
-                path, rows = self._write(self.fold(self._entries(runs[keep:] + new), keep == 0))
+                path, rows = self._write(self.fold(by_rows(self._entries(runs[keep:] + new), rows, self.keys), keep == 0))
                 merged, written = [{"path": path, "rows": rows, "seq": number + 1}], written + rows
             try:
                 self._swap(number + 1, runs[:keep] + merged, sync)
@@ -131,9 +142,11 @@ class RunTable:
 
     def _write(self, rows: DataFrame) -> tuple[str, int]:
         path = f"data/{uuid.uuid4().hex}"
-        (rows.select(*self.schema.fieldNames()).repartitionByRange(*self.keys).sortWithinPartitions(*self.keys)
+        staged = cut_lineage(rows.select(*self.schema.fieldNames()))  # its rows are counted and sampled before they are sorted
+        n = staged.count()
+        (staged.repartitionByRange(*([-(-n // TASK_ROWS)] if n > TASK_ROWS else []), *self.keys).sortWithinPartitions(*self.keys)
          .write.parquet(f"{self.path}/{path}"))
-        return path, self.spark.read.schema(self.schema).parquet(f"{self.path}/{path}").count()
+        return path, n
 
     def vacuum(self) -> int:
         """Delete runs that the last manifest doesn't name; how many went. Not while others read or write."""

@@ -15,10 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kontor.functions.categories import canonical_category, is_inflow
-from kontor.session import cut_lineage
-from kontor.sources.runs import RunTable, summed
+from kontor.sources.runs import RunTable, by_rows, summed
 from kontor.sources.tables import table
-from kontor.streaming.sync import FILES, read_or_empty
+from kontor.streaming.sync import FILES, read_or_empty, unapplied
 
 KEYS = ["account_id", "merchant", "day"]
 COUNTS = "account_id long, merchant string, day date, merchant_txns_same_day long"
@@ -68,11 +67,11 @@ def run_burst_counts(spark: SparkSession, sf_dir: str, out_dir: str, checkpoint:
 
     def land(batch: DataFrame, batch_id: int) -> None:
         done = read_or_empty(spark, f"{out_dir}/files", FILES).join(counts.committed(), "sync", "left_semi")
-        new = cut_lineage(batch.join(done, "file", "left_anti"))
+        new = unapplied(batch, done)
         if not new.isEmpty():
             name = uuid.uuid4().hex
             new.select("file", F.lit(name).alias("sync")).distinct().write.mode("append").parquet(f"{out_dir}/files")
-            counts.commit(burst_counts(new), name)
+            counts.commit(burst_counts(by_rows(new, new.count(), ["account_id", "merchant"])), name)
 
     stream = ledger_stream(events_stream(spark, sf_dir, files_per_batch))
     q = (stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)

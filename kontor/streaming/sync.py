@@ -114,6 +114,14 @@ def synced_accounts(spark: SparkSession, ledger_dir: str, accounts: DataFrame) -
             .select(*accounts.columns))
 
 
+def unapplied(batch: DataFrame, applied: DataFrame) -> DataFrame:
+    """The rows of a micro-batch, written, without those of files in `applied`. Only names of the batch's own files are compared,
+    and broadcast: joined by file, all rows of one file would meet in one task."""
+    landed = cut_lineage(batch)
+    known = cut_lineage(applied.select("file").join(landed.select("file").distinct(), "file", "left_semi").distinct())
+    return landed.join(F.broadcast(known), "file", "left_anti")
+
+
 def apply_files(spark: SparkSession, ledger_dir: str, batch: DataFrame, accounts: DataFrame, base: DataFrame | None = None) -> int:
     """One sync: FEED_SCHEMA rows with the `file` that each came from; rows of applied files are left out.
     How many rows were written to the ledger."""
@@ -121,7 +129,7 @@ def apply_files(spark: SparkSession, ledger_dir: str, batch: DataFrame, accounts
     written = 0
     if not table.state()[0] and base is not None:
         written += table.commit(base.select(*LEDGER_COLUMNS).withColumns({"reset": F.lit(False), "gone": F.lit(False)}))
-    changes = cut_lineage(batch.join(applied_files(spark, ledger_dir), "file", "left_anti"))
+    changes = unapplied(batch, applied_files(spark, ledger_dir))
     if changes.isEmpty():
         return written
     name = uuid.uuid4().hex

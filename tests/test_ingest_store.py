@@ -338,3 +338,31 @@ def test_match_scores_by_id_not_position(spark):
     assert {r.transaction_id: r.label for r in matched.collect()} == {"a": "NORMAL", "b": "ANOMALY"}
     assert [r.transaction_id for r in unknown.collect()] == ["zz"]
     assert F is not None
+
+
+def test_files_are_compared_by_name_without_moving_rows(spark):
+    """One file's rows stay in the tasks that read them, whatever the planner knows about the applied files."""
+    from kontor.streaming.sync import unapplied
+    batch = spark.range(0, 1000, 1, 4).selectExpr("id", "concat('f', id % 3) AS file")
+    applied = spark.createDataFrame([("f1", "s"), ("f1", "t"), ("elsewhere", "s")], "file string, sync string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        new = unapplied(batch, applied)
+        assert "hashpartitioning" not in new._jdf.queryExecution().executedPlan().toString()
+        assert new.count() == 667 and {r.file for r in new.select("file").distinct().collect()} == {"f0", "f2"}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tasks_follow_the_rows(spark, tmp_path, monkeypatch):
+    """Sorting, folding and counting take as many tasks as there are rows for, not the session's number of partitions."""
+    import os
+    from kontor.sources import runs
+    monkeypatch.setattr(runs, "TASK_ROWS", 10)
+    table = runs.RunTable(spark, str(tmp_path / "t"), "k long, n long", ["k"], runs.summed(["k"], "n"))
+    table.commit(spark.range(200).selectExpr("id AS k", "1L AS n"))
+    table.commit(spark.range(190, 205).selectExpr("id AS k", "2L AS n"))
+    folder = f"{tmp_path}/t/{table.state()[1][0]['path']}"
+    assert len([f for f in os.listdir(folder) if f.endswith(".parquet")]) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert runs.by_rows(spark.range(25), 25, ["id"]).rdd.getNumPartitions() == 3
+    assert {r.k: r.n for r in table.read().collect()} == {k: (k < 200) + 2 * (k >= 190) for k in range(205)}
