@@ -1,8 +1,8 @@
 """Statistics of all earlier rows of an account, its categories and merchants, before each row.
 
 Rows are put in blocks that one task reads in order: whole accounts together in hashed blocks, and an account of more than
-a block's rows (`hot`) in consecutive blocks of a range sort. Inside a block every row updates running states; a hot account's
-block starts from what the blocks before it leave behind (its carry):
+a block's rows (`hot`) in consecutive blocks of a range sort. Inside a block counts and sums are running sums over arrays, and only
+medians take a step for each row; a hot account's block starts from what the blocks before it leave behind (its carry):
 
 * row counts, sums and sums of squares in cents (exact decimals), the last date, and counts of days that reach into
   other blocks, by block-wise aggregates and running sums over them;
@@ -15,8 +15,9 @@ Work is n log n for rows in all; counts by chunk and block are the square of an
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections import Counter
+from bisect import insort
 from heapq import heapify, heappush, heappushpop
 
 import numpy as np
@@ -31,112 +32,182 @@ from kontor.session import cut_lineage
 BLOCK_ROWS = 200_000
 MOST_HOT = 100_000  # more accounts than that over a block's rows: blocks grow
 SALTS = 8
+SORTED_ROWS = 4096  # so many values are kept as one sorted list for their median; two heaps beyond
+EXACT = 2**62  # sums below fit 64 bits
 
 STATS = ("_c_mean double, _c_std double, _c_med double, _c_cnt long, _a_mean double, _a_std double, _a_med double, _a_cnt long, "
          "_m_cnt long, _prev_date date, _m_day long, _a_day long")
 CARRY = "_pid long, kind string, _key string, name string, day date, n long, s1 decimal(38,0), s2 decimal(38,0), cents long, below long"
 
 
-class Past:
-    """Mean, deviation and median of the values added so far, in cents."""
+class Middle:
+    """The two values around the median of those added so far."""
 
-    __slots__ = ("n", "s1", "s2", "low", "high")
+    __slots__ = ("n", "low", "high")
 
     def __init__(self):
-        self.n = self.s1 = self.s2 = 0
+        self.n = 0
         self.low, self.high = [], []  # halves around the median: a heap of negatives, a heap
 
-    def carried(self, n: int, s1: int, s2: int) -> None:
-        self.n, self.s1, self.s2 = n, s1, s2
-
-    def middle(self, cents: np.ndarray, counts: np.ndarray, below: int, reach: int) -> None:
-        """Values around the median of those carried; `below` are smaller. Only `reach` on each side can be met."""
+    def carried(self, n: int, cents: np.ndarray, counts: np.ndarray, below: int, reach: int) -> None:
+        """n values before, of them those around their median; `below` are smaller. Only `reach` on each side can be met."""
         order = np.argsort(cents)
         cents, counts = cents[order], counts[order]
         end = below + np.cumsum(counts)
-        half = (self.n + 1) // 2
+        half = (n + 1) // 2
 
         def between(a: int, b: int) -> list[int]:
             return np.repeat(cents, np.maximum(np.minimum(end, b) - np.maximum(end - counts, a), 0)).tolist()
 
-        self.low, self.high = [-x for x in between(half - reach, half)], between(half, half + reach)
+        self.n, self.low, self.high = n, [-x for x in between(half - reach, half)], between(half, half + reach)
         heapify(self.low)
         heapify(self.high)
 
-    def look(self) -> tuple[float | None, float | None, float | None]:
-        n = self.n
-        if not n:
-            return None, None, None
-        median = -self.low[0] / 100
-        if not n & 1:  # interpolated as SQL's quantiles are
-            median += (self.high[0] / 100 - median) * 0.5
-        spread = math.sqrt((n * self.s2 - self.s1 * self.s1) / (n * (n - 1))) / 100 if n > 1 else None
-        return self.s1 / 100 / n, spread, median
-
-    def add(self, x: int) -> None:
-        if self.n & 1:
-            heappush(self.high, -heappushpop(self.low, -x))
-        else:
-            heappush(self.low, -heappushpop(self.high, x))
-        self.n += 1
-        self.s1 += x
-        self.s2 += x * x
-
-
-def _states(carry: pa.Table, keys: list, names: list) -> tuple[dict, dict, dict, Counter, Counter]:
-    """Running states at a block's start: by account, category, merchant (counts) and days' counts elsewhere."""
-    accounts, categories, merchants, last = {}, {}, Counter(), {}
-    days: tuple[Counter, Counter] = (Counter(), Counter())
-    sizes, parts = (Counter(keys), Counter(zip(keys, names, strict=True))), {}
-    for r in carry.to_pylist():
-        key, name, kind = r["_key"], r["name"], r["kind"]
-        if kind == "a":
-            accounts.setdefault(key, Past()).carried(r["n"], int(r["s1"]), int(r["s2"]))
-            last[key] = r["day"]
-        elif kind == "c":
-            categories.setdefault((key, name), Past()).carried(r["n"], int(r["s1"]), int(r["s2"]))
-        elif kind == "m":
-            merchants[key, name] = r["n"]
-        elif kind == "d":
-            days[0][key, r["day"]] = r["n"]
-        elif kind == "md":
-            days[1][key, name, r["day"]] = r["n"]
-        else:
-            parts.setdefault((kind, key, name), []).append((r["cents"], r["n"], r["below"]))
-    for (kind, key, name), values in parts.items():
-        of = np.array(values, np.int64)
-        state, m = (accounts[key], sizes[0][key]) if kind == "av" else (categories[key, name], sizes[1][key, name])
-        state.middle(of[:, 0], of[:, 1], int(of[0, 2]), m + 2)
-    return accounts, categories, merchants, last, days
+    def before(self, values: list[int], low: list[int], high: list[int]) -> None:
+        """Both values before each of `values` is added, 0 where there are none."""
+        for x in values:
+            low.append(-self.low[0] if self.n else 0)
+            high.append(low[-1] if self.n & 1 or not self.n else self.high[0])
+            if self.n & 1:
+                heappush(self.high, -heappushpop(self.low, -x))
+            else:
+                heappush(self.low, -heappushpop(self.high, x))
+            self.n += 1
+
+
+def _middles_before(values: np.ndarray, starts: np.ndarray, carried: dict[int, Middle]) -> np.ndarray:
+    """For every value the two around the median of those before it in its group; `carried`: groups that begin with values."""
+    low: list[int] = []
+    high: list[int] = []
+    every, bounds = values.tolist(), [*starts.tolist(), values.size]
+    for g, (a, b) in enumerate(itertools.pairwise(bounds)):
+        if g in carried or b - a > SORTED_ROWS:
+            carried.get(g, Middle()).before(every[a:b], low, high)
+            continue
+        seen: list[int] = []
+        for m, x in enumerate(every[a:b]):
+            low.append(seen[(m - 1) >> 1] if m else 0)
+            high.append(seen[m >> 1] if m else 0)
+            insort(seen, x)
+    return np.array([low, high], np.int64)
+
+
+class Groups:
+    """Rows of equal codes in the order they have; `keep`: their first rows' places."""
+
+    def __init__(self, *codes: np.ndarray):
+        code = codes[0].astype(np.int64)
+        for c in codes[1:]:
+            code = np.unique(code, return_inverse=True)[1] * (int(c.max(initial=0)) + 1) + c
+        self.order = np.argsort(code, kind="stable")
+        there = code[self.order]
+        self.starts = np.flatnonzero(np.concatenate([np.ones(min(1, there.size), bool), there[1:] != there[:-1]]))
+        self.sizes = np.diff(np.append(self.starts, there.size))
+        self.of = np.repeat(np.arange(self.starts.size), self.sizes)  # in order, as `place`
+        self.place = np.arange(there.size) - self.starts[self.of]
+        self.first = self.order[self.starts]
+
+    def back(self, ordered: np.ndarray) -> np.ndarray:
+        """Values in the groups' order, by row."""
+        out = np.empty_like(ordered)
+        out[self.order] = ordered
+        return out
+
+    def carried(self, have: dict, names: list[list]) -> np.ndarray:
+        """What `have` holds for each group's names (0: nothing), for its rows in order."""
+        if not have:
+            return np.zeros(self.of.size, np.int64)
+        found = [have.get(tuple(n[i] for n in names), 0) for i in self.first.tolist()]
+        return np.array(found, np.int64 if max(map(abs, found), default=0) < EXACT else object)[self.of]
+
+
+def _moments(groups: Groups, cents: np.ndarray, sums: tuple[dict, dict, dict], middles: dict, names: list[list]) -> tuple:
+    """Mean, deviation, median (NaN: none) and count of the earlier values of a row's group."""
+    n0, s1, s2 = (groups.carried(have, names) for have in sums)
+    x = cents[groups.order]
+    top = int(np.abs(x).max(initial=0))
+    if s2.dtype == object or s1.dtype == object or int(s2.max(initial=0)) + top * top * x.size >= EXACT:
+        x, s1, s2 = x.astype(object), s1.astype(object), s2.astype(object)
+
+    def earlier(values: np.ndarray) -> np.ndarray:
+        upto = np.cumsum(values)
+        return upto - values - (upto - values)[groups.starts][groups.of] if values.size else values
+
+    n, s1, s2 = n0 + groups.place, s1 + earlier(x), s2 + earlier(x * x)
+    mean, spread = np.full(n.size, np.nan), np.full(n.size, np.nan)
+    # doubles hold these whole; the other rows take Python's integers
+    small = (n.astype(float) * s2.astype(float) < 2**52) & (np.abs(s1.astype(float)) < 2**52)
+    some, more = small & (n > 0), small & (n > 1)
+    mean[some] = s1[some].astype(float) / 100 / n[some]
+    k, a, b = n[more], s1[more].astype(np.int64), s2[more].astype(np.int64)
+    spread[more] = np.sqrt((k * b - a * a) / (k * (k - 1))) / 100
+    for i in np.flatnonzero(~small & (n > 0)).tolist():
+        k, a, b = int(n[i]), int(s1[i]), int(s2[i])
+        mean[i] = a / 100 / k
+        if k > 1:
+            spread[i] = math.sqrt((k * b - a * a) / (k * (k - 1))) / 100
+    at = {}
+    if middles:
+        of_names = {tuple(name[i] for name in names): g for g, i in enumerate(groups.first.tolist())}
+        for name, (values, counts, below) in middles.items():
+            if name in of_names:
+                g = of_names[name]
+                at[g] = Middle()
+                at[g].carried(sums[0][name], values, counts, below, int(groups.sizes[g]) + 2)
+    low, high = _middles_before(cents[groups.order], groups.starts, at) / 100
+    median = np.where(n > 0, low + (high - low) * 0.5, np.nan)  # interpolated as SQL's quantiles are
+    return tuple(groups.back(v) for v in (mean, spread, median, n))
+
+
+def _carried(carry: pa.Table | None) -> tuple[dict, dict]:
+    """What a block starts from: by kind and names, the figures (n, s1, s2, day); the values around medians."""
+    figures: dict = {kind: ({}, {}, {}, {}) for kind in ("a", "c", "m", "d", "md")}
+    parts: dict = {"av": {}, "cv": {}}
+    for r in carry.to_pylist() if carry is not None else []:
+        kind, key = r["kind"], (r["_key"], r["name"])
+        if kind in parts:
+            parts[kind].setdefault(key if kind == "cv" else key[:1], []).append((r["cents"], r["n"], r["below"]))
+            continue
+        name = {"a": key[:1], "d": (r["_key"], r["day"]), "md": (*key, r["day"])}.get(kind, key)
+        for have, value in zip(figures[kind], (r["n"], r["s1"], r["s2"], r["day"]), strict=True):
+            have[name] = value if have is figures[kind][3] else int(value or 0)
+    middles = {kind: {name: (of[:, 0], of[:, 1], int(of[0, 2])) for name, values in names.items() for of in [np.array(values, np.int64)]}
+               for kind, names in parts.items()}
+    return figures, middles
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Small numbers for equal values; null is one of them."""
+    whole = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    return whole.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def block_stats(rows: pa.Table, carry: pa.Table | None = None) -> pa.Table:
     """The rows of one block in order, with STATS."""
     rows = rows.sort_by([("_key", "ascending"), ("_day", "ascending"), ("transaction_id", "ascending")])
-    keys, cats, shops = (rows.column(c).to_pylist() for c in ("_key", "category", "merchant"))
-    dates, cents = rows.column("posted_date").to_pylist(), rows.column("_cents").to_pylist()
-    accounts, categories, merchants, last, elsewhere = _states(carry if carry is not None else pa.table({"_key": []}), keys, cats)
-    in_day, in_shop_day = Counter(zip(keys, dates, strict=True)), Counter(zip(keys, shops, dates, strict=True))
-    in_day.update(elsewhere[0])
-    in_shop_day.update(elsewhere[1])
-    out = []
-    for key, category, shop, date, x in zip(keys, cats, shops, dates, cents, strict=True):
-        account = accounts.get(key)
-        if account is None:
-            account = accounts[key] = Past()
-        own = categories.get((key, category))
-        if own is None:
-            own = categories[key, category] = Past()
-        out.append((*own.look(), own.n, *account.look(), account.n, merchants[key, shop], last.get(key),
-                    in_shop_day[key, shop, date], in_day[key, date]))
-        own.add(x)
-        account.add(x)
-        merchants[key, shop] += 1
-        last[key] = date
-    names = [p.split()[0] for p in STATS.split(", ")]
-    types = [pa.float64()] * 3 + [pa.int64()] + [pa.float64()] * 3 + [pa.int64()] * 2 + [pa.date32()] + [pa.int64()] * 2
-    for name, kind, values in zip(names, types, zip(*out, strict=True) if out else [[]] * len(names), strict=True):
-        rows = rows.append_column(name, pa.array(values, kind))
+    figures, middles = _carried(carry)
+    key, category, shop, day = (_codes(rows.column(c)) for c in ("_key", "category", "merchant", "_day"))
+    names = {c: rows.column(c).to_pylist() for c in ("_key", "category", "merchant", "posted_date")} if carry is not None else {}
+    of = lambda *columns: [names[c] for c in columns] if names else []
+    cents = rows.column("_cents").to_numpy()
+    accounts, own, shops = Groups(key), Groups(key, category), Groups(key, shop)
+    days, shop_days = Groups(key, day), Groups(key, shop, day)
+    out = [*_moments(own, cents, figures["c"][:3], middles["cv"], of("_key", "category")),
+           *_moments(accounts, cents, figures["a"][:3], middles["av"], of("_key")),
+           shops.back(shops.place + shops.carried(figures["m"][0], of("_key", "merchant")))]
+    # the date of the row before; an account's first row takes what is carried
+    dates = rows.column("posted_date")
+    last = [figures["a"][3].get((names["_key"][i],)) if names else None for i in accounts.first.tolist()]
+    pool = pa.concat_arrays([*dates.chunks, pa.array(last, dates.type)])
+    at = accounts.back(np.where(accounts.place > 0, np.concatenate([[0], accounts.order[:-1]])[:accounts.order.size], len(dates) + accounts.of))
+    out += [pool.take(pa.array(at)).cast(pa.date32()),
+            shop_days.back(shop_days.sizes[shop_days.of] + shop_days.carried(figures["md"][0], of("_key", "merchant", "posted_date"))),
+            days.back(days.sizes[days.of] + days.carried(figures["d"][0], of("_key", "posted_date")))]
+    fields = [p.split() for p in STATS.split(", ")]
+    for (name, kind), values in zip(fields, out, strict=True):
+        if kind != "date":
+            values = pa.array(values, pa.float64(), from_pandas=True) if kind == "double" else pa.array(values, pa.int64())
+        rows = rows.append_column(name, values)
     return rows
 
 

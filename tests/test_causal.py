@@ -159,3 +159,34 @@ def test_blocks_are_bounded(spark, monkeypatch):
     sizes = [r["count"] for r in ranged.groupBy("_pid").count().collect()]
     carried = [r["n"] for r in expanding._left_behind(ranged).filter("kind IN ('av')").groupBy("_pid").agg(F.sum("n").alias("n")).collect()]
     assert max(sizes) < 3 * 300 and max(carried) < 4 * max(sizes)
+
+
+def test_blocks_are_read_by_columns():
+    """No Python call for each row, and sums beyond 64 bits stay exact."""
+    import sys
+    import pyarrow as pa
+    rng, n = random.Random(4), 600
+    for top in (9_000, 10**14):
+        days = [rng.choice([None, *range(9)]) for _ in range(n)]
+        keys, cats, cents = [rng.choice(["=1", "=2", ""]) for _ in range(n)], [rng.choice(["a", "b", None]) for _ in range(n)], [rng.randrange(1, top) for _ in range(n)]
+        rows = pa.table({"_key": keys, "transaction_id": [f"{i:04d}" for i in range(n)], "category": pa.array(cats, pa.string()), "merchant": ["m"] * n,
+                         "posted_date": pa.array([None if d is None else dt.date(2026, 1, 1 + d) for d in days], pa.date32()),
+                         "_day": pa.array([-2**31 if d is None else d for d in days], pa.int32()), "_cents": pa.array(cents, pa.int64())})
+        calls = [0]
+        sys.setprofile(lambda frame, event, arg: calls.__setitem__(0, calls[0] + (event == "call" and "expanding" in frame.f_code.co_filename)))
+        try:
+            found = expanding.block_stats(rows).to_pylist()
+        finally:
+            sys.setprofile(None)
+        assert calls[0] < n
+        past = {}
+        for r in found:
+            for mean, spread, median, count, name in (("_c_mean", "_c_std", "_c_med", "_c_cnt", (r["_key"], r["category"])), ("_a_mean", "_a_std", "_a_med", "_a_cnt", r["_key"])):
+                seen = past.setdefault(name, [])
+                assert r[count] == len(seen) and (r[mean] is None) == (not seen) and (r[spread] is None) == (len(seen) < 2)
+                if seen:
+                    assert r[mean] == sum(seen) / 100 / len(seen) and r[median] == pytest.approx(statistics.median(seen) / 100, rel=1e-15)
+                if len(seen) > 1:
+                    whole = len(seen) * sum(x * x for x in seen) - sum(seen) ** 2
+                    assert r[spread] == math.sqrt(whole / (len(seen) * (len(seen) - 1))) / 100
+                seen.append(r["_cents"])
