@@ -118,6 +118,26 @@ def test_encoder_agrees_with_the_tokenizer(tokenizer):
         assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_pieces_that_words_share_are_encoded_once(tokenizer):
+    from tokenizers import Tokenizer
+    whole, own = Tokenizer.from_file(tokenizer), ids.Encoder(tokenizer)
+    text = " ".join(f"{a}{sign}{b}" for a in ("été", "ça", "über", "one") for b in ("deux", "ñandú", "ÿ") for sign in ",.;!")
+    asked = []
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode(self, line, **how):
+            asked.extend(line.split(" "))
+            return self.inner.encode(line, **how)
+
+    own.pieces = Counting(own.pieces)
+    part, = text_slices(pa.array([text]))
+    assert own.encode(part)[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert len(asked) == len(set(asked)) == 4 + 3 + 4
+
+
 def test_store_round_trip(spark, tokenizer, tmp_path):
     rows = [(i * 3 % 400, prose(i, i % 70)) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
