@@ -29,7 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def keyed(docs: DataFrame) -> DataFrame:
     """The documents with a `row_key` for each row, written once: ids may be null or repeat.
     xxhash64 of a single long is a bijection, so keys are distinct, and even in their low bits."""
-    return stored(docs.select(*COLUMNS, F.xxhash64(F.monotonically_increasing_id()).alias("row_key")), "pipeline-rows")
+    return stored(docs.select(*COLUMNS, F.xxhash64(F.monotonically_increasing_id()).alias("row_key")), "pipeline-rows", "zstd")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

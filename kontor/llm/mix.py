@@ -239,16 +239,21 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     that this pass takes of it, in their order and with the white space behind them."""
     placed, rows, _ = mix(docs, **how)
     granules = docs.count() // GRANULE + 1
-    wide = numbered(docs.select(
+    wide = docs.select(
         "doc_id", "source", "text", "lang", F.xxhash64("text").alias("text_hash"),
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(granules)).cast("int").alias("granule")))
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(granules)).cast("int").alias("granule"))
     picks = (placed.groupBy("rank", "granule", "place", "pass")
              .agg(F.array_sort(F.collect_list(F.struct("first", "n"))).alias("parts"))
-             .join(rows.select("rank", "granule", "place", F.col("source").alias("_s")), ["rank", "granule", "place"])
-             .groupBy(F.col("_s"), F.col("granule").alias("_g"), F.col("place").alias("_p"))
+             .join(rows.select("rank", "granule", "place", "source"), ["rank", "granule", "place"])
+             .groupBy("source", "granule", "place")
              .agg(F.collect_list("parts").alias("passes")))
-    whole = wide.join(picks, wide["source"].eqNullSafe(F.col("_s")) & (wide["granule"] == F.col("_g"))
-                      & (wide["place"] == F.col("_p")))
+    # texts and picks move together, once, to the task of their granule: a join by place would move the texts again
+    dealt = (wide.withColumn("picked", F.lit(False))
+             .unionByName(picks.withColumn("picked", F.lit(True)), allowMissingColumns=True).repartition("source", "granule"))
+    order = Window.partitionBy("source", "granule", "picked").orderBy("doc_id", "text_hash")
+    at = Window.partitionBy("source", "granule", "place").orderBy(F.desc("picked")).rowsBetween(Window.unboundedPreceding, 0)
+    whole = (dealt.withColumn("place", F.when(F.col("picked"), F.col("place")).otherwise(F.row_number().over(order)))
+             .withColumn("passes", F.first("passes").over(at)).filter(~F.col("picked") & F.col("passes").isNotNull()))
     spaced = whole.withColumn("words", F.regexp_extract_all("text", F.lit(SPACED_WORD), F.lit(0)))
     texts = F.transform("passes", lambda parts: F.array_join(F.flatten(F.transform(
         parts, lambda p: F.slice(F.col("words"), (p["first"] + 1).cast("int"), p["n"].cast("int")))), ""))

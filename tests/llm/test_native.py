@@ -135,6 +135,26 @@ def test_mixed_documents_hold_the_words_taken(spark):
     assert got == Counter({k: v for k, v in taken.items() if v})
 
 
+def test_mixed_documents_move_their_texts_once(spark):
+    """One exchange above the scan that reads the texts; a granule's rows of several langs keep theirs."""
+    docs = documents(spark, {"a": [120] * 12, "b": [15] * 6, None: [40] * 3})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = mix.mixed_documents(docs.withColumn("lang", F.concat(F.lit("l"), F.col("doc_id").cast("string"))), block=16)
+        lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert all(r.lang == f"l{r.doc_id}" for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    at = next(i for i, line in enumerate(lines) if "Scan" in line and "text#" in line)
+    moves, near = 0, depth[at]
+    for i in range(at - 1, -1, -1):
+        if depth[i] < near:
+            near = depth[i]
+            moves += "Exchange" in lines[i]
+    assert moves == 1
+
+
 def test_mix_edges(spark, edges, clashing, nothing):
     rows = mix.taken(edges).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r["size"]) for r in rows) == sorted(
