@@ -65,9 +65,10 @@ def _category_map() -> Column:
 
 
 def canonical_category(raw: Column | str) -> Column:
-    """Raw label -> canonical label; unknown or null -> 'other'."""
+    """Raw label -> canonical label; unknown or null -> 'other'. No key begins or ends with white space, so a label found
+    as it is needs no stripping: that pattern runs on the others alone."""
     raw = F.col(raw) if isinstance(raw, str) else raw
-    return F.coalesce(F.element_at(_category_map(), strip_lower(raw)), F.lit(UNKNOWN))
+    return F.coalesce(F.element_at(_category_map(), F.lower(raw)), F.element_at(_category_map(), strip_lower(raw)), F.lit(UNKNOWN))
 
 
 def is_inflow(canonical: Column | str) -> Column:

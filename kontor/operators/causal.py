@@ -52,7 +52,8 @@ def transaction_features(ledger: DataFrame, min_history: int = MIN_HISTORY,
 
     `carry` names extra input columns passed through unchanged (labels).
     """
-    stats = expanding(spend_only(ledger), block_rows).withColumn("amount", F.col("amount").cast("double"))
+    rows = spend_only(ledger).select("transaction_id", "account_id", "posted_date", "month", "merchant", "category", "amount", *carry)
+    stats = expanding(rows, block_rows).withColumn("amount", F.col("amount").cast("double"))
     amt = F.col("amount")
     z = F.coalesce(_scaled(amt, F.col("_c_mean"), F.col("_c_std")),
                    _scaled(amt, F.col("_a_mean"), F.col("_a_std")), F.lit(0.0))

@@ -295,14 +295,15 @@ def expanding(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         hot = cut_lineage(counts.filter(F.col("_rows") > block_rows))  # at most MOST_HOT rows
         hot_rows = hot.agg(F.sum("_rows")).first()[0]
         plain = staged.join(F.broadcast(hot.select("_key")), "_key", "left_anti")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in staged.schema.fields)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    own = ["_key", "_cents", "_day", "_pid"]  # the block's columns stay in it
     out = (plain.withColumn("_pid", F.pmod(F.xxhash64("_key"), F.lit(blocks)))
-           .groupBy("_pid").applyInArrow(lambda rows: block_stats(rows), f"{ddl}, _pid long, {STATS}"))
+           .groupBy("_pid").applyInArrow(lambda rows: block_stats(rows).drop_columns(own), f"{ddl}, {STATS}"))
     if any_hot:
         order = ["_key", "_day", "transaction_id"]
         mine = staged.join(F.broadcast(hot.select("_key")), "_key", "left_semi").select(*staged.columns)
         ranged = cut_lineage(mine.repartitionByRange(max(1, -(-hot_rows // block_rows)), *order)
                              .withColumn("_pid", F.spark_partition_id().cast("long")))
         out = out.unionByName(ranged.groupBy("_pid").cogroup(_left_behind(ranged).groupBy("_pid"))
-                              .applyInArrow(lambda rows, carry: block_stats(rows, carry), f"{ddl}, _pid long, {STATS}"))
-    return out.drop("_key", "_cents", "_day", "_pid")
+                              .applyInArrow(lambda rows, carry: block_stats(rows, carry).drop_columns(own), f"{ddl}, {STATS}"))
+    return out

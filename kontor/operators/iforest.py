@@ -254,13 +254,14 @@ def score_transactions(features: DataFrame, nodes: DataFrame, psi: int, threshol
     """Id, score (4 dp), is_anomaly, reasons, model version.
 
     N1 (names) is a schema check; N2 is an assert inside the job, so one
-    non-finite value fails the whole batch (all or nothing).
+    non-finite value fails the whole batch (all or nothing). Features that come with the `anomaly_score` these
+    trees gave them are not scored again.
     """
     from kontor.operators.contracts import assert_finite, feature_contract
     from kontor.operators.explain import explain_flags
     feature_contract(features.select(*names), names)
     checked = assert_finite(features, names)
-    scored = iforest_score(checked, nodes, psi, names)
+    scored = checked if "anomaly_score" in features.columns else iforest_score(checked, nodes, psi, names)
     flagged = scored.withColumn("is_anomaly", F.col("anomaly_score") > F.lit(threshold))
     return (explain_flags(flagged, "is_anomaly")
             .select("transaction_id", "account_id", F.round("anomaly_score", 4).alias("anomaly_score"),

@@ -121,16 +121,27 @@ def inject_anomalies(spend: DataFrame, n_per_kind: int = 8, seed: int = 7) -> Da
 
 
 def prepare_eval_set(ledger: DataFrame, splits: DataFrame, which: str, inject: bool,
-                     seed: int = 7, n_per_kind: int = 8) -> DataFrame:
+                     seed: int = 7, n_per_kind: int = 8, known: DataFrame | None = None) -> DataFrame:
     """Accounts of one split -> spend rows -> inject (optional) -> causal features
-    recomputed on the union, so injected rows shift their account's history."""
+    recomputed on the union, so injected rows shift their account's history.
+
+    `known`: the features of every spend row of the ledger as it is, written. A row's features follow from its own account, so
+    only the accounts that get rows are computed again; of these rows the columns that `known` has beside features are null.
+    """
     from kontor.operators.causal import transaction_features
     acc = splits.filter(F.col("split") == which).select("account_id")
-    subset = ledger.join(acc, "account_id", "left_semi")
-    spend = spend_only(subset)
-    if inject:
-        combined = inject_anomalies(spend, n_per_kind, seed)
-    else:
-        combined = (spend.withColumn("is_injected_anomaly", F.lit(False))
-                    .withColumn("anomaly_kind", F.lit(None).cast("string")))
-    return transaction_features(combined, carry=["is_injected_anomaly", "anomaly_kind"])
+    of_split = lambda df: df.join(acc, "account_id", "left_semi")
+    as_is = lambda df: (df.withColumn("is_injected_anomaly", F.lit(False))
+                        .withColumn("anomaly_kind", F.lit(None).cast("string")))
+    marks = ["is_injected_anomaly", "anomaly_kind"]
+    if known is not None and not inject:
+        return as_is(of_split(known))
+    spend = spend_only(of_split(ledger))
+    combined = inject_anomalies(spend, n_per_kind, seed) if inject else as_is(spend)
+    if known is None:
+        return transaction_features(combined, carry=marks)
+    # one account for each pick at most
+    met = F.broadcast(cut_lineage(combined.filter("is_injected_anomaly").select("account_id").distinct()))
+    anew = transaction_features(combined.join(met, "account_id", "left_semi"), carry=marks)
+    return (as_is(of_split(known).join(met, "account_id", "left_anti"))
+            .unionByName(anew.select(*[c for c in anew.columns if c in known.columns or c in marks]), allowMissingColumns=True))

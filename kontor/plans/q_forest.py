@@ -38,8 +38,8 @@ def q_iforest_score(spark, sf):
 @query("score_transactions")
 def q_score_transactions(spark, sf):
     led = P.scorable(normalised(events(spark, sf)))
-    model = P.fit_forest(led, P.split_of(led))
-    out = P.anomaly_scan(led, model, f"iforest-c{model.contamination}")
+    model, scored = P.fit_and_score(led, P.split_of(led))
+    out = P.anomaly_scan(led, model, f"iforest-c{model.contamination}", scored)
     return out.withColumn("reasons", F.array_join("reasons", "|"))
 
 

@@ -231,3 +231,15 @@ def test_recurring_spend_moves_rows_once(spark, ledger):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") <= 2, plan
     assert sorted((f"{r.month:%m}", r._recurring) for r in found.collect()) == [("01", 15.49), ("02", 15.49), ("03", 15.49)]
+
+
+def test_events_ledger_parses_a_row_once(spark, tmp_path):
+    from kontor.sources.fixtures import events_ledger
+    rows = [(i, f"2024-01-0{1 + i % 9} 10:00:00", i % 3, ("signup", "view", "click", "purchase", "error", "else")[i % 6], 1.5 * i, '{"k": %d}' % i) for i in range(70)]
+    (spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+     .selectExpr("event_id", "cast(ts as timestamp) ts", "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet"))
+    led = events_ledger(spark, str(tmp_path))
+    assert led._jdf.queryExecution().optimizedPlan().toString().count("get_json_object") == 1
+    by = {int(r.transaction_id): r for r in led.collect()}
+    assert [by[i].category for i in (0, 10, 7, 8, 9, 4, 5)] == ["Income", "Rent", "Groceries", "Coffee", "GENERAL_MERCHANDISE", "BANK_FEES", None]
+    assert by[28].amount == -42 and by[4].amount == 6 and by[11].merchant == "m11"

@@ -242,3 +242,41 @@ def test_fit_reads_its_ledger_once(spark):
     from pyspark.sql import functions as F
     model = flows.fit_forest(normalise_ledger(raw.withColumn("merchant", F.udf(touch, "string")("merchant"))))
     assert model.psi > 0 and seen.value == len(rows)
+
+
+def test_scan_computes_and_scores_a_row_once(spark, monkeypatch):
+    import datetime as dt
+    from decimal import Decimal
+    from kontor.operators import causal
+    from kontor.operators import iforest as IF
+    from kontor.operators.ledger import normalise_ledger
+    from kontor.plans import flows
+    rows = [(f"t{a}-{i}", a, dt.date(2026, 1, 1) + dt.timedelta(days=i % 28), Decimal(5 + (i * a) % 41), f"m{i % 5}", ("dining", "travel")[i % 2], False)
+            for a in range(150) for i in range(42)]
+    raw = spark.createDataFrame(rows, "transaction_id string, account_id long, posted_date date, amount decimal(12,2), merchant string, category string, pending boolean")
+    led = flows.scorable(normalise_ledger(raw))
+    splits = flows.split_of(led)
+    apart = flows.fit_forest(led, splits)
+    want = sorted(map(tuple, flows.anomaly_scan(led, apart, "v").collect()))
+    computed, walked = [], []
+    features, score = causal.transaction_features, IF.iforest_score
+
+    def counted(ledger, *args, **kwargs):
+        computed.append(ledger.count())
+        return features(ledger, *args, **kwargs)
+
+    def scored_rows(of, *args, **kwargs):
+        walked.append(of.count())
+        return score(of, *args, **kwargs)
+
+    monkeypatch.setattr(causal, "transaction_features", counted)
+    monkeypatch.setattr(flows, "transaction_features", counted)
+    monkeypatch.setattr(IF, "iforest_score", scored_rows)
+    model, scored = flows.fit_and_score(led, splits)
+    assert (model.threshold, model.contamination) == (apart.threshold, apart.contamination)
+    assert sorted(map(tuple, model.grid.collect())) == sorted(map(tuple, apart.grid.collect()))
+    assert sorted(map(tuple, flows.anomaly_scan(led, model, "v", scored).collect())) == want and len(want) == len(rows)
+    # every row once, and again the validation accounts that got injected rows, with these (8 + 8 + 8 * 4)
+    val = 42 * splits.filter("split = 'val'").count()
+    assert computed == [len(rows), walked[1]] and walked[0] == len(rows)
+    assert 48 < walked[1] < val + 48
