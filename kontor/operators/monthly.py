@@ -61,24 +61,33 @@ def key_tasks(rows: DataFrame) -> int:
 
 
 def _recurring_spend(spend: DataFrame, as_of: int | None = None, tasks: int | None = None) -> DataFrame:
-    """Discretionary spend on E1-recurring keys per (account, month): E1's rule on sums by key and month, then the sums of
-    the keys that qualify. With `as_of` a month takes the verdict of itself and the as_of - 1 months before it: the sums
-    slide along the key's months. No ledger row is joined with a verdict.
+    """Discretionary spend on E1-recurring keys per (account, month): E1's rule on sums over a key's rows, then the sums of
+    the rows whose key qualifies. With `as_of` a month takes the verdict of itself and the as_of - 1 months before it: sums by
+    month, so that a frame has `as_of` rows, slide along the key's months. No ledger row is joined with a verdict.
 
-    The narrow rows move once, to their key's task: few share a key and month, so partial sums would be as many and wider,
-    and the sums would move again to their key. Rows that come with `amount_key` are where a join by key left them."""
+    A key's hash comes first in the order of rows, so that few comparisons go on to the key's texts. The narrow rows move
+    once, to their key's task: few share a key and month, so partial sums would be as many and wider, and the sums would move
+    again to their key. Rows that come with `amount_key` are where a join by key left them."""
     from kontor.operators.recurring import KEY, MEAN_FLOOR, MIN_MONTHS, REL_TOLERANCE
     amt, n = F.col("amount").cast("double"), F.col("n")
     named = " AND ".join(f"{c} IS NOT NULL" for c in KEY)
     if "amount_key" not in spend.columns:
         spend = (spend.withColumn("amount_key", F.bround("amount", 0)).filter(named)
                  .select(*KEY, "month", "amount", "n", "disc").repartition(*([tasks] if tasks else []), *KEY))
-    parts = (spend.groupBy(*KEY, "month")
-             .agg(F.sum("n").alias("_n"), F.sum(amt * n).alias("_x"), F.sum(amt * amt * n).alias("_xx"),
-                  F.sum(F.when(F.col("disc"), F.col("amount") * n)).alias("_d")))
-    ordinal = F.year("month") * 12 + F.month("month")
-    seen = Window.partitionBy(*KEY) if as_of is None else Window.partitionBy(*KEY).orderBy(ordinal).rangeBetween(1 - as_of, 0)
-    k = parts.select("account_id", "month", "_d", F.count(F.lit(1)).over(seen).alias("months"), F.sum("_n").over(seen).alias("n"),
+    hashed = lambda df: df.withColumn("_h", F.xxhash64(*KEY))
+    per_key = Window.partitionBy("_h", *KEY)
+    if as_of is None:
+        # the first of a month's rows counts for the month
+        first = hashed(spend).withColumn("_first", (F.row_number().over(per_key.orderBy("month")) == 1)
+                                         | ~F.col("month").eqNullSafe(F.lag("month").over(per_key.orderBy("month"))))
+        parts = first.select("*", n.alias("_n"), (amt * n).alias("_x"), (amt * amt * n).alias("_xx"), F.when(F.col("disc"), F.col("amount") * n).alias("_d"))
+        seen, months = per_key, F.count_if("_first")
+    else:
+        parts = hashed(spend.groupBy(*KEY, "month")
+                       .agg(F.sum("n").alias("_n"), F.sum(amt * n).alias("_x"), F.sum(amt * amt * n).alias("_xx"),
+                            F.sum(F.when(F.col("disc"), F.col("amount") * n)).alias("_d")))
+        seen, months = per_key.orderBy(F.year("month") * 12 + F.month("month")).rangeBetween(1 - as_of, 0), F.count(F.lit(1))
+    k = parts.select("account_id", "month", "_d", months.over(seen).alias("months"), F.sum("_n").over(seen).alias("n"),
                      F.sum("_x").over(seen).alias("x"), F.sum("_xx").over(seen).alias("xx"))
     mean = F.col("x") / F.col("n")
     var = F.when(F.col("n") > 1, (F.col("xx") - F.col("x") * F.col("x") / F.col("n")) / (F.col("n") - 1)) \
@@ -145,14 +154,17 @@ def features_from_facts(facts: DataFrame, min_transactions: int = MIN_TRANSACTIO
     rows = canon(facts)
     has_flag = "is_recurring" in facts.columns
     spend, disc = ~F.col("is_inflow"), F.col("disc")
-    money = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("amount") * F.col("n"))), F.lit(0)).cast("double")
+    # one exact sum for each row, by all that the features ask of it; the features' sums are over these few
+    kinds = ["category", "is_inflow", "disc", "weekend", *(["is_recurring"] if has_flag else [])]
+    sums = rows.groupBy(*key, *kinds).agg(F.sum(F.col("amount") * F.col("n")).alias("_sum"), F.sum("n").alias("n"))
+    money = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("_sum"))), F.lit(0)).cast("double")
     aggs = [money(spend).alias("_spend"), money(disc).alias("_disc"), money(spend & ~disc).alias("_fixed"),
             (-money(F.col("is_inflow"))).alias("_income"),
             F.coalesce(F.sum(F.when(disc, F.col("n"))), F.lit(0)).alias("_n"),
             money(disc & F.col("weekend")).alias("_weekend"),
             *([money(disc & F.col("is_recurring")).alias("_recurring")] if has_flag else []),
             *[money(disc & (F.col("category") == c)).alias(f"_cat_{c}") for c in DISCRETIONARY]]
-    g = cut_lineage(rows.groupBy(*key).agg(*aggs).filter(
+    g = cut_lineage(sums.groupBy(*key).agg(*aggs).filter(
         (F.col("_n") >= min_transactions) & (F.col("_spend") > 0) & (F.col("_disc") > 0)))
     shops = rows.filter("disc").select(*key, "merchant").filter("merchant IS NOT NULL").distinct() \
         .groupBy(*key).agg(F.count(F.lit(1)).alias("_merchants"))

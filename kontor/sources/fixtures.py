@@ -67,17 +67,19 @@ def catalogue_ledger(spark: SparkSession, sf_dir: str, variant: str = "base") ->
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     cu = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    pa = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
-    # orders meet their customers first, so that lineitem, the largest table, takes part in two joins and not in three
-    j = (li.join(od.join(cu, od.o_custkey == cu.c_custkey), li.l_orderkey == od.o_orderkey)
-         .join(pa, li.l_partkey == pa.p_partkey))
-    brand = F.substring_index("p_brand", "#", -1).cast("int")
+    # what a part decides is derived once for the part and not for each of its lines
+    brand = F.col("_brand")
     category = None
     for lo, hi, label in BRAND_CATEGORIES:
         cond = brand.between(lo, hi)
         category = F.when(cond, label) if category is None else category.when(cond, label)
     price = F.col("p_retailprice")
-    amount = F.when(brand == INFLOW_BRAND, -price).otherwise(price)
+    pa = (table(spark, sf_dir, "part").withColumn("_brand", F.substring_index("p_brand", "#", -1).cast("int"))
+          .select("p_partkey", "p_brand", category.alias("category"),
+                  F.when(brand == INFLOW_BRAND, -price).otherwise(price).cast("decimal(12,2)").alias("amount")))
+    # orders meet their customers first, so that lineitem, the largest table, takes part in two joins and not in three
+    j = (li.join(od.join(cu, od.o_custkey == cu.c_custkey), li.l_orderkey == od.o_orderkey)
+         .join(pa, li.l_partkey == pa.p_partkey))
     tid = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                       F.col("l_quantity").cast("bigint"),
                       F.col("l_shipdate").cast("date"))
@@ -97,9 +99,9 @@ def catalogue_ledger(spark: SparkSession, sf_dir: str, variant: str = "base") ->
         tid.alias("transaction_id"),
         account.alias("account_id"),
         posted.alias("posted_date"),
-        amount.cast("decimal(12,2)").alias("amount"),
+        "amount",
         merchant.alias("merchant"),
-        category.alias("category"),
+        "category",
         (F.col("l_linenumber") == 1).alias("pending"),
     ).select(*LEDGER_COLUMNS)
 

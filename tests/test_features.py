@@ -243,3 +243,23 @@ def test_events_ledger_parses_a_row_once(spark, tmp_path):
     by = {int(r.transaction_id): r for r in led.collect()}
     assert [by[i].category for i in (0, 10, 7, 8, 9, 4, 5)] == ["Income", "Rent", "Groceries", "Coffee", "GENERAL_MERCHANDISE", "BANK_FEES", None]
     assert by[28].amount == -42 and by[4].amount == 6 and by[11].merchant == "m11"
+
+
+def test_recurring_keys_take_no_sums_by_month(spark, ledger):
+    """A key's rows are ordered once and windows count its months: the one aggregate is by account and month."""
+    from kontor.operators.monthly import _recurring_spend, month_facts
+    often = [(f"2026-0{m}-{d:02d}", 20.25, "Gym", "subscriptions") for m in (1, 2, 4) for d in (3, 3, 17)]
+    twice = [(f"2026-0{m}-{d:02d}", 9, "Cafe", "dining") for m in (1, 2) for d in range(1, 9)]
+    apart = [(f"2026-0{m}-05", a, "Shop", "shopping") for m, a in ((1, 30), (2, 30.49), (3, 30), (4, 90))]
+    fixed = [(f"2026-0{m}-01", 700, "Landlord", "rent") for m in (1, 2, 3)]
+    facts = month_facts(normalise_ledger(ledger(often + twice + apart + fixed)))
+    found = _recurring_spend(facts.withColumn("disc", ~F.col("is_inflow") & (F.col("category") != "housing")).filter("NOT is_inflow"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("HashAggregate(") == 2
+    assert sorted((f"{r.month:%m}", r._recurring) for r in found.collect()) == [("01", 90.75), ("02", 91.24), ("03", 30.0), ("04", 60.75)]
+
+
+def test_catalogue_ledger_derives_a_part_once(spark):
+    from kontor.sources.fixtures import catalogue_ledger
+    plan = catalogue_ledger(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    lines = [line for line in plan.splitlines() if "p_retailprice" in line and "decimal(12,2)" in line]
+    assert plan.count("substring_index") == 1 and len(lines) == 1 and "l_orderkey" not in lines[0]
