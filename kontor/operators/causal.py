@@ -47,19 +47,22 @@ def _ratio(amt: Column, median: Column) -> Column:
 
 
 def transaction_features(ledger: DataFrame, min_history: int = MIN_HISTORY,
-                         carry: list[str] | tuple = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
+                         carry: list[str] | tuple = (), block_rows: int = BLOCK_ROWS,
+                         labels: list[str] | tuple = ("month", "merchant", "category")) -> DataFrame:
     """G1-G15 for every scorable transaction of a normalised ledger.
 
-    `carry` names extra input columns passed through unchanged (labels).
+    `carry` names extra input columns passed through unchanged (labels), `labels` those of the ledger's texts and month that
+    are wanted beside the features.
     """
-    rows = spend_only(ledger).select("transaction_id", "account_id", "posted_date", "month", "merchant", "category", "amount", *carry)
-    stats = expanding(rows, block_rows).withColumn("amount", F.col("amount").cast("double"))
-    amt = F.col("amount")
+    kept = ["transaction_id", "account_id", "posted_date", *labels, "_amount", *carry]
+    rows = spend_only(ledger).withColumn("_amount", F.col("amount").cast("double"))
+    stats = expanding(rows.select(*dict.fromkeys([*kept, "merchant", "category", "amount"])), block_rows, kept)
+    amt = F.col("_amount")
     z = F.coalesce(_scaled(amt, F.col("_c_mean"), F.col("_c_std")),
                    _scaled(amt, F.col("_a_mean"), F.col("_a_std")), F.lit(0.0))
     ratio = F.coalesce(_ratio(amt, F.col("_c_med")), _ratio(amt, F.col("_a_med")), F.lit(1.0))
     return stats.select(
-        "transaction_id", "account_id", "posted_date", "month", "merchant", "category",
+        "transaction_id", "account_id", "posted_date", *labels,
         amt.alias("amount"),
         F.log1p(F.greatest(amt, F.lit(0.0))).alias("amount_log"),
         z.alias("amount_zscore_in_category"),

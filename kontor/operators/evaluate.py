@@ -155,7 +155,7 @@ def split_accounts(spend: DataFrame, seed: int = 42, train: float = 0.6,
     accts = spend.select("account_id").distinct().withColumn(
         "_h", F.md5(F.concat(F.lit(f"{seed}|"), F.col("account_id").cast("string"))))
     ranked = global_running(accts, [F.asc("_h"), F.asc("account_id")], rank_col="_r")
-    total = accts.agg(F.count(F.lit(1))).scalar()
+    total = ranked.agg(F.max("_r")).scalar()  # of the ranks written: the rows are read once
     n_train = F.floor(total * train)
     n_val = F.floor(total * val)
     return ranked.select(

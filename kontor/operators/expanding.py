@@ -22,6 +22,7 @@ from heapq import heapify, heappush, heappushpop
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -274,36 +275,48 @@ def _middles(rows: DataFrame) -> DataFrame:
             .groupBy(*key, "name", "_pid", F.col("_cents").alias("cents")).agg(F.sum("cnt").alias("n"), F.min("below").alias("below")))
 
 
-def expanding(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def expanding(rows: DataFrame, block_rows: int = BLOCK_ROWS, keep: list[str] | None = None) -> DataFrame:
     """`rows` with STATS of the strictly earlier rows of the account in the order (posted_date, transaction_id):
     mean, sample deviation, median and count by category (_c) and account (_a), count by merchant, the row before's date, and
     the counts of the row's whole day by merchant and account.
 
     `amount` is a decimal of scale 2; a null account, category, merchant or date is a value of its own (null dates first).
+    `keep`: the columns of `rows` that come back (all): what neither these nor the statistics need is not moved.
     """
-    staged = rows.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col("account_id").cast("string")), F.lit(""))).withColumn(
-        "_cents", (F.col("amount").cast("decimal(18,2)") * 100).cast("long")).withColumn(
-        "_day", F.coalesce(F.datediff("posted_date", F.lit("1970-01-01").cast("date")), F.lit(-2**31).cast("int")))
+    keep = keep or rows.columns
+    staged = rows.withColumn("_cents", (F.col("amount").cast("decimal(18,2)") * 100).cast("long"))
+    staged = staged.select(*dict.fromkeys(["account_id", "transaction_id", "posted_date", "category", "merchant", *keep, "_cents"]))
     spark = rows.sparkSession
-    counts = staged.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows"))
+    counts = staged.groupBy("account_id").agg(F.count(F.lit(1)).alias("_rows"))
     largest, total = counts.agg(F.max("_rows"), F.coalesce(F.sum("_rows"), F.lit(0))).first()
     block_rows = max(block_rows, total // MOST_HOT)
     any_hot = (largest or 0) > block_rows
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // block_rows))
     plain = staged
     if any_hot:
-        hot = cut_lineage(counts.filter(F.col("_rows") > block_rows))  # at most MOST_HOT rows
+        hot = cut_lineage(_keyed(counts).filter(F.col("_rows") > block_rows))  # at most MOST_HOT rows
         hot_rows = hot.agg(F.sum("_rows")).first()[0]
-        plain = staged.join(F.broadcast(hot.select("_key")), "_key", "left_anti")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    own = ["_key", "_cents", "_day", "_pid"]  # the block's columns stay in it
-    out = (plain.withColumn("_pid", F.pmod(F.xxhash64("_key"), F.lit(blocks)))
-           .groupBy("_pid").applyInArrow(lambda rows: block_stats(rows).drop_columns(own), f"{ddl}, {STATS}"))
+        plain = _keyed(staged).join(F.broadcast(hot.select("_key")), "_key", "left_anti").select(*staged.columns)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
+    back = [*keep, *[f.split()[0] for f in STATS.split(", ")]]
+
+    def whole_accounts(rows: pa.Table) -> pa.Table:
+        day = pc.fill_null(rows.column("posted_date").cast(pa.int32()), -2**31)
+        return block_stats(rows.append_column("_key", rows.column("account_id")).append_column("_day", day)).select(back)
+
+    out = (plain.withColumn("_pid", F.pmod(F.xxhash64("account_id"), F.lit(blocks)))
+           .groupBy("_pid").applyInArrow(whole_accounts, f"{ddl}, {STATS}"))
     if any_hot:
         order = ["_key", "_day", "transaction_id"]
-        mine = staged.join(F.broadcast(hot.select("_key")), "_key", "left_semi").select(*staged.columns)
+        mine = _keyed(staged).withColumn("_day", F.coalesce(F.datediff("posted_date", F.lit("1970-01-01").cast("date")), F.lit(-2**31).cast("int")))
+        mine = mine.join(F.broadcast(hot.select("_key")), "_key", "left_semi").select(*mine.columns)
         ranged = cut_lineage(mine.repartitionByRange(max(1, -(-hot_rows // block_rows)), *order)
                              .withColumn("_pid", F.spark_partition_id().cast("long")))
         out = out.unionByName(ranged.groupBy("_pid").cogroup(_left_behind(ranged).groupBy("_pid"))
-                              .applyInArrow(lambda rows, carry: block_stats(rows, carry).drop_columns(own), f"{ddl}, {STATS}"))
+                              .applyInArrow(lambda rows, carry: block_stats(rows, carry).select(back), f"{ddl}, {STATS}"))
     return out
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """With `_key`: the account as text that is never null."""
+    return rows.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col("account_id").cast("string")), F.lit("")))

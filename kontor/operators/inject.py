@@ -36,8 +36,26 @@ def draw(seed: int, kind: Column, pick: Column, tag: str) -> Column:
 
 def inject_anomalies(spend: DataFrame, n_per_kind: int = 8, seed: int = 7) -> DataFrame:
     """Spend rows + labelled injected rows (`is_injected_anomaly`, `anomaly_kind`)."""
+    _, injected = drawn(spend, spend_counts(spend), n_per_kind, seed)
+    return _unlabelled(spend).unionByName(injected)
+
+
+def spend_counts(spend: DataFrame) -> DataFrame:
+    return spend.groupBy("account_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _unlabelled(spend: DataFrame) -> DataFrame:
+    return spend.select("transaction_id", "account_id", "posted_date", "amount", "merchant", "category",
+                        "pending", "is_inflow", "month",
+                        F.lit(False).alias("is_injected_anomaly"),
+                        F.lit(None).cast("string").alias("anomaly_kind"))
+
+
+def drawn(spend: DataFrame, counts: DataFrame, n_per_kind: int = 8, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """The spend rows of the accounts drawn from `counts` (their spend rows), and the rows injected into these. Both are
+    written, and so is what they are drawn from: `spend` is read once for rows, whatever many steps follow."""
     spark = spend.sparkSession
-    counts = spend.groupBy("account_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(counts)
     eligible = counts.filter(F.col("n") >= MIN_ROWS)
     ranked = global_running(eligible.select("account_id", "n"), [F.asc("account_id")], rank_col="_acct_rank")
     n_eligible = eligible.count()
@@ -50,9 +68,11 @@ def inject_anomalies(spend: DataFrame, n_per_kind: int = 8, seed: int = 7) -> Da
                      (F.col("id") % n_per_kind).cast("int").alias("i")))
     picks = picks.withColumn("_acct_rank", F.floor(draw(seed, F.col("kind"), F.col("i"), "account")
                                                    * F.lit(n_eligible)).cast("long") + 1)
-    picks = picks.join(ranked, "_acct_rank").drop("_acct_rank")
+    # len(ANOMALY_KINDS) * n_per_kind rows, whatever many accounts there are
+    picks = cut_lineage(ranked.join(F.broadcast(picks), "_acct_rank").drop("_acct_rank"))
 
-    rows = spend.join(picks.select("account_id").distinct(), "account_id", "left_semi")
+    rows = cut_lineage(spend.join(F.broadcast(picks.select("account_id").distinct()), "account_id", "left_semi"))
+    picks, counts = picks.drop("n"), picks.select("account_id", "n").distinct()
     # the date at position floor(0.6 n) of the account's sorted dates, from
     # per-day counts (pre-aggregated, so a huge account never sorts its rows
     # in one task): the first day whose running count passes that position
@@ -112,12 +132,7 @@ def inject_anomalies(spend: DataFrame, n_per_kind: int = 8, seed: int = 7) -> Da
                         F.lit(False).alias("pending"), F.lit(False).alias("is_inflow"),
                         F.trunc("posted_date", "MM").alias("month"),
                         F.lit(True).alias("is_injected_anomaly"), F.col("kind").alias("anomaly_kind")))
-    base = spend.select("transaction_id", "account_id", "posted_date", "amount", "merchant", "category",
-                        "pending", "is_inflow", "month",
-                        F.lit(False).alias("is_injected_anomaly"),
-                        F.lit(None).cast("string").alias("anomaly_kind"))
-    # a handful of rows behind many joins: written, as features read their input twice
-    return base.unionByName(cut_lineage(injected))
+    return rows, cut_lineage(injected)
 
 
 def prepare_eval_set(ledger: DataFrame, splits: DataFrame, which: str, inject: bool,
@@ -136,12 +151,13 @@ def prepare_eval_set(ledger: DataFrame, splits: DataFrame, which: str, inject: b
     marks = ["is_injected_anomaly", "anomaly_kind"]
     if known is not None and not inject:
         return as_is(of_split(known))
-    spend = spend_only(of_split(ledger))
-    combined = inject_anomalies(spend, n_per_kind, seed) if inject else as_is(spend)
     if known is None:
-        return transaction_features(combined, carry=marks)
+        spend = spend_only(of_split(ledger))
+        return transaction_features(inject_anomalies(spend, n_per_kind, seed) if inject else as_is(spend), carry=marks)
+    spend = spend_only(ledger)
+    rows, injected = drawn(spend, of_split(spend_counts(spend)), n_per_kind, seed)
     # one account for each pick at most
-    met = F.broadcast(cut_lineage(combined.filter("is_injected_anomaly").select("account_id").distinct()))
-    anew = transaction_features(combined.join(met, "account_id", "left_semi"), carry=marks)
+    met = F.broadcast(injected.select("account_id").distinct())
+    anew = transaction_features(_unlabelled(rows).join(met, "account_id", "left_semi").unionByName(injected), carry=marks, labels=())
     return (as_is(of_split(known).join(met, "account_id", "left_anti"))
             .unionByName(anew.select(*[c for c in anew.columns if c in known.columns or c in marks]), allowMissingColumns=True))

@@ -99,7 +99,7 @@ def split_of(ledger: DataFrame) -> DataFrame:
 def scan_features(ledger: DataFrame) -> DataFrame:
     """What fits and scans read of a spend row, written once: a row's features follow from its own account, so they are the
     same in a split and in the whole ledger."""
-    return cut_lineage(transaction_features(ledger).select("transaction_id", "account_id", *ANOMALY_FEATURES))
+    return cut_lineage(transaction_features(ledger, labels=()).select("transaction_id", "account_id", *ANOMALY_FEATURES))
 
 
 def fit_forest(ledger: DataFrame, splits: DataFrame | None = None) -> ForestModel:

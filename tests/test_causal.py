@@ -190,3 +190,22 @@ def test_blocks_are_read_by_columns():
                     whole = len(seen) * sum(x * x for x in seen) - sum(seen) ** 2
                     assert r[spread] == math.sqrt(whole / (len(seen) * (len(seen) - 1))) / 100
                 seen.append(r["_cents"])
+
+
+def test_only_wanted_columns_move(spark):
+    """Columns that neither the caller nor a statistic needs are not shuffled and not sent to Python and back."""
+    rows = drifting(30, 60, 10)
+    df = spark.createDataFrame([(t, k, d, str(a), m, c) for t, k, d, a, m, c in rows],
+                               "transaction_id string, account_id long, d string, a string, merchant string, category string").select(
+        "*", F.col("d").cast("date").alias("posted_date"), F.col("a").cast("decimal(12,2)").alias("amount"), F.lit(False).alias("is_inflow"),
+        F.trunc(F.col("d").cast("date"), "month").alias("month"))
+    kept = expanding.expanding(df, keep=["transaction_id", "d"])
+    assert kept.columns == ["transaction_id", "d", *[f.split()[0] for f in expanding.STATS.split(", ")]]
+    plain, hot = transaction_features(df, labels=()), transaction_features(df, labels=(), block_rows=17)
+    whole = transaction_features(df).drop("month", "merchant", "category")
+    want = sorted(map(tuple, whole.collect()), key=repr)
+    assert sorted(map(tuple, plain.collect()), key=repr) == want and len(want) == len(rows)
+    assert sorted(map(tuple, hot.collect()), key=repr) == want
+    sent, back = plain._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[1].split("\n")[0].rsplit("[", 1)
+    assert "merchant" in sent and "month" not in sent and " amount#" not in sent
+    assert "_amount" in back and "merchant" not in back and "category#" not in back

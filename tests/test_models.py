@@ -280,3 +280,34 @@ def test_scan_computes_and_scores_a_row_once(spark, monkeypatch):
     val = 42 * splits.filter("split = 'val'").count()
     assert computed == [len(rows), walked[1]] and walked[0] == len(rows)
     assert 48 < walked[1] < val + 48
+
+
+def test_rows_to_inject_into_are_read_once(spark):
+    """Splits read the ledger once; injection into a scored ledger reads it for the accounts' counts and for the rows of those drawn."""
+    import datetime as dt
+    from decimal import Decimal
+    from pyspark.sql import functions as F
+    from kontor.operators import evaluate as J
+    from kontor.operators.inject import prepare_eval_set
+    from kontor.operators.ledger import normalise_ledger
+    from kontor.plans import flows
+    rows = [(f"t{a}-{i}", a, dt.date(2026, 1, 1) + dt.timedelta(days=i % 28), Decimal(5 + (i * a) % 41), f"m{i % 5}", ("dining", "travel")[i % 2], False)
+            for a in range(60) for i in range(42)]
+    raw = spark.createDataFrame(rows, "transaction_id string, account_id long, posted_date date, amount decimal(12,2), merchant string, category string, pending boolean")
+    led = flows.scorable(normalise_ledger(raw))
+    seen = spark.sparkContext.accumulator(0)
+
+    def touch(value):
+        seen.add(1)
+        return value
+
+    splits = flows.cut_lineage(J.split_accounts(led.withColumn("account_id", F.udf(touch, "long")("account_id"))))
+    assert seen.value == len(rows) and splits.count() == 60
+    features = flows.scan_features(led)
+    seen.value = 0
+    touched = led.withColumn("amount", F.udf(touch, "decimal(12,2)").asNondeterministic()("amount"))  # once for filter and column
+    marked = ["transaction_id", "account_id", *ANOMALY_FEATURES, "is_injected_anomaly", "anomaly_kind"]
+    got = sorted(map(tuple, prepare_eval_set(touched, splits, "val", inject=True, known=features).select(marked).collect()), key=repr)
+    assert seen.value <= 2 * len(rows)
+    want = sorted(map(tuple, prepare_eval_set(led, splits, "val", inject=True).select(marked).collect()), key=repr)
+    assert got == want and sum(r[-2] for r in got) == 48
